@@ -52,23 +52,26 @@ def quality_bold(t: Tables) -> DataFrame:
     )
 
 
-def _headed(text: str, n: str) -> str:
-    """Lines of a document as headings of three levels, by their first letter."""
-    for letters, marks in (("A-M", "##"), ("N-S", "###"), ("T-Z", "#####")):
-        text = f"regexp_replace({text}, '{n}([{letters}])', '{n}{marks} REF'GLOBAL)"
+# Lines of a document as headings of three levels, by their first letter.
+_MARKS = (("A-M", "##"), ("N-S", "###"), ("T-Z", "#####"))
+
+
+def _headed_sql() -> str:
+    text = "text"
+    for letters, marks in _MARKS:
+        text = f"regexp_replace({text}, '\\n([{letters}])', chr(10) || '{marks} \\1', 'g')"
     return text
 
 
-_HEADED_SQL = _headed("text", "\\n").replace("REF", "\\1").replace("GLOBAL", ", 'g'")
 _LINES_SQL = f"""lines AS (
-  SELECT doc_id, string_split({_HEADED_SQL}, chr(10)) AS l FROM documents
+  SELECT doc_id, string_split({_headed_sql()}, chr(10)) AS l FROM documents
 ),
 numbered AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS pos FROM lines)"""
 
 
 def _headed_documents(t: Tables) -> DataFrame:
     text = F.col("text")
-    for letters, marks in (("A-M", "##"), ("N-S", "###"), ("T-Z", "#####")):
+    for letters, marks in _MARKS:
         text = F.regexp_replace(text, f"\n([{letters}])", f"\n{marks} $1")
     return t.documents.select("doc_id", text.alias("text"))
 
@@ -141,9 +144,7 @@ def quality_faq(t: Tables) -> DataFrame:
         F.replace("text", F.lit("\n"), F.lit("\n### q\n")),
         F.lit("\n## Behind\n### not a question\nmore"),
     )
-    shaped = t.documents.select("doc_id", text.alias("text")).withColumn(
-        "_heads", quality.headings(F.col("text"))
-    )
+    shaped = t.documents.select("doc_id", text.alias("text"))
     answered = shaped.select("doc_id", quality.faq_answers(F.col("text")).alias("faq"))
     ok = lambda a: a.words.between(rules.MIN_ANSWER_WORDS, rules.MAX_ANSWER_WORDS)
     return answered.select(

@@ -284,7 +284,7 @@ def section_split(t: Tables) -> DataFrame:
 
 @query(
     f"""
-WITH p AS (SELECT doc_id, strpos(text, 'the') AS a, text FROM documents),
+WITH p AS (SELECT doc_id, strpos(lower(text), 'the') AS a, text FROM documents),
 q AS (SELECT doc_id, CASE WHEN a > 0 THEN substr(text, a) END AS rest FROM p),
 r AS (SELECT doc_id, rest, strpos(substr(rest, 4), '.') AS e FROM q)
 SELECT doc_id, nullif({sql_strip("CASE WHEN e > 0 THEN substr(rest, 1, e + 2) ELSE rest END")}, '') AS part FROM r"""

@@ -41,13 +41,25 @@ def occurrences(text: Column, part: Column) -> Column:
     return F.floor((F.length(low) - gone) / F.length(needle)).cast("long")
 
 
+def let(value: Column, body) -> Column:
+    """`body(value)` with `value` computed once per row.
+
+    Catalyst may copy an expression into a lambda, which would compute it again
+    for every element; a lambda's own variable is computed once.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def word_counts(text: Column, words: list[str]) -> Column:
     """`array<struct<word, n>>` of the given words that occur as whole words; one pass."""
-    hits = F.regexp_extract_all(F.lower(text), F.lit(rf"(?<!{LETTER})({_any_word([w.lower() for w in words])})(?!{LETTER})"), 1)
-    return F.transform(
-        F.array_distinct(hits),
-        lambda w: F.struct(
-            w.alias("word"), F.size(F.filter(hits, lambda h: h == w)).cast("long").alias("n")
+    pattern = rf"(?<!{LETTER})({_any_word([w.lower() for w in words])})(?!{LETTER})"
+    return let(
+        F.regexp_extract_all(F.lower(text), F.lit(pattern), 1),
+        lambda hits: F.transform(
+            F.array_distinct(hits),
+            lambda w: F.struct(
+                w.alias("word"), F.size(F.filter(hits, lambda h: h == w)).cast("long").alias("n")
+            ),
         ),
     )
 
@@ -67,15 +79,15 @@ def headings(text: Column) -> Column:
 
 def heading_jumps(found: Column, start: int = 1) -> Column:
     """Headings more than one level below the one before; the first is held against `start`."""
-    checked = F.transform(
+    levels = F.concat(F.array(F.lit(start)), F.transform(found, lambda h: h.level))
+    pairs = F.zip_with(
         found,
-        lambda h, i: F.struct(
-            h.title.alias("title"),
-            h.level.alias("level"),
-            F.when(i == 0, F.lit(start)).otherwise(F.try_element_at(found, i).level).alias("before"),
+        F.slice(levels, 1, F.size(levels) - 1),
+        lambda h, before: F.struct(
+            h.title.alias("title"), h.level.alias("level"), before.alias("before")
         ),
     )
-    return F.filter(checked, lambda h: h.level > h.before + 1)
+    return F.filter(pairs, lambda h: h.level > h.before + 1)
 
 
 def opens_with(text: Column, phrases: list[str]) -> Column:
@@ -96,41 +108,26 @@ def word_count(text: Column) -> Column:
     return F.size(words).cast("long")
 
 
-def faq_answers(text: Column, faq_title: str = rules.FAQ_HEADING, found: str = "_heads") -> Column:
+def faq_answers(text: Column, faq_title: str = rules.FAQ_HEADING) -> Column:
     """`array<struct<question, words>>` of the FAQ part; NULL where there is none.
 
-    `found` is a column with `headings(text)`. The part runs from the first
-    level-2 heading with the title to the next heading of level 1 or 2; an
-    answer runs to the next heading.
+    The part runs from the first level-2 heading with the title to the next
+    heading of level 1 or 2, is cut at its level-3 headings, and each piece
+    holds a question and, up to the next deeper heading, its answer.
     """
-    heads = F.col(found)
-    lines = F.split(text, "\n")
-    last = F.size(lines)
-    starts = F.filter(
-        heads, lambda h: (h.level == 2) & F.lower(h.title).contains(faq_title.lower())
-    )
-    start = F.try_element_at(starts, F.lit(1)).pos
-
-    def next_pos(pos: Column, deepest: int) -> Column:
-        after = F.filter(heads, lambda h: (h.pos > pos) & (h.level <= deepest))
-        return F.coalesce(F.try_element_at(after, F.lit(1)).pos, last)
-
-    stop = next_pos(start, 2)
-    questions = F.filter(
-        heads, lambda h: (h.level == 3) & (h.pos > start) & (h.pos < stop)
-    )
-    return F.when(
-        start.isNotNull(),
-        F.transform(
-            questions,
-            lambda q: F.struct(
-                q.title.alias("question"),
-                word_count(
-                    F.array_join(F.slice(lines, q.pos + 2, next_pos(q.pos, 6) - q.pos - 1), " ")
-                ).alias("words"),
-            ),
+    title = rf"(?is)(?:^|\n)##\s[^\n]*{re.escape(faq_title)}[^\n]*"
+    part = F.regexp_extract(text, title + r"(.*?)(?=\n#{1,2}\s|\z)", 1)
+    pieces = F.split(part, r"\n###\s")
+    answers = F.transform(
+        F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))),
+        lambda piece: F.struct(
+            strip(F.substring_index(piece, "\n", 1)).alias("question"),
+            word_count(
+                F.regexp_extract(piece, r"(?s)^[^\n]*(.*?)(?=\n#{1,6}\s|\z)", 1)
+            ).alias("words"),
         ),
     )
+    return F.when(text.rlike(title), answers)
 
 
 def covered_categories(text: Column) -> Column:
@@ -149,7 +146,7 @@ def uncovered_categories(table: Column) -> Column:
     """Category names without a row, or whose row is not ✅."""
     wanted = F.array(*[F.lit(c) for c in rules.FAQ_CATEGORIES])
     good = F.transform(F.filter(table, lambda r: r.ok), lambda r: r.category)
-    return F.filter(wanted, lambda c: ~F.array_contains(good, c))
+    return let(good, lambda g: F.filter(wanted, lambda c: ~F.array_contains(g, c)))
 
 
 def source_rows(text: Column, heading: str = "📚") -> Column:
@@ -177,19 +174,19 @@ def module_places(text: Column) -> Column:
 def module_issues(places: Column) -> Column:
     """Missing modules, and the order found where it is not the wanted one."""
     labels = F.array(*[F.lit(h) for h in rules.MODULE_HEADINGS])
-    absent = F.filter(labels, lambda h, i: F.element_at(places, i + 1) == 0)
-    present = F.filter(places, lambda p: p > 0)
-    found = F.array_sort(
-        F.filter(
-            F.zip_with(places, labels, lambda p, h: F.struct(p.alias("at"), h.alias("label"))),
-            lambda m: m.at > 0,
+
+    def issues(modules: Column) -> Column:
+        missing = F.filter(modules, lambda m: m.at == 0)
+        found = F.filter(modules, lambda m: m.at > 0)
+        ordered = F.array_sort(found)
+        names = F.array_join(F.transform(ordered, lambda m: m.label), "|")
+        return F.concat(
+            F.transform(missing, lambda m: _issue("module_missing", m.label, F.lit(0))).cast(ISSUE),
+            _one("module_order", found != ordered, names, F.size(found)),
         )
-    )
-    order = F.array_join(F.transform(found, lambda m: m.label), "|")
-    return F.concat(
-        F.transform(absent, lambda h: _issue("module_missing", h, F.lit(0))).cast(ISSUE),
-        _one("module_order", present != F.array_sort(present), order, F.size(present)),
-    )
+
+    modules = F.zip_with(places, labels, lambda p, h: F.struct(p.alias("at"), h.alias("label")))
+    return let(modules, issues)
 
 
 def check_texts(
@@ -215,7 +212,8 @@ def check_texts(
         first_paragraph(text).alias("_first"),
         covered_categories(text).alias("_table"),
         module_places(text).alias("_modules"),
-    ).withColumn("_faq", faq_answers(text, faq_title))
+        faq_answers(text, faq_title).alias("_faq"),
+    )
 
     heads, faq, table, modules = (F.col(c) for c in ("_heads", "_faq", "_table", "_modules"))
     zero, none = F.lit(0), F.lit(None).cast("string")
