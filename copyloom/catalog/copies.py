@@ -43,12 +43,12 @@ FROM b, k"""
 def quality_bold(t: Tables) -> DataFrame:
     text = F.replace("text", F.lit(" the "), F.lit(" **the** "))
     words = F.array(F.lit("the"), F.lit("of"), F.lit("THan"))
-    rows = t.documents.select("doc_id", text.alias("t"), F.explode(words).alias("keyword"))
-    star = F.lit("**")
-    return rows.select(
-        "doc_id", "keyword",
-        quality.occurrences(F.col("t"), F.col("keyword")).alias("uses"),
-        quality.occurrences(F.col("t"), F.concat(star, "keyword", star)).alias("bold"),
+    both = F.arrays_zip(
+        quality.occurrences_of_each(text, words).alias("u"),
+        quality.occurrences_of_each(text, words, "**").alias("b"),
+    )
+    return t.documents.select("doc_id", F.explode(both).alias("x")).select(
+        "doc_id", F.col("x.u.part").alias("keyword"), F.col("x.u.n").alias("uses"), F.col("x.b.n").alias("bold")
     )
 
 

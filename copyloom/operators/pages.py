@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -145,6 +145,10 @@ class _Page(HTMLParser):
         return mask
 
     # -- parser events ----------------------------------------------------
+    def updatepos(self, i, j):
+        # Line numbers are not used, so they need not be counted.
+        return j
+
     def handle_starttag(self, tag, attrs):
         if self._in_head and tag not in HEAD_TAGS:
             self._in_head = False
@@ -239,6 +243,30 @@ def _read_page(base: str, html: str, facts: bool, anchors: bool) -> dict:
     return row
 
 
+# Arrow types of what the job adds.
+MADE = {
+    "success": pa.bool_(),
+    "error": pa.string(),
+    "title": pa.string(),
+    "meta_desc": pa.string(),
+    "h1": pa.string(),
+    "body": pa.string(),
+    "anchors": pa.list_(
+        pa.struct(
+            [
+                ("ordinal", pa.int32()),
+                ("href", pa.string()),
+                ("link", pa.string()),
+                ("visible", pa.bool_()),
+                ("scopes", pa.int32()),
+            ]
+        )
+    ),
+    "found": pa.int32(),
+    "bad_links": pa.int32(),
+}
+
+
 def _job_schema(keep: list[T.StructField], facts: bool) -> T.StructType:
     fields = [*keep, T.StructField("success", T.BooleanType()), T.StructField("error", T.StringType())]
     if facts:
@@ -267,13 +295,13 @@ def read_pages(
     keep = [f for f in pages.schema.fields if f.name != html]
     names = [f.name for f in keep]
     schema = _job_schema(keep, facts)
-    columns = schema.names
+    added = schema.names[len(names):]
 
-    def job(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         failed = {"success": False, "anchors": [], "found": 0, "bad_links": 0}
         for batch in batches:
             out = []
-            for address, source in zip(batch[base], batch[html]):
+            for address, source in zip(batch[base].to_pylist(), batch[html].to_pylist()):
                 if source is None:
                     out.append({**failed, "error": "no content"})
                     continue
@@ -281,10 +309,10 @@ def read_pages(
                     out.append(_read_page(address or "", source, facts, anchors))
                 except Exception as exc:  # one bad page must not stop the job
                     out.append({**failed, "error": f"{type(exc).__name__}: {exc}"})
-            made = pd.DataFrame(out, columns=columns[len(names):], index=batch.index)
-            yield pd.concat([batch[names], made], axis=1)
+            made = [pa.array([row.get(c) for row in out], type=MADE[c]) for c in added]
+            yield pa.RecordBatch.from_arrays([*[batch[n] for n in names], *made], [*names, *added])
 
-    return pages.mapInPandas(job, schema)
+    return pages.mapInArrow(job, schema)
 
 
 def page_facts(pages: DataFrame) -> DataFrame:

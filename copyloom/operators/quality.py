@@ -13,6 +13,9 @@ from copyloom.functions.text import strip
 # Letters, digits and marks of any script: a word may not go on with one of these.
 LETTER = r"[\p{L}\p{N}\p{M}_]"
 
+# Any sign that is not white space.
+NOT_BLANK = r"[^\s\p{Z}\x{FEFF}]"
+
 ISSUE = "array<struct<check:string,detail:string,n:bigint>>"
 
 
@@ -34,13 +37,6 @@ def _any_word(words: list[str]) -> str:
     return "|".join(re.escape(w).replace(r"\ ", " ") for w in sorted(words, key=lambda w: -len(w)))
 
 
-def occurrences(text: Column, part: Column) -> Column:
-    """How often `part` occurs in `text`, without regard to case, not overlapping."""
-    low, needle = F.lower(text), F.lower(part)
-    gone = F.length(F.replace(low, needle, F.lit("")))
-    return F.floor((F.length(low) - gone) / F.length(needle)).cast("long")
-
-
 def let(value: Column, body) -> Column:
     """`body(value)` with `value` computed once per row.
 
@@ -50,6 +46,32 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _times(low: Column, part: Column) -> Column:
+    # By bytes: the size of a string is known, its length in characters is not.
+    needle = F.lower(part)
+    gone = F.octet_length(F.replace(low, needle, F.lit("")))
+    return F.floor((F.octet_length(low) - gone) / F.octet_length(needle)).cast("long")
+
+
+def occurrences(text: Column, part: Column) -> Column:
+    """How often `part` occurs in `text`, without regard to case, not overlapping."""
+    return _times(F.lower(text), part)
+
+
+def occurrences_of_each(text: Column, parts: Column, around: str = "") -> Column:
+    """`array<struct<part, n>>`; `around` is put at both ends of each part."""
+    edge = F.lit(around)
+    return let(
+        F.lower(text),
+        lambda low: F.transform(
+            parts,
+            lambda p: F.struct(
+                p.alias("part"), _times(low, F.concat(edge, p, edge) if around else p).alias("n")
+            ),
+        ),
+    )
+
+
 def word_counts(text: Column, words: list[str]) -> Column:
     """`array<struct<word, n>>` of the given words that occur as whole words; one pass."""
     pattern = rf"(?<!{LETTER})({_any_word([w.lower() for w in words])})(?!{LETTER})"
@@ -98,7 +120,7 @@ def opens_with(text: Column, phrases: list[str]) -> Column:
 def first_paragraph(text: Column) -> Column:
     """First line that is neither blank nor a heading; NULL if there is none."""
     lines = F.filter(
-        F.split(text, "\n"), lambda l: (strip(l) != "") & ~l.rlike(r"^#{1,6}\s")
+        F.split(text, "\n"), lambda l: l.rlike(NOT_BLANK) & ~l.rlike(r"^#{1,6}\s")
     )
     return F.try_element_at(lines, F.lit(1))
 
@@ -152,7 +174,7 @@ def uncovered_categories(table: Column) -> Column:
 def source_rows(text: Column, heading: str = "📚") -> Column:
     """Lines of the source list: behind its heading, up to the next heading."""
     part = F.regexp_extract(text, rf"(?s)(?:^|\n)##\s*{heading}[^\n]*\n(.*?)(?=\n#{{1,6}}\s|\z)", 1)
-    return F.filter(F.split(part, "\n"), lambda l: strip(l) != "")
+    return F.filter(F.split(part, "\n"), lambda l: l.rlike(NOT_BLANK))
 
 
 def is_source_row(line: Column) -> Column:
@@ -227,12 +249,15 @@ def check_texts(
     q1b = _one("banned_opener", openers > 0, F.lit(rules.BANNED_OPENER), openers)
 
     usable = F.filter("keywords", lambda k: k != "")
-    uses = F.transform(usable, lambda k: _issue("keyword_overused", k, occurrences(text, k)))
-    q2 = F.filter(uses, lambda i: i.n > rules.MAX_KEYWORD_USES)
-    bold = F.transform(
-        usable, lambda k: _issue("keyword_bold", k, occurrences(text, F.concat(F.lit("**"), k, F.lit("**"))))
+    q2 = F.transform(
+        F.filter(occurrences_of_each(text, usable), lambda u: u.n > rules.MAX_KEYWORD_USES),
+        lambda u: _issue("keyword_overused", u.part, u.n),
+    )
+    bold = occurrences_of_each(text, usable, "**")
+    q3 = F.transform(
+        F.filter(bold, lambda u: ~u.n.between(1, rules.MAX_KEYWORD_BOLD)),
+        lambda u: _issue("keyword_bold", u.part, u.n),
     )
-    q3 = F.filter(bold, lambda i: ~i.n.between(1, rules.MAX_KEYWORD_BOLD))
 
     tops = F.size(F.filter(heads, lambda h: h.level == 1))
     q4 = F.concat(

@@ -155,8 +155,11 @@ def assemble(
 
     `seq` counts the events of a request from 0, the end mark included. A
     generation holds at most `rules.MAX_OUTPUT_TOKENS` tokens, which bounds
-    the state of a key. Needs the RocksDB state store (`use_rocksdb`). Without
-    a time-out the query runs in time mode "None".
+    the state of a key. Needs the RocksDB state store (`use_rocksdb`).
+
+    With a time-out or an expiring flag the query needs a processing-time
+    trigger: timers keep it going, so an available-now run would not end. With
+    both None it can be run either way.
     """
     timed = timeout_ms is not None or closed_ttl_ms is not None
     return events.groupBy("request_id").transformWithStateInPandas(
