@@ -334,10 +334,9 @@ FROM s GROUP BY request_id"""
 def context_assembly(t: Tables) -> DataFrame:
     number = F.col("request_id").cast("string")
     two = F.array(F.lit("https://p.example/a"), F.lit("https://p.example/b"))
-    # Document numbers are dense, so every fourth one stands for a request.
     requests = (
-        t.documents.where(F.col("doc_id") % 4 == 0)
-        .select(_request_of())
+        t.documents.select(_request_of())
+        .distinct()
         .select(
             "request_id",
             F.concat(F.lit("https://w.example/"), number).alias("website_url"),

@@ -11,7 +11,7 @@ from copyloom.functions import answers
 from copyloom.functions import keywords as kw
 from copyloom.functions import text as tx
 from copyloom.operators import generation
-from copyloom.plans.flows import stored
+from copyloom.plans.flows import write_new
 from copyloom.streaming import reassembly
 
 _COMMAS = sql_parts("text", ",")
@@ -242,9 +242,8 @@ FROM ids LEFT JOIN texts USING (conv_id) WHERE conv_id % 3 = 1 OR whole"""
 )
 def stream_generations(t: Tables) -> DataFrame:
     """Finished generations of a stream of relay events; those without an end stay in state."""
-    events = stored(_relay_events(t), "relay-events")
-    path = events.inputFiles()[0].rsplit("/", 1)[0]
-    stream = t.spark.readStream.schema(events.schema).parquet(path)
+    events = _relay_events(t)
+    stream = t.spark.readStream.schema(events.schema).parquet(write_new(events, "relay-events"))
     reassembly.use_rocksdb(t.spark)
     done = reassembly.assemble(stream, timeout_ms=None, closed_ttl_ms=None)
     return reassembly.run_to_table(done, "generations")

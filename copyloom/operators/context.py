@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from copyloom import rules
 from copyloom.functions import text as tx
-from copyloom.plans.skew import concat_in_order
 
 # Position of a section: role first, then place. Wide enough for any list in a row.
 _ROLE_STEP = 10_000_000
@@ -110,27 +109,27 @@ def typed_links_section(links: Column) -> Column:
     return F.when(F.size(links) > 0, text).otherwise("")
 
 
-def ordered_sections(rows: DataFrame) -> DataFrame:
-    """Context text per request from rows with `role_no, ordinal` and a `section`."""
-    place = rows.withColumn("_place", F.col("role_no") * F.lit(_ROLE_STEP) + F.col("ordinal"))
-    return concat_in_order(
-        place.select("request_id", "_place", "section"), ["request_id"], "_place", "section", _ROLE_STEP
-    ).drop("n")
-
-
 def context(requests: DataFrame, bundle: DataFrame, overrides: DataFrame) -> DataFrame:
     """`request_id, context` for every request.
 
     Replacements count only for requests with at least one page row: without
-    scraped data they are ignored.
+    scraped data they are ignored. The rows of a request come from the lists in
+    its own row, so its text is put together in one step; the join and the
+    aggregation share one partitioning.
     """
-    addresses = requests.select("request_id", "website_url", "collection_url")
-    rows = with_overrides(bundle, overrides).join(addresses, "request_id").withColumn("section", section())
-    scraped = ordered_sections(rows)
-    seen = bundle.select("request_id").distinct()
-    texts = scraped.join(seen, "request_id", "left_semi")
-    links = F.coalesce("product_links", F.array().cast("array<string>"))
-    return requests.select("request_id", "product_links").join(texts, "request_id", "left").select(
-        "request_id",
-        F.concat(F.coalesce("section", F.lit("")), typed_links_section(links)).alias("context"),
+    rows = with_overrides(bundle, overrides).drop("error", "product_links")
+    wanted = requests.select("request_id", "website_url", "collection_url", "product_links")
+    place = F.col("role_no") * F.lit(_ROLE_STEP) + F.col("ordinal")
+    placed = wanted.join(rows, "request_id", "left").select(
+        "request_id", "product_links", "from_page", place.alias("_place"), section().alias("section")
+    )
+    texts = placed.groupBy("request_id").agg(
+        F.expr("listagg(section, '') WITHIN GROUP (ORDER BY _place)").alias("_text"),
+        F.bool_or("from_page").alias("_scraped"),
+        F.any_value("product_links").alias("_links"),
+    )
+    links = F.coalesce("_links", F.array().cast("array<string>"))
+    scraped = F.when(F.coalesce("_scraped", F.lit(False)), F.col("_text")).otherwise("")
+    return texts.select(
+        "request_id", F.concat(scraped, typed_links_section(links)).alias("context")
     )

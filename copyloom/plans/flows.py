@@ -28,9 +28,14 @@ class Gathered:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """`df` written to the shared folder and read back, so that later steps do not redo it."""
+    return df.sparkSession.read.schema(df.schema).parquet(write_new(df, name))
+
+
+def write_new(df: DataFrame, name: str) -> str:
+    """`df` as a new table in the shared folder; gives its path."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return path
 
 
 def gather(requests: DataFrame, pages: DataFrame) -> Gathered:
