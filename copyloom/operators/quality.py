@@ -74,7 +74,10 @@ def occurrences_of_each(text: Column, parts: Column, around: str = "") -> Column
 
 def word_counts(text: Column, words: list[str]) -> Column:
     """`array<struct<word, n>>` of the given words that occur as whole words; one pass."""
-    pattern = rf"(?<!{LETTER})({_any_word([w.lower() for w in words])})(?!{LETTER})"
+    lower = [w.lower() for w in words]
+    # The look at the first letter only spares most places the rest of the test.
+    firsts = "".join(sorted({re.escape(w[0]) for w in lower}))
+    pattern = rf"(?=[{firsts}])(?<!{LETTER})({_any_word(lower)})(?!{LETTER})"
     return let(
         F.regexp_extract_all(F.lower(text), F.lit(pattern), 1),
         lambda hits: F.transform(
@@ -126,30 +129,30 @@ def first_paragraph(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    return F.size(words).cast("long")
+    words = F.btrim(text, F.lit(" \t\n\x0b\f\r"))
+    return F.when(words == "", F.lit(0)).otherwise(F.size(F.split(words, r"\s+"))).cast("long")
 
 
 def faq_answers(text: Column, faq_title: str = rules.FAQ_HEADING) -> Column:
     """`array<struct<question, words>>` of the FAQ part; NULL where there is none.
 
-    The part runs from the first level-2 heading with the title to the next
-    heading of level 1 or 2, is cut at its level-3 headings, and each piece
-    holds a question and, up to the next deeper heading, its answer.
+    The text is cut at its headings of level 1 and 2; the FAQ part is the first
+    piece whose level-2 heading holds the title. Cut at its level-3 headings,
+    each piece holds a question and, up to the next deeper heading, its answer.
     """
-    title = rf"(?is)(?:^|\n)##\s[^\n]*{re.escape(faq_title)}[^\n]*"
-    part = F.regexp_extract(text, title + r"(.*?)(?=\n#{1,2}\s|\z)", 1)
-    pieces = F.split(part, r"\n###\s")
-    answers = F.transform(
-        F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))),
-        lambda piece: F.struct(
-            strip(F.substring_index(piece, "\n", 1)).alias("question"),
-            word_count(
-                F.regexp_extract(piece, r"(?s)^[^\n]*(.*?)(?=\n#{1,6}\s|\z)", 1)
-            ).alias("words"),
-        ),
+    parts = F.filter(
+        F.split(text, r"\n(?=#{1,2}\s)"),
+        lambda p: p.rlike(rf"(?i)^##\s[^\n]*{re.escape(faq_title)}"),
     )
-    return F.when(text.rlike(title), answers)
+    pieces = F.split(F.try_element_at(parts, F.lit(1)), r"\n###\s")
+
+    def answered(piece: Column) -> Column:
+        lines = F.get(F.split(piece, r"\n(?=#{1,6}\s)", 2), F.lit(0))
+        question = F.substring_index(lines, "\n", 1)
+        answer = F.coalesce(F.get(F.split(lines, "\n", 2), F.lit(1)), F.lit(""))
+        return F.struct(strip(question).alias("question"), word_count(answer).alias("words"))
+
+    return F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), answered)
 
 
 def covered_categories(text: Column) -> Column:
