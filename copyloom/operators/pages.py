@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import sys
 from collections.abc import Iterator
-from html.parser import HTMLParser
-from urllib.parse import urljoin
+from html import entities, unescape
+from urllib.parse import quote, urljoin
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -39,80 +40,200 @@ KEEPS_P = frozenset("button caption svg table td th".split())
 STRIPPED = frozenset(rules.STRIPPED_TAGS)
 
 
-class _Page(HTMLParser):
+# Elements whose content is text up to their end tag; in the first two, character
+# references count.
+TEXT_TAGS = {
+    name: re.compile(rf"</{name}(?=[\s/>])", re.I)
+    for name in ("title", "textarea", "script", "style", "xmp", "iframe", "noembed", "noframes")
+}
+NAME = re.compile(r"[^\s/>]+")
+GAP = re.compile(r"[\s/]*")
+ATTRIBUTE = re.compile(r"=?[^\s/>=]*")
+EQUALS = re.compile(r"\s*=\s*")
+BARE = re.compile(r"[^\s>]*")
+REFERENCE = re.compile(r"&(?:#\d+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*)(;|=?)")
+
+
+def _attribute_text(value: str) -> str:
+    """Character references in an attribute; open ones only count as whole names."""
+
+    def decoded(found: re.Match) -> str:
+        ref, end = found.group(), found.group(1)
+        if end == ";" or (ref[1] == "#" and not end) or (not end and ref[1:] in entities.html5):
+            return unescape(ref)
+        return ref
+
+    return REFERENCE.sub(decoded, value) if "&" in value else value
+
+
+def _attributes(html: str, at: int) -> tuple[list[tuple[str, str]], bool, int]:
+    """Attributes from `at` on, self-closing or not, and the place behind `>`; -1 if it is missing."""
+    found: list[tuple[str, str]] = []
+    while True:
+        gap = GAP.match(html, at)
+        at = gap.end()
+        if at >= len(html):
+            return found, False, -1
+        if html[at] == ">":
+            return found, gap.group().endswith("/"), at + 1
+        name = ATTRIBUTE.match(html, at)
+        at = name.end()
+        equals = EQUALS.match(html, at)
+        value = ""
+        if equals:
+            at = equals.end()
+            quote = html[at : at + 1]
+            if quote in ("'", '"') and quote:
+                end = html.find(quote, at + 1)
+                if end < 0:
+                    return found, False, -1
+                value, at = html[at + 1 : end], end + 1
+            else:
+                bare = BARE.match(html, at)
+                value, at = bare.group(), bare.end()
+        found.append((name.group().lower(), _attribute_text(value)))
+
+
+def _tokens(html: str) -> Iterator[tuple]:
+    """`("text", str)`, `("start", name, attributes, closed)` and `("end", name)` in order.
+
+    Goes over the page once, without stepping back: each search either moves
+    on or, by finding nothing, ends the page.
+    """
+    at, drawings, size = 0, 0, len(html)
+    while at < size:
+        lt = html.find("<", at)
+        if lt < 0:
+            yield "text", unescape(html[at:])
+            return
+        if lt > at:
+            yield "text", unescape(html[at:lt])
+        mark = html[lt + 1 : lt + 2]
+        if mark.isascii() and mark.isalpha():
+            name = NAME.match(html, lt + 1)
+            tag = name.group().lower()
+            if html.startswith(">", name.end()):
+                attributes, closed, at = [], False, name.end() + 1
+            else:
+                attributes, closed, at = _attributes(html, name.end())
+                if at < 0:
+                    return
+            drawings += tag == "svg" and not closed
+            yield "start", tag, attributes, closed
+            if tag in TEXT_TAGS and not (closed and drawings):
+                end = TEXT_TAGS[tag].search(html, at)
+                stop = end.start() if end else size
+                if stop > at:
+                    content = html[at:stop]
+                    yield "text", unescape(content) if tag in ("title", "textarea") else content
+                at = stop
+        elif mark == "/" and html[lt + 2 : lt + 3].isascii() and html[lt + 2 : lt + 3].isalpha():
+            name = NAME.match(html, lt + 2)
+            tag = name.group().lower()
+            at = name.end() + 1
+            if not html.startswith(">", name.end()):
+                _, _, at = _attributes(html, name.end())
+                if at < 0:
+                    return
+            drawings -= tag == "svg" and drawings > 0
+            yield "end", tag
+        elif html.startswith("<!--", lt):
+            if html.startswith((">", "->"), lt + 4):
+                at = html.index(">", lt) + 1
+            else:
+                end = html.find("-->", lt + 4)
+                at = end + 3 if end >= 0 else size
+        elif mark in ("!", "/", "?") and mark:
+            end = html.find(">", lt)
+            at = end + 1 if end >= 0 else size
+        else:
+            yield "text", "<"
+            at = lt + 1
+
+
+class _Page:
     """Walks one page; keeps text outside stripped elements and every anchor.
 
     Two stacks of open elements are kept: `_open` follows the browser rules
     that matter for text (a block ends an open paragraph, inline end tags do
     not reach over a block), `_tree` closes up to the nearest element of the
-    same name and decides which container an anchor belongs to.
+    same name and decides which container an anchor belongs to. The depths of
+    open elements are kept by name, so that no step walks the stack in vain.
     """
 
-    def __init__(self, facts: bool, anchors: bool) -> None:
-        super().__init__(convert_charrefs=True)
-        self._facts, self._anchors = facts, anchors
+    def __init__(self, facts: bool, anchors: bool, separator: str = "") -> None:
+        self._facts, self._anchors, self._separator = facts, anchors, separator
         self.title: list[str] = []
         self.h1: list[str] | None = None
         self.body: list[str] = []
         self.meta: str | None = None
         self.links: list[tuple[str, bool, int]] = []
         self._open: list[str] = []
-        self._count: dict[str, int] = {}
+        self._at: dict[str, list[int]] = {}
+        self._blocks: list[int] = [-1]
+        self._keeps: list[int] = [-1]
         self._skipping = 0
-        self._h1_open = False
+        self._h1_depth: int | None = None
         self._in_head = True
         self._tree: list[str] = []
         self._names: dict[str, int] = {}
         # First element that fits each container rule: its depth, then None when closed.
         self._container: dict[int, int | None] = {}
 
+    def read(self, html: str) -> None:
+        for kind, value, *more in _tokens(html):
+            if kind == "text":
+                self._text(value)
+            elif kind == "start":
+                self._start(value, *more)
+            else:
+                self._end(value)
+
     # -- text -------------------------------------------------------------
-    def _pop(self) -> None:
-        name = self._open.pop()
-        self._count[name] -= 1
-        if name in STRIPPED:
-            self._skipping -= 1
-        elif name == "h1":
-            self._h1_open = self._h1_open and self._count["h1"] > 0
-
-    def _end_paragraph(self) -> None:
-        for name in reversed(self._open):
-            if name == "p":
-                break
-            if name in KEEPS_P:
-                return
-        while True:
-            name = self._open[-1]
-            self._pop()
-            if name == "p":
-                return
+    def _close_to(self, depth: int) -> None:
+        """Close open elements down to and with the one at `depth`."""
+        while len(self._open) > depth:
+            name = self._open.pop()
+            at = self._at[name].pop()
+            if name in STRIPPED:
+                self._skipping -= 1
+            if at == self._blocks[-1]:
+                self._blocks.pop()
+            if at == self._keeps[-1]:
+                self._keeps.pop()
+            if at == self._h1_depth:
+                self._h1_depth = None
 
     def _push(self, tag: str) -> None:
-        if tag in CLOSES_P and self._count.get("p"):
-            self._end_paragraph()
+        if tag in CLOSES_P:
+            paragraphs = self._at.get("p")
+            if paragraphs and paragraphs[-1] > self._keeps[-1]:
+                self._close_to(paragraphs[-1])
         if tag in VOID_TAGS:
             return
+        depth = len(self._open)
         self._open.append(tag)
-        self._count[tag] = self._count.get(tag, 0) + 1
+        self._at.setdefault(tag, []).append(depth)
+        if tag in BLOCK_TAGS:
+            self._blocks.append(depth)
+        if tag in KEEPS_P:
+            self._keeps.append(depth)
         if tag in STRIPPED:
             self._skipping += 1
         elif tag == "h1" and not self._skipping and self.h1 is None:
-            self.h1, self._h1_open = [], True
+            self.h1, self._h1_depth = [], depth
 
     def _close(self, tag: str) -> None:
-        if not self._count.get(tag) or tag in ("html", "body"):
+        depths = self._at.get(tag)
+        if not depths or tag in ("html", "body"):
             return
-        if tag not in BLOCK_TAGS:
-            for name in reversed(self._open):
-                if name == tag:
-                    break
-                if name in BLOCK_TAGS:
-                    return
-        while True:
-            name = self._open[-1]
-            self._pop()
-            if name == tag:
-                return
+        if tag in BLOCK_TAGS or depths[-1] > self._blocks[-1]:
+            self._close_to(depths[-1])
+
+    def _break(self, tag: str) -> None:
+        if self._separator and not self._skipping and not self._in_head:
+            if tag in BLOCK_TAGS or tag == "br":
+                self.body.append(self._separator)
 
     # -- containers -------------------------------------------------------
     def _mark(self, tag: str, attrs: dict[str, str]) -> None:
@@ -144,58 +265,50 @@ class _Page(HTMLParser):
                 mask |= 1 << i
         return mask
 
-    # -- parser events ----------------------------------------------------
-    def updatepos(self, i, j):
-        # Line numbers are not used, so they need not be counted.
-        return j
-
-    def handle_starttag(self, tag, attrs):
+    # -- tokens -----------------------------------------------------------
+    def _start(self, tag: str, attributes: list[tuple[str, str]], closed: bool) -> None:
         if self._in_head and tag not in HEAD_TAGS:
             self._in_head = False
-        first: dict[str, str] = {}
-        last: dict[str, str] = {}
-        for name, value in attrs:
-            first.setdefault(name, value or "")
-            last[name] = value or ""
         if self._facts:
             self._push(tag)
-            if (
-                tag == "meta"
-                and self.meta is None
-                and not self._skipping
-                and first.get("name") == "description"
-            ):
-                self.meta = first.get("content", "")
+            self._break(tag)
+            if tag == "meta" and self.meta is None and not self._skipping:
+                first = dict(reversed(attributes))
+                if first.get("name") == "description":
+                    self.meta = first.get("content", "")
         if self._anchors:
-            if "id" in last or "class" in last:
-                self._mark(tag, last)
+            if attributes:
+                last = dict(attributes)
+                if "id" in last or "class" in last:
+                    self._mark(tag, last)
             if tag not in VOID_TAGS:
                 self._tree.append(tag)
                 self._names[tag] = self._names.get(tag, 0) + 1
-        if tag == "a" and "href" in first:
-            self.links.append((first["href"], not self._skipping, self._inside()))
-
-    def handle_startendtag(self, tag, attrs):
-        # A closing slash only counts on void elements and inside drawings.
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID_TAGS and "svg" in self._open:
-            self.handle_endtag(tag)
-
-    def handle_endtag(self, tag):
+        if tag == "a":
+            # Of repeated attributes the first counts.
+            first = dict(reversed(attributes))
+            if "href" in first:
+                self.links.append((first["href"], not self._skipping, self._inside()))
+        # A closing slash only counts inside drawings.
+        if closed and tag not in VOID_TAGS and (tag == "svg" or self._at.get("svg")):
+            self._end(tag)
+
+    def _end(self, tag: str) -> None:
         if tag == "head":
             self._in_head = False
         if self._facts:
             self._close(tag)
+            self._break(tag)
         if self._anchors:
             self._leave(tag)
 
-    def handle_data(self, data):
+    def _text(self, data: str) -> None:
         if not self._facts or self._skipping:
             return
-        in_title = self._count.get("title", 0) > 0
+        in_title = bool(self._at.get("title"))
         if in_title:
             self.title.append(data)
-        if self._h1_open:
+        if self._h1_depth is not None:
             self.h1.append(data)
         if self._in_head and not in_title and data.strip():
             self._in_head = False
@@ -219,10 +332,15 @@ class _Page(HTMLParser):
         return masks, found
 
 
-def _read_page(base: str, html: str, facts: bool, anchors: bool) -> dict:
-    page = _Page(facts, anchors)
-    page.feed(html)
-    page.close()
+# Signs that stay as they are in an encoded link; everything else is percent-encoded.
+PLAIN_SIGNS = "!#$%&'()*+,/:;=?@[]|~\\^"
+
+
+def _read_page(
+    base: str, html: str, facts: bool, anchors: bool, separator: str = "", encode: bool = False
+) -> dict:
+    page = _Page(facts, anchors, separator)
+    page.read(html)
     row: dict = {"success": True, "error": None}
     if facts:
         row["title"] = "".join(page.title)
@@ -236,6 +354,8 @@ def _read_page(base: str, html: str, facts: bool, anchors: bool) -> dict:
             continue
         try:
             link = urljoin(base, href)
+            if encode:
+                link = quote(link, safe=PLAIN_SIGNS)
         except ValueError:
             link, bad = None, bad + 1
         rows.append({"ordinal": n, "href": href, "link": link, "visible": visible, "scopes": mask})
@@ -285,12 +405,16 @@ def read_pages(
     anchors: bool = True,
     html: str = "html",
     base: str = "url",
+    separator: str = "",
+    encode: bool = False,
 ) -> DataFrame:
     """Parse each page once, next to where it is read; `html` does not leave the job.
 
     All other columns are kept. A page that cannot be read gives a row with
     `success` false. Without `facts` no text is collected; without `anchors`
-    only product-link anchors are kept and no containers are looked for.
+    only product-link anchors are kept and no containers are looked for. Text
+    of neighbouring blocks is joined without a blank unless a `separator` is
+    given. With `encode` resolved links are percent-encoded.
     """
     keep = [f for f in pages.schema.fields if f.name != html]
     names = [f.name for f in keep]
@@ -306,7 +430,7 @@ def read_pages(
                     out.append({**failed, "error": "no content"})
                     continue
                 try:
-                    out.append(_read_page(address or "", source, facts, anchors))
+                    out.append(_read_page(address or "", source, facts, anchors, separator, encode))
                 except Exception as exc:  # one bad page must not stop the job
                     out.append({**failed, "error": f"{type(exc).__name__}: {exc}"})
             made = [pa.array([row.get(c) for row in out], type=MADE[c]) for c in added]
@@ -315,9 +439,15 @@ def read_pages(
     return pages.mapInArrow(job, schema)
 
 
-def page_facts(pages: DataFrame) -> DataFrame:
-    """One row of facts per page (`page_id, url, html`)."""
-    read = read_pages(pages.select("page_id", "url", "html"), facts=True, anchors=False)
+def page_facts(pages: DataFrame, separator: str = "", encode: bool = False) -> DataFrame:
+    """One row of facts per page (`page_id, url, html`); options as in `read_pages`."""
+    read = read_pages(
+        pages.select("page_id", "url", "html"),
+        facts=True,
+        anchors=False,
+        separator=separator,
+        encode=encode,
+    )
     seen = F.filter("anchors", lambda a: a.visible & urls.is_product_link(a.href))
     link = F.transform(
         seen, lambda a: F.when(a.href.startswith("http"), a.href).otherwise(a.link)

@@ -109,5 +109,34 @@ def test_other_columns_are_kept_in_their_types(spark):
     assert [tuple(r) for r in rows] == [(1, True, None), (2, None, 7)]
 
 
+def test_tags_and_references(facts):
+    row = facts('<A HREF="/products/a?x=1&amp;y=2&copy=3&reg;" class=x>1</A><a href=/products/b>2</a>'
+                "<a href = '/products/c' href='/products/d' / >3</a><p title='>'>x&ampy &nope; &#65; 1 < 2</p>")
+    assert row.product_links == [
+        "https://s.example/products/a?x=1&y=2&copy=3®", "https://s.example/products/b", "https://s.example/products/c",
+    ]
+    assert row.body_text == "123x&y &nope; A 1 < 2"
+    assert facts("a<!-- <p>b --><!>c<!doctype x>d<?php e ?>f</>g</ h>i<p").body_text == "acdfgi"
+    assert facts("<svg/>a<svg><style/><g/></svg>b<textarea><p>&lt;c</textarea>").body_text == "ab<p><c"
+    assert facts("a<script>if (a</b/) '</scriptx>'</SCRIPT >b<style>x").body_text == "ab"
+
+
+def test_options(spark):
+    pages = spark.createDataFrame([(1, "https://s.example/c", '<p>a</p>b<br>c<a href="/products/é x">d</a>')], schemas.PAGES)
+    row = page_facts(pages, separator=" ", encode=True).first()
+    assert (row.body_text, row.product_links) == ("a b cd", ["https://s.example/products/%C3%A9%20x"])
+
+
+@pytest.mark.parametrize("part", ["<", "<!--", "<a ", "</", '<a href="', "<![cdata[", "<p>", "<title>", "<div id='products'>", "<table><p>"])
+def test_hostile_pages_stay_linear(part):
+    import time
+
+    from copyloom.operators.pages import _read_page
+
+    start = time.time()
+    assert _read_page("https://x", part * 50_000, True, True)["success"]
+    assert time.time() - start < 5
+
+
 def test_deeply_open_page_stays_linear(facts):
     assert facts("<b><i>x</u>" * 30_000).body_text == "x" * 8000
