@@ -222,9 +222,9 @@ def close_generations(t: Tables) -> DataFrame:
 @query(_TEXTS)
 def stream_reassembly(t: Tables) -> DataFrame:
     """Live text of a file stream, taken when all input has arrived."""
-    chunks = t.spark.readStream.schema(t.conversations.schema).option(
-        "pathGlobFilter", "conversations.parquet"
-    ).parquet(t.folder)
+    # As a pattern, the path may be a file or a folder of files.
+    path = f"{t.folder}/conversations.parque[t]"
+    chunks = t.spark.readStream.schema(t.conversations.schema).parquet(path)
     named = chunks.select(F.col("conv_id").alias("request_id"), F.col("turn").alias("seq"), "text")
     return reassembly.run_to_table(reassembly.live_text(named), "live-text", mode="complete")
 

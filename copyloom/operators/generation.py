@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from copyloom.functions.answers import chunk_text
-from copyloom.plans.skew import concat_in_order
+from copyloom.plans.skew import concat_in_order, salted_lookup
 
 
 def decode_lines(lines: DataFrame) -> DataFrame:
@@ -48,9 +48,9 @@ def close_generations(events: DataFrame) -> DataFrame:
         F.min_by("message", "seq").alias("message"),
     )
     chunks = events.where(F.col("type") == "chunk").select("request_id", "seq", "text")
-    kept = chunks.join(ends.select("request_id", "_end"), "request_id", "left").where(
-        F.col("_end").isNull() | (F.col("seq") < F.col("_end"))
-    )
+    kept = salted_lookup(
+        chunks, ends.select("request_id", "_end"), "request_id", spread_by=["seq"]
+    ).where(F.col("_end").isNull() | (F.col("seq") < F.col("_end")))
     texts = reassemble(kept)
     return texts.join(ends, "request_id", "full").select(
         "request_id",

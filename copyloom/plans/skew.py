@@ -118,7 +118,7 @@ def hot_lookup(
     at_least: int = 100_000,
     limit: int = 64,
 ) -> DataFrame:
-    """Equi-join with a wide lookup that is unique on `key`; only hot keys are spread.
+    """Equi-join with a lookup that is unique on `key`; only hot keys are spread.
 
     The hot keys of `big` (at most `limit`, hence the broadcast) get `salts`
     copies of their lookup row; all others keep one. `big` is read twice, the

@@ -101,6 +101,7 @@ def test_not_yet_known(spark):
     known = spark.createDataFrame([("a",)], "link string")
     found = spark.createDataFrame([("a",), ("b",)], "link string")
     assert [r.link for r in links.not_yet_known(found, known).collect()] == ["b"]
+    assert [r.link for r in links.not_yet_known(found, known, at_least=1).collect()] == ["b"]
 
 
 @pytest.mark.parametrize(
