@@ -371,6 +371,19 @@ def history_parse(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    f"""
+WITH {_RECORDS_SQL},
+placed AS (SELECT domain, row_number() OVER (ORDER BY event_id DESC) - 1 AS pos FROM records WHERE r = 1)
+SELECT domain FROM placed WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_partkey * 2 = pos)"""
+)
+def history_delete_places(t: Tables) -> DataFrame:
+    """Every other place of the list goes, as far as there are parts."""
+    stored = hist.latest_records(_records(t)).withColumn("first_saved", F.col("event_id"))
+    places = t.part.select((F.col("p_partkey") * 2).alias("pos"))
+    return hist.delete_positions(stored, places).select("domain")
+
+
 @query(
     f"""
 WITH {_RECORDS_SQL} SELECT domain FROM records WHERE r = 1

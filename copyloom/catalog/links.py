@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from copyloom.catalog import WS, Tables, query, sql_domain, sql_squeeze, sql_strip
+from copyloom.catalog import Tables, query, sql_domain, sql_squeeze, sql_strip
 from copyloom.functions import urls
 from copyloom.operators import links, paging
 from copyloom.operators.pages import page_facts as facts_of
@@ -314,7 +314,7 @@ _KEPT = """kept AS (
 )"""
 
 
-def _page_of() -> F.Column:
+def _page_of() -> Column:
     return (F.col("o_orderkey") % 6 + 1).cast("int").alias("page_no")
 
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from copyloom import rules
-from copyloom.catalog import Tables, query, sql_domain, sql_parts, sql_squeeze, sql_strip
+from copyloom.catalog import Tables, query, sql_parts, sql_squeeze, sql_strip
 from copyloom.functions import text as tx
 from copyloom.operators import bundle as bundles
 from copyloom.operators import context as contexts
@@ -223,13 +223,13 @@ o AS (
 j AS (SELECT b.*, o.override FROM b LEFT JOIN o USING (doc_id))"""
 
 
-def _role() -> tuple[F.Column, F.Column]:
+def _role() -> tuple[Column, Column]:
     place = (F.col("doc_id") % 4).cast("int")
     names = F.array(*[F.lit(r) for r in rules.ROLE_NO])
     return F.get(names, place), place + 1
 
 
-def _request_of() -> F.Column:
+def _request_of() -> Column:
     return F.floor(F.col("doc_id") / 4).alias("request_id")
 
 

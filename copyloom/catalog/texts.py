@@ -219,6 +219,21 @@ def close_generations(t: Tables) -> DataFrame:
     return generation.close_generations(_relay_events(t))
 
 
+@query(_CLOSED)
+def relay_lines(t: Tables) -> DataFrame:
+    """Relay events as lines, among lines that carry none, decoded and closed."""
+    lines = generation.encode_relay(_relay_events(t)).withColumn(
+        "line",
+        F.explode(
+            F.concat(
+                F.split("line", "\n"),
+                F.array(F.lit("data: {bad"), F.lit('data: {"type":"ping"}'), F.lit(": note")),
+            )
+        ),
+    )
+    return generation.close_generations(generation.decode_relay(lines))
+
+
 @query(_TEXTS)
 def stream_reassembly(t: Tables) -> DataFrame:
     """Live text of a file stream, taken when all input has arrived."""

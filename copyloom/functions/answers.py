@@ -20,6 +20,19 @@ def chunk_text(line: Column) -> Column:
     return blank_to_null(F.get_json_object(line_payload(line), rules.ANSWER_TEXT_PATH))
 
 
+def relay_event(line: Column) -> Column:
+    """`struct<type, text, message>` of a relay line; type is NULL for any other line."""
+    payload = F.when(line.startswith(rules.LINE_PREFIX), F.substring(line, len(rules.LINE_PREFIX) + 1, 2**31 - 1))
+    event = F.from_json(payload, "type string, text string, message string")
+    return F.when(event["type"].isin(*rules.RELAY_TYPES), event)
+
+
+def relay_line(kind: Column, text: Column, message: Column) -> Column:
+    """Relay line of an event, ended by a blank line; fields that are NULL are left out."""
+    body = F.to_json(F.struct(kind.alias("type"), text.alias("text"), message.alias("message")))
+    return F.concat(F.lit(rules.LINE_PREFIX), body, F.lit("\n\n"))
+
+
 def answer_text(body: Column) -> Column:
     """Text of a whole (not streamed) answer, '' when missing."""
     return F.coalesce(F.get_json_object(body, rules.ANSWER_TEXT_PATH), F.lit(""))

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from copyloom import rules
-from copyloom.functions.text import comma_list, comma_or_line_list, strip
+from copyloom.functions.text import comma_list, comma_or_line_list, let, strip
 
 _EMPTY = "array<string>"
 
@@ -39,8 +39,9 @@ def merge(existing: Column, selected: Column) -> Column:
 
 def new_keywords(pool_column: Column, typed: Column) -> Column:
     """Typed keywords that the pool lacks; repeats within the typed text stay."""
-    return F.filter(
-        comma_or_line_list(typed), lambda k: ~F.array_contains(pool(pool_column), k)
+    return let(
+        pool(pool_column),
+        lambda known: F.filter(comma_or_line_list(typed), lambda k: ~F.array_contains(known, k)),
     )
 
 

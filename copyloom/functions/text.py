@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,15 @@ from copyloom import rules
 WS = r"[\s\p{Z}\x{FEFF}]"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body(value)` with `value` computed once per row.
+
+    Catalyst may copy an expression into a lambda, which would compute it again
+    for every element; a lambda's own variable is computed once.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def squeeze(text: Column) -> Column:
     """Turn each run of white space into one blank and trim the ends."""
     return F.trim(F.regexp_replace(text, WS + "+", " "))

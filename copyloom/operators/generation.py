@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from copyloom.functions.answers import chunk_text
+from copyloom.functions.answers import chunk_text, relay_event, relay_line
 from copyloom.plans.skew import concat_in_order, salted_lookup
 
 
@@ -16,6 +16,21 @@ def decode_lines(lines: DataFrame) -> DataFrame:
     )
 
 
+def decode_relay(lines: DataFrame) -> DataFrame:
+    """Relay lines → relay events; other and damaged lines are dropped. Works on streams too."""
+    return (
+        lines.select("request_id", "seq", relay_event(F.col("line")).alias("_e"))
+        .select("request_id", "seq", "_e.type", "_e.text", "_e.message")
+        .where(F.col("type").isNotNull())
+    )
+
+
+def encode_relay(events: DataFrame) -> DataFrame:
+    """Relay events → the lines that carry them."""
+    line = relay_line(F.col("type"), F.col("text"), F.col("message"))
+    return events.select("request_id", "seq", line.alias("line"))
+
+
 def join_fragments(fragments: DataFrame) -> DataFrame:
     """Raw arrivals → lines: `request_id, seq, fragment` → `request_id, seq, line`.
 

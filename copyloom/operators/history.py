@@ -10,7 +10,7 @@ from copyloom import schemas
 from copyloom.functions import keywords as kw
 from copyloom.functions import text as tx
 from copyloom.functions import urls
-from copyloom.plans.skew import hot_lookup
+from copyloom.plans.skew import hot_lookup, numbered
 
 FILLED = ("brand_name", "target_market", "competitor_urls", "brand_info")
 
@@ -122,3 +122,11 @@ def edit_pools(history: DataFrame, edits: DataFrame) -> DataFrame:
 
 def delete_records(history: DataFrame, domains: DataFrame) -> DataFrame:
     return history.join(domains.select("domain"), "domain", "left_anti")
+
+
+def delete_positions(history: DataFrame, positions: DataFrame) -> DataFrame:
+    """History without the records at the given 0-based places of the list (`pos`), newest first."""
+    newest = history.withColumn("_newest", -F.col("first_saved"))
+    placed = numbered(newest, [], ["_newest", "domain"], "_place")
+    gone = positions.select((F.col("pos") + 1).alias("_place"))
+    return placed.join(gone, "_place", "left_anti").select(*history.columns)

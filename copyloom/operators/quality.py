@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from copyloom import rules
-from copyloom.functions.text import strip
+from copyloom.functions.text import let, strip
 
 # Letters, digits and marks of any script: a word may not go on with one of these.
 LETTER = r"[\p{L}\p{N}\p{M}_]"
@@ -37,15 +37,6 @@ def _any_word(words: list[str]) -> str:
     return "|".join(re.escape(w).replace(r"\ ", " ") for w in sorted(words, key=lambda w: -len(w)))
 
 
-def let(value: Column, body) -> Column:
-    """`body(value)` with `value` computed once per row.
-
-    Catalyst may copy an expression into a lambda, which would compute it again
-    for every element; a lambda's own variable is computed once.
-    """
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _times(low: Column, part: Column) -> Column:
     # By bytes: the size of a string is known, its length in characters is not.
     needle = F.lower(part)

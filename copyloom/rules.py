@@ -68,6 +68,7 @@ TOP_P = 0.95
 ANSWER_TEXT_PATH = "$.candidates[0].content.parts[0].text"
 LINE_PREFIX = "data: "
 END_LINE = "[DONE]"
+RELAY_TYPES = ("chunk", "done", "error")
 
 # Context labels.
 BRAND_HEADING = "品牌官网内容"

@@ -39,6 +39,15 @@ def test_answer_text(one):
     assert one(answers.answer_text(F.col("b")), b=None) == ""
 
 
+def test_relay_lines(spark):
+    df = spark.createDataFrame([*CASES, (7, 0, "chunk", "é\"\n", None)], schemas.RELAY_EVENTS)
+    lines = generation.encode_relay(df)
+    assert lines.where("request_id = 7").first().line == 'data: {"type":"chunk","text":"é\\"\\n"}\n\n'
+    assert sorted(map(str, generation.decode_relay(lines).collect())) == sorted(map(str, df.collect()))
+    other = spark.createDataFrame([(1, 0, x) for x in ("data: [DONE]", "data: {", "x", "", 'data: {"type":"ping"}')], schemas.ANSWER_LINES)
+    assert generation.decode_relay(other).count() == 0
+
+
 EN, ZH = "## 📝 Collection Page Copy — X Version", "##📝 中文对照版（供人工校验）"
 
 

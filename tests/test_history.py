@@ -65,3 +65,10 @@ def test_delete(spark):
 def test_override_text(one):
     assert one(tx.override_text(F.col("s")), s=" a\n") == "a"
     assert one(tx.override_text(F.col("s")), s=" \n ") is None
+
+
+def test_delete_by_place(spark):
+    rows = [("a", 3), ("b", 9), ("c", 5)]
+    history = spark.createDataFrame(rows, "domain string, first_saved long")
+    places = spark.createDataFrame([(0,), (7,)], "pos int")
+    assert sorted(r.domain for r in hist.delete_positions(history, places).collect()) == ["a", "c"]
