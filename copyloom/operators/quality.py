@@ -49,28 +49,28 @@ def occurrences(text: Column, part: Column) -> Column:
     return _times(F.lower(text), part)
 
 
-def occurrences_of_each(text: Column, parts: Column, around: str = "") -> Column:
-    """`array<struct<part, n>>`; `around` is put at both ends of each part."""
+def _each(low: Column, parts: Column, around: str = "") -> Column:
     edge = F.lit(around)
-    return let(
-        F.lower(text),
-        lambda low: F.transform(
-            parts,
-            lambda p: F.struct(
-                p.alias("part"), _times(low, F.concat(edge, p, edge) if around else p).alias("n")
-            ),
+    return F.transform(
+        parts,
+        lambda p: F.struct(
+            p.alias("part"), _times(low, F.concat(edge, p, edge) if around else p).alias("n")
         ),
     )
 
 
-def word_counts(text: Column, words: list[str]) -> Column:
-    """`array<struct<word, n>>` of the given words that occur as whole words; one pass."""
+def occurrences_of_each(text: Column, parts: Column, around: str = "") -> Column:
+    """`array<struct<part, n>>`; `around` is put at both ends of each part."""
+    return let(F.lower(text), lambda low: _each(low, parts, around))
+
+
+def _words(low: Column, words: list[str]) -> Column:
     lower = [w.lower() for w in words]
     # The look at the first letter only spares most places the rest of the test.
     firsts = "".join(sorted({re.escape(w[0]) for w in lower}))
     pattern = rf"(?=[{firsts}])(?<!{LETTER})({_any_word(lower)})(?!{LETTER})"
     return let(
-        F.regexp_extract_all(F.lower(text), F.lit(pattern), 1),
+        F.regexp_extract_all(low, F.lit(pattern), 1),
         lambda hits: F.transform(
             F.array_distinct(hits),
             lambda w: F.struct(
@@ -80,6 +80,11 @@ def word_counts(text: Column, words: list[str]) -> Column:
     )
 
 
+def word_counts(text: Column, words: list[str]) -> Column:
+    """`array<struct<word, n>>` of the given words that occur as whole words; one pass."""
+    return _words(F.lower(text), words)
+
+
 def headings(text: Column) -> Column:
     """`array<struct<pos, level, title>>` of the `#` headings, by 0-based line."""
     parts = F.transform(
@@ -219,12 +224,11 @@ def check_texts(
     text = F.col("text")
     kws = F.coalesce("keywords", F.array().cast("array<string>"))
     # Shared intermediate results, computed once per row.
-    base = texts.select(
-        "id",
-        "text",
-        kws.alias("keywords"),
+    low = F.col("_low")
+    base = texts.select("id", "text", kws.alias("keywords"), F.lower(text).alias("_low")).select(
+        "*",
         headings(text).alias("_heads"),
-        word_counts(text, words).alias("_words"),
+        _words(low, words).alias("_words"),
         first_paragraph(text).alias("_first"),
         covered_categories(text).alias("_table"),
         module_places(text).alias("_modules"),
@@ -244,10 +248,10 @@ def check_texts(
 
     usable = F.filter("keywords", lambda k: k != "")
     q2 = F.transform(
-        F.filter(occurrences_of_each(text, usable), lambda u: u.n > rules.MAX_KEYWORD_USES),
+        F.filter(_each(low, usable), lambda u: u.n > rules.MAX_KEYWORD_USES),
         lambda u: _issue("keyword_overused", u.part, u.n),
     )
-    bold = occurrences_of_each(text, usable, "**")
+    bold = _each(low, usable, "**")
     q3 = F.transform(
         F.filter(bold, lambda u: ~u.n.between(1, rules.MAX_KEYWORD_BOLD)),
         lambda u: _issue("keyword_bold", u.part, u.n),
@@ -275,7 +279,7 @@ def check_texts(
     q10 = F.transform(
         F.filter(source_rows(text), lambda l: ~is_source_row(l)), lambda l: _issue("source_row", l, F.lit(1))
     )
-    marks = occurrences(text, F.lit(rules.UNVERIFIED_MARK))
+    marks = _times(low, F.lit(rules.UNVERIFIED_MARK))
     q11 = _one("unverified", marks > 0, none, marks)
     count = F.size(usable)
     q12 = _one("keyword_count", ~count.between(rules.MIN_KEYWORDS, rules.MAX_KEYWORDS), none, count)
