@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from copyloom.llm import packing, token_files
-from copyloom.llm.common import table
+from copyloom.llm import exact_dedup, packing, token_files
+from copyloom.llm.common import share, table
 from copyloom.plans.workdir import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,3 +34,21 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.read_tokens(spark, path).select(
         "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32")
     )
+
+
+@query
+def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents, taken as two ingests: one is the snapshot, the other arrives."""
+    docs = table(spark, folder, "documents")
+    return exact_dedup.exact_dedup(docs, share(6, F.col("doc_id")) < 0.5)
+
+
+SQL["op6_exact_dedup"] = """
+SELECT doc_id,
+       max(doc_id) OVER same AS keep_id,
+       count(*) OVER same AS group_size,
+       doc_id = max(doc_id) OVER same AS kept,
+       sha256(coalesce(text, '')) AS text_sha256
+FROM documents
+WINDOW same AS (PARTITION BY coalesce(text, ''))
+"""
