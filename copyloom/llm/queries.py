@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from copyloom.llm import exact_dedup, packing, token_files
+from copyloom.llm import exact_dedup, near_dedup, packing, token_files
 from copyloom.llm.common import share, table
 from copyloom.plans.workdir import new_path
 
@@ -52,3 +52,9 @@ SELECT doc_id,
 FROM documents
 WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
+
+
+@query
+def op5_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Near duplicates among all documents."""
+    return near_dedup.near_dedup(table(spark, folder, "documents"))
