@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from copyloom.llm import exact_dedup, near_dedup, packing, token_files
+from copyloom.llm import decontamination, exact_dedup, near_dedup, packing, token_files
 from copyloom.llm.common import share, table
 from copyloom.plans.workdir import new_path
 
@@ -58,3 +58,56 @@ WINDOW same AS (PARTITION BY coalesce(text, ''))
 def op5_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Near duplicates among all documents."""
     return near_dedup.near_dedup(table(spark, folder, "documents"))
+
+
+@query
+def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark windows in all documents."""
+    found = decontamination.contamination(
+        table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    )
+    names = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(names, 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
+SQL["op2_decontamination"] = r"""
+WITH doc AS (
+  SELECT doc_id, regexp_extract_all(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM documents
+), item AS (
+  SELECT item_id, regexp_extract_all(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM benchmark
+), item_window AS (
+  SELECT DISTINCT item_id, ws[p:p + least(10, len(ws)) - 1] AS win
+  FROM (SELECT item_id, ws, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS p FROM item WHERE len(ws) > 0)
+), sizes AS (
+  SELECT DISTINCT len(win) AS n FROM item_window
+), place AS (
+  SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS p FROM doc, sizes WHERE len(ws) >= n
+), hit AS (
+  SELECT doc_id, p, n, item_id FROM place JOIN item_window ON ws[p:p + n - 1] = win
+), covered AS (
+  SELECT doc_id, count(DISTINCT w) AS n_hit
+  FROM (SELECT doc_id, unnest(range(p, p + n)) AS w FROM (SELECT DISTINCT doc_id, p, n FROM hit))
+  GROUP BY doc_id
+), listed AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM hit WHERE item_id IS NOT NULL)
+  GROUP BY doc_id
+)
+SELECT doc.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+       coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN covered USING (doc_id) LEFT JOIN listed USING (doc_id)
+"""
