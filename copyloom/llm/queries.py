@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from copyloom.llm import decontamination, exact_dedup, near_dedup, packing, token_files
+from copyloom.llm import decontamination, exact_dedup, near_dedup, packing, token_files, url_filter
 from copyloom.llm.common import share, table
 from copyloom.plans.workdir import new_path
 
@@ -111,3 +111,20 @@ SELECT doc.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_h
        coalesce(n_hit, 0) > 0 AS contaminated
 FROM doc LEFT JOIN covered USING (doc_id) LEFT JOIN listed USING (doc_id)
 """
+
+
+#: The rules of the url query.
+URL_RULES = [
+    url_filter.Rule("net/", "block"),
+    url_filter.Rule("example.net/en/", "allow"),
+    url_filter.Rule("example.com/de/", "block"),
+    url_filter.Rule("org/fr/", "allow"),
+]
+
+
+@query
+def op3_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """All page urls, by rule, or else by a model of the urls that the rules decide."""
+    pages = table(spark, folder, "pages")
+    model = url_filter.fit(url_filter.labels_from_rules(pages, URL_RULES))
+    return url_filter.judged(pages, URL_RULES, model)
