@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from copyloom.llm import decontamination, exact_dedup, near_dedup, packing, token_files, url_filter
-from copyloom.llm.common import share, table
+from copyloom.llm import decontamination, exact_dedup, language, near_dedup, packing, token_files, url_filter
+from copyloom.llm.common import held_out, share, table
 from copyloom.plans.workdir import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,3 +128,16 @@ def op3_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages")
     model = url_filter.fit(url_filter.labels_from_rules(pages, URL_RULES))
     return url_filter.judged(pages, URL_RULES, model)
+
+
+@query
+def op9_language(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every document."""
+    docs = table(spark, folder, "documents")
+    model = language.fit(docs)
+    return language.detected(docs.select("doc_id", "text"), model).select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        "lang_pred",
+        F.col("lang_score").alias("score"),
+    )
