@@ -77,7 +77,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     lengths = [r[0] for r in known.select("len").distinct().orderBy("len").collect()]  # `window` at most
     blocks = max(1, math.ceil(known.count() / BLOCK))
     split = docs.select(
-        "doc_id", F.monotonically_increasing_id().alias("row"), words(F.col("text")).alias("words")
+        "doc_id", F.xxhash64("text").alias("row"), words(F.col("text")).alias("words")
     )
     none = F.array(F.struct(F.lit(0).alias("pos"), F.lit(0).alias("len"), F.lit(None).cast("bigint").alias("hash")))
     hits = None
@@ -105,6 +105,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
         hits = met if hits is None else hits.unionByName(met.where("n is null"))
     gathered = hits.groupBy("row", "doc_id").agg(
         F.max("n").alias("n_words"),
+        F.count("n").cast("int").alias("alike"),  # rows equal in doc_id and text
         F.sort_array(F.collect_set("hit")).alias("hits"),
         F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
     )
@@ -136,6 +137,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     return (
         gathered.withColumn("spans", runs)
         .withColumn("n_hit", counted)
+        .withColumn("of_alike", F.explode(F.array_repeat(F.lit(0), F.col("alike"))))
         .select("doc_id", "n_words", "n_hit", "spans", "items", (F.col("n_hit") > 0).alias("contaminated"))
     )
 

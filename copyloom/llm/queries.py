@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from copyloom.llm import decontamination, exact_dedup, language, near_dedup, packing, token_files, url_filter
+from copyloom.llm import decontamination, exact_dedup, language, line_dedup, near_dedup
+from copyloom.llm import packing, sharding, token_files, toxicity, url_filter
 from copyloom.llm.common import held_out, share, table
 from copyloom.plans.workdir import new_path
 
@@ -141,3 +142,38 @@ def op9_language(spark: SparkSession, folder: str) -> DataFrame:
         "lang_pred",
         F.col("lang_score").alias("score"),
     )
+
+
+@query
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """A toxicity score of every document."""
+    docs = table(spark, folder, "documents")
+    model = toxicity.fit(docs, table(spark, folder, "labels"))
+    return toxicity.scored(docs, model).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted"
+    )
+
+
+#: Shards of the placement query.
+SHARDS = [f"shard-{i:03d}" for i in range(96)]
+
+
+@query
+def op1_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    """The shard of every document."""
+    docs = table(spark, folder, "documents").select("doc_id")
+    return sharding.placed(docs, "doc_id", SHARDS).select(
+        "doc_id", F.col("slot").cast("bigint").alias("slot"), "shard"
+    )
+
+
+@query
+def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents without passages of several lines that occurred before."""
+    cleaned = line_dedup.line_dedup(table(spark, folder, "documents"))
+    return cleaned.select(
+        "doc_id",
+        "n_lines",
+        "n_removed",
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"),
+    )
