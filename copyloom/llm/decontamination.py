@@ -150,10 +150,10 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, spans: bool = False) -
     doc_id are judged together.
     """
     found = contamination(docs, benchmark).where("contaminated")
-    bad = found.groupBy(F.col("doc_id").alias("_id")).agg(F.first("spans").alias("_spans"))
-    bad = stored(bad if spans else bad.select("_id"), "contaminated")
+    bad = found.groupBy(F.col("doc_id").alias("_bad_id")).agg(F.first("spans").alias("_spans"))
+    bad = stored(bad if spans else bad.select("_bad_id"), "contaminated")
     small = F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad
-    same = F.col("doc_id").eqNullSafe(F.col("_id"))
+    same = F.col("doc_id").eqNullSafe(F.col("_bad_id"))
     if not spans:
         return docs.join(small, same, "left_anti")
     pieces = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"{_ANY_WORD}|{_ANY_BETWEEN}"), F.lit(0))

@@ -100,12 +100,12 @@ def line_dedup(docs: DataFrame, least_lines: int = LEAST_LINES) -> DataFrame:
     gone = (
         found.join(known.select("hash", "body", "kept"), ["hash", "body"])
         .where(_place() != F.col("kept"))
-        .groupBy(F.col("doc_id").alias("_id"), "row")
+        .groupBy(F.col("doc_id").alias("_gone_id"), F.col("row").alias("_gone_row"))
         .agg(F.sort_array(F.collect_set("chunk")).alias("_removed"))
     )
     gone = stored(gone, "removed-chunks")
     small = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS // 5 else gone
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("row"))
+    same = F.col("doc_id").eqNullSafe(F.col("_gone_id")) & (F.xxhash64("text") == F.col("_gone_row"))
     joined = docs.join(small, same, "left")
     removed = F.coalesce("_removed", F.array().cast("array<int>"))
     all_lines, ends = lines(F.col("text")), chunk_ends(F.col("_lines"))
