@@ -332,20 +332,39 @@ def history_fill(t: Tables) -> DataFrame:
     f"""
 WITH h AS (SELECT doc_id, {sql_parts('text', ',')} AS pool FROM documents),
 e AS (SELECT doc_id, quality + 2 * toxic AS pos, quality = 1 AS is_set, 'kw ' || CAST(doc_id AS VARCHAR) AS value FROM labels),
-j AS (SELECT h.doc_id, pool, pos, is_set, value FROM h LEFT JOIN e USING (doc_id)),
-x AS (SELECT doc_id, list_transform(pool, lambda w, i: CASE WHEN i - 1 = pos AND is_set THEN value WHEN i - 1 = pos THEN NULL ELSE w END) AS p FROM j)
-SELECT doc_id, array_to_string(list_filter(p, lambda w: w IS NOT NULL), '|') AS pool FROM x"""
+one AS (SELECT h.doc_id, pos, CASE WHEN pos IS NULL OR pos >= len(pool) THEN pool
+  WHEN is_set THEN list_concat(list_concat(pool[1:pos], [value]), pool[pos + 2:])
+  ELSE list_concat(pool[1:pos], pool[pos + 2:]) END AS p FROM h LEFT JOIN e USING (doc_id)),
+two AS (SELECT doc_id, pos, CASE WHEN pos IS NULL OR len(p) = 0 THEN p ELSE p[2:] END AS p FROM one),
+three AS (SELECT doc_id, CASE WHEN pos IS NULL OR pos >= len(p) THEN p
+  ELSE list_concat(list_concat(p[1:pos], ['again']), p[pos + 2:]) END AS p FROM two)
+SELECT doc_id, array_to_string(p, '|') AS pool FROM three"""
 )
 def pool_edits(t: Tables) -> DataFrame:
-    """Comma parts of each document as its pool, labels as edits by position."""
+    """Comma parts of each document as its pool; three edits for each label.
+
+    The second edit moves the places, the third goes to the place of the first.
+    """
     pools = t.documents.select(
         F.col("doc_id").cast("string").alias("domain"), tx.comma_list(F.col("text")).alias("keywords_pool")
     )
+    pos = (F.col("quality") + 2 * F.col("toxic")).cast("int")
+    none = F.lit(None).cast("string")
+
+    def edit(number: int, pos: Column, op: Column, value: Column) -> Column:
+        return F.struct(
+            F.lit(number).alias("edit_no"), pos.alias("pos"), op.alias("op"), value.alias("value")
+        )
+
+    first = edit(
+        1,
+        pos,
+        F.when(F.col("quality") == 1, "set").otherwise("delete"),
+        F.concat(F.lit(" kw "), F.col("doc_id").cast("string"), F.lit(" ")),
+    )
+    others = (edit(2, F.lit(0), F.lit("delete"), none), edit(3, pos, F.lit("set"), F.lit(" again ")))
     edits = t.labels.select(
-        F.col("doc_id").cast("string").alias("domain"),
-        (F.col("quality") + 2 * F.col("toxic")).cast("int").alias("pos"),
-        F.when(F.col("quality") == 1, "set").otherwise("delete").alias("op"),
-        F.concat(F.lit(" kw "), F.col("doc_id").cast("string"), F.lit(" ")).alias("value"),
+        F.col("doc_id").cast("string").alias("domain"), F.inline(F.array(first, *others))
     )
     return hist.edit_pools(pools, edits).select(
         F.col("domain").cast("long").alias("doc_id"), F.array_join("keywords_pool", "|").alias("pool")

@@ -162,7 +162,7 @@ def request_bundle(t: Tables) -> DataFrame:
             ).alias("competitor_urls"),
         )
     )
-    facts = bundles.facts_by_url(page_facts(t.pages))
+    facts = bundles.facts_by_url(page_facts(t.pages), t.pages)
     return bundles.attach_facts(reqs.request_parts(requests), facts).select(
         "request_id", "role", F.col("ordinal").cast("long").alias("ordinal"), "url", "success", "error", "title"
     )
@@ -254,13 +254,20 @@ def _doc_bundle(t: Tables, *columns: str) -> DataFrame:
 
 
 def _doc_overrides(t: Tables) -> DataFrame:
+    """Two replacements for each place, of which the later one counts; some are blank."""
     role, _ = _role()
     typed = F.concat(F.lit("  typed "), F.col("doc_id").cast("string"), F.lit(" "))
+    last = F.when(F.col("quality") == 1, typed).otherwise("  ")
     return t.labels.select(
         _request_of(),
         role.alias("role"),
         F.concat(F.lit("https://d.example/"), F.col("doc_id").cast("string")).alias("url"),
-        F.when(F.col("quality") == 1, typed).otherwise("  ").alias("content"),
+        F.inline(
+            F.array(
+                F.struct(last.alias("content"), F.lit(2).cast("bigint").alias("version")),
+                F.struct(F.lit("earlier").alias("content"), F.lit(1).cast("bigint").alias("version")),
+            )
+        ),
     )
 
 

@@ -41,7 +41,7 @@ def keyword_parse(t: Tables) -> DataFrame:
 
 
 # Words of a turn as the pool, a second cut of the same turn as what is typed.
-_POOL = "string_split(substr(text, 1, 40), ' ')"
+_POOL = "string_split(text, ' ')"
 _TYPED = "replace(lower(text), ' ', ',')"
 
 
@@ -61,7 +61,7 @@ def keyword_merge(t: Tables) -> DataFrame:
     typed = F.expr(_TYPED)
     base = t.conversations.select(
         "conv_id", "turn",
-        tx.non_blank(F.split(F.substring("text", 1, 40), " ")).alias("pool"),
+        tx.non_blank(F.split("text", " ")).alias("pool"),
         typed.alias("typed"),
     )
     pool, text = F.col("pool"), F.col("typed")
@@ -241,7 +241,8 @@ def stream_reassembly(t: Tables) -> DataFrame:
     path = f"{t.folder}/conversations.parque[t]"
     chunks = t.spark.readStream.schema(t.conversations.schema).parquet(path)
     named = chunks.select(F.col("conv_id").alias("request_id"), F.col("turn").alias("seq"), "text")
-    return reassembly.run_to_table(reassembly.live_text(named), "live-text", mode="complete")
+    with reassembly.rocksdb(t.spark):
+        return reassembly.run_to_table(reassembly.live_text(named, None), "live-text", mode="update")
 
 
 @query(
@@ -249,19 +250,88 @@ def stream_reassembly(t: Tables) -> DataFrame:
 WITH once AS (SELECT conv_id, turn, min(text) AS text FROM conversations WHERE conv_id % 3 <> 2 GROUP BY ALL),
 kept AS (SELECT * FROM once WHERE conv_id % 3 <> 1 OR turn < 2),
 texts AS (SELECT conv_id, count(*) AS n, string_agg(text, '' ORDER BY turn) AS text FROM kept GROUP BY conv_id),
-ids AS (SELECT conv_id, max(turn) + 1 = count(DISTINCT turn) AS whole FROM conversations WHERE conv_id % 3 <> 2 GROUP BY conv_id)
+ids AS (SELECT conv_id, max(turn) + 1 = count(DISTINCT turn) AS whole, count(DISTINCT turn) FILTER (turn < 2) = 2 AS two
+  FROM conversations WHERE conv_id % 3 <> 2 GROUP BY conv_id)
 SELECT conv_id AS request_id, coalesce(n, 0) AS n_chunks, coalesce(text, '') AS text,
   ['done', 'error'][1 + conv_id % 3] AS status,
   CASE WHEN conv_id % 3 = 1 THEN 'broken off' END AS message
-FROM ids LEFT JOIN texts USING (conv_id) WHERE conv_id % 3 = 1 OR whole"""
+FROM ids LEFT JOIN texts USING (conv_id) WHERE CASE conv_id % 3 WHEN 1 THEN two ELSE whole END"""
 )
 def stream_generations(t: Tables) -> DataFrame:
-    """Finished generations of a stream of relay events; those without an end stay in state."""
+    """Finished generations of a stream of relay events, in several batches and out of order.
+
+    Those without an end, or with a gap before it, stay in state.
+    """
     events = _relay_events(t)
-    stream = t.spark.readStream.schema(events.schema).parquet(write_new(events, "relay-events"))
-    reassembly.use_rocksdb(t.spark)
-    done = reassembly.assemble(stream, timeout_ms=None, closed_ttl_ms=None)
-    return reassembly.run_to_table(done, "generations")
+    dealt = events.repartition(4, F.xxhash64("request_id", "seq", "type"))
+    stream = (
+        t.spark.readStream.schema(events.schema)
+        .option("maxFilesPerTrigger", 1)
+        .parquet(write_new(dealt, "relay-events"))
+    )
+    with reassembly.rocksdb(t.spark):
+        done = reassembly.assemble(stream, timeout_ms=None, closed_ttl_ms=None)
+        return reassembly.run_to_table(done, "generations")
+
+
+_CUTS = 7
+
+
+@query(
+    """
+WITH x AS (SELECT conv_id, turn, unnest(string_split(text || chr(10) || 'end', chr(10))) AS line,
+  generate_subscripts(string_split(text || chr(10) || 'end', chr(10)), 1) AS n FROM
+  (SELECT conv_id, turn, any_value(text) AS text FROM conversations WHERE text IS NOT NULL GROUP BY ALL))
+SELECT conv_id * 1000 + turn AS request_id, n - 1 AS seq, line FROM x"""
+)
+def stream_lines(t: Tables) -> DataFrame:
+    """Each turn cut into fragments that arrive out of order over several batches, framed into lines."""
+    once = t.conversations.where("text is not null").groupBy("conv_id", "turn").agg(F.any_value("text").alias("text"))
+    whole = F.concat("text", F.lit("\nend"))
+    size = F.greatest(F.lit(1), F.ceil(F.length(whole) / _CUTS)).cast("int")
+    cut = once.select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"),
+        whole.alias("whole"),
+        size.alias("size"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_CUTS - 1).cast("long"))).alias("seq"),
+    )
+    fragments = cut.select(
+        "request_id",
+        "seq",
+        F.substring("whole", (F.col("seq") * F.col("size") + 1).cast("int"), F.col("size")).alias("fragment"),
+        (F.col("seq") == _CUTS - 1).alias("last"),
+    )
+    dealt = fragments.repartition(3, F.xxhash64("request_id", "seq"))
+    stream = (
+        t.spark.readStream.schema(fragments.schema)
+        .option("maxFilesPerTrigger", 1)
+        .parquet(write_new(dealt, "fragments"))
+    )
+    with reassembly.rocksdb(t.spark):
+        return reassembly.run_to_table(reassembly.frame_lines(stream, None), "lines")
+
+
+@query(
+    """
+WITH first AS (SELECT user_id, min(ts) AS begun, count(DISTINCT event_id) AS n FROM events GROUP BY user_id),
+last AS (SELECT max(ts) AS now FROM events)
+SELECT user_id AS request_id, n AS n_chunks,
+  CASE WHEN epoch_ms(now) - epoch_ms(begun) >= 86400000 THEN 'timeout' ELSE 'open' END AS status
+FROM first, last"""
+)
+def generations_timed_out(t: Tables) -> DataFrame:
+    """Events of users as chunks that never end, closed by the clock of the last event."""
+    last = t.events.agg(F.max("ts")).first()[0]
+    events = t.events.select(
+        F.col("user_id").alias("request_id"),
+        F.col("event_id").alias("seq"),
+        F.lit("chunk").alias("type"),
+        F.col("event_type").alias("text"),
+        F.lit(None).cast("string").alias("message"),
+        F.col("ts").alias("at"),
+    )
+    closed = generation.close_generations(events, F.lit(last), timeout_ms=86_400_000)
+    return closed.select("request_id", "n_chunks", "status")
 
 
 # -- sections -------------------------------------------------------------------

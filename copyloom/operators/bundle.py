@@ -7,32 +7,32 @@ from pyspark.sql import functions as F
 
 from copyloom import rules
 from copyloom.operators.requests import request_parts
-from copyloom.plans.skew import hot_lookup, numbered
+from copyloom.plans.skew import numbered
 
 FACT_COLUMNS = ["title", "meta_desc", "h1", "body_text", "product_links"]
 BUNDLE_COLUMNS = ["request_id", "role", "role_no", "ordinal", "url", "success", "error", *FACT_COLUMNS]
 
 
-def facts_by_url(facts: DataFrame) -> DataFrame:
-    """One row of facts per address, that of the lowest `page_id`.
+def facts_by_url(facts: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """One row of facts per address, that of the lowest `page_id` (unique).
 
-    Aggregated before the shuffle: many copies of one page cost one row per task.
+    The winner is found by its two keys alone. Give the `pages` that the facts
+    come from, to read the keys there instead of parsing twice.
     """
-    others = [c for c in facts.columns if c != "url"]
-    return (
-        facts.groupBy("url")
-        .agg(F.min_by(F.struct(*others), "page_id").alias("_f"))
-        .select("url", "_f.*")
+    keys = (facts if pages is None else pages).select(F.col("url").alias("_url"), F.col("page_id").alias("_id"))
+    first = keys.groupBy("_url").agg(F.min("_id").alias("_id"))
+    return facts.join(
+        first, F.col("url").eqNullSafe(F.col("_url")) & (F.col("page_id") == F.col("_id")), "left_semi"
     )
 
 
-def attach_facts(parts: DataFrame, facts: DataFrame, **skew) -> DataFrame:
+def attach_facts(parts: DataFrame, facts: DataFrame) -> DataFrame:
     """Left join on the address; a page outside the snapshot becomes a failure row.
 
-    `facts` must be unique on `url`. A popular address is spread over tasks.
+    `facts` must be unique on `url`. Adaptive execution splits a popular address.
     """
     wanted = facts.select("url", F.col("success").alias("_ok"), "error", *FACT_COLUMNS)
-    joined = hot_lookup(parts, wanted, "url", **skew)
+    joined = parts.join(wanted, "url", "left")
     return joined.select(
         "request_id",
         "role",
@@ -69,15 +69,15 @@ def product_parts(bundle: DataFrame, requests: DataFrame, limit: int = rules.MAX
 
 
 def request_bundle(
-    requests: DataFrame, facts: DataFrame, limit: int = rules.MAX_PRODUCTS, **skew
+    requests: DataFrame, facts: DataFrame, limit: int = rules.MAX_PRODUCTS
 ) -> DataFrame:
     """Everything a request asks for, long: brand, collection, products, competitors.
 
     `facts` should be a stored table: it is read once for the named pages and
     once for the products.
     """
-    named = attach_facts(request_parts(requests), facts, **skew)
-    products = attach_facts(product_parts(named, requests, limit), facts, **skew)
+    named = attach_facts(request_parts(requests), facts)
+    products = attach_facts(product_parts(named, requests, limit), facts)
     return named.unionByName(products)
 
 

@@ -8,36 +8,53 @@ from pyspark.sql import functions as F
 from copyloom import rules
 from copyloom.functions import text as tx
 
-# Position of a section: role first, then place. Wide enough for any list in a row.
-_ROLE_STEP = 10_000_000
-
 
 def with_overrides(bundle: DataFrame, overrides: DataFrame) -> DataFrame:
     """Adds `override`, the replacement for a page that could not be read.
 
     Brand and collection replacements go by role, the others by role and
-    address. A replacement for a brand that the request never named is kept as
-    a row of its own; whether it counts is decided in `context`.
+    address; of several for one place the one with the highest `version`
+    counts, and a blank one takes the replacement back. A replacement for a
+    brand that the request never named is kept as a row of its own; whether it
+    counts is decided in `context`. The replacements of a request, as many as
+    it has places, travel in one map, so pages are shuffled by request only.
     """
     by_role = F.col("role").isin("brand", "collection")
     slot = F.when(by_role, F.lit("")).otherwise(F.coalesce("url", F.lit("")))
     typed = (
-        overrides.select("request_id", "role", slot.alias("_slot"), tx.override_text(F.col("content")).alias("override"))
-        .where(F.col("override").isNotNull())
+        overrides.select("request_id", "role", slot.alias("_slot"), "version", tx.override_text(F.col("content")).alias("_text"))
+        .groupBy("request_id", "role", "_slot")
+        .agg(F.max_by(F.struct("_text"), "version")["_text"].alias("_text"))
+        .where(F.col("_text").isNotNull())
+    )
+    place = F.struct("role", "_slot")
+    by_request = typed.groupBy("request_id").agg(
+        F.map_from_entries(F.collect_list(F.struct(place.alias("key"), F.col("_text").alias("value")))).alias("_typed")
+    )
+    pages = (
+        bundle.withColumn("_slot", slot)
+        .join(by_request, "request_id", "left")
+        .withColumn("override", F.try_element_at("_typed", place))
+        .withColumn("from_page", F.lit(True))
     )
-    pages = bundle.withColumn("_slot", slot).withColumn("from_page", F.lit(True))
-    joined = pages.join(typed, ["request_id", "role", "_slot"], "full")
-    from_page = F.coalesce("from_page", F.lit(False))
-    return joined.where(from_page | by_role).select(
-        "request_id",
-        "role",
-        F.coalesce("role_no", F.when(F.col("role") == "brand", 1).otherwise(2)).alias("role_no"),
-        F.coalesce("ordinal", F.lit(1)).alias("ordinal"),
-        *[c for c in bundle.columns if c not in ("request_id", "role", "role_no", "ordinal", "success")],
-        F.coalesce("success", F.lit(False)).alias("success"),
-        from_page.alias("from_page"),
-        "override",
+    named = bundle.where(by_role).select("request_id", "role")
+    alone = typed.where(by_role).join(named, ["request_id", "role"], "left_anti")
+    kinds = {f.name: f.dataType for f in bundle.schema}
+    made = {
+        "role_no": F.when(F.col("role") == "brand", 1).otherwise(2),
+        "ordinal": F.lit(1),
+        "success": F.lit(False),
+    }
+    added = alone.select(
+        *[
+            F.col(c) if c in ("request_id", "role") else made.get(c, F.lit(None)).cast(kinds[c]).alias(c)
+            for c in bundle.columns
+        ],
+        F.col("_text").alias("override"),
+        F.lit(False).alias("from_page"),
     )
+    both = pages.select(*bundle.columns, "override", "from_page").unionByName(added)
+    return both.withColumn("success", F.coalesce("success", F.lit(False)))
 
 
 def backfilled(bundle: DataFrame, overrides: DataFrame) -> DataFrame:
@@ -119,12 +136,11 @@ def context(requests: DataFrame, bundle: DataFrame, overrides: DataFrame) -> Dat
     """
     rows = with_overrides(bundle, overrides).drop("error", "product_links")
     wanted = requests.select("request_id", "website_url", "collection_url", "product_links")
-    place = F.col("role_no") * F.lit(_ROLE_STEP) + F.col("ordinal")
     placed = wanted.join(rows, "request_id", "left").select(
-        "request_id", "product_links", "from_page", place.alias("_place"), section().alias("section")
+        "request_id", "product_links", "from_page", "role_no", "ordinal", section().alias("section")
     )
     texts = placed.groupBy("request_id").agg(
-        F.expr("listagg(section, '') WITHIN GROUP (ORDER BY _place)").alias("_text"),
+        F.expr("listagg(section, '') WITHIN GROUP (ORDER BY role_no, ordinal)").alias("_text"),
         F.bool_or("from_page").alias("_scraped"),
         F.any_value("product_links").alias("_links"),
     )

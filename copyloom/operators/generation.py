@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from copyloom import rules
 from copyloom.functions.answers import chunk_text, relay_event, relay_line
 from copyloom.plans.skew import concat_in_order, salted_lookup
 
@@ -34,10 +35,11 @@ def encode_relay(events: DataFrame) -> DataFrame:
 def join_fragments(fragments: DataFrame) -> DataFrame:
     """Raw arrivals → lines: `request_id, seq, fragment` → `request_id, seq, line`.
 
-    The last, unfinished line is kept.
+    The last, unfinished line is kept, if there is anything in it.
     """
     whole = concat_in_order(fragments, ["request_id"], "seq", "fragment")
-    lines = F.split("fragment", "\n")
+    parts = F.split("fragment", "\n")
+    lines = F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
     return whole.select("request_id", F.posexplode(lines).alias("_pos", "line")).select(
         "request_id", F.col("_pos").cast("long").alias("seq"), "line"
     )
@@ -51,26 +53,39 @@ def reassemble(chunks: DataFrame) -> DataFrame:
     )
 
 
-def close_generations(events: DataFrame) -> DataFrame:
+def close_generations(events: DataFrame, now: Column | None = None, timeout_ms: int = rules.GENERATION_TIMEOUT_MS) -> DataFrame:
     """Relay events → text, status and message per request.
 
-    An error wins over an end mark; a generation with neither is still open.
-    Chunks behind the first end or error are ignored.
+    The end mark or error with the lowest `seq` ends a generation, at equal
+    `seq` the error; chunks behind it are ignored. A generation with neither is
+    still open, or timed out if `now` is given and the first of its events (by
+    their column `at`, a timestamp) is `timeout_ms` or more before it.
     """
+    rank = F.struct("seq", (F.col("type") != "error").alias("_rank"), "type", "message")
     ends = events.where(F.col("type").isin("done", "error")).groupBy("request_id").agg(
-        F.min("seq").alias("_end"),
-        F.min_by("type", "seq").alias("_type"),
-        F.min_by("message", "seq").alias("message"),
-    )
+        F.min(rank).alias("_e")
+    ).select("request_id", F.col("_e.seq").alias("_end"), F.col("_e.type").alias("_type"), F.col("_e.message").alias("message"))
     chunks = events.where(F.col("type") == "chunk").select("request_id", "seq", "text")
     kept = salted_lookup(
         chunks, ends.select("request_id", "_end"), "request_id", spread_by=["seq"]
     ).where(F.col("_end").isNull() | (F.col("seq") < F.col("_end")))
     texts = reassemble(kept)
-    return texts.join(ends, "request_id", "full").select(
+    closed = texts.join(ends, "request_id", "full").select(
         "request_id",
         F.coalesce("n_chunks", F.lit(0)).cast("long").alias("n_chunks"),
         F.coalesce("text", F.lit("")).alias("text"),
         F.coalesce("_type", F.lit("open")).alias("status"),
         "message",
     )
+    if now is None:
+        return closed
+    begun = events.groupBy("request_id").agg(F.min("at").alias("_begun"))
+    millis = lambda t: F.unix_millis(t.cast("timestamp"))
+    late = millis(now) - millis(F.col("_begun")) >= timeout_ms
+    return closed.join(begun, "request_id").select(
+        "request_id",
+        "n_chunks",
+        "text",
+        F.when((F.col("status") == "open") & late, "timeout").otherwise(F.col("status")).alias("status"),
+        "message",
+    )

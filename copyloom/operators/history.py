@@ -10,7 +10,7 @@ from copyloom import schemas
 from copyloom.functions import keywords as kw
 from copyloom.functions import text as tx
 from copyloom.functions import urls
-from copyloom.plans.skew import hot_lookup, numbered
+from copyloom.plans.skew import numbered
 
 FILLED = ("brand_name", "target_market", "competitor_urls", "brand_info")
 
@@ -39,15 +39,13 @@ def record_of(forms: DataFrame, saved_at: str = "saved_at") -> DataFrame:
 def latest_records(records: DataFrame, key: str = "domain", version: str = "version") -> DataFrame:
     """Last record per key.
 
-    An aggregation, not a window: many versions of one key are reduced before
-    the shuffle. `version` must be unique per key.
+    The winner is found by its key and version alone, which hash aggregation
+    holds and reduces before the shuffle; whole records are joined once.
+    `version` must be unique per key.
     """
-    others = [c for c in records.columns if c != key]
-    return (
-        records.groupBy(key)
-        .agg(F.max_by(F.struct(*others), version).alias("_r"))
-        .select(key, "_r.*")
-    )
+    last = records.groupBy(F.col(key).alias("_key")).agg(F.max(version).alias("_last"))
+    same = F.col(key).eqNullSafe(F.col("_key")) & F.col(version).eqNullSafe(F.col("_last"))
+    return records.join(last, same, "left_semi")
 
 
 def upsert(history: DataFrame, records: DataFrame) -> DataFrame:
@@ -57,30 +55,28 @@ def upsert(history: DataFrame, records: DataFrame) -> DataFrame:
     runs from the newest domain to the oldest: order by it, descending.
     """
     both = history.unionByName(records.withColumn("first_saved", F.col("version")))
-    others = [c for c in both.columns if c not in ("domain", "first_saved")]
-    return (
-        both.groupBy("domain")
-        .agg(
-            F.max_by(F.struct(*others), "version").alias("_r"),
-            F.min("first_saved").alias("first_saved"),
-        )
-        .select("domain", "_r.*", "first_saved")
+    last = both.groupBy(F.col("domain").alias("_key")).agg(
+        F.max("version").alias("_last"), F.min("first_saved").alias("_first")
     )
+    same = F.col("domain").eqNullSafe(F.col("_key")) & (F.col("version") == F.col("_last"))
+    others = [c for c in both.columns if c not in ("domain", "first_saved")]
+    return both.join(last, same).select("domain", *others, F.col("_first").alias("first_saved"))
 
 
-def fill_from_history(requests: DataFrame, history: DataFrame, **skew) -> DataFrame:
+def fill_from_history(requests: DataFrame, history: DataFrame) -> DataFrame:
     """Form fields with stored values where those are not empty, and the stored pool.
 
     Address, topic and keywords of the collection are never replaced; the pool
     always is, and is empty where the domain has no record. `requests` holds
-    `domain` and competitor addresses as newline text, as the form does.
+    `domain` and competitor addresses as newline text, as the form does. A
+    domain with very many requests is split by adaptive execution.
     """
     stored = history.select(
         "domain",
         *[F.col(c).alias(f"_{c}") for c in FILLED],
         kw.pool(F.col("keywords_pool")).alias("_pool"),
     )
-    joined = hot_lookup(requests, stored, "domain", **skew)
+    joined = requests.join(stored, "domain", "left")
     kept = [c for c in requests.columns if c not in FILLED and c != "keywords_pool"]
     return joined.select(
         *kept,
@@ -91,32 +87,36 @@ def fill_from_history(requests: DataFrame, history: DataFrame, **skew) -> DataFr
 
 
 def edit_pools(history: DataFrame, edits: DataFrame) -> DataFrame:
-    """Pools after a batch of edits by position.
+    """Pools after a batch of edits, applied one after the other.
 
-    `edits`: `domain, pos, op ('set' or 'delete'), value`, 0-based positions in
-    the stored pool, at most one edit per position; positions outside the pool
-    do nothing. So a domain has at most as many edits as its pool has words.
+    `edits`: `domain, edit_no, pos, op ('set' or 'delete'), value`. Edits of a
+    domain run by ascending `edit_no`; `pos` is the 0-based place in the pool
+    as the edits before have left it, so places move up behind a deleted word.
+    Places outside the pool, and edits without a place, do nothing. The edits
+    of a domain meet in one row, as its pool does.
     """
-    entry = F.struct(F.col("pos").alias("key"), F.struct("op", "value").alias("value"))
-    size = history.select("domain", kw.pool_size(F.col("keywords_pool")).alias("_size"))
-    usable = edits.join(size, "domain").where((F.col("pos") >= 0) & (F.col("pos") < F.col("_size")))
-    by_domain = usable.groupBy("domain").agg(
-        F.map_from_entries(F.collect_list(entry)).alias("_edits")
+    entry = F.struct("edit_no", "pos", "op", "value")
+    by_domain = (
+        edits.where((F.col("pos") >= 0) & F.col("op").isin("set", "delete"))
+        .join(history.select("domain"), "domain", "left_semi")
+        .groupBy("domain")
+        .agg(F.array_sort(F.collect_list(entry)).alias("_edits"))
     )
     joined = history.join(by_domain, "domain", "left")
+    pool = kw.pool(F.col("keywords_pool"))
 
-    def edited(word: Column, i: Column) -> Column:
-        edit = F.try_element_at(F.col("_edits"), i)
-        return (
-            F.when(edit.op == "delete", F.lit(None))
-            .when(edit.op == "set", tx.strip(edit.value))
-            .otherwise(word)
+    def applied(words: Column, edit: Column) -> Column:
+        before = F.slice(words, 1, edit["pos"])
+        after = F.slice(words, edit["pos"] + 2, F.size(words))
+        typed = F.array(tx.strip(F.coalesce(edit["value"], F.lit(""))))
+        changed = F.when(edit["op"] == "delete", F.concat(before, after)).otherwise(
+            F.concat(before, typed, after)
         )
+        return F.when(edit["pos"] < F.size(words), changed).otherwise(words)
 
-    pool = kw.pool(F.col("keywords_pool"))
-    changed = F.filter(F.transform(pool, edited), lambda w: w.isNotNull())
+    none = F.array().cast(edits.select(F.array(entry).alias("e")).schema["e"].dataType)
     return joined.withColumn(
-        "keywords_pool", F.when(F.col("_edits").isNull(), pool).otherwise(changed)
+        "keywords_pool", F.aggregate(F.coalesce("_edits", none), pool, applied)
     ).select(*history.columns)
 
 
@@ -125,8 +125,11 @@ def delete_records(history: DataFrame, domains: DataFrame) -> DataFrame:
 
 
 def delete_positions(history: DataFrame, positions: DataFrame) -> DataFrame:
-    """History without the records at the given 0-based places of the list (`pos`), newest first."""
-    newest = history.withColumn("_newest", -F.col("first_saved"))
+    """History without the records at the given 0-based places of the list (`pos`), newest first.
+
+    Only domains and their order are numbered; the records are joined by domain.
+    """
+    newest = history.select("domain", (-F.col("first_saved")).alias("_newest"))
     placed = numbered(newest, [], ["_newest", "domain"], "_place")
-    gone = positions.select((F.col("pos") + 1).alias("_place"))
-    return placed.join(gone, "_place", "left_anti").select(*history.columns)
+    gone = placed.join(positions.select((F.col("pos") + 1).alias("_place")), "_place", "left_semi")
+    return history.join(gone.select("domain"), "domain", "left_anti")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from copyloom import rules
 from copyloom.functions import urls
 from copyloom.operators.pages import read_pages
-from copyloom.plans.skew import hot_lookup, numbered
+from copyloom.plans.skew import numbered
 
 
 def _bit(platform: Column) -> Column:
@@ -96,6 +96,6 @@ def overall_sequence(links: DataFrame, place: list[str]) -> DataFrame:
     return numbered(distinct_overall(links, place), [], [*place, "link"]).select("seq", "link")
 
 
-def not_yet_known(links: DataFrame, known: DataFrame, **skew) -> DataFrame:
-    """Links that are not among the known ones; a link found very often is spread over tasks."""
-    return hot_lookup(links, known.select("link"), "link", "left_anti", **skew)
+def not_yet_known(links: DataFrame, known: DataFrame) -> DataFrame:
+    """Links that are not among the known ones; adaptive execution splits a link found very often."""
+    return links.join(known.select("link"), "link", "left_anti")

@@ -363,6 +363,9 @@ def _read_page(
     return row
 
 
+# Pages that a worker holds as Python objects at a time, whatever the Arrow batch.
+ROWS_AT_ONCE = 64
+
 # Arrow types of what the job adds.
 MADE = {
     "success": pa.bool_(),
@@ -423,7 +426,8 @@ def read_pages(
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         failed = {"success": False, "anchors": [], "found": 0, "bad_links": 0}
-        for batch in batches:
+        slices = (b.slice(at, ROWS_AT_ONCE) for b in batches for at in range(0, b.num_rows, ROWS_AT_ONCE))
+        for batch in slices:
             out = []
             for address, source in zip(batch[base].to_pylist(), batch[html].to_pylist()):
                 if source is None:

@@ -10,8 +10,8 @@ from copyloom import rules
 from copyloom.functions import urls
 from copyloom.operators.links import links_of
 from copyloom.operators.pages import read_pages
-from copyloom.plans.skew import numbered, salted_lookup
-from copyloom.plans.workdir import work_dir
+from copyloom.plans.skew import numbered
+from copyloom.plans.workdir import new_path
 
 
 def frontier(collections: DataFrame, max_pages: int = rules.MAX_LISTING_PAGES) -> DataFrame:
@@ -30,34 +30,39 @@ def listing_links(
 ) -> DataFrame:
     """Listing snapshot → `collection_url, page_no, empty, has_next, links`.
 
-    The platform is that of the collection's page 1. Pages are parsed before
-    it is joined, with the scopes of all platforms, so html is never shuffled.
+    The platform is that of the collection's page 1. It is told beside the
+    parse, which is stored with the anchors and the scopes of all platforms, so
+    html is read once and never shuffled.
     """
     wanted = listing.where(F.col("page_no").between(1, max_pages))
-    platforms = wanted.where(F.col("page_no") == 1).groupBy("collection_url").agg(
-        F.min(urls.detect_platform(F.col("collection_url"), F.coalesce("html", F.lit("")))).alias(
-            "platform"
-        )
+    platform = F.when(
+        F.col("page_no") == 1, urls.detect_platform(F.col("collection_url"), F.coalesce("html", F.lit("")))
     )
-    read = read_pages(
+    parsed = read_pages(
         wanted.select(
             "collection_url",
             "page_no",
             (F.coalesce("html", F.lit("")) == "").alias("empty"),
             "has_next",
+            platform.alias("platform"),
             "html",
         ),
         facts=False,
         base="collection_url",
-    ).select("collection_url", "page_no", "empty", "has_next", "anchors")
-    joined = salted_lookup(read, platforms, "collection_url", spread_by=["page_no"])
-    platform = F.coalesce("platform", F.lit("unknown"))
+    ).select("collection_url", "page_no", "empty", "has_next", "platform", "anchors")
+    path = new_path(listing.sparkSession, "listing")
+    parsed.write.parquet(path)
+    read = listing.sparkSession.read.schema(parsed.schema).parquet(path)
+    platforms = read.where("platform is not null").groupBy("collection_url").agg(
+        F.min("platform").alias("_platform")
+    )
+    joined = read.drop("platform").join(platforms, "collection_url", "left")
     return joined.select(
         "collection_url",
         "page_no",
         "empty",
         "has_next",
-        links_of(F.col("anchors"), platform, strict).alias("links"),
+        links_of(F.col("anchors"), F.coalesce("_platform", F.lit("unknown")), strict).alias("links"),
     )
 
 
@@ -153,7 +158,7 @@ def paged_links(
     within = F.col("page_no").between(1, max_pages)
     first = first_seen(links.where(within))
     stops = stop_page(pages.where(within), new_per_page(first), max_pages, clicked)
-    kept = salted_lookup(first, stops.select("collection_url", "stop_page"), "collection_url", "inner")
+    kept = first.join(stops.select("collection_url", "stop_page"), "collection_url")
     return kept.where(F.col("page_no") < F.col("stop_page")).drop("stop_page"), stops
 
 
@@ -189,10 +194,9 @@ def crawl(
 ) -> tuple[DataFrame, DataFrame]:
     """Listing snapshot → links per collection and stop table.
 
-    The links of each page are checkpointed, so html is parsed once only.
+    The parse of each page is stored, so html is read once only.
     """
-    work_dir(listing.sparkSession)
-    per_page = listing_links(listing, max_pages, strict).checkpoint()
+    per_page = listing_links(listing, max_pages, strict)
     long = per_page.select(
         "collection_url", "page_no", F.posexplode("links").alias("_pos", "link")
     ).select("collection_url", "page_no", (F.col("_pos") + 1).alias("ordinal"), "link")

@@ -40,7 +40,7 @@ def write_new(df: DataFrame, name: str) -> str:
 
 def gather(requests: DataFrame, pages: DataFrame) -> Gathered:
     """Requests and a page snapshot → bundles, status per role, pages to replace by hand."""
-    facts = stored(bundles.facts_by_url(page_facts(pages)), "facts")
+    facts = stored(bundles.facts_by_url(page_facts(pages), pages), "facts")
     bundle = stored(bundles.request_bundle(requests, facts), "bundle")
     return Gathered(bundle, bundles.fetch_status(bundle), bundles.failed_queue(bundle))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from copyloom.plans.workdir import work_dir
+from copyloom.plans.workdir import new_path
 
 
 def numbered(df: DataFrame, group: list[str], order: list[str], name: str = "seq") -> DataFrame:
@@ -15,18 +15,20 @@ def numbered(df: DataFrame, group: list[str], order: list[str], name: str = "seq
     A window would sort a whole group in one task. Here the rows are range
     partitioned by group and order, so a hot group is cut into many sorted
     pieces; each piece then only needs to know how many rows of its group come
-    before it. `order` should be unique in a group. The sorted rows are
-    checkpointed, since the pieces must not move between the two reads.
+    before it. `order` should be unique in a group. The sorted rows are stored,
+    since the pieces must not move between the two reads; pass narrow rows and
+    join wide ones afterwards.
     """
-    work_dir(df.sparkSession)
     keys = [*group, *order]
-    placed = (
+    path = new_path(df.sparkSession, "numbered")
+    (
         df.repartitionByRange(*keys)
         .sortWithinPartitions(*keys)
         .withColumn("_piece", F.spark_partition_id())
         .withColumn("_at", F.monotonically_increasing_id())
-        .checkpoint()
+        .write.parquet(path)
     )
+    placed = df.sparkSession.read.parquet(path)
     pieces = placed.groupBy(*group, "_piece").agg(
         F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_rows")
     )
@@ -73,18 +75,6 @@ def concat_in_order(
     )
 
 
-def hot_keys(df: DataFrame, key: str, at_least: int, limit: int) -> DataFrame:
-    """The most frequent keys: never more than `limit` rows."""
-    return (
-        df.groupBy(key)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") >= at_least)
-        .orderBy(F.desc("_n"), key)
-        .limit(limit)
-        .select(F.col(key).alias("_hot"))
-    )
-
-
 def _salt(columns: list[str], salts: int) -> Column:
     # From the values, not random: a repeated task must place its rows as before.
     return F.pmod(F.xxhash64(*columns), F.lit(salts)).cast("int")
@@ -107,37 +97,3 @@ def salted_lookup(
     copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt")
     right = lookup.select("*", copies)
     return left.join(right, [key, "_salt"], how).drop("_salt")
-
-
-def hot_lookup(
-    big: DataFrame,
-    lookup: DataFrame,
-    key: str,
-    how: str = "left",
-    salts: int = 32,
-    at_least: int = 100_000,
-    limit: int = 64,
-) -> DataFrame:
-    """Equi-join with a lookup that is unique on `key`; only hot keys are spread.
-
-    The hot keys of `big` (at most `limit`, hence the broadcast) get `salts`
-    copies of their lookup row; all others keep one. `big` is read twice, the
-    first time for its key column only.
-    """
-    hot = F.broadcast(hot_keys(big.select(key), key, at_least, limit))
-    left = big.join(hot, F.col(key) == F.col("_hot"), "left").withColumn(
-        "_salt", F.when(F.col("_hot").isNotNull(), _salt(big.columns, salts)).otherwise(0)
-    )
-    right = (
-        lookup.join(hot, F.col(key) == F.col("_hot"), "left")
-        .withColumn(
-            "_salt",
-            F.explode(
-                F.sequence(
-                    F.lit(0), F.when(F.col("_hot").isNotNull(), salts - 1).otherwise(0)
-                )
-            ),
-        )
-        .drop("_hot")
-    )
-    return left.drop("_hot").join(right, [key, "_salt"], how).drop("_salt")

@@ -31,7 +31,7 @@ REQUESTS = struct(
     product_links=STRINGS, brand_info=STRING, output_language=STRING, skip_products=BOOLEAN,
 )
 
-OVERRIDES = struct(request_id=LONG, role=STRING, url=STRING, content=STRING)
+OVERRIDES = struct(request_id=LONG, role=STRING, url=STRING, content=STRING, version=LONG)
 
 HISTORY_RECORD = struct(
     domain=STRING, brand_name=STRING, website_url=STRING, target_market=STRING,

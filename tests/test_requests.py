@@ -106,7 +106,7 @@ def test_bundle_status_and_queue(spark):
     )
     links = [f"https://p/{i}" for i in range(40)]
     page_facts = facts(spark, ("https://w", False, "w", []), ("https://c", True, "c", links), ("https://x2", True, "x", []), ("https://p/0", True, "p0", []))
-    bundle = bundles.request_bundle(df, page_facts, limit=3, at_least=1, salts=4)
+    bundle = bundles.request_bundle(df, page_facts, limit=3)
     rows = {(r.request_id, r.role, r.ordinal): r for r in bundle.collect()}
     assert len(rows) == 2 + 2 + 3 + 2
     assert rows[1, "product", 1].title == "p0" and rows[1, "product", 1].success
@@ -145,10 +145,15 @@ def test_backfill(spark):
         (1, "product", 3, "p3", True), (1, "competitor", 1, "x", False), (2, "brand", 1, "w", False), (2, "collection", 1, "c", False),
     )
     overrides = spark.createDataFrame(
-        [(1, "brand", "w", "typed"), (1, "competitor", "x", "  "), (2, "brand", "other", " typed "), (2, "product", "q", "never asked")],
+        [
+            (1, "brand", "w", "typed", 1), (1, "competitor", "x", "taken back", 1), (1, "competitor", "x", "  ", 2),
+            (2, "brand", "first", "first", 1), (2, "brand", "other", " typed ", 2), (2, "product", "q", "never asked", 1),
+        ],
         schemas.OVERRIDES,
     )
     got = sorted((r.request_id, r.role, r.ordinal, r.source) for r in contexts.backfilled(bundle, overrides).collect())
+    typed = contexts.backfilled(bundle, overrides).where("source = 'override'").collect()
+    assert [r.override for r in typed] == ["typed"]
     assert got == [(1, "brand", 1, "facts"), (1, "product", 1, "facts"), (1, "product", 3, "facts"), (2, "brand", 1, "override")]
 
 
@@ -158,7 +163,10 @@ def test_context_text(spark):
         (1, "competitor", 1, "x1", False), (1, "competitor", 2, "x2", False),
     )
     overrides = spark.createDataFrame(
-        [(1, "brand", None, "about us"), (1, "competitor", "x2", "seen"), (2, "brand", None, "ignored"), (2, "collection", None, "ignored")],
+        [
+            (1, "brand", None, "about us", 2), (1, "brand", None, "before", 1), (1, "competitor", "x2", "seen", 1),
+            (2, "brand", None, "ignored", 1), (2, "collection", None, "ignored", 1),
+        ],
         schemas.OVERRIDES,
     )
     requests = spark.createDataFrame([request(1, product_links=["l1", "l2"]), request(2), request(3, product_links=["l"])], schemas.REQUESTS)

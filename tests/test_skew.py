@@ -62,13 +62,3 @@ def lookup_case(spark, join):
 
 def test_salted_lookup(spark):
     lookup_case(spark, lambda b, s, how: skew.salted_lookup(b, s, "k", how))
-
-
-def test_hot_lookup(spark):
-    lookup_case(spark, lambda b, s, how: skew.hot_lookup(b, s, "k", how, at_least=100, limit=3))
-
-
-def test_hot_keys_are_bounded(spark):
-    df = spark.range(1000).select((F.col("id") % 50).alias("k"))
-    assert skew.hot_keys(df, "k", 1, 8).count() == 8
-    assert skew.hot_keys(df, "k", 21, 8).count() == 0
