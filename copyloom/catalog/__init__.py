@@ -61,4 +61,4 @@ def sql_domain(x: str) -> str:
     return rf"lower(regexp_extract({full}, '^https?://(?:[^/?#]*@)?([^/:?#\s]+)(?:[/:?#]|$)', 1))"
 
 
-from copyloom.catalog import copies, links, requests, texts  # noqa: E402,F401
+from copyloom.catalog import copies, links, requests, texts, whole  # noqa: E402,F401

@@ -32,11 +32,11 @@ def quality_words(t: Tables) -> DataFrame:
 
 
 @query(
-    """
+    r"""
 WITH b AS (SELECT doc_id, lower(replace(text, ' the ', ' **the** ')) AS t FROM documents),
 k AS (SELECT unnest(['the', 'of', 'THan']) AS keyword)
 SELECT doc_id, keyword,
-  CAST((length(t) - length(replace(t, lower(keyword), ''))) / length(keyword) AS BIGINT) AS uses,
+  len(list_filter(regexp_split_to_array(t, '[^\p{L}\p{N}\p{M}_]+'), lambda w: w = lower(keyword))) AS uses,
   CAST((length(t) - length(replace(t, '**' || lower(keyword) || '**', ''))) / (length(keyword) + 4) AS BIGINT) AS bold
 FROM b, k"""
 )
@@ -44,7 +44,7 @@ def quality_bold(t: Tables) -> DataFrame:
     text = F.replace("text", F.lit(" the "), F.lit(" **the** "))
     words = F.array(F.lit("the"), F.lit("of"), F.lit("THan"))
     both = F.arrays_zip(
-        quality.occurrences_of_each(text, words).alias("u"),
+        quality.word_uses_of_each(text, words).alias("u"),
         quality.occurrences_of_each(text, words, "**").alias("b"),
     )
     return t.documents.select("doc_id", F.explode(both).alias("x")).select(
@@ -230,13 +230,25 @@ def quality_unverified(t: Tables) -> DataFrame:
     )
 
 
+# The longest words of a whole text as its keywords, as many as its id says.
+_LONGEST = "slice(reverse(array_sort(transform(array_distinct(filter(split(lower(text), '[^a-z]+'), w -> w <> '')), w -> struct(length(w) AS n, w AS w)))), 1, cast(doc_id % 12 as int))"
+_KEYWORDS = f"transform({_LONGEST}, s -> s.w)"
+_KEYWORDS_SQL = (
+    "list_transform(list_reverse_sort(list_transform(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'),"
+    " lambda w: w <> '')), lambda w: {{'n': length(w), 'w': w}}))[1:doc_id % 12], lambda s: s.w)"
+).replace("{{", "{").replace("}}", "}")
+
+
 @query(
     rf"""
-WITH k AS (SELECT doc_id, lower(text) AS t, {sql_parts("replace(substr(text, 1, 60), ' ', ',')", ",")} AS kws FROM documents),
+WITH k AS (SELECT doc_id, lower(text) AS t, {_KEYWORDS_SQL} AS kws FROM documents),
+w AS (SELECT doc_id, lower(u) AS word, count(*) AS uses FROM
+  (SELECT doc_id, unnest(regexp_split_to_array(t, '[^\p{{L}}\p{{N}}\p{{M}}_]+')) AS u FROM k) GROUP BY ALL),
 x AS (SELECT doc_id, t, kws, unnest(kws) AS kw FROM k),
 c AS (
-  SELECT doc_id, kw, CAST((length(t) - length(replace(t, lower(kw), ''))) / length(kw) AS BIGINT) AS uses,
-    CAST((length(t) - length(replace(t, '**' || lower(kw) || '**', ''))) / (length(kw) + 4) AS BIGINT) AS bold FROM x
+  SELECT x.doc_id, kw, coalesce(w.uses, 0) AS uses,
+    CAST((length(t) - length(replace(t, '**' || lower(kw) || '**', ''))) / (length(kw) + 4) AS BIGINT) AS bold
+  FROM x LEFT JOIN w ON w.doc_id = x.doc_id AND w.word = kw
 )
 SELECT 'keyword_overused' AS "check", count(*) AS n_rows, sum(uses)::BIGINT AS n FROM c WHERE uses > 3
 UNION ALL SELECT 'keyword_bold', count(*), sum(bold)::BIGINT FROM c WHERE bold NOT BETWEEN 1 AND 3
@@ -247,7 +259,7 @@ UNION ALL SELECT 'module_missing', 4 * count(*), 0 FROM documents"""
 )
 def copy_checks(t: Tables) -> DataFrame:
     """All checks in one pass over the documents, counted per check."""
-    keywords = tx.comma_list(F.replace(F.substring("text", 1, 60), F.lit(" "), F.lit(",")))
+    keywords = F.expr(_KEYWORDS)
     texts = t.documents.select(F.col("doc_id").alias("id"), "text", keywords.alias("keywords"))
     return quality.check_texts(texts).groupBy("check").agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum("n").alias("n")

@@ -80,15 +80,37 @@ def _words(low: Column, words: list[str]) -> Column:
     )
 
 
+def word_uses(low: Column, parts: Column) -> Column:
+    """`array<struct<part, n>>`: how often each part occurs in the lower-cased text, not inside longer words."""
+
+    def uses(part: Column) -> Column:
+        quoted = F.replace(F.lower(part), F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
+        edged = F.concat(F.lit(f"(?<!{LETTER})\\Q"), quoted, F.lit(f"\\E(?!{LETTER})"))
+        return F.regexp_count(low, edged).cast("long")
+
+    return F.transform(parts, lambda p: F.struct(p.alias("part"), uses(p).alias("n")))
+
+
+def word_uses_of_each(text: Column, parts: Column) -> Column:
+    return let(F.lower(text), lambda low: word_uses(low, parts))
+
+
 def word_counts(text: Column, words: list[str]) -> Column:
     """`array<struct<word, n>>` of the given words that occur as whole words; one pass."""
     return _words(F.lower(text), words)
 
 
-def headings(text: Column) -> Column:
-    """`array<struct<pos, level, title>>` of the `#` headings, by 0-based line."""
+def lines_of(text: Column) -> Column:
+    return F.split(text, "\n")
+
+
+def headings(text: Column, lines: Column | None = None) -> Column:
+    """`array<struct<pos, level, title>>` of the `#` headings, by 0-based line.
+
+    Here and below, `lines` are the lines of the text where they are at hand.
+    """
     parts = F.transform(
-        F.split(text, "\n"),
+        lines_of(text) if lines is None else lines,
         lambda line, i: F.struct(
             i.alias("pos"),
             F.length(F.regexp_extract(line, r"^(#{1,6})\s", 1)).alias("level"),
@@ -116,12 +138,13 @@ def opens_with(text: Column, phrases: list[str]) -> Column:
     return text.rlike(rf"(?i)^[\s*_]*({_any_word(phrases)})(?!{LETTER})")
 
 
-def first_paragraph(text: Column) -> Column:
+def first_paragraph(text: Column, lines: Column | None = None) -> Column:
     """First line that is neither blank nor a heading; NULL if there is none."""
-    lines = F.filter(
-        F.split(text, "\n"), lambda l: l.rlike(NOT_BLANK) & ~l.rlike(r"^#{1,6}\s")
+    plain = F.filter(
+        lines_of(text) if lines is None else lines,
+        lambda l: l.rlike(NOT_BLANK) & ~l.rlike(r"^#{1,6}\s"),
     )
-    return F.try_element_at(lines, F.lit(1))
+    return F.try_element_at(plain, F.lit(1))
 
 
 def word_count(text: Column) -> Column:
@@ -151,11 +174,10 @@ def faq_answers(text: Column, faq_title: str = rules.FAQ_HEADING) -> Column:
     return F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), answered)
 
 
-def covered_categories(text: Column) -> Column:
+def covered_categories(text: Column, lines: Column | None = None) -> Column:
     """`array<struct<category, ok>>` of the coverage table's tab separated rows."""
-    rows = F.filter(
-        F.transform(F.split(text, "\n"), lambda l: F.split(l, "\t")), lambda r: F.size(r) >= 2
-    )
+    tabbed = F.filter(lines_of(text) if lines is None else lines, lambda l: l.contains("\t"))
+    rows = F.transform(tabbed, lambda l: F.split(l, "\t"))
     known = F.array(*[F.lit(c) for c in rules.FAQ_CATEGORIES])
     named = F.filter(rows, lambda r: F.array_contains(known, strip(r[0])))
     return F.transform(
@@ -215,7 +237,11 @@ def check_texts(
     banned: dict[str, tuple[str, ...]] | None = None,
     faq_title: str = rules.FAQ_HEADING,
 ) -> DataFrame:
-    """`id, text, keywords` → one row `id, check, detail, n` per violation."""
+    """`id, text, keywords` → one row `id, check, detail, n` per violation.
+
+    With a column `whole`, the four modules, the source list and the marks of
+    doubt are looked for in it: `text` may be only the page copy of an answer.
+    """
     banned = rules.BANNED_WORDS if banned is None else banned
     words = [w for group in banned.values() for w in group]
     category = F.create_map(
@@ -225,13 +251,22 @@ def check_texts(
     kws = F.coalesce("keywords", F.array().cast("array<string>"))
     # Shared intermediate results, computed once per row.
     low = F.col("_low")
-    base = texts.select("id", "text", kws.alias("keywords"), F.lower(text).alias("_low")).select(
+    whole = F.col("whole") if "whole" in texts.columns else text
+    lines = F.col("_lines")
+    base = texts.select(
+        "id",
+        "text",
+        whole.alias("_whole"),
+        kws.alias("keywords"),
+        F.lower(text).alias("_low"),
+        lines_of(text).alias("_lines"),
+    ).select(
         "*",
-        headings(text).alias("_heads"),
+        headings(text, lines).alias("_heads"),
         _words(low, words).alias("_words"),
-        first_paragraph(text).alias("_first"),
-        covered_categories(text).alias("_table"),
-        module_places(text).alias("_modules"),
+        first_paragraph(text, lines).alias("_first"),
+        covered_categories(text, lines).alias("_table"),
+        module_places(F.col("_whole")).alias("_modules"),
         faq_answers(text, faq_title).alias("_faq"),
     )
 
@@ -242,13 +277,13 @@ def check_texts(
         "_words", lambda w: _issue("banned_word", F.concat(F.element_at(category, w.word), F.lit(": "), w.word), w.n)
     )
     openers = F.size(
-        F.filter(F.split(text, "\n"), lambda l: l.rlike(rf"(?i)^\s*{rules.BANNED_OPENER}(?!{LETTER})"))
+        F.filter(lines, lambda l: l.rlike(rf"(?i)^\s*{rules.BANNED_OPENER}(?!{LETTER})"))
     )
     q1b = _one("banned_opener", openers > 0, F.lit(rules.BANNED_OPENER), openers)
 
     usable = F.filter("keywords", lambda k: k != "")
     q2 = F.transform(
-        F.filter(_each(low, usable), lambda u: u.n > rules.MAX_KEYWORD_USES),
+        F.filter(word_uses(low, usable), lambda u: u.n > rules.MAX_KEYWORD_USES),
         lambda u: _issue("keyword_overused", u.part, u.n),
     )
     bold = _each(low, usable, "**")
@@ -277,9 +312,9 @@ def check_texts(
     q8 = F.transform(uncovered_categories(table), lambda c: _issue("faq_category", c, zero))
     q9 = module_issues(modules)
     q10 = F.transform(
-        F.filter(source_rows(text), lambda l: ~is_source_row(l)), lambda l: _issue("source_row", l, F.lit(1))
+        F.filter(source_rows(F.col("_whole")), lambda l: ~is_source_row(l)), lambda l: _issue("source_row", l, F.lit(1))
     )
-    marks = _times(low, F.lit(rules.UNVERIFIED_MARK))
+    marks = occurrences(F.col("_whole"), F.lit(rules.UNVERIFIED_MARK))
     q11 = _one("unverified", marks > 0, none, marks)
     count = F.size(usable)
     q12 = _one("keyword_count", ~count.between(rules.MIN_KEYWORDS, rules.MAX_KEYWORDS), none, count)

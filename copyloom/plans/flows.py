@@ -65,20 +65,30 @@ def payloads(
 
 
 def finished(generations: DataFrame) -> DataFrame:
-    """Generations → page copy and Chinese counterpart."""
+    """Generations → page copy and Chinese counterpart, with the whole answer."""
     return generations.where(F.col("status") == "done").select(
         "request_id",
         answers.page_section(F.col("text")).alias("page_copy"),
         answers.chinese_section(F.col("text")).alias("chinese_copy"),
+        "text",
     )
 
 
-def reviewed(sections: DataFrame, keywords: DataFrame) -> DataFrame:
-    """Copy checks over finished sections; `keywords`: `request_id, keywords` (array)."""
+def reviewed(
+    sections: DataFrame, keywords: DataFrame, faq_title: str = rules.FAQ_HEADING
+) -> DataFrame:
+    """Copy checks over finished sections; `keywords`: `request_id, keywords` (array).
+
+    Modules, sources and marks of doubt are checked in the whole answer, the
+    rest in the page copy. `faq_title` is the FAQ heading in the copy's language.
+    """
     texts = sections.join(keywords, "request_id", "left").select(
-        F.col("request_id").alias("id"), F.col("page_copy").alias("text"), "keywords"
+        F.col("request_id").alias("id"),
+        F.col("page_copy").alias("text"),
+        F.col("text").alias("whole"),
+        "keywords",
     )
-    return quality.check_texts(texts)
+    return quality.check_texts(texts, faq_title=faq_title)
 
 
 def collect_links(

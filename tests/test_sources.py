@@ -57,7 +57,7 @@ def test_whole_flows(spark):
         ("brand", "ok"), ("collection", "ok"), ("product", "fail"), ("competitor", "fail"),
     }
     assert gathered.failed.count() == 2
-    typed = spark.createDataFrame([(1, "competitor", "https://x", "seen")], schemas.OVERRIDES)
+    typed = spark.createDataFrame([(1, "competitor", "https://x", "seen", 1)], schemas.OVERRIDES)
     body = flows.payloads(requests, gathered.bundle, typed, include_context=True).first()
     assert "seen" in body.prompt and "Brand" in body.prompt and json.loads(body.body)
     assert "seen" not in flows.payloads(requests, gathered.bundle, typed).first().prompt
