@@ -55,7 +55,11 @@ def chunks(docs: DataFrame) -> DataFrame:
     body = F.array_join(F.slice("lines", F.col("at.first"), F.col("at.last") - F.col("at.first") + 1), "\n")
     return each.select(
         "row", "doc_id", "chunk", (F.col("at.last") - F.col("at.first") + 1).alias("n_lines"), body.alias("body")
-    ).withColumn("hash", F.xxhash64("body", "n_lines"))
+    ).withColumn("hash", _hash())
+
+
+def _hash() -> Column:
+    return F.xxhash64("body", "n_lines")
 
 
 def _place() -> Column:
@@ -63,10 +67,12 @@ def _place() -> Column:
 
 
 def repeated_chunks(docs: DataFrame, least_lines: int = LEAST_LINES) -> DataFrame:
-    """`hash, body, n, kept`: chunks of several lines that occur more than once, and where they stay.
+    """`hash, body, n, kept`: chunks of several lines whose hash occurs more than once, and where they stay.
 
     Hashes are counted first, reduced where texts are read; only chunks whose
     hash occurs more than once are compared, by grouping them by their bytes.
+    A hash that different chunks share has several rows, also of chunks that
+    occur once (`n` = 1).
     """
     some = chunks(docs).where(F.col("n_lines") >= least_lines)
     twice = stored(
@@ -77,7 +83,6 @@ def repeated_chunks(docs: DataFrame, least_lines: int = LEAST_LINES) -> DataFram
         some.join(small, "hash", "left_semi")
         .groupBy("hash", "body")
         .agg(F.count(F.lit(1)).alias("n"), F.min(_place()).alias("kept"))
-        .where("n > 1")
     )
 
 
@@ -94,11 +99,20 @@ def line_dedup(docs: DataFrame, least_lines: int = LEAST_LINES) -> DataFrame:
     docs = docs.drop("n_lines", "n_removed", "removed")
     again = stored(repeated_chunks(docs, least_lines), "repeated-chunks")
     found = chunks(docs).where(F.col("n_lines") >= least_lines)
-    # Chunks whose bytes are in the table; a hash that occurs very often spreads by adaptive execution.
-    rows = again.count()
-    known = F.broadcast(again.select("hash", "body", "kept")) if rows <= BROADCAST_ROWS // 20 else again
+    # Where all chunks with a hash were found to be equal, the hash stands for the bytes.
+    bodies = again.groupBy("hash").agg(F.count(F.lit(1)).alias("bodies"))
+    alone = stored(
+        again.where("n > 1").select("hash", "kept").join(bodies.where("bodies = 1"), "hash", "left_semi"), "chunks"
+    )
+    shared = again.join(bodies.where("bodies > 1"), "hash", "left_semi").where("n > 1").select("hash", "body", "kept")
+    shared = stored(shared, "shared-hashes")
+    small = F.broadcast(alone) if alone.count() <= BROADCAST_ROWS // 5 else alone
+    met = found.select("doc_id", "row", "chunk", "hash").join(small, "hash").drop("hash")
+    if shared.count():
+        more = found.join(shared, ["hash", "body"]).select("doc_id", "row", "chunk", "kept")
+        met = met.unionByName(more)
     gone = (
-        found.join(known.select("hash", "body", "kept"), ["hash", "body"])
+        met
         .where(_place() != F.col("kept"))
         .groupBy(F.col("doc_id").alias("_gone_id"), F.col("row").alias("_gone_row"))
         .agg(F.sort_array(F.collect_set("chunk")).alias("_removed"))

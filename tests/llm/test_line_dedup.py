@@ -3,6 +3,7 @@ import struct
 from collections import defaultdict
 
 import xxhash
+from pyspark.sql import functions as F
 
 from copyloom.llm import line_dedup
 from tests.llm import odd_rows
@@ -81,5 +82,12 @@ def test_without_broadcasts(spark, monkeypatch):
     assert sorted(flat, key=str) == plain(rows)
 
 
+def test_different_chunks_of_one_hash(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "_hash", lambda: F.pmod(F.xxhash64("body"), F.lit(9)))
+    rows = passages(3)
+    flat = [(r.doc_id, r.text, r.n_lines, r.n_removed, list(r.removed)) for r in line_dedup.line_dedup(odd_rows.docs(spark, rows)).collect()]
+    assert sorted(flat, key=str) == plain(rows)
+
+
 def test_empty(spark):
     assert line_dedup.line_dedup(odd_rows.empty(spark)).collect() == []
