@@ -14,8 +14,25 @@ from copyloom.functions import text as tx
 SLOT = re.compile(r"\{\{(\w+)\}\}")
 
 
+def rule_texts() -> dict[str, str]:
+    """What the slots for rules in a template stand for: the values that the checks use too."""
+    banned = {f"banned_{kind.replace('-', '_')}": ", ".join(words) for kind, words in rules.BANNED_WORDS.items()}
+    return banned | {
+        "banned_opener": rules.BANNED_OPENER,
+        "banned_first_phrases": ", ".join(f'"{p}"' for p in rules.BANNED_FIRST_PHRASES),
+        "max_keyword_uses": str(rules.MAX_KEYWORD_USES),
+        "max_keyword_bold": str(rules.MAX_KEYWORD_BOLD),
+        "keyword_range": f"{rules.MIN_KEYWORDS}–{rules.MAX_KEYWORDS}",
+        "faq_range": f"{rules.MIN_FAQ}–{rules.MAX_FAQ}",
+        "answer_range": f"{rules.MIN_ANSWER_WORDS}–{rules.MAX_ANSWER_WORDS}",
+    }
+
+
 def default_template() -> str:
-    return resources.files("copyloom").joinpath("prompt_template.md").read_text("utf-8")
+    """The default prompt with the rules filled in; the other slots are left."""
+    text = resources.files("copyloom").joinpath("prompt_template.md").read_text("utf-8")
+    known = rule_texts()
+    return SLOT.sub(lambda m: known.get(m[1], m[0]), text)
 
 
 def slots() -> dict[str, Column]:
