@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from copyloom import rules
 from copyloom.catalog import Tables, query, sql_domain, sql_squeeze, sql_strip
 from copyloom.functions import urls
 from copyloom.operators import links, paging
@@ -284,8 +285,13 @@ def page_frontier(t: Tables) -> DataFrame:
 
 
 # Customers as collections, their orders dealt onto numbered pages, parts as links.
-_MAX = 5
-_LISTING = f"""listing AS (
+# One query shows the bound on pages; the others read all of them.
+_FEW = 5
+_ALL = rules.MAX_LISTING_PAGES
+
+
+def _listing(most: int) -> str:
+    return f"""listing AS (
   SELECT o_custkey AS collection, o_orderkey % 6 + 1 AS page_no, min(o_orderkey) % 4 <> 0 AS has_next
   FROM orders GROUP BY ALL
 ),
@@ -294,13 +300,13 @@ items AS (
     'part-' || CAST(l_partkey AS VARCHAR) AS link
   FROM orders JOIN lineitem ON l_orderkey = o_orderkey
 ),
-bounded AS (SELECT * FROM items WHERE page_no <= {_MAX}),
+bounded AS (SELECT * FROM items WHERE page_no <= {most}),
 seen AS (
   SELECT collection, link, min((page_no, ord)) AS p FROM bounded GROUP BY ALL
 ),
 news AS (SELECT collection, p[1] AS page_no, count(*) AS n FROM seen GROUP BY ALL),
 starts AS (
-  SELECT DISTINCT collection, 1 AS page_no FROM listing WHERE page_no <= {_MAX}
+  SELECT DISTINCT collection, 1 AS page_no FROM listing WHERE page_no <= {most}
   UNION ALL SELECT collection, page_no + 1 FROM news
 ),
 stops AS (
@@ -308,6 +314,9 @@ stops AS (
   WHERE NOT EXISTS (SELECT 1 FROM news n WHERE n.collection = s.collection AND n.page_no = s.page_no)
   GROUP BY ALL
 )"""
+
+
+_LISTING = _listing(_ALL)
 _KEPT = """kept AS (
   SELECT s.collection, s.p[1] AS page_no, s.p[2] AS ord, s.link
   FROM seen s JOIN stops t ON t.collection = s.collection AND s.p[1] < t.stop_page
@@ -318,7 +327,7 @@ def _page_of() -> Column:
     return (F.col("o_orderkey") % 6 + 1).cast("int").alias("page_no")
 
 
-def _dealt(t: Tables, clicked: bool = False) -> tuple[DataFrame, DataFrame]:
+def _dealt(t: Tables, clicked: bool = False, most: int = _ALL) -> tuple[DataFrame, DataFrame]:
     orders = t.orders.select(F.col("o_custkey").alias("collection_url"), "o_orderkey", _page_of())
     items = orders.join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey")).select(
         "collection_url",
@@ -333,7 +342,7 @@ def _dealt(t: Tables, clicked: bool = False) -> tuple[DataFrame, DataFrame]:
         .join(counts, ["collection_url", "page_no"], "left")
         .select("collection_url", "page_no", F.lit(False).alias("empty"), "has_next", "n_links")
     )
-    return paging.paged_links(items, pages, _MAX, clicked)
+    return paging.paged_links(items, pages, most, clicked)
 
 
 @query(
@@ -354,7 +363,8 @@ def paging_stop(t: Tables) -> DataFrame:
     )
 
 
-_REASON = f"""CASE WHEN stop_page > {_MAX} THEN 'max_pages'
+def _reason(most: int) -> str:
+    return f"""CASE WHEN stop_page > {most} THEN 'max_pages'
     WHEN l.collection IS NULL THEN 'empty'
     WHEN NOT EXISTS (SELECT 1 FROM bounded b WHERE b.collection = t.collection AND b.page_no = t.stop_page) THEN 'no_links'
     ELSE 'no_new' END"""
@@ -362,12 +372,12 @@ _REASON = f"""CASE WHEN stop_page > {_MAX} THEN 'max_pages'
 
 @query(
     f"""
-WITH {_LISTING}
-SELECT t.collection, CAST(t.stop_page AS BIGINT) AS stop_page, {_REASON} AS stop_reason
+WITH {_listing(_FEW)}
+SELECT t.collection, CAST(t.stop_page AS BIGINT) AS stop_page, {_reason(_FEW)} AS stop_reason
 FROM stops t LEFT JOIN listing l ON l.collection = t.collection AND l.page_no = t.stop_page"""
 )
 def paging_stop_reason(t: Tables) -> DataFrame:
-    _, stops = _dealt(t)
+    _, stops = _dealt(t, most=_FEW)
     return stops.select(
         F.col("collection_url").alias("collection"),
         F.col("stop_page").cast("long").alias("stop_page"),
@@ -379,10 +389,10 @@ def paging_stop_reason(t: Tables) -> DataFrame:
     f"""
 WITH {_LISTING},
 plain AS (
-  SELECT t.collection, t.stop_page, replace({_REASON}, 'empty', 'no_links') AS why
+  SELECT t.collection, t.stop_page, replace({_reason(_ALL)}, 'empty', 'no_links') AS why
   FROM stops t LEFT JOIN listing l ON l.collection = t.collection AND l.page_no = t.stop_page
 ),
-ends AS (SELECT collection, min(page_no) + 1 AS e FROM listing WHERE NOT has_next AND page_no <= {_MAX} GROUP BY ALL)
+ends AS (SELECT collection, min(page_no) + 1 AS e FROM listing WHERE NOT has_next AND page_no <= {_ALL} GROUP BY ALL)
 SELECT collection, CAST(CASE WHEN e <= stop_page THEN e ELSE stop_page END AS BIGINT) AS stop_page,
   CASE WHEN e <= stop_page THEN 'no_next' ELSE why END AS stop_reason
 FROM plain LEFT JOIN ends USING (collection)"""
