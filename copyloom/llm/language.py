@@ -22,10 +22,12 @@ LENGTHS = (2, 3, 4)
 UNKNOWN = "und"
 
 #: Bytes of text that are scored at a time; a longer text is taken in slices.
-SLICE = 1_000_000
+SLICE = 500_000
 
 #: Documents per language that the model is fitted to, about; chosen by hash.
 PER_LANGUAGE = 2000
+#: Values of `lang` that may be broadcast with their counts.
+BROADCAST_ROWS = 100_000
 #: Of the rightly told calibration texts, the share that rejection may lose.
 LOST = 0.0005
 
@@ -154,8 +156,9 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """
     ship(docs.sparkSession)
     known = docs.where(~held_out(F.col("doc_id"))).where("lang is not null and text is not null")
-    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("_of"))
-    # One row per language; the join is left to the optimizer.
+    counts = stored(known.groupBy("lang").agg(F.count(F.lit(1)).alias("_of")), "languages")
+    # One row per language: broadcast, unless there are more than languages can be.
+    counts = F.broadcast(counts) if counts.count() <= BROADCAST_ROWS else counts
     sample = known.select("lang", "text", "doc_id").join(counts, "lang").where(
         share(91, F.col("doc_id"), F.col("lang")) < F.lit(float(per_language)) / F.col("_of")
     )

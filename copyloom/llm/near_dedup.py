@@ -5,9 +5,12 @@ several sort keys, runs of its MinHash signature. In every order, neighbours
 with a common prefix are candidates; how long it has to be grows with the
 distance, so that sparse regions are searched at small depth and dense ones at
 large depth. Candidates carry a bit sketch that rules out most unlike pairs
-where they are found; the others are compared on whole sets. The best few
-candidates of each class come first; after that only pairs that are not yet
-connected are left to compare, which loses no component.
+where they are found; the others are compared on whole sets.
+
+The orders are searched twice. The first search takes the nearest plausible
+neighbours of each class, of which the best few are compared. The second one
+goes further, among the classes that had any, and takes all plausible pairs that
+are not connected yet: pairs inside a component can't change it any more.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from copyloom.llm.common import ship, stored
 from copyloom.llm.graph import components
@@ -29,14 +33,27 @@ SHARE = 75  # per cent of the union that two sets have to share
 TREES = 24
 DEPTH = 8  # values in a sort key
 
-#: (neighbours up to this distance, values that their keys have to share)
-REACH = ((4, 2), (16, 3), (64, 5), (256, 8))
+#: (neighbours up to this distance, values that their keys have to share), for
+#: the first search and the second.
+NEAR = ((4, 2), (16, 3))
+FAR = ((4, 2), (16, 3), (64, 5))
+#: Plausible neighbours of a class in each order after which the first search moves on.
+ENOUGH = 2
+
+#: Bits of each signature value in the sketches of the first search and the second.
+NEAR_BITS, FAR_BITS = 2, 4
+
+
+def plausible(bits: int) -> float:
+    """The similarity that sketches have to point to: five standard deviations below the one asked for.
+
+    Unequal values agree in all their bits by chance one time in 2^bits.
+    """
+    distinct = 1 - 0.5**bits
+    agree = 1 - distinct * (1 - SHARE / 100)
+    return SHARE / 100 - 5 * (agree * (1 - agree) / (TREES * DEPTH)) ** 0.5 / distinct
+
 
-#: A pair is ruled out if its sketches point to a similarity below this: five
-#: standard deviations below the similarity asked for.
-PLAUSIBLE = 0.5
-#: After two neighbours this similar, a class has its place in this order.
-STRONG, ENOUGH = 0.85, 2
 #: Candidates of each class that are compared first.
 FIRST = 3
 #: Ids that may be broadcast (8 bytes each).
@@ -64,40 +81,55 @@ def sketches(docs: DataFrame) -> DataFrame:
                     rows.append((0, None, None, None))
                     continue
                 least = minima(distinct)
-                odd = (least ^ (least >> np.uint32(7)) ^ (least >> np.uint32(13))) & np.uint32(1)
+                shifts = ((7, 13), (8, 17), (5, 11), (9, 15))
+                odd = np.concatenate([_parity(least >> np.uint32(i), *x) for i, x in enumerate(shifts)])
                 rows.append(
                     (
                         len(distinct),
                         sequence_digest(texts[i].as_py()),
                         least.astype(">u4").tobytes(),
-                        np.packbits(odd.astype(np.uint8)).tobytes(),
+                        np.packbits(odd).tobytes(),
                     )
                 )
             columns = list(zip(*rows)) or [()] * 4
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *(pa.array(v, f.type) for v, f in zip(columns, list(schema)[1:]))],
-                schema=schema,
-            )
+            made = [pa.array(v, f.type) for v, f in zip(columns, list(schema)[1:])]
+            ids = pa.concat_arrays([batch.column("doc_id")])
+            del batch, texts, rows, columns  # what comes next is read while this is handed over
+            yield pa.RecordBatch.from_arrays([ids, *made], schema=schema)
+            pa.default_memory_pool().release_unused()
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(
         make, "doc_id bigint, n_shingles bigint, words binary, signature binary, bits binary"
     )
 
 
-class _Order:
-    """Consecutive rows of the sort orders: keys, sketches, sizes and ids as arrays."""
+def _parity(values: np.ndarray, *shifts: int) -> np.ndarray:
+    out = values.copy()
+    for s in shifts:
+        out ^= values >> np.uint32(s)
+    return (out & np.uint32(1)).astype(np.uint8)
+
+
+_ROW = ["tree", "key", "bits", "size", "part_of", "id"]
 
-    def __init__(self, tree: np.ndarray, keys: list[bytes], bits: list[bytes], size: np.ndarray, ids: np.ndarray):
-        self.tree, self.size, self.ids = tree, size, ids
-        self.keys = np.frombuffer(b"".join(keys), ">u4").reshape(len(keys), DEPTH)
-        self.bits = np.frombuffer(b"".join(bits), np.uint64).reshape(len(bits), TREES * DEPTH // 64)
 
-    def pairs(self, left: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Candidates of the first `left` rows with rows behind them: ids, ids, similarity."""
+class _Order:
+    """Consecutive rows of the sort orders as arrays."""
+
+    def __init__(self, rows: pd.DataFrame, bits: int) -> None:
+        self.tree, self.size, self.part_of, self.ids = (
+            rows[c].to_numpy() for c in ("tree", "size", "part_of", "id")
+        )
+        self.keys = np.frombuffer(b"".join(rows["key"]), ">u4").reshape(len(rows), DEPTH)
+        self.bits = np.frombuffer(b"".join(rows["bits"]), np.uint64).reshape(len(rows), bits, TREES * DEPTH // 64)
+        self.least, self.distinct = plausible(bits), 1 - 0.5**bits
+
+    def pairs(self, left: int, reach: tuple, enough: int | None) -> pd.DataFrame:
+        """Candidates `a, b, similar` of the first `left` rows with rows behind them."""
         here = np.arange(left)
-        strong = np.zeros(left, np.int64)
+        taken = np.zeros(left, np.int64)
         found = []
-        depths = [need for (upto, need), low in zip(REACH, (0, *(r[0] for r in REACH))) for _ in range(upto - low)]
+        depths = [need for (upto, need), low in zip(reach, (0, *(r[0] for r in reach))) for _ in range(upto - low)]
         for distance, need in enumerate(depths, 1):
             here = here[here + distance < len(self.ids)]
             there = here + distance
@@ -107,77 +139,67 @@ class _Order:
             here, there = here[same], there[same]
             if not len(here):
                 break
-            unlike = np.bitwise_count(self.bits[here] ^ self.bits[there]).sum(axis=1, dtype=np.int64)
-            similar = 1 - 2 * unlike / (TREES * DEPTH)
+            either = np.bitwise_or.reduce(self.bits[here] ^ self.bits[there], axis=1)
+            unlike = np.bitwise_count(either).sum(axis=1, dtype=np.int64)
+            similar = 1 - unlike / (self.distinct * TREES * DEPTH)
             a, b = self.size[here], self.size[there]
-            fits = (similar >= PLAUSIBLE) & (100 * np.minimum(a, b) >= SHARE * np.maximum(a, b))
-            fits &= self.ids[here] != self.ids[there]
+            fits = (similar >= self.least) & (100 * np.minimum(a, b) >= SHARE * np.maximum(a, b))
+            fits &= self.part_of[here] != self.part_of[there]
             found.append((self.ids[here[fits]], self.ids[there[fits]], similar[fits]))
-            np.add.at(strong, here[fits & (similar >= STRONG)], 1)
-            here = here[strong[here] < ENOUGH]
-        if not found:
-            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-        return tuple(np.concatenate(x) for x in zip(*found))
-
-
-_ROW = ["tree", "key", "bits", "size", "id"]
-
-
-def _order(rows: pd.DataFrame) -> _Order:
-    return _Order(
-        rows["tree"].to_numpy(), list(rows["key"]), list(rows["bits"]), rows["size"].to_numpy(), rows["id"].to_numpy()
-    )
+            if enough is not None:
+                taken[here[fits]] += 1
+                here = here[taken[here] < enough]
+        a, b, similar = (np.concatenate(x) for x in zip((np.empty(0, np.int64),) * 2 + (np.empty(0),), *found))
+        made = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "similar": similar})
+        return made.drop_duplicates(["a", "b"])
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """`id, n_shingles, signature, bits` → plausible pairs `a, b, similar`, with a < b.
+def candidates(classes: DataFrame, reach: tuple, bits: int, enough: int | None = None) -> DataFrame:
+    """`id, part_of, n_shingles, signature, bits` → plausible pairs `a, b, similar`, with a < b.
 
-    The orders are range partitioned, so that a dense region spreads over tasks;
-    each task also hands over its first and last rows, and neighbours across a
-    boundary are found among those.
+    Pairs within one `part_of` are left out. The orders are range partitioned, so
+    that a dense region spreads over tasks; each task also hands over its first
+    and last rows, and neighbours across a boundary are found among those.
     """
     ship(classes.sparkSession)
-    reach = REACH[-1][0]
+    furthest = reach[-1][0]
     key = F.substring(F.col("signature"), F.col("tree") * (DEPTH * 4) + 1, F.lit(DEPTH * 4))
     rows = classes.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))).select(
-        "tree", key.alias("key"), "bits", F.col("n_shingles").alias("size"), "id"
+        "tree", key.alias("key"), F.substring("bits", 1, bits * TREES * DEPTH // 8).alias("bits"), F.col("n_shingles").alias("size"), "part_of", "id"
     )
     partitions = max(1, classes.count() * TREES // 100_000)
     ordered = rows.repartitionByRange(partitions, "tree", "key", "id").sortWithinPartitions("tree", "key", "id")
-    kinds = {"tree": "int", "key": "binary", "bits": "binary", "size": "bigint", "id": "bigint"}
+    kinds = {"tree": "int", "key": "binary", "bits": "binary", "size": "bigint", "part_of": "bigint", "id": "bigint"}
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        held, heads, pending = None, 0, []
+        columns = ["a", "b", "similar", "part", "at_end", *_ROW]
+        heads, pending = 0, []
 
-        def out(pairs) -> pd.DataFrame:
-            a, b, similar = pairs
-            made = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "similar": similar})
-            made = made.drop_duplicates(["a", "b"])
-            return made.assign(part=None, at_end=None, **{c: None for c in _ROW})
+        def out(pairs: pd.DataFrame) -> pd.DataFrame:
+            return pairs.assign(part=None, at_end=None, **{c: None for c in _ROW})[columns]
 
         def edge(some: pd.DataFrame, at_end: bool) -> pd.DataFrame:
-            return some.assign(a=None, b=None, similar=None, part=part, at_end=at_end)
+            return some.assign(a=None, b=None, similar=None, part=part, at_end=at_end)[columns]
 
-        columns = ["a", "b", "similar", "part", "at_end", *_ROW]
         for frame in frames:
-            if heads < reach and len(frame):
-                yield edge(frame.iloc[: reach - heads], False)[columns]
-                heads += min(len(frame), reach - heads)
+            if heads < furthest and len(frame):
+                yield edge(frame.iloc[: furthest - heads], False)
+                heads += min(len(frame), furthest - heads)
             pending.append(frame)
-            if sum(map(len, pending)) < 50_000:
+            if sum(map(len, pending)) < 20_000:
                 continue
             held = pd.concat(pending, ignore_index=True)
-            done = len(held) - reach
-            yield out(_order(held).pairs(done))[columns]
+            done = len(held) - furthest
+            yield out(_Order(held, bits).pairs(done, reach, enough))
             pending = [held.iloc[done:]]
         if pending:
             held = pd.concat(pending, ignore_index=True)
             if len(held):
-                yield out(_order(held).pairs(len(held)))[columns]
-                yield edge(held.iloc[-reach:], True)[columns]
+                yield out(_Order(held, bits).pairs(len(held), reach, enough))
+                yield edge(held.iloc[-furthest:], True)
 
     schema = ", ".join(
         ["a bigint, b bigint, similar double, part int, at_end boolean", *(f"{c} {k}" for c, k in kinds.items())]
@@ -185,8 +207,6 @@ def candidates(classes: DataFrame) -> DataFrame:
     scanned = stored(ordered.mapInPandas(scan, schema), "neighbours")
     edges = scanned.where("part is not null")
     # One row per partition that has rows; the next one may not be the next number.
-    from pyspark.sql.window import Window
-
     steps = edges.select("part").distinct().withColumn("gap", F.row_number().over(Window.orderBy("part")))
     rims = edges.join(F.broadcast(steps), "part").withColumn(
         "gap", F.when(F.col("at_end"), F.col("gap")).otherwise(F.col("gap") - 1)
@@ -195,8 +215,7 @@ def candidates(classes: DataFrame) -> DataFrame:
     def stitch(rim: pd.DataFrame) -> pd.DataFrame:
         # By place, not by value: ties on the key have been told apart by id.
         rim = rim.sort_values(["part", "tree", "key", "id"])
-        a, b, similar = _order(rim).pairs(len(rim))
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "similar": similar})
+        return _Order(rim, bits).pairs(len(rim), reach, enough)
 
     across = rims.groupBy("gap").applyInPandas(stitch, "a bigint, b bigint, similar double")
     return (
@@ -221,6 +240,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 shared = len(np.intersect1d(x, y, assume_unique=True))
                 linked.append(100 * shared >= SHARE * (len(x) + len(y) - shared) and shared > 0)
             yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
+            pa.default_memory_pool().release_unused()
 
     second = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("second")), "b")
     both = second.join(texts.select(F.col("id").alias("a"), F.col("text").alias("first")), "a")
@@ -244,8 +264,8 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     )
     # Every word sequence once, by its smallest id.
     heads = usable.join(classes.select("words", "id"), "words").where("doc_id = id")
-    heads = heads.select("id", "n_shingles", "signature", "bits").dropDuplicates(["id"])
-    pairs = stored(candidates(stored(heads, "heads")), "candidates")
+    heads = stored(heads.select("id", "n_shingles", "signature", "bits").dropDuplicates(["id"]), "heads")
+    pairs = stored(candidates(heads.withColumn("part_of", F.col("id")), NEAR, NEAR_BITS, ENOUGH), "candidates")
     both = pairs.select(F.col("a").alias("id"), F.col("b").alias("other"), "similar").unionByName(
         pairs.select(F.col("b").alias("id"), F.col("a").alias("other"), "similar")
     )
@@ -266,17 +286,15 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     links = stored(confirmed(first, texts), "links")
     part = stored(components(links), "components")
 
-    def label(side: str) -> DataFrame:
-        return part.select(F.col("id").alias(side), F.col("component_id").alias(f"of_{side}"))
-
-    open_pairs = (
-        pairs.join(first, ["a", "b"], "left_anti")
-        .join(label("a"), "a", "left")
-        .join(label("b"), "b", "left")
-        .where("coalesce(of_a, a) <> coalesce(of_b, b)")
-        .select("a", "b")
+    ids = F.broadcast(involved) if few else involved
+    searched = (
+        heads.join(ids, "id", "left_semi")
+        .join(part, "id", "left")
+        .withColumn("part_of", F.coalesce("component_id", "id"))
+        .drop("component_id")
     )
-    more = stored(confirmed(open_pairs, texts), "more-links")
+    open_pairs = candidates(stored(searched, "searched"), FAR, FAR_BITS).join(first, ["a", "b"], "left_anti")
+    more = stored(confirmed(open_pairs.select("a", "b"), texts), "more-links")
     whole = stored(components(links.unionByName(more)), "components")
     by_words = classes.select("words", F.col("id").alias("head"))
     out = rows.select("doc_id", "n_shingles", "words").join(by_words, "words", "left")

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are hashed at a time; a longer text is taken alone.
-SLICE = 2_000_000
+SLICE = 500_000
 
 _rng = np.random.default_rng(20_240_601)
 _STEP = np.uint64(0x9E3779B97F4A7C15)  # odd, so that it has an inverse modulo 2^64
