@@ -182,10 +182,11 @@ def read_tokens(spark: SparkSession, path: str, doc_ids: Sequence[int] | None =
     )
     wanted = None if doc_ids is None else frozenset(doc_ids)
     if wanted is not None:
-        any_of = [F.lit(i).between(F.col("first_doc"), F.col("last_doc")) for i in sorted(wanted)]
         found = F.lit(False)
-        for one in any_of:
-            found = found | one
+        for i in sorted(wanted):
+            # A shard may begin with documents without an id.
+            above = F.col("first_doc").isNull() | (F.col("first_doc") <= i)
+            found = found | (above & (F.col("last_doc") >= i))
         shards = shards.where(found)
     out = pa.schema(
         [("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())]
