@@ -4,6 +4,10 @@ A rolling hash over the hashes of neighbouring lines says where chunks end, so
 that the same lines are cut alike wherever they stand. Chunks of several lines
 that occur more than once, and are equal byte by byte, stay where they occur
 first and go elsewhere. Only DataFrame functions.
+
+Chunks miss what their boundaries cut off. `passage_dedup` has no boundaries: it
+looks at every pair of neighbouring units (lines, or sentences of long lines) and
+removes whole runs of repeated pairs.
 """
 
 from __future__ import annotations
@@ -17,6 +21,12 @@ from copyloom.llm.common import stored
 ROLL, SPAN = 2, 2
 #: Lines that a chunk needs to be removed.
 LEAST_LINES = 2
+#: Lines of more characters count as several, one for each sentence.
+LONG_LINE = 160
+#: A repeated run goes if it has more words than this, or `LEAST_LINES` whole lines.
+MOST_WORDS = 50
+#: Ends of sentences; what is between two of them stays with the first.
+SENTENCE = r"(?<=[.!?…] )|(?<=[。！？])"
 #: Repeated chunks that may be broadcast, by their hashes.
 BROADCAST_ROWS = 1_000_000
 
@@ -140,3 +150,167 @@ def line_dedup(docs: DataFrame, least_lines: int = LEAST_LINES) -> DataFrame:
         lost.cast("bigint").alias("n_removed"),
         removed.alias("removed"),
     )
+
+
+def units(text: Column) -> Column:
+    """What passages are made of: `pos` (from 0), `line`, `first`, `last` (of its line), `text`.
+
+    Short lines, and the sentences of long ones; the cut depends on the line alone.
+    """
+    parts = lambda x: F.when(F.length(x) > LONG_LINE, F.split(x, SENTENCE, -1)).otherwise(F.array(x))
+    # An array of one element binds the parts, which would be cut again for each of them.
+    of_line = lambda x, n: F.transform(
+        F.array(F.filter(parts(x), lambda p: (F.length(p) > 0) | (F.length(x) == 0))),
+        lambda found: F.transform(
+            found,
+            lambda p, i: F.struct(
+                n.alias("line"), (i == 0).alias("first"), (i == F.size(found) - 1).alias("last"), p.alias("text")
+            ),
+        ),
+    )
+    each = F.flatten(F.flatten(F.transform(lines(text), of_line)))
+    return F.transform(
+        each,
+        lambda u, i: F.struct(
+            i.alias("pos"), u["line"].alias("line"), u["first"].alias("first"), u["last"].alias("last"), u["text"].alias("text")
+        ),
+    )
+
+
+def _n_words(text: Column) -> Column:
+    return F.size(F.filter(F.split(text, r"\s+", -1), lambda w: F.length(w) > 0))
+
+
+def windows(docs: DataFrame) -> DataFrame:
+    """`doc_id, row, pos, hash, a, b`: each pair of neighbouring units, and each unit of over `MOST_WORDS` words.
+
+    `b` is null for a single unit. Spaces behind a sentence don't count.
+    """
+    cut = docs.select(F.xxhash64("text").alias("row"), "doc_id", units(F.col("text")).alias("units"))
+
+    def pair(a: Column, b: Column) -> Column:
+        hashed = F.xxhash64(F.rtrim(a["text"]), F.rtrim(b["text"]), a["last"])
+        return F.struct(a["pos"].alias("pos"), hashed.alias("hash"), a.alias("a"), b.alias("b"))
+
+    none = F.lit(None).cast("struct<pos:int,line:int,first:boolean,last:boolean,text:string>")
+    long = F.filter("units", lambda u: F.when(F.length(u["text"]) > 2 * MOST_WORDS, _n_words(u["text"]) > MOST_WORDS).otherwise(False))
+    single = F.transform(
+        long, lambda u: F.struct(u["pos"].alias("pos"), F.xxhash64(F.rtrim(u["text"])).alias("hash"), u.alias("a"), none.alias("b"))
+    )
+    rest = F.greatest(F.size("units") - 1, F.lit(0))
+    pairs = F.zip_with(F.slice("units", F.lit(1), rest), F.slice("units", F.lit(2), rest), pair)
+    return cut.select("row", "doc_id", F.explode(F.concat(pairs, single)).alias("w")).select("row", "doc_id", "w.*")
+
+
+def repeated_runs(docs: DataFrame) -> DataFrame:
+    """`doc_id, row, spans` (`first, last` unit): what goes of each document that loses something.
+
+    Windows are counted by hash, reduced where texts are read; those whose hash
+    occurs more than once are compared by grouping them by their bytes.
+    """
+    every = windows(docs)
+    twice = stored(
+        every.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"), "window-hashes"
+    )
+    small = F.broadcast(twice) if twice.count() <= BROADCAST_ROWS else twice
+    # Between lines there is a line break, between sentences a space; a single unit has neither.
+    body = F.concat(
+        F.rtrim("a.text"),
+        F.when(F.col("b").isNull(), "").otherwise(
+            F.concat(F.when(F.col("a.last"), "\n").otherwise(" "), F.rtrim("b.text"))
+        ),
+    )
+
+    def mark(unit: str) -> Column:
+        # Units have even places and the links between them odd ones, so that a run is a run of places.
+        u = F.col(unit)
+        return F.struct(
+            (u["pos"] * 2).alias("at"),
+            _n_words(u["text"]).alias("words"),
+            u["first"].alias("first"),
+            (u["last"] & (F.length(F.trim(u["text"])) > 0)).alias("last"),
+        )
+
+    link = F.struct(
+        (F.col("pos") * 2 + 1).alias("at"), F.lit(0).alias("words"), F.lit(True).alias("first"), F.lit(False).alias("last")
+    )
+    marks = F.when(F.col("b").isNull(), F.array(mark("a"))).otherwise(F.array(mark("a"), link, mark("b")))
+    met = stored(
+        every.join(small, "hash", "left_semi").select(
+            "doc_id", "row", "pos", "hash", F.col("b").isNull().alias("single"), body.alias("body"), marks.alias("marks")
+        ),
+        "repeated-windows",
+    )
+    place = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row", "pos")
+    kept = stored(
+        met.groupBy("hash", "single", "body").agg(F.min(place).alias("kept"), F.max(place).alias("end"))
+        .where("kept != end").select("hash", "single", "body", "kept"),
+        "first-windows",
+    )
+    again = met.join(kept, ["hash", "single", "body"]).where(place != F.col("kept"))
+    placed = again.groupBy("doc_id", "row").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_set("marks")))).alias("marks"))
+    each = placed.select("doc_id", "row", F.posexplode("marks").alias("i", "m"))
+    runs = (
+        each.groupBy("doc_id", "row", (F.col("m.at") - F.col("i")).alias("run"))
+        .agg(
+            F.min("m.at").alias("start"),
+            F.max("m.at").alias("end"),
+            F.sum("m.words").alias("words"),
+            # Lines that end in the run, but for one that began before it.
+            (F.sum(F.col("m.last").cast("int")) - F.when(F.min_by("m.first", "m.at"), 0).otherwise(1)).alias("whole"),
+        )
+        .where((F.col("words") > MOST_WORDS) | (F.col("whole") >= LEAST_LINES))
+    )
+    span = F.struct((F.col("start") / 2).cast("int").alias("first"), (F.col("end") / 2).cast("int").alias("last"))
+    return runs.groupBy("doc_id", "row").agg(F.sort_array(F.collect_list(span)).alias("spans"))
+
+
+def passage_dedup(docs: DataFrame) -> DataFrame:
+    """All columns of `docs` (`doc_id, text`) without passages that occurred before, and what was removed.
+
+    A passage is a run of units (lines, or sentences of lines of over `LONG_LINE`
+    characters) each neighbouring two of which occur earlier, in this order; it
+    goes if it has `LEAST_LINES` whole lines or over `MOST_WORDS` words. Lines
+    without words don't count. Earlier is a smaller doc_id (null last), of rows
+    that share it a smaller hash of the text, and then a place before it in the
+    text; so each unit stays at least where it first occurs. Rows equal in doc_id
+    and text are one document and end up alike. Null and empty texts stay as they
+    are; a text all of which goes becomes empty. Adds `n_lines`, `n_removed`
+    (lines of which nothing is left) and `removed` (spans of units from 0).
+    Columns of these names are replaced.
+    """
+    docs = docs.drop("n_lines", "n_removed", "removed")
+    gone = stored(
+        repeated_runs(docs).select(F.col("doc_id").alias("_gone_id"), F.col("row").alias("_gone_row"), F.col("spans").alias("_spans")),
+        "removed-runs",
+    )
+    small = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS // 5 else gone
+    same = F.col("doc_id").eqNullSafe(F.col("_gone_id")) & (F.xxhash64("text") == F.col("_gone_row"))
+    out = docs.join(small, same, "left")
+    removed = F.coalesce("_spans", F.array().cast("array<struct<first:int,last:int>>"))
+    kept = F.when(
+        F.size(removed) > 0,
+        F.filter(
+            units(F.col("text")),
+            lambda u: ~F.exists("_spans", lambda s: (u["pos"] >= s["first"]) & (u["pos"] <= s["last"])),
+        ),
+    )
+    out = out.withColumn("_kept", kept)
+    before = F.concat(F.array(F.lit(None).cast("int")), F.transform("_kept", lambda u: u["line"]))
+    joined = F.array_join(
+        F.zip_with(
+            "_kept",
+            F.slice(before, F.lit(1), F.size("_kept")),
+            lambda u, line: F.concat(F.when(u["line"] > line, "\n").otherwise(""), u["text"]),
+        ),
+        "",
+    )
+    n_lines = F.size(lines(F.col("text")))
+    left = F.size(F.array_distinct(F.transform("_kept", lambda u: u["line"])))
+    some = F.col("_kept").isNotNull()
+    return out.select(
+        *[F.when(some, joined).otherwise(F.col(c)).alias(c) if c == "text" else F.col(c) for c in docs.columns],
+        n_lines.cast("bigint").alias("n_lines"),
+        F.when(some, n_lines - left).otherwise(0).cast("bigint").alias("n_removed"),
+        removed.alias("removed"),
+    )

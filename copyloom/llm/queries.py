@@ -170,7 +170,7 @@ def op1_sharding(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """All documents without passages of several lines that occurred before."""
-    cleaned = line_dedup.line_dedup(table(spark, folder, "documents"))
+    cleaned = line_dedup.passage_dedup(table(spark, folder, "documents"))
     return cleaned.select(
         "doc_id",
         "n_lines",

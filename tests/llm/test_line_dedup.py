@@ -91,3 +91,61 @@ def test_different_chunks_of_one_hash(spark, monkeypatch):
 
 def test_empty(spark):
     assert line_dedup.line_dedup(odd_rows.empty(spark)).collect() == []
+
+
+def sentence(rng, n):
+    return " ".join([f"W{rng.random()}", *(f"w{rng.randint(0, 10**6)}" for _ in range(n - 1))]) + "."
+
+
+def planted(seed, each=6):
+    """Documents with passages of 1 to 9 lines and over 50 words, and the passages with where they come again."""
+    rng = random.Random(seed)
+    rows, plants, i = [], [], 1
+    for n_lines in range(1, 10):
+        for k in range(each):
+            per_line = -(-60 // n_lines)
+            # One line: half of them without any end of a sentence inside.
+            passage = "\n".join(
+                sentence(rng, per_line) if per_line < 60 or k % 2 else " ".join(sentence(rng, 15) for _ in range(4))
+                for _ in range(n_lines)
+            )
+            for copy in range(3):
+                own = lambda: [sentence(rng, rng.randint(1, 9)) for _ in range(rng.randint(0, 4))]  # noqa: B023, E731
+                before, behind = own(), own()
+                rows.append((i, "\n".join([*before, passage, *behind]), "en"))
+                plants.append((i, n_lines, copy, passage, "\n".join([*before, *behind])))
+                i += 1
+    return rows, plants
+
+
+def test_planted_passages_go_whole_at_every_length(spark):
+    rows, plants = planted(7)
+    got = {r.doc_id: r for r in line_dedup.passage_dedup(odd_rows.docs(spark, rows)).collect()}
+    text = {i: t for i, t, _ in rows}
+    went = defaultdict(list)
+    for i, n_lines, copy, passage, rest in plants:
+        if copy == 0:
+            assert got[i].text == text[i]
+        else:
+            went[n_lines].append(got[i].text == rest and got[i].n_removed == n_lines)
+    assert {n: sum(x) / len(x) for n, x in went.items()} == dict.fromkeys(range(1, 10), 1.0)
+
+
+def test_passages_inside_long_lines_and_odd_rows(spark):
+    rng = random.Random(3)
+    shared = " ".join(sentence(rng, 20) for _ in range(3))
+    own = [sentence(rng, 20) for _ in range(4)]
+    short = "Yes. No."
+    rows = [
+        *odd_rows.ROWS,
+        (100, f"{own[0]} {shared} {own[1]}\nend {short}", "en"),
+        (101, f"{own[2]} {shared} {own[3]}\nend\n{short}", "en"),
+        (102, f"{own[2]} {short} {own[3]}", "en"),
+        (103, "a\n\nb 1", "en"), (104, "a\n\nb 2", "en"),  # one line and a line without words
+        (None, f"x\n{shared}\ny", "en"),
+    ]
+    got = [(r.doc_id, r.text, r.n_lines, r.n_removed) for r in line_dedup.passage_dedup(odd_rows.docs(spark, rows)).collect()]
+    want = {101: (f"{own[2]} {own[3]}\nend\n{short}", 3, 0)}
+    lines = lambda t: len(t.split("\n")) if t else 0
+    expected = [(i, *want.get(i, (t, lines(t), 0))) for i, t, _ in rows[:-1]] + [(None, "x\ny", 3, 1)]
+    assert sorted(got, key=str) == sorted(expected, key=str)
