@@ -25,8 +25,8 @@ LEAST_LINES = 2
 LONG_LINE = 160
 #: A repeated run goes if it has more words than this, or `LEAST_LINES` whole lines.
 MOST_WORDS = 50
-#: Ends of sentences; what is between two of them stays with the first.
-SENTENCE = r"(?<=[.!?…] )|(?<=[。！？])"
+#: Ends of sentences; they stay with the sentence.
+SENTENCE_ENDS = (". ", "! ", "? ", "。", "！", "？")
 #: Repeated chunks that may be broadcast, by their hashes.
 BROADCAST_ROWS = 1_000_000
 
@@ -157,7 +157,15 @@ def units(text: Column) -> Column:
 
     Short lines, and the sentences of long ones; the cut depends on the line alone.
     """
-    parts = lambda x: F.when(F.length(x) > LONG_LINE, F.split(x, SENTENCE, -1)).otherwise(F.array(x))
+
+
+    def parts(line: Column) -> Column:
+        # A line holds no line break, so one can mark the ends.
+        marked = line
+        for end in SENTENCE_ENDS:
+            marked = F.replace(marked, F.lit(end), F.lit(end + "\n"))
+        return F.when(F.length(line) > LONG_LINE, F.split(marked, "\n", -1)).otherwise(F.array(line))
+
     # An array of one element binds the parts, which would be cut again for each of them.
     of_line = lambda x, n: F.transform(
         F.array(F.filter(parts(x), lambda p: (F.length(p) > 0) | (F.length(x) == 0))),
@@ -248,7 +256,12 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
         "first-windows",
     )
     again = met.join(kept, ["hash", "single", "body"]).where(place != F.col("kept"))
-    placed = again.groupBy("doc_id", "row").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_set("marks")))).alias("marks"))
+    # A set of exploded marks is hashed; array_distinct would compare all marks of a document in pairs.
+    placed = (
+        again.select("doc_id", "row", F.explode("marks").alias("m"))
+        .groupBy("doc_id", "row")
+        .agg(F.sort_array(F.collect_set("m")).alias("marks"))
+    )
     each = placed.select("doc_id", "row", F.posexplode("marks").alias("i", "m"))
     runs = (
         each.groupBy("doc_id", "row", (F.col("m.at") - F.col("i")).alias("run"))
