@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -135,7 +135,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model
     Only documents outside the held-out fold count, and of a doc_id with several
     labels the largest. The sample is split by hash: the lexicon is learned from
     the first part, the trees from the second, the calibration from the third.
-    None if a label is missing in any part.
+    Each label is sampled at its own rate, which the log-odds of the trees and
+    the weights of the calibration undo, so that scores have the prior of all
+    labels whatever the size of the sample. None if a label is missing in any part.
     """
     ship(docs.sparkSession)
     marks = (
@@ -143,6 +145,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model
     )
     counts = {r["toxic"]: r["n"] for r in marks.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     rate = F.when(F.col("toxic") == 1, per_label / max(1, counts.get(1, 0))).otherwise(per_label / max(1, counts.get(0, 0)))
+    # Labels that a sampled one stands for.
+    stands = {k: max(1.0, counts.get(k, 0) / per_label) for k in (0, 1)}
     chosen = marks.where(share(41, F.col("doc_id")) < rate).select("doc_id", F.col("toxic").cast("int"))
     # At most about twice `per_label` ids, so they can be broadcast.
     part = F.floor(share(42, F.col("doc_id")) * 5)
@@ -204,7 +208,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model
         if len(np.unique(y[learn])) < 2 or len(np.unique(y[check])) < 2:
             return
         trees = fit_trees(x[learn], y[learn])
-        at, level = fit_isotonic(trees.margins(x[check]), y[check])
+        trees = replace(trees, base=trees.base + math.log(stands[1] / stands[0]))
+        weights = np.where(y[check] == 1, stands[1], stands[0])
+        at, level = fit_isotonic(trees.margins(x[check]), y[check], weights)
         yield pa.RecordBatch.from_pydict(
             {
                 "feature": [trees.feature.ravel().tolist()],

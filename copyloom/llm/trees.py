@@ -87,11 +87,17 @@ def fit_trees(
     return Trees(np.array(features), np.array(cuts), np.array(values), base)
 
 
-def fit_isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pools adjacent violators: points between which a calibrated score is read off."""
+def fit_isotonic(
+    score: np.ndarray, y: np.ndarray, weights: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """Pools adjacent violators: points between which a calibrated score is read off.
+
+    `weights` (above 0) say how many rows each one stands for.
+    """
+    weights = np.ones(len(y)) if weights is None else weights
     at, place = np.unique(score, return_inverse=True)
-    weight = np.bincount(place).astype(float)
-    mean = np.bincount(place, y) / weight
+    weight = np.bincount(place, weights)
+    mean = np.bincount(place, y * weights) / weight
     pools: list[list[float]] = []  # mean, weight, first, last
     for m, w, s in zip(mean, weight, at):
         pools.append([m, w, s, s])

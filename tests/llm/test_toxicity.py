@@ -67,3 +67,23 @@ def test_without_labels(spark):
     model = toxicity.fit(docs, spark.createDataFrame([(1, 1)], "doc_id bigint, toxic int"))
     assert model is None
     assert {(r.score, r.predicted) for r in toxicity.scored(docs, model).collect()} == {(0.0, 0)}
+
+
+def test_scores_do_not_depend_on_the_size_of_the_sample(spark):
+    rng = random.Random(8)
+    rows, marks = [], []
+    for i in range(6000):
+        toxic = int(rng.random() < 0.1)
+        text = [f"w{rng.randint(0, 300)}" for _ in range(20)]
+        if rng.random() < (0.7 if toxic else 0.12):
+            text.insert(rng.randrange(20), "idiot")
+        rows.append((i, " ".join(text), "en"))
+        marks.append((i, toxic))
+    docs, labels = odd_rows.docs(spark, rows).cache(), spark.createDataFrame(marks, "doc_id bigint, toxic int")
+    hit = np.array(["idiot" in t for _, t, _ in rows])
+    means = []
+    for per_label in (10**6, 300):
+        got = {r.doc_id: r.score for r in toxicity.scored(docs, toxicity.fit(docs, labels, per_label)).collect()}
+        s = np.array([got[i] for i, _, _ in rows])
+        means.append((s[hit].mean(), s[~hit].mean()))
+    assert abs(means[0][0] - means[1][0]) < 0.12 and abs(means[0][1] - means[1][1]) < 0.05
