@@ -73,6 +73,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     in the text. Null, empty and wordless texts have no hits; an empty benchmark
     hits nothing; other columns don't matter.
     """
+    return _contamination(docs, benchmark, window).drop("row")
+
+
+def _contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The same, and `row`, the hash of the text."""
     known = stored(benchmark_windows(benchmark, window), "windows")
     lengths = [r[0] for r in known.select("len").distinct().orderBy("len").collect()]  # `window` at most
     blocks = max(1, math.ceil(known.count() / BLOCK))
@@ -138,7 +143,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
         gathered.withColumn("spans", runs)
         .withColumn("n_hit", counted)
         .withColumn("of_alike", F.explode(F.array_repeat(F.lit(0), F.col("alike"))))
-        .select("doc_id", "n_words", "n_hit", "spans", "items", (F.col("n_hit") > 0).alias("contaminated"))
+        .select("doc_id", "row", "n_words", "n_hit", "spans", "items", (F.col("n_hit") > 0).alias("contaminated"))
     )
 
 
@@ -146,14 +151,14 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, spans: bool = False) -
     """`docs` without contaminated documents, or with `spans` without their hit words.
 
     All columns stay as they are, but for the text with `spans`, in which each
-    hit run of words goes with what stands between them. Rows that share a
-    doc_id are judged together.
+    hit run of words goes with what stands between them. Each row is judged by
+    its own text, also of rows that share a doc_id or have none.
     """
-    found = contamination(docs, benchmark).where("contaminated")
-    bad = found.groupBy(F.col("doc_id").alias("_bad_id")).agg(F.first("spans").alias("_spans"))
-    bad = stored(bad if spans else bad.select("_bad_id"), "contaminated")
+    found = _contamination(docs, benchmark).where("contaminated")
+    bad = found.groupBy(F.col("doc_id").alias("_bad_id"), F.col("row").alias("_bad_row")).agg(F.first("spans").alias("_spans"))
+    bad = stored(bad if spans else bad.select("_bad_id", "_bad_row"), "contaminated")
     small = F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad
-    same = F.col("doc_id").eqNullSafe(F.col("_bad_id"))
+    same = F.col("doc_id").eqNullSafe(F.col("_bad_id")) & (F.xxhash64("text") == F.col("_bad_row"))
     if not spans:
         return docs.join(small, same, "left_anti")
     pieces = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"{_ANY_WORD}|{_ANY_BETWEEN}"), F.lit(0))

@@ -7,22 +7,32 @@ pieces.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from copyloom.llm import decontamination, exact_dedup, language, near_dedup, packing
 from copyloom.llm.common import share, stored, table
+from copyloom.plans.skew import numbered
 
-#: Ids that may be broadcast; a larger set is joined by shuffle.
+#: Rows, by id and digest, that may be broadcast; a larger set is joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
 
-def _with_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """Documents whose ids are (`left_semi`) or aren't (`left_anti`) among some; null equals null."""
-    ids = ids.select(F.col("doc_id").alias("_id")).distinct()
-    ids = stored(ids, "ids")
-    small = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-    return docs.join(small, F.col("doc_id").eqNullSafe(F.col("_id")), how)
+def _sha256() -> Column:
+    """Digest of a row's text as in `exact_dedup`; null counts as empty."""
+    return F.sha2(F.coalesce("text", F.lit("")), 256)
+
+
+def _with_rows(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """Documents that are (`left_semi`) or aren't (`left_anti`) among some `doc_id, text_sha256`; null equals null."""
+    rows = stored(rows.select(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_sha")).distinct(), "rows")
+    small = _small(rows)
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.unhex(_sha256()) == F.col("_sha"))
+    return docs.join(small, same, how)
+
+
+def _small(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,15 +42,39 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the largest id, of each group with equal texts."""
-    found = exact_dedup.exact_dedup(docs, share(6, F.col("doc_id")) < 0.5)
-    return _with_ids(docs, found.where("not kept"), "left_anti")
+    """One row, of the largest id, of each group with equal texts; ids count with their text.
+
+    A row without an id stays only if no equal text has one. Of rows equal in id
+    and text one stays; null and empty are equal.
+    """
+    found = stored(exact_dedup.exact_dedup(docs, share(6, F.col("doc_id")) < 0.5), "exact-copies")
+    left = _with_rows(docs, found.where("not kept"), "left_anti")
+    again = found.where("kept").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    again = stored(again.select("doc_id", "text_sha256"), "repeated-rows")
+    if again.isEmpty():
+        return left
+    once = _with_rows(left, again, "left_semi").withColumn("_same", F.coalesce("text", F.lit("")))
+    others = [c for c in docs.columns if c != "doc_id"]
+    once = once.groupBy("doc_id", "_same").agg(F.min(F.struct(*others)).alias("_row")).select("doc_id", "_row.*")
+    return _with_rows(left, again, "left_anti").unionByName(once)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each component of near duplicates."""
-    found = near_dedup.near_dedup(docs)
-    return _with_ids(docs, found.where("not kept"), "left_anti")
+    """One row, of the smallest id, of each component of near duplicates; rows without an id stay.
+
+    Where texts share an id, rows are numbered in order of id and text, and the
+    numbers take the place of the ids.
+    """
+    named = docs.where("doc_id is not null")
+    rows = named.select("doc_id", _sha256().alias("text_sha256"))
+    if named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        gone = near_dedup.near_dedup(docs).where("not kept").select("doc_id")
+        return docs.join(_small(stored(gone, "near-copies")), "doc_id", "left_anti").select(*docs.columns)
+    numbers = stored(numbered(rows.distinct(), [], ["doc_id", "text_sha256"], "number"), "numbers")
+    texts = named.select("doc_id", "text", _sha256().alias("text_sha256")).join(numbers, ["doc_id", "text_sha256"])
+    found = near_dedup.near_dedup(texts.select(F.col("number").alias("doc_id"), "text").dropDuplicates(["doc_id"]))
+    gone = found.where("not kept").select(F.col("doc_id").alias("number"))
+    return _with_rows(docs, numbers.join(gone, "number", "left_semi"), "left_anti")
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

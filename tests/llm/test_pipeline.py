@@ -95,3 +95,24 @@ def test_queries_with_sql(spark, name):
 def test_every_operator_has_a_query():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
     assert set(queries.SQL) <= set(queries.QUERIES)
+
+
+def test_rows_without_an_id_and_shared_ids(spark):
+    folder = new_path(spark, "folder")
+    words = lambda n, k=60: " ".join(f"p{n}w{i}" for i in range(k))
+    bad = "Here it is: " + words("bench", 12)
+    spark.createDataFrame([(1, words("bench", 12))], "item_id bigint, text string").write.parquet(f"{folder}/benchmark.parquet")
+    rows = [
+        *[r for r in odd_rows.ROWS],
+        (None, odd_rows.ROWS[0][1], "en"), (None, words(1), "en"), (None, words(1), "en"), (None, words(2), "en"), (None, bad, "en"),
+        (20, words(3), "en"), (20, words(4), "en"), (21, words(4), "en"), (20, bad, "en"),
+        (30, words(5), "en"), (31, words(5) + " more", "en"), (31, words(6), "en"),
+    ]
+    docs = odd_rows.docs(spark, rows)
+    for _, stage in corpus_pipeline.STAGES[1:-1]:
+        docs = stage(spark, docs, folder)
+    twice, empty = odd_rows.ROWS[0][1], (4, "")
+    gone = [(1, twice), (None, twice), (3, None), (None, bad), (20, bad), (20, words(4)), (31, words(5) + " more")]
+    want = {(i, t) for i, t, _ in rows} - set(gone)
+    got = [(r.doc_id, r.text) for r in docs.collect()]
+    assert len(got) == len(set(got)) and set(got) == want and empty in want
