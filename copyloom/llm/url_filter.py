@@ -130,8 +130,11 @@ def judged(pages: DataFrame, rules: list[Rule], model: LogisticRegressionModel |
 
 
 def labels_from_rules(pages: DataFrame, rules: list[Rule], most: int = 4000) -> DataFrame:
-    """Urls that a rule decides, as a small labelled table; `most` bounds it (about, by hash)."""
-    urls = pages.select("url").where("url is not null")
+    """Different urls that a rule decides, as a small labelled table; `most` bounds it (about, by hash).
+
+    Each url counts once, however many rows have it.
+    """
+    urls = pages.select("url").where("url is not null").distinct()
     by_rule = ruled(host(F.col("url")), path(F.col("url")), rules)
     known = urls.select("url", by_rule["verdict"].alias("verdict")).where("verdict is not null")
     count = known.count()

@@ -57,3 +57,11 @@ def test_few_labels_and_empty(spark):
     assert url_filter.fit(labelled.limit(0)) == 0.0
     assert url_filter.judged(table(spark).limit(0), URL_RULES, 0.0).collect() == []
     assert {r.verdict for r in url_filter.judged(table(spark), [], 1.0).collect()} == {"block"}
+
+
+def test_the_sample_counts_different_urls(spark):
+    hot = [("http://a.net/hot",)] * 3000
+    few = [(f"http://example.com/de/{i}",) for i in range(20)] + [(f"http://example.net/en/{i}",) for i in range(20)]
+    pages = spark.createDataFrame([*hot, *few, (None,)], "url string")
+    got = [tuple(r) for r in url_filter.labels_from_rules(pages, URL_RULES, most=100).collect()]
+    assert len(got) == len(set(got)) == 41 and {v for _, v in got} == {"allow", "block"}
