@@ -8,9 +8,10 @@ large depth. Candidates carry a bit sketch that rules out most unlike pairs
 where they are found; the others are compared on whole sets.
 
 The orders are searched twice. The first search takes the nearest plausible
-neighbours of each class, of which the best few are compared. The second one
-goes further, among the classes that had any, and takes all plausible pairs that
-are not connected yet: pairs inside a component can't change it any more.
+neighbours of each class, of which the best few are compared. The second one has
+no distance: all classes that share the first values of a key in any order are
+paired, in blocks, and all plausible pairs that are not connected yet are
+compared. Pairs inside a component can't change it any more.
 """
 
 from __future__ import annotations
@@ -33,10 +34,12 @@ SHARE = 75  # per cent of the union that two sets have to share
 TREES = 24
 DEPTH = 8  # values in a sort key
 
-#: (neighbours up to this distance, values that their keys have to share), for
-#: the first search and the second.
+#: (neighbours up to this distance, values that their keys have to share), for the first search.
 NEAR = ((4, 2), (16, 3))
-FAR = ((4, 2), (16, 3), (64, 5))
+#: Values of a key that classes have to share in the second search, at any distance,
+#: and the classes in a block, each two of which one task compares.
+SHARED = 2
+BLOCK = 2048
 #: Plausible neighbours of a class in each order after which the first search moves on.
 ENOUGH = 2
 
@@ -227,6 +230,60 @@ def candidates(classes: DataFrame, reach: tuple, bits: int, enough: int | None =
     )
 
 
+def region_pairs(classes: DataFrame, bits: int) -> DataFrame:
+    """`id, part_of, n_shingles, signature, bits` → all plausible pairs `a, b` of unlike `part_of`, once each, with a < b.
+
+    Every two classes with `SHARED` equal values at the start of a key meet in the
+    first order where they have them. A large region is cut into blocks by hash,
+    each two of which meet in a group of their own.
+    """
+    ship(classes.sparkSession)
+    start = lambda tree: F.substring(F.col("signature"), tree * (DEPTH * 4) + 1, F.lit(SHARED * 4))
+    starts = F.concat(*[start(F.lit(t)) for t in range(TREES)])
+    tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
+    keyed = classes.select("*", tree).withColumn("start", start(F.col("tree")))
+    regions = stored(
+        keyed.groupBy("tree", "start")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("part_of").alias("least"), F.max("part_of").alias("most"))
+        .where("least != most")
+        .select("tree", "start", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")),
+        "regions",
+    )
+    small = F.broadcast(regions) if regions.count() <= BROADCAST_ROWS // 5 else regions
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    rows = (
+        keyed.join(small, ["tree", "start"])
+        .select(
+            "tree", "start", "id", "part_of", F.col("n_shingles").alias("size"), block.alias("block"), "blocks",
+            F.substring("bits", 1, bits * TREES * DEPTH // 8).alias("bits"), starts.alias("starts"),
+        )
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+    )
+    least, distinct = plausible(bits), 1 - 0.5**bits
+
+    def compare(met: pd.DataFrame) -> pd.DataFrame:
+        low, high, tree = (int(met[c].iloc[0]) for c in ("low", "high", "tree"))
+        met = met.sort_values("block", kind="stable")
+        sketch = np.frombuffer(b"".join(met["bits"]), np.uint64).reshape(len(met), bits, TREES * DEPTH // 64)
+        begin = np.frombuffer(b"".join(met["starts"]), np.dtype((np.void, SHARED * 4))).reshape(len(met), TREES)
+        ids, part, size = (met[c].to_numpy() for c in ("id", "part_of", "size"))
+        edge = int((met["block"] == low).sum())
+        found = []
+        for i in range(edge):
+            there = np.arange(i + 1 if low == high else edge, len(met))
+            there = there[(part[there] != part[i]) & (100 * np.minimum(size[there], size[i]) >= SHARE * np.maximum(size[there], size[i]))]
+            unlike = np.bitwise_count(np.bitwise_or.reduce(sketch[there] ^ sketch[i], axis=1)).sum(axis=1, dtype=np.int64)
+            there = there[1 - unlike / (distinct * TREES * DEPTH) >= least]
+            if tree:
+                there = there[~(begin[there, :tree] == begin[i, :tree]).any(axis=1)]
+            found.append((np.minimum(ids[there], ids[i]), np.maximum(ids[there], ids[i])))
+        a, b = (np.concatenate(x) for x in zip((np.empty(0, np.int64),) * 2, *found))
+        return pd.DataFrame({"a": a, "b": b})
+
+    return rows.groupBy("tree", "start", "low", "high").applyInPandas(compare, "a bigint, b bigint")
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those pairs `a, b` whose whole sets are similar enough; `texts`: `id, text`."""
 
@@ -286,15 +343,18 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     links = stored(confirmed(first, texts), "links")
     part = stored(components(links), "components")
 
-    ids = F.broadcast(involved) if few else involved
     searched = (
-        heads.join(ids, "id", "left_semi")
-        .join(part, "id", "left")
+        heads.join(part, "id", "left")
         .withColumn("part_of", F.coalesce("component_id", "id"))
         .drop("component_id")
     )
-    open_pairs = candidates(stored(searched, "searched"), FAR, FAR_BITS).join(first, ["a", "b"], "left_anti")
-    more = stored(confirmed(open_pairs.select("a", "b"), texts), "more-links")
+    met = region_pairs(stored(searched, "searched"), FAR_BITS)
+    open_pairs = stored(met.join(stored(first, "compared"), ["a", "b"], "left_anti"), "open-pairs")
+    ids = stored(open_pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "open-ids")
+    texts = docs.withColumnRenamed("doc_id", "id").join(
+        F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "id", "left_semi"
+    )
+    more = stored(confirmed(open_pairs, texts), "more-links")
     whole = stored(components(links.unionByName(more)), "components")
     by_words = classes.select("words", F.col("id").alias("head"))
     out = rows.select("doc_id", "n_shingles", "words").join(by_words, "words", "left")

@@ -113,3 +113,22 @@ def test_components(spark, links):
             root[max(x, y)] = min(x, y)
     got = graph.components(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()
     assert sorted(map(tuple, got)) == sorted((x, find(x)) for x in list(root))
+
+
+@pytest.mark.parametrize("block", [2048, 250])
+def test_pairs_in_a_dense_source_of_unlike_pages(spark, monkeypatch, block):
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    template = [f"t{k}" for k in range(94)]  # 90 shingles; pages share 0.72 of their union, pairs 0.765
+    rows = []
+    for i in range(800):
+        tail = [f"u{i}x{k}" for k in range(17 if i % 2 else 18)]
+        if i < 160:
+            tail[:4] = [f"pair{i // 2}x{k}" for k in range(4)]
+        rows.append((i, " ".join(template + tail), "en"))
+    for i in range(0, 160, 2):
+        a, b = shingle_set(rows[i][1]), shingle_set(rows[i + 1][1])
+        assert 100 * len(a & b) >= 75 * len(a | b)
+    assert 100 * 90 < 75 * (90 + 17 + 17)
+    random.Random(1).shuffle(rows)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_dedup(odd_rows.docs(spark, rows)).collect()}
+    assert got == {i: i - i % 2 if i < 160 else i for i in range(800)}
