@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from copyloom.llm import decontamination, exact_dedup, language, line_dedup, near_dedup
-from copyloom.llm import packing, sharding, token_files, toxicity, url_filter
+from copyloom.llm import collocations, decontamination, exact_dedup, language, line_dedup, near_dedup
+from copyloom.llm import packing, sharding, spelling, token_files, toxicity, url_filter
 from copyloom.llm.common import held_out, share, table
 from copyloom.plans.workdir import new_path
 
@@ -177,3 +177,55 @@ def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
         "n_removed",
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"),
     )
+
+
+@query
+def op11_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of all documents with the frequent word that each is a variant of."""
+    return spelling.variants(table(spark, folder, "documents"))
+
+
+@query
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    """The best phrases of two and three words of each language."""
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
+SQL["op13_collocations"] = r"""
+WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[.,;:!?\x0A-\x0D]')) AS p
+  FROM documents
+), listed AS (
+  SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS ws FROM piece
+), place AS (
+  SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) AS pos
+  FROM listed, (SELECT unnest([1, 2, 3]) AS m) WHERE len(ws) >= m
+), counted AS (
+  SELECT lang, ws[pos:pos + m - 1] AS ph, m, count(*) AS f FROM place GROUP BY ALL
+), total AS (
+  SELECT lang, sum(f)::BIGINT AS n FROM counted WHERE m = 1 GROUP BY lang
+), often AS (
+  SELECT * FROM counted WHERE f >= 10
+), inner_part AS (
+  SELECT lang, ph[s:s + 1] AS ph, max(f) AS longer
+  FROM (SELECT *, unnest([1, 2]) AS s FROM often WHERE m = 3) GROUP BY ALL
+), candidate AS (
+  SELECT o.* FROM often o LEFT JOIN inner_part i USING (lang, ph)
+  WHERE m = 3 OR m = 2 AND (longer IS NULL OR 100 * longer < 50 * f)
+), cut AS (
+  SELECT c.lang, c.ph, c.f AS a, k, l.f AS l, r.f AS r,
+         (1000000::HUGEINT * c.f * c.f // (l.f::HUGEINT * r.f))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM candidate) c
+  JOIN often l ON l.lang = c.lang AND l.ph = c.ph[1:k]
+  JOIN often r ON r.lang = c.lang AND r.ph = c.ph[k + 1:]
+), lowest AS (
+  SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, ph ORDER BY score, k) = 1
+), ranked AS (
+  SELECT lang, array_to_string(ph, ' ') AS phrase, a, l, r, score,
+         row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(ph, ' ')) AS rank
+  FROM lowest
+)
+SELECT lang, rank::BIGINT AS rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
