@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from copyloom.llm import collocations, decontamination, exact_dedup, language, line_dedup, near_dedup
-from copyloom.llm import packing, sharding, spelling, token_files, toxicity, url_filter
+from copyloom.llm import packing, pii, sharding, spelling, token_files, toxicity, url_filter
 from copyloom.llm.common import held_out, share, table
 from copyloom.plans.workdir import new_path
 
@@ -185,6 +185,19 @@ def op11_spelling(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.variants(table(spark, folder, "documents"))
 
 
+@query
+def op12_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in all documents: counts of what the rules find, and all spans."""
+    docs = table(spark, folder, "documents")
+    found = pii.found(docs, pii.fit(docs))
+
+    def written(spans: str) -> F.Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(written("base"), 256).alias("base_sha256"), written("spans").alias("spans"))
+
+
 @query
 def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
     """The best phrases of two and three words of each language."""
