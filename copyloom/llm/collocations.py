@@ -21,6 +21,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -35,9 +36,9 @@ INSIDE = 50
 UNKNOWN = "und"
 
 #: Bytes of text in a shard, which is cut between pieces; a longer piece is a shard of its own.
-SHARD = 4_000_000
+SHARD = 8_000_000
 #: Bytes of text that a task holds in unfinished shards of its languages.
-HELD = 24_000_000
+HELD = 32_000_000
 
 _PIECE_END = np.zeros(256, bool)
 _PIECE_END[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = True
@@ -85,6 +86,14 @@ class Index:
         """How often each word is in `last` before the given row."""
         return np.searchsorted(self._keys, words.astype(np.int64) * self.n + rows) - self.first[words]
 
+    def search(self, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the interval of each row of words begins, and its places; word by word from the last."""
+        low, high = self.first[phrases[:, -1]], self.first[phrases[:, -1] + 1]
+        for k in range(phrases.shape[1] - 2, -1, -1):
+            words = phrases[:, k]
+            low, high = (self.first[words] + self.rank(words, x) for x in (low, high))
+        return low, high - low
+
     def step(self, low: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
         """Each interval with each word that stands before it.
 
@@ -110,40 +119,49 @@ def _among(rows: np.ndarray, known: np.ndarray) -> np.ndarray:
     return np.isin(key[len(known) :], key[: len(known)])
 
 
-def grown(numbers: np.ndarray, known: np.ndarray, low: np.ndarray, low_back: np.ndarray, n: np.ndarray, depth: int):
+def grown(index: Index, back: Index, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Phrases one word longer, on the right, whose words but the first are a known phrase as well.
 
-    `known` has a row of word numbers for each known phrase, with its intervals
-    in the index and the reverse one and its count. The same four of the longer.
+    `known` has a row of word numbers for each known phrase. Of the longer ones:
+    the same, their intervals in the index and the reverse one, and their counts.
     """
-    back = Index(numbers[::-1], depth)
+    low, _ = index.search(known)
+    low_back, n = back.search(known[:, ::-1])
     which, word, counts, begin, smaller = back.step(low_back, n)
     longer = np.column_stack([known[which], word])
     kept = (word > 0) & _among(longer[:, 1:], known)
     return longer[kept], (low[which] + smaller)[kept], begin[kept], counts[kept]
 
 
-def extensions(numbers: np.ndarray, low: np.ndarray, low_back: np.ndarray, n: np.ndarray, depth: int):
+def counts_of_longer(numbers: np.ndarray, known: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The longer phrases of `grown` and their counts, for which the reverse index is enough."""
+    back = Index(numbers[::-1], depth)
+    which, word, counts, _, _ = back.step(*back.search(known[:, ::-1]))
+    longer = np.column_stack([known[which], word])
+    kept = (word > 0) & _among(longer[:, 1:], known)
+    return longer[kept], counts[kept]
+
+
+def extensions(numbers: np.ndarray, known: np.ndarray, depth: int) -> list[np.ndarray]:
     """Of each phrase, the occurrences that have a word before, and behind, in their piece."""
     found = []
-    for index, begin in ((Index(numbers, depth), low), (Index(numbers[::-1], depth), low_back)):
+    for index, rows in ((Index(numbers, depth), known), (Index(numbers[::-1], depth), known[:, ::-1])):
+        low, n = index.search(rows)
         running = np.concatenate([[0], np.cumsum(index.last > 0)])
-        found.append(running[begin + n] - running[begin])
+        found.append(running[low + n] - running[low])
     return found
 
 
 def shards(docs: DataFrame, size: int = SHARD) -> DataFrame:
-    """`text, lang` → `shard, lang, numbers` (int32 sequence), `words`, and their `counts` and first places."""
+    """`text, lang` → `shard, lang, numbers, words`: each shard's sequence (int32) and words, line by line, as zstd frames."""
     ship(docs.sparkSession)
-    schema = pa.schema(
-        [("shard", pa.string()), ("lang", pa.string()), ("numbers", pa.binary()), ("words", pa.list_(pa.string()))]
-        + [("counts", pa.list_(pa.int64())), ("begins", pa.list_(pa.int64()))]
-    )
+    schema = pa.schema([("shard", pa.int64()), ("lang", pa.string()), ("numbers", pa.binary()), ("words", pa.binary())])
 
     def out(lang: str, data: bytes) -> pa.RecordBatch:
         numbers, words = sequence(data)
-        counts = np.bincount(numbers, minlength=len(words) + 1)
-        row = [uuid.uuid4().hex, lang, numbers.astype("<i4").tobytes(), words.to_pylist(), counts[1:], np.cumsum(counts)[:-1]]
+        packer = zstandard.ZstdCompressor(3)
+        frames = packer.compress(numbers.astype("<i4").tobytes()), packer.compress("\n".join(words.to_pylist()).encode())
+        row = (uuid.uuid4().int >> 65, lang, *frames)
         return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema)], schema=schema)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,42 +188,65 @@ def shards(docs: DataFrame, size: int = SHARD) -> DataFrame:
         for name, own in held.items():
             yield out(name, bytes(own))
 
-    return docs.select("text", "lang").mapInArrow(
-        make,
-        "shard string, lang string, numbers binary, words array<string>, counts array<bigint>, begins array<bigint>",
-    )
+    return docs.select("text", "lang").mapInArrow(make, "shard bigint, lang string, numbers binary, words binary")
+
 
+def unpacked(numbers: bytes, words: bytes) -> tuple[np.ndarray, pa.Array]:
+    """A shard's sequence and words."""
+    opener = zstandard.ZstdDecompressor()
+    text = opener.decompress(words).decode()
+    return np.frombuffer(opener.decompress(numbers), "<i4"), pa.array(text.split("\n") if text else [], pa.large_string())
 
-_GROWN = "shard string, lang string, phrase string, local array<int>, low bigint, low_back bigint, n bigint"
-_WITH_SIDES = _GROWN + ", before bigint, behind bigint"
 
+_LEVEL = "shard bigint, lang string, phrase string, n bigint"
+_SIDES = _LEVEL + ", before bigint, behind bigint"
 
-def _of_shards(sequences: DataFrame, known: DataFrame, longest: int, extend: bool) -> DataFrame:
+
+def _words(held: DataFrame) -> DataFrame:
+    """Every word of every shard with its count."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                numbers, words = unpacked(row["numbers"], row["words"])
+                counts = np.bincount(numbers, minlength=len(words) + 1)[1:]
+                for at in range(0, len(words), 50_000):
+                    some = words[at : at + 50_000].cast(pa.string())
+                    shard = pa.array(np.full(len(some), row["shard"]), pa.int64())
+                    lang = pa.array([row["lang"]] * len(some), pa.string())
+                    columns = [shard, lang, some, pa.array(counts[at : at + len(some)], pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, ["shard", "lang", "phrase", "n"])
+
+    return held.mapInArrow(count, _LEVEL)
+
+
+def _of_shards(held: DataFrame, known: DataFrame, longest: int, extend: bool) -> DataFrame:
     """Known phrases of every shard made longer, or with their extensions on either side."""
-    columns = [c.split()[0] for c in (_GROWN if extend else _WITH_SIDES).split(", ")]
+    columns = [c.split()[0] for c in (_LEVEL if extend else _SIDES).split(", ")]
 
     def work(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({c: pd.Series(dtype=object) for c in columns})
         if not len(left) or not len(right):
             return none
-        numbers = np.frombuffer(left["numbers"].iloc[0], "<i4")
-        low, low_back, n = (right[c].to_numpy(np.int64) for c in ("low", "low_back", "n"))
+        shard, lang = (left[c].iloc[0] for c in ("shard", "lang"))
+        numbers, words = unpacked(left["numbers"].iloc[0], left["words"].iloc[0])
+        parts = pc.split_pattern(pa.array(right["phrase"], pa.large_string()), " ")
+        local = (pc.index_in(parts.flatten(), words).to_numpy().astype(np.int32) + 1).reshape(len(right), -1)
         if not extend:
-            before, behind = extensions(numbers, low, low_back, n, longest)
-            return right.assign(before=before, behind=behind)[columns]
-        local = np.stack(right["local"].to_numpy()).astype(np.int32)
-        made, low, low_back, n = grown(numbers, local, low, low_back, n, longest)
+            before, behind = extensions(numbers, local, longest)
+            return right.assign(lang=lang, before=before, behind=behind)[columns]
+        made, n = counts_of_longer(numbers, local, longest)
         if not len(made):
             return none
-        words = pa.array(left["words"].iloc[0], pa.large_string())
         parts = [words.take(pa.array(made[:, k] - 1, pa.int64())) for k in range(made.shape[1])]
         phrase = pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string()))
-        out = pd.DataFrame({"phrase": phrase.to_pandas(), "local": list(made), "low": low, "low_back": low_back, "n": n})
-        return out.assign(shard=left["shard"].iloc[0], lang=left["lang"].iloc[0])[columns]
+        return pd.DataFrame({"phrase": phrase.to_pandas(), "n": n}).assign(shard=shard, lang=lang)[columns]
 
     # Aliased: the phrases come from the same table.
-    some = sequences.select(*[F.col(c).alias(c) for c in ("shard", "lang", "numbers", *(["words"] if extend else []))])
-    return some.groupBy("shard").cogroup(known.groupBy("shard")).applyInPandas(work, _GROWN if extend else _WITH_SIDES)
+    some = held.select(*[F.col(c).alias(c) for c in ("shard", "lang", "numbers", "words")])
+    return some.groupBy("shard").cogroup(known.select("shard", "phrase", "n").groupBy("shard")).applyInPandas(
+        work, _LEVEL if extend else _SIDES
+    )
 
 
 def phrase_counts(
@@ -217,33 +258,24 @@ def phrase_counts(
     have a word `before` and `behind` in their piece.
     """
     held = stored(shards(docs), "shards")
-    zipped = F.posexplode(F.arrays_zip("words", "counts", "begins")).alias("at", "of")
-    level = held.select("shard", "lang", zipped).select(
-        "shard",
-        "lang",
-        F.col("of.words").alias("phrase"),
-        F.array((F.col("at") + 1).cast("int")).alias("local"),
-        F.col("of.begins").alias("low"),
-        F.col("of.begins").alias("low_back"),
-        F.col("of.counts").alias("n"),
-    )
-    of_shard = F.aggregate("counts", F.lit(0).cast("bigint"), lambda total, x: total + x)
-    totals = held.select("lang", of_shard.alias("n")).groupBy("lang").agg(F.sum("n").alias("n"))
-    found = []
+    level = _words(held)
+    totals = stored(level.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
+    out = None
+    of_phrase = Window.partitionBy("lang", "phrase")
     for size in range(1, longest + 1):
-        summed = level.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-        frequent = stored(summed.select("lang", "phrase", F.lit(size).alias("words"), "f"), "phrases")
-        known = level.join(frequent.select("lang", "phrase"), ["lang", "phrase"], "left_semi")
+        # One shuffle sums a phrase over its shards and keeps those rows that go on.
+        known = level.withColumn("f", F.sum("n").over(of_phrase)).where(F.col("f") >= least)
+        known = stored(known.select("shard", "lang", "phrase", "n", "f"), "phrases")
+        frequent = known.groupBy("lang", "phrase").agg(F.first("f").alias("f"))
+        frequent = frequent.select("lang", "phrase", F.lit(size).alias("words"), "f")
         if sides:
             told = _of_shards(held, known, longest, False).groupBy("lang", "phrase")
-            frequent = frequent.join(told.agg(F.sum("before").alias("before"), F.sum("behind").alias("behind")), ["lang", "phrase"])
-        found.append(frequent)
+            told = told.agg(F.sum("before").alias("before"), F.sum("behind").alias("behind"))
+            frequent = frequent.join(told, ["lang", "phrase"])
+        out = frequent if out is None else out.unionByName(frequent)
         if size < longest:
-            level = stored(_of_shards(held, known, longest, True), "grown")
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out, stored(totals.where("n > 0"), "totals")
+            level = _of_shards(held, known, longest, True)
+    return stored(out, "phrase-counts"), totals
 
 
 def _part(first: str, length: str) -> F.Column:

@@ -77,10 +77,11 @@ def test_small_shards_give_the_same(spark, monkeypatch):
     assert len(held) > 20
     again = {}
     for r in held:
-        numbers = np.frombuffer(r["numbers"], "<i4")
+        numbers, words = co.unpacked(r["numbers"], r["words"])
+        words = words.to_pylist()
         own = again.setdefault(r["lang"], Counter())
         for piece in np.split(numbers, np.flatnonzero(numbers == 0)):
-            ws = [r["words"][i - 1] for i in piece if i]
+            ws = [words[i - 1] for i in piece if i]
             for m in (1, 2, 3):
                 own.update(tuple(ws[i : i + m]) for i in range(len(ws) - m + 1))
     assert {k: v for k, v in again.items() if v} == {k: v for k, v in counted(rows, 3).items() if v}
@@ -95,20 +96,24 @@ def test_intervals_are_counts():
     numbers, words = co.sequence(data)
     assert numbers[0] == numbers[-1] == 0
     names = words.to_pylist()
-    index = co.Index(numbers, 3)
+    index, back = co.Index(numbers, 3), co.Index(numbers[::-1], 3)
     known = np.arange(1, len(names) + 1)[:, None]
-    low, n = index.first[known[:, 0]], np.diff(index.first)[known[:, 0]]
     want = counted([(0, data.decode(), "x")], 4)["x"]
-    back = low
-    for _ in range(2):
-        before, behind = co.extensions(numbers, low, back, n, 3)
-        for row, a, b in zip(known, before, behind):
+    for _ in range(3):
+        for row, a, b in zip(known, *co.extensions(numbers, known, 3)):
             p = tuple(names[i - 1] for i in row)
             assert a == sum(want[(w, *p)] for w in names) and b == sum(want[(*p, w)] for w in names)
-        known, low, back, n = co.grown(numbers, known, low, back, n, 3)
-        assert {tuple(names[i - 1] for i in row): c for row, c in zip(known, n)} == {
-            p: c for p, c in want.items() if len(p) == known.shape[1]
+        if known.shape[1] == 3:
+            break
+        longer, low, low_back, n = co.grown(index, back, known)
+        assert all((x == y).all() for x, y in zip(index.search(longer), (low, n)))
+        assert all((x == y).all() for x, y in zip(back.search(longer[:, ::-1]), (low_back, n)))
+        assert {tuple(names[i - 1] for i in row): c for row, c in zip(longer, n)} == {
+            p: c for p, c in want.items() if len(p) == longer.shape[1]
         }
+        plainer = co.counts_of_longer(numbers, known, 3)
+        assert (plainer[0] == longer).all() and (plainer[1] == n).all()
+        known = longer
 
 
 def test_sides_of_phrases(spark):
