@@ -110,13 +110,16 @@ class Index:
         return which, word, counts, self.first[word] + self.rank(word, low[which]), smaller
 
 
-def _among(rows: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Which rows of numbers are among the known ones."""
+def _places(rows: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of the known rows of numbers, all different, each row is; -1 for others."""
     both = np.concatenate([known, rows]).astype(np.int64)
     key = both[:, 0]
     for k in range(1, both.shape[1]):
         key = np.unique(key * (both[:, k].max(initial=0) + 1) + both[:, k], return_inverse=True)[1]
-    return np.isin(key[len(known) :], key[: len(known)])
+    order = np.argsort(key[: len(known)])
+    sorted_keys, wanted = key[order], key[len(known) :]
+    at = np.minimum(np.searchsorted(sorted_keys, wanted), len(known) - 1)
+    return np.where(sorted_keys[at] == wanted, order[at], -1)
 
 
 def grown(index: Index, back: Index, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -129,17 +132,20 @@ def grown(index: Index, back: Index, known: np.ndarray) -> tuple[np.ndarray, np.
     low_back, n = back.search(known[:, ::-1])
     which, word, counts, begin, smaller = back.step(low_back, n)
     longer = np.column_stack([known[which], word])
-    kept = (word > 0) & _among(longer[:, 1:], known)
+    kept = (word > 0) & (_places(longer[:, 1:], known) >= 0)
     return longer[kept], (low[which] + smaller)[kept], begin[kept], counts[kept]
 
 
-def counts_of_longer(numbers: np.ndarray, known: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The longer phrases of `grown` and their counts, for which the reverse index is enough."""
+def counts_of_longer(numbers: np.ndarray, known: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The longer phrases of `grown`, for which the reverse index is enough.
+
+    Which known phrase each one begins with, which one it ends with, and its count.
+    """
     back = Index(numbers[::-1], depth)
     which, word, counts, _, _ = back.step(*back.search(known[:, ::-1]))
-    longer = np.column_stack([known[which], word])
-    kept = (word > 0) & _among(longer[:, 1:], known)
-    return longer[kept], counts[kept]
+    ends = _places(np.column_stack([known[which], word])[:, 1:], known)
+    kept = (word > 0) & (ends >= 0)
+    return which[kept], ends[kept], counts[kept]
 
 
 def extensions(numbers: np.ndarray, known: np.ndarray, depth: int) -> list[np.ndarray]:
@@ -198,8 +204,9 @@ def unpacked(numbers: bytes, words: bytes) -> tuple[np.ndarray, pa.Array]:
     return np.frombuffer(opener.decompress(numbers), "<i4"), pa.array(text.split("\n") if text else [], pa.large_string())
 
 
-_LEVEL = "shard bigint, lang string, phrase string, n bigint"
-_SIDES = _LEVEL + ", before bigint, behind bigint"
+_WORDS = "shard bigint, lang string, phrase string, n bigint"
+_LONGER = "shard bigint, head bigint, tail bigint, n bigint"
+_SIDES = "id bigint, before bigint, behind bigint"
 
 
 def _words(held: DataFrame) -> DataFrame:
@@ -217,36 +224,43 @@ def _words(held: DataFrame) -> DataFrame:
                     columns = [shard, lang, some, pa.array(counts[at : at + len(some)], pa.int64())]
                     yield pa.RecordBatch.from_arrays(columns, ["shard", "lang", "phrase", "n"])
 
-    return held.mapInArrow(count, _LEVEL)
+    return held.mapInArrow(count, _WORDS)
 
 
 def _of_shards(held: DataFrame, known: DataFrame, longest: int, extend: bool) -> DataFrame:
-    """Known phrases of every shard made longer, or with their extensions on either side."""
-    columns = [c.split()[0] for c in (_LEVEL if extend else _SIDES).split(", ")]
+    """Known phrases of every shard made longer, or with their extensions on either side.
+
+    A longer phrase is named by the known phrases that it begins and ends with.
+    """
+    schema = _LONGER if extend else _SIDES
+    columns = [c.split()[0] for c in schema.split(", ")]
 
     def work(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({c: pd.Series(dtype=object) for c in columns})
         if not len(left) or not len(right):
-            return none
-        shard, lang = (left[c].iloc[0] for c in ("shard", "lang"))
+            return pd.DataFrame({c: pd.Series(dtype="int64") for c in columns})
         numbers, words = unpacked(left["numbers"].iloc[0], left["words"].iloc[0])
         parts = pc.split_pattern(pa.array(right["phrase"], pa.large_string()), " ")
         local = (pc.index_in(parts.flatten(), words).to_numpy().astype(np.int32) + 1).reshape(len(right), -1)
+        ids = right["id"].to_numpy()
         if not extend:
             before, behind = extensions(numbers, local, longest)
-            return right.assign(lang=lang, before=before, behind=behind)[columns]
-        made, n = counts_of_longer(numbers, local, longest)
-        if not len(made):
-            return none
-        parts = [words.take(pa.array(made[:, k] - 1, pa.int64())) for k in range(made.shape[1])]
-        phrase = pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string()))
-        return pd.DataFrame({"phrase": phrase.to_pandas(), "n": n}).assign(shard=shard, lang=lang)[columns]
+            return pd.DataFrame({"id": ids, "before": before, "behind": behind})
+        head, tail, n = counts_of_longer(numbers, local, longest)
+        return pd.DataFrame({"shard": left["shard"].iloc[0], "head": ids[head], "tail": ids[tail], "n": n})[columns]
 
     # Aliased: the phrases come from the same table.
-    some = held.select(*[F.col(c).alias(c) for c in ("shard", "lang", "numbers", "words")])
-    return some.groupBy("shard").cogroup(known.select("shard", "phrase", "n").groupBy("shard")).applyInPandas(
-        work, _LEVEL if extend else _SIDES
-    )
+    some = held.select(*[F.col(c).alias(c) for c in ("shard", "numbers", "words")])
+    return some.groupBy("shard").cogroup(known.select("shard", "phrase", "id").groupBy("shard")).applyInPandas(work, schema)
+
+
+def _frequent(level: DataFrame, key: list[str], least: int) -> DataFrame:
+    """Rows of phrases that are frequent over all shards, with their sum `f` and a number `id` of the phrase.
+
+    One shuffle sums a phrase over its shards and keeps the rows that go on.
+    """
+    of_phrase = Window.partitionBy(*key)
+    kept = level.withColumn("f", F.sum("n").over(of_phrase)).where(F.col("f") >= least)
+    return kept.withColumn("_row", F.monotonically_increasing_id()).withColumn("id", F.min("_row").over(of_phrase)).drop("_row")
 
 
 def phrase_counts(
@@ -260,21 +274,25 @@ def phrase_counts(
     held = stored(shards(docs), "shards")
     level = _words(held)
     totals = stored(level.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
+    known = stored(_frequent(level, ["lang", "phrase"], least).drop("n"), "phrases")
     out = None
-    of_phrase = Window.partitionBy("lang", "phrase")
     for size in range(1, longest + 1):
-        # One shuffle sums a phrase over its shards and keeps those rows that go on.
-        known = level.withColumn("f", F.sum("n").over(of_phrase)).where(F.col("f") >= least)
-        known = stored(known.select("shard", "lang", "phrase", "n", "f"), "phrases")
-        frequent = known.groupBy("lang", "phrase").agg(F.first("f").alias("f"))
-        frequent = frequent.select("lang", "phrase", F.lit(size).alias("words"), "f")
+        names = stored(
+            known.groupBy("id").agg(F.first("lang").alias("lang"), F.first("phrase").alias("phrase"), F.first("f").alias("f")),
+            "phrase-names",
+        )
+        told = names.select("id", "lang", "phrase", F.lit(size).alias("words"), "f")
         if sides:
-            told = _of_shards(held, known, longest, False).groupBy("lang", "phrase")
-            told = told.agg(F.sum("before").alias("before"), F.sum("behind").alias("behind"))
-            frequent = frequent.join(told, ["lang", "phrase"])
-        out = frequent if out is None else out.unionByName(frequent)
-        if size < longest:
-            level = _of_shards(held, known, longest, True)
+            of_sides = _of_shards(held, known, longest, False).groupBy("id")
+            told = told.join(of_sides.agg(F.sum("before").alias("before"), F.sum("behind").alias("behind")), "id")
+        out = told.drop("id") if out is None else out.unionByName(told.drop("id"))
+        if size == longest:
+            break
+        longer = _frequent(_of_shards(held, known, longest, True), ["head", "tail"], least)
+        heads = names.select(F.col("id").alias("head"), "lang", F.col("phrase").alias("_begin"))
+        tails = names.select(F.col("id").alias("tail"), F.substring_index("phrase", " ", -1).alias("_last"))
+        longer = longer.join(heads, "head").join(tails, "tail")
+        known = stored(longer.select("shard", "lang", F.concat_ws(" ", "_begin", "_last").alias("phrase"), "f", "id"), "phrases")
     return stored(out, "phrase-counts"), totals
 
 
