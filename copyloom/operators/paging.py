@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -34,7 +36,12 @@ def listing_links(
     parse, which is stored with the anchors and the scopes of all platforms, so
     html is read once and never shuffled.
     """
-    wanted = listing.where(F.col("page_no").between(1, max_pages))
+    read = _parsed(listing.where(F.col("page_no").between(1, max_pages)))
+    return _links_by_platform(read.drop("platform"), _platforms(read), strict)
+
+
+def _parsed(wanted: DataFrame) -> DataFrame:
+    """Listing pages with their anchors, stored; `platform` on page 1 only."""
     platform = F.when(
         F.col("page_no") == 1, urls.detect_platform(F.col("collection_url"), F.coalesce("html", F.lit("")))
     )
@@ -50,14 +57,21 @@ def listing_links(
         facts=False,
         base="collection_url",
     ).select("collection_url", "page_no", "empty", "has_next", "platform", "anchors")
-    path = new_path(listing.sparkSession, "listing")
-    parsed.write.parquet(path)
-    read = listing.sparkSession.read.schema(parsed.schema).parquet(path)
-    platforms = read.where("platform is not null").groupBy("collection_url").agg(
-        F.min("platform").alias("_platform")
-    )
-    joined = read.drop("platform").join(platforms, "collection_url", "left")
-    return joined.select(
+    return _stored(parsed, "listing")
+
+
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _platforms(read: DataFrame) -> DataFrame:
+    return read.where("platform is not null").groupBy("collection_url").agg(F.min("platform").alias("_platform"))
+
+
+def _links_by_platform(read: DataFrame, platforms: DataFrame, strict: bool) -> DataFrame:
+    return read.join(platforms, "collection_url", "left").select(
         "collection_url",
         "page_no",
         "empty",
@@ -95,6 +109,7 @@ def stop_page(
     news: DataFrame,
     max_pages: int = rules.MAX_LISTING_PAGES,
     clicked: bool = False,
+    starts: DataFrame | None = None,
 ) -> DataFrame:
     """First page that is not kept, per collection, and why.
 
@@ -103,9 +118,11 @@ def stop_page(
     stop page when it is page 1 or follows a page with news, so those are the
     candidates; no list of all page numbers is needed. With `clicked`, paging
     also ends behind a page without a next control, and an empty page counts
-    as one without links.
+    as one without links. `starts` (`collection_url, page_no`) names where paging
+    goes on, if not at page 1 of each collection.
     """
-    starts = pages.select("collection_url").distinct().withColumn("page_no", F.lit(1))
+    if starts is None:
+        starts = pages.select("collection_url").distinct().withColumn("page_no", F.lit(1))
     follow = news.select("collection_url", (F.col("page_no") + 1).alias("page_no"))
     stop = (
         starts.unionByName(follow)
@@ -196,11 +213,94 @@ def crawl(
 
     The parse of each page is stored, so html is read once only.
     """
-    per_page = listing_links(listing, max_pages, strict)
+    return paged_links(*_by_link_and_page(listing_links(listing, max_pages, strict)), max_pages, clicked)
+
+
+def _by_link_and_page(per_page: DataFrame) -> tuple[DataFrame, DataFrame]:
     long = per_page.select(
         "collection_url", "page_no", F.posexplode("links").alias("_pos", "link")
     ).select("collection_url", "page_no", (F.col("_pos") + 1).alias("ordinal"), "link")
     pages = per_page.select(
         "collection_url", "page_no", "empty", "has_next", F.size("links").alias("n_links")
     )
-    return paged_links(long, pages, max_pages, clicked)
+    return long, pages
+
+
+@dataclass
+class Crawl:
+    """Links that paging collects, where and why it stops, and the pages that were read for it."""
+
+    links: DataFrame
+    stops: DataFrame
+    read: DataFrame
+
+
+#: Pages of a collection that are read at a time.
+WAVE = 4
+#: Open collections that may be broadcast to the pages of a wave.
+BROADCAST_ROWS = 500_000
+
+
+def crawl_in_waves(
+    listing: DataFrame,
+    max_pages: int = rules.MAX_LISTING_PAGES,
+    clicked: bool = False,
+    strict: bool = False,
+    wave: int = WAVE,
+) -> Crawl:
+    """As `crawl`, but pages are only read while their collection is open.
+
+    Pages 1 to `wave` of all collections are read first; what is new on them and
+    which collections go on is stored, and the next pages are read of those
+    alone, so that none more than a wave behind a stop is parsed. There are
+    `max_pages / wave` waves at most. Where the listing is stored by page number
+    (`write_listing`), a wave reads only its own files. Open collections are
+    joined before the page job: broadcast up to `BROADCAST_ROWS`, and beyond by
+    shuffle, in which case html of the wave's pages moves.
+    """
+    if wave < 1:
+        raise ValueError("a wave has one page at least")
+    known = listing.where(F.col("page_no").between(1, max_pages)).select("collection_url").distinct()
+    still_open = _stored(known, "open-collections")
+    kept: list[DataFrame] = []
+    stops: list[DataFrame] = []
+    read: list[DataFrame] = []
+    for low in range(1, max_pages + 1, wave):
+        high = min(low + wave - 1, max_pages)
+        wanted = listing.where(F.col("page_no").between(low, high))
+        if low > 1:
+            here = still_open.select("collection_url")
+            wanted = wanted.join(
+                F.broadcast(here) if here.count() <= BROADCAST_ROWS else here, "collection_url", "left_semi"
+            )
+        parsed = _parsed(wanted)
+        read.append(parsed.select("collection_url", "page_no"))
+        if low == 1:
+            still_open = _stored(still_open.join(_platforms(parsed), "collection_url", "left"), "open-collections")
+        long, pages = _by_link_and_page(_links_by_platform(parsed.drop("platform"), still_open, strict))
+        first = first_seen(long)
+        for earlier in kept:
+            first = first.join(earlier.select("collection_url", "link"), ["collection_url", "link"], "left_anti")
+        first = _stored(first, "wave-news")
+        starts = still_open.select("collection_url", F.lit(low).alias("page_no"))
+        ends = _stored(stop_page(pages, new_per_page(first), high, clicked, starts), "wave-stops")
+        news = first.join(ends.select("collection_url", "stop_page"), "collection_url")
+        kept.append(_stored(news.where(F.col("page_no") < F.col("stop_page")).drop("stop_page"), "wave-links"))
+        goes_on = F.col("stop_reason") == "max_pages"
+        if high == max_pages:
+            stops.append(ends)
+            break
+        stops.append(ends.where(~goes_on))
+        still_open = _stored(
+            still_open.join(ends.where(goes_on).select("collection_url"), "collection_url", "left_semi"), "open-collections"
+        )
+        if still_open.isEmpty():
+            break
+    return Crawl(*(_all(parts) for parts in (kept, stops, read)))
+
+
+def _all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

@@ -101,3 +101,16 @@ def collect_links(
     kept, stops = paging.crawl(listing, max_pages, clicked, strict)
     numbered = paging.with_sequence(kept).select("collection_url", "seq", "link")
     return numbered, stops
+
+
+def collect_links_in_waves(
+    listing: DataFrame,
+    max_pages: int = rules.MAX_LISTING_PAGES,
+    clicked: bool = False,
+    strict: bool = False,
+    wave: int = paging.WAVE,
+) -> tuple[DataFrame, DataFrame]:
+    """The same as `collect_links`, reading pages of open collections only."""
+    done = paging.crawl_in_waves(listing, max_pages, clicked, strict, wave)
+    numbered = paging.with_sequence(done.links).select("collection_url", "seq", "link")
+    return numbered, done.stops

@@ -28,6 +28,11 @@ def write_links(links: DataFrame, path: str) -> bool:
     return True
 
 
+def write_listing(listing: DataFrame, path: str) -> None:
+    """Listing pages in a folder per page number, so that paging reads those it gets to."""
+    listing.write.mode("errorifexists").partitionBy("page_no").parquet(path)
+
+
 def write_requests(prompts: DataFrame, path: str) -> None:
     """Prompts as generation payloads, one JSON object per line with its request id."""
     body = request_json(F.col("prompt")).alias("body")

@@ -16,6 +16,11 @@ def read_snapshot(spark: SparkSession, path: str, schema: T.StructType = schemas
     return spark.read.schema(schema).parquet(path)
 
 
+def read_listing(spark: SparkSession, path: str) -> DataFrame:
+    """Listing pages written by `write_listing`; a filter on `page_no` leaves out other folders."""
+    return spark.read.schema(schemas.LISTING_PAGES).parquet(path)
+
+
 def read_requests(spark: SparkSession, path: str) -> DataFrame:
     """One JSON request per line; a damaged line gives NULL fields."""
     return spark.read.schema(schemas.REQUESTS).json(path)

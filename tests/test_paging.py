@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from copyloom import schemas
 from copyloom.operators import paging
+from copyloom.sources import sinks, snapshots
 
 
 def loop(pages, max_pages, clicked=False):
@@ -138,3 +139,56 @@ def test_frontier(spark):
 def test_preview(spark):
     rows = spark.createDataFrame([(i,) for i in range(9, 0, -1)], "seq int")
     assert [r.seq for r in paging.first_rows(rows, ["seq"]).collect()] == [1, 2, 3, 4, 5]
+
+
+def shop_pages(n, seed):
+    """Listing pages with links that come again, pages without any, empty and missing ones."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        base = f"https://x{i}/collections/a" if i % 3 else f"https://x{i}/list"
+        for no in range(1, rng.randint(2, 11)):
+            if rng.random() < 0.06:
+                continue
+            names = [rng.choice("abcdefghijklmnopqrst") for _ in range(rng.choice([0, 1, 3, 4]))]
+            html = "".join(f'<a href="/products/{x}">.</a>' for x in names)
+            rows.append((base, no, rng.choice([None, "", html, html, html, html, html, html]), rng.random() < 0.9))
+    return rows
+
+
+@pytest.mark.parametrize("wave,clicked", [(1, False), (2, True), (3, False), (20, False)])
+def test_waves_collect_the_same(spark, tmp_path, wave, clicked):
+    rows = shop_pages(60, wave)
+    path = str(tmp_path / "listing")
+    sinks.write_listing(spark.createDataFrame(rows, schemas.LISTING_PAGES), path)
+    listing = snapshots.read_listing(spark, path)
+    links, stops = paging.crawl(listing, 8, clicked)
+    done = paging.crawl_in_waves(listing, 8, clicked, wave=wave)
+    for ours, theirs in ((done.links, links), (done.stops, stops)):
+        assert sorted(map(tuple, ours.select(*theirs.columns).collect())) == sorted(map(tuple, theirs.collect()))
+    ends = {r.collection_url: r.stop_page for r in stops.collect()}
+    assert len(set(ends.values())) > 3
+    read = [(r.collection_url, r.page_no) for r in done.read.collect()]
+    assert len(read) == len(set(read))
+    # Only pages of the wave that a collection stops in, and before.
+    upto = {c: min(8, -(-stop // wave) * wave) for c, stop in ends.items()}
+    assert sorted(read) == sorted((c, no) for c, no, *_ in rows if no <= upto[c])
+    if wave < 4:
+        assert len(read) < 0.8 * len([r for r in rows if r[1] <= 8])
+
+
+def test_a_wave_reads_its_own_files(spark, tmp_path):
+    path = str(tmp_path / "listing")
+    sinks.write_listing(spark.createDataFrame(shop_pages(5, 1), schemas.LISTING_PAGES), path)
+    some = snapshots.read_listing(spark, path).where("page_no between 3 and 4")
+    assert {f.split("page_no=")[1][0] for f in some.inputFiles()} >= {"3", "4"}
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(page_no" in plan
+
+
+def test_waves_of_nothing(spark):
+    none = spark.createDataFrame([], schemas.LISTING_PAGES)
+    done = paging.crawl_in_waves(none)
+    assert done.links.count() == done.stops.count() == done.read.count() == 0
+    with pytest.raises(ValueError):
+        paging.crawl_in_waves(none, wave=0)
