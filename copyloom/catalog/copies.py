@@ -340,6 +340,49 @@ def history_fill(t: Tables) -> DataFrame:
     )
 
 
+# Pools of a thousand part names; half of all edits, one for each line item, are of
+# the first pool. Deletions are of the first word, so that SQL can say where an edit meets.
+_LOG_EDITS = """
+  SELECT CAST(CASE WHEN l_orderkey % 2 = 0 THEN 0 ELSE floor(l_partkey / 1000) END AS BIGINT) AS domain,
+    CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS edit_no,
+    CASE WHEN l_partkey % 97 = 0 THEN 0 ELSE l_suppkey * 7 % 1100 END AS pos,
+    CASE WHEN l_partkey % 97 = 0 THEN 'delete' ELSE 'set' END AS op,
+    'w' || CAST(l_orderkey AS VARCHAR) AS value"""
+
+
+@query(
+    f"""
+WITH word AS (
+  SELECT CAST(floor(p_partkey / 1000) AS BIGINT) AS domain, p_name AS word,
+    row_number() OVER (PARTITION BY floor(p_partkey / 1000) ORDER BY p_partkey) - 1 AS i FROM part
+),
+edit AS ({_LOG_EDITS} FROM lineitem),
+met AS (
+  SELECT *, row_number() OVER w AS nr, coalesce(sum(CAST(op = 'delete' AS INT)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gone
+  FROM edit WINDOW w AS (PARTITION BY domain ORDER BY edit_no, pos, op, value)
+),
+last AS (SELECT domain, pos + gone AS i, arg_max(value, nr) AS value FROM met WHERE op = 'set' GROUP BY ALL),
+total AS (SELECT domain, sum(CAST(op = 'delete' AS INT)) AS gone FROM edit GROUP BY ALL)
+SELECT word.domain, CAST(i - coalesce(gone, 0) AS BIGINT) AS place, coalesce(value, word) AS word
+FROM word LEFT JOIN last USING (domain, i) LEFT JOIN total USING (domain) WHERE i >= coalesce(gone, 0)"""
+)
+def pool_edit_log(t: Tables) -> DataFrame:
+    """A long log of edits, half of them of one pool, as scripts joined in a tree."""
+    pools = t.part.groupBy(F.floor(F.col("p_partkey") / 1000).cast("string").alias("domain")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))), lambda p: p["p_name"]).alias("keywords_pool")
+    )
+    edits = t.lineitem.select(
+        F.expr("CAST(CAST(CASE WHEN l_orderkey % 2 = 0 THEN 0 ELSE floor(l_partkey / 1000) END AS BIGINT) AS STRING)").alias("domain"),
+        F.expr("CAST(l_orderkey * 8 + l_linenumber AS BIGINT)").alias("edit_no"),
+        F.expr("CASE WHEN l_partkey % 97 = 0 THEN 0 ELSE l_suppkey * 7 % 1100 END").alias("pos"),
+        F.expr("CASE WHEN l_partkey % 97 = 0 THEN 'delete' ELSE 'set' END").alias("op"),
+        F.concat(F.lit("w"), F.col("l_orderkey").cast("string")).alias("value"),
+    )
+    return hist.edit_pools(pools, edits).select(
+        F.col("domain").cast("bigint").alias("domain"), F.posexplode("keywords_pool").alias("place", "word")
+    ).select("domain", F.col("place").cast("bigint").alias("place"), "word")
+
+
 @query(
     f"""
 WITH h AS (SELECT doc_id, {sql_parts('text', ',')} AS pool FROM documents),

@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import sys
+from bisect import bisect_right, insort
+from collections.abc import Iterable
+
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,6 +18,10 @@ from copyloom.functions import keywords as kw
 from copyloom.functions import text as tx
 from copyloom.functions import urls
 from copyloom.plans.skew import numbered
+from copyloom.plans.workdir import new_path
+
+#: Places of a pool that go, places that get another word, and those words.
+Script = tuple[np.ndarray, np.ndarray, list[str]]
 
 FILLED = ("brand_name", "target_market", "competitor_urls", "brand_info")
 
@@ -86,38 +97,137 @@ def fill_from_history(requests: DataFrame, history: DataFrame) -> DataFrame:
     )
 
 
+#: Edits that one task folds, and scripts that one task joins.
+EDIT_BLOCK = 1024
+JOINED = 16
+
+_SCRIPT = "domain string, block bigint, gone array<bigint>, places array<bigint>, words array<string>"
+
+
+def script_of(edits: Iterable[tuple[int, str, str | None]], size: int) -> Script:
+    """Edits `pos, op, value`, one after the other, as one script for a pool of at most `size` words.
+
+    A script says which places of the pool go and which get another word, all as
+    they are before the first edit. Words behind the pool's end can't come to
+    stand before it, so edits of them change nothing that is there.
+    """
+    gone: list[int] = []
+    words: dict[int, str] = {}
+    for pos, op, value in edits:
+        # The place before: it has as many places that went in front of it as it moved by.
+        place = pos
+        while (moved := pos + bisect_right(gone, place)) != place:
+            place = moved
+        if place >= size:
+            continue
+        if op == "delete":
+            insort(gone, place)
+            words.pop(place, None)
+        else:
+            words[place] = value
+    return np.array(gone, np.int64), np.array(sorted(words), np.int64), [words[p] for p in sorted(words)]
+
+
+def joined_scripts(first: Script, second: Script, size: int) -> Script:
+    """One script that does what the first and then the second does; joining is associative."""
+    gone, places, words = first
+    shift = gone - np.arange(len(gone))
+
+    def before(at: np.ndarray) -> np.ndarray:
+        return at + np.searchsorted(shift, at, side="right")
+
+    more, again = before(second[0]), before(second[1])
+    gone = np.union1d(gone, more[more < size])
+    changed = dict(zip(places.tolist(), words)) | {p: w for p, w in zip(again.tolist(), second[2]) if p < size}
+    for place in more.tolist():
+        changed.pop(place, None)
+    left = sorted(changed)
+    return gone, np.array(left, np.int64), [changed[p] for p in left]
+
+
+def edit_scripts(history: DataFrame, edits: DataFrame) -> DataFrame:
+    """`domain, gone, places, words`: all edits of a domain with a record as one script.
+
+    The edits are numbered by domain over range partitions, folded in blocks of
+    `EDIT_BLOCK`, and the blocks' scripts joined `JOINED` at a time until one is
+    left. A script has no more entries than its pool has words, so no task holds
+    the edits of a domain together, however many there are.
+    """
+    known = history.select("domain", F.size(kw.pool(F.col("keywords_pool"))).cast("bigint").alias("size"))
+    wanted = (
+        edits.where((F.col("pos") >= 0) & F.col("op").isin("set", "delete"))
+        .join(known.select("domain"), "domain", "left_semi")
+        .select("domain", "edit_no", F.col("pos").cast("bigint").alias("pos"), "op", "value")
+    )
+    placed = numbered(wanted, ["domain"], ["edit_no", "pos", "op", "value"], "_at")
+    typed = tx.strip(F.coalesce("value", F.lit("")))
+    blocks = placed.select(
+        "domain", ((F.col("_at") - 1) / EDIT_BLOCK).cast("bigint").alias("block"), "_at", "pos", "op", typed.alias("value")
+    ).join(known, "domain")
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("_at")
+        made = script_of(zip(rows["pos"].tolist(), rows["op"], rows["value"]), int(rows["size"].iloc[0]))
+        return _row(rows, int(rows["block"].iloc[0]), made)
+
+    def join(rows: pd.DataFrame) -> pd.DataFrame:
+        rows, size = rows.sort_values("block"), int(rows["size"].iloc[0])
+        parts = [(g, p, list(w)) for g, p, w in zip(rows["gone"], rows["places"], rows["words"])]
+        whole = parts[0]
+        for part in parts[1:]:
+            whole = joined_scripts(whole, part, size)
+        return _row(rows, int(rows["block"].iloc[0]) // JOINED, whole)
+
+    def _row(rows: pd.DataFrame, block: int, script: Script) -> pd.DataFrame:
+        return pd.DataFrame({"domain": [rows["domain"].iloc[0]], "block": [block], **{c: [v] for c, v in zip(("gone", "places", "words"), script)}})
+
+    scripts = _kept(blocks.groupBy("domain", "block").applyInPandas(fold, _SCRIPT), "edit-scripts")
+    last = scripts.agg(F.max("block")).first()[0] or 0
+    while last:
+        group = F.floor(F.col("block") / JOINED)
+        scripts = _kept(
+            scripts.join(known, "domain").groupBy("domain", group.alias("_group")).applyInPandas(join, _SCRIPT), "edit-scripts"
+        )
+        last //= JOINED
+    return scripts.drop("block")
+
+
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def edit_pools(history: DataFrame, edits: DataFrame) -> DataFrame:
     """Pools after a batch of edits, applied one after the other.
 
     `edits`: `domain, edit_no, pos, op ('set' or 'delete'), value`. Edits of a
     domain run by ascending `edit_no`; `pos` is the 0-based place in the pool
     as the edits before have left it, so places move up behind a deleted word.
-    Places outside the pool, and edits without a place, do nothing. The edits
-    of a domain meet in one row, as its pool does.
+    Places outside the pool, and edits without a place, do nothing. A pool is
+    one row; its edits meet there as one script.
     """
-    entry = F.struct("edit_no", "pos", "op", "value")
-    by_domain = (
-        edits.where((F.col("pos") >= 0) & F.col("op").isin("set", "delete"))
-        .join(history.select("domain"), "domain", "left_semi")
-        .groupBy("domain")
-        .agg(F.array_sort(F.collect_list(entry)).alias("_edits"))
+    scripts = edit_scripts(history, edits)
+
+    @F.pandas_udf("array<string>")
+    def applied(pools: pd.Series, gone: pd.Series, places: pd.Series, words: pd.Series) -> pd.Series:
+        out = []
+        for pool, less, at, new in zip(pools, gone, places, words):
+            pool = list(pool)
+            for place, word in zip(at, new):
+                pool[place] = word
+            out.append(np.delete(np.array(pool, object), less).tolist())
+        return pd.Series(out)
+
+    joined = history.join(
+        scripts.select("domain", F.col("gone").alias("_gone"), F.col("places").alias("_places"), F.col("words").alias("_words")),
+        "domain",
+        "left",
     )
-    joined = history.join(by_domain, "domain", "left")
     pool = kw.pool(F.col("keywords_pool"))
-
-    def applied(words: Column, edit: Column) -> Column:
-        before = F.slice(words, 1, edit["pos"])
-        after = F.slice(words, edit["pos"] + 2, F.size(words))
-        typed = F.array(tx.strip(F.coalesce(edit["value"], F.lit(""))))
-        changed = F.when(edit["op"] == "delete", F.concat(before, after)).otherwise(
-            F.concat(before, typed, after)
-        )
-        return F.when(edit["pos"] < F.size(words), changed).otherwise(words)
-
-    none = F.array().cast(edits.select(F.array(entry).alias("e")).schema["e"].dataType)
-    return joined.withColumn(
-        "keywords_pool", F.aggregate(F.coalesce("_edits", none), pool, applied)
-    ).select(*history.columns)
+    changed = joined.where("_gone is not null").withColumn("keywords_pool", applied(pool, "_gone", "_places", "_words"))
+    same = joined.where("_gone is null").withColumn("keywords_pool", pool)
+    return changed.select(*history.columns).unionByName(same.select(*history.columns))
 
 
 def delete_records(history: DataFrame, domains: DataFrame) -> DataFrame:
@@ -133,3 +243,7 @@ def delete_positions(history: DataFrame, positions: DataFrame) -> DataFrame:
     placed = numbered(newest, [], ["_newest", "domain"], "_place")
     gone = placed.join(positions.select((F.col("pos") + 1).alias("_place")), "_place", "left_semi")
     return history.join(gone.select("domain"), "domain", "left_anti")
+
+
+# Ship the jobs with their code, so that executors need not have the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -1,5 +1,7 @@
 import datetime
+import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from copyloom.functions import text as tx
@@ -47,6 +49,49 @@ def test_edits(spark):
     assert got == {"a": ["again"], "b": ["q"], "c": []}
 
 
+def folded(pool, edits):
+    for pos, op, value in edits:
+        if pos < len(pool):
+            pool = [*pool[:pos], *([] if op == "delete" else [value]), *pool[pos + 1 :]]
+    return pool
+
+
+def some_edits(rng, n, size):
+    kind = lambda: rng.choice(["set"] * 20 + ["delete"])
+    return [(rng.randrange(size + 5), kind(), f"v{i}") for i in range(n)]
+
+
+def test_scripts_against_a_fold():
+    rng = random.Random(3)
+    for _ in range(300):
+        size = rng.randint(0, 12)
+        pool = [f"w{i}" for i in range(size)]
+        parts = [some_edits(rng, rng.randint(0, 25), size) for _ in range(3)]
+        a, b, c = (hist.script_of(p, size) for p in parts)
+        left = hist.joined_scripts(hist.joined_scripts(a, b, size), c, size)
+        right = hist.joined_scripts(a, hist.joined_scripts(b, c, size), size)
+        want = folded(pool, [e for p in parts for e in p])
+        for gone, places, words in (left, right):
+            assert len(gone) <= size and len(places) <= size
+            out = dict(enumerate(pool)) | dict(zip(places.tolist(), words))
+            assert [w for i, w in sorted(out.items()) if i not in gone.tolist()] == want
+
+
+def test_a_long_log(spark):
+    rng = random.Random(4)
+    size, hot = 3000, some_edits(rng, 100_000, 3000)
+    few = some_edits(rng, 40, 6)
+    rows = [("hot", i, *e) for i, e in enumerate(hot)] + [("few", i, *e) for i, e in enumerate(few)]
+    rng.shuffle(rows)
+    pools = {"hot": [f"w{i}" for i in range(size)], "few": list("abcdef"), "none": ["x"]}
+    history = spark.createDataFrame(list(pools.items()), "domain string, keywords_pool array<string>")
+    edits = spark.createDataFrame(pd.DataFrame(rows, columns=["domain", "edit_no", "pos", "op", "value"]))
+    got = {r.domain: r.keywords_pool for r in hist.edit_pools(history, edits).collect()}
+    assert got == {"hot": folded(pools["hot"], hot), "few": folded(pools["few"], few), "none": ["x"]}
+    none = hist.edit_pools(history, edits.where("domain = 'nobody'"))
+    assert {r.domain: r.keywords_pool for r in none.collect()} == pools
+
+
 def test_records_of_forms(spark):
     forms = spark.createDataFrame(
         [("https://W.example/x", "B", ["u1", "u2"], 1), ("", "B", [], 2)],
