@@ -11,6 +11,8 @@ from copyloom.functions import keywords as kw
 from copyloom.functions import text as tx
 from copyloom.operators import history as hist
 from copyloom.operators import quality
+from copyloom.plans.workdir import new_path
+from copyloom.sources import history_store
 
 # -- copy checks ------------------------------------------------------------
 
@@ -310,6 +312,28 @@ def history_upsert(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    """
+WITH e AS (SELECT 'u' || CAST(user_id AS VARCHAR) || '.example' AS domain, event_type, event_id, event_id % 3 + 1 AS batch FROM events),
+v AS (SELECT * FROM (VALUES (1), (2), (3)) AS v(saved))
+SELECT CAST(saved AS BIGINT) AS saved, domain, arg_max(event_type, event_id) AS brand_name, max(event_id) AS version, min(first_saved) AS first_saved
+FROM v JOIN (SELECT *, min(event_id) OVER (PARTITION BY domain, batch) AS first_saved FROM e) ON batch <= saved GROUP BY ALL"""
+)
+def history_versions(t: Tables) -> DataFrame:
+    """Records put in in three versions, the second one twice, and each version read back."""
+    folder = new_path(t.spark, "history")
+    rows = _records(t).select("domain", "brand_name", F.col("event_id").alias("version"))
+    for number in (1, 2, 2, 3):
+        history_store.put(rows.where(F.col("version") % 3 + 1 == number), folder, f"part-{number}")
+    out = None
+    for saved in (1, 2, 3):
+        read = history_store.read_version(t.spark, folder, saved).select(
+            F.lit(saved).cast("long").alias("saved"), "domain", "brand_name", "version", "first_saved"
+        )
+        out = read if out is None else out.unionByName(read)
+    return out
+
+
 @query(
     f"""
 WITH {_RECORDS_SQL},

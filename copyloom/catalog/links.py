@@ -11,6 +11,7 @@ from copyloom.functions import urls
 from copyloom.operators import links, paging
 from copyloom.operators.pages import page_facts as facts_of
 from copyloom.plans.workdir import new_path
+from copyloom.sources import known_links
 from copyloom.sources.sinks import SEQUENCE_HEADER, write_links
 
 # Strips what page facts leave out; `amp` is also decoded without its semicolon.
@@ -462,3 +463,25 @@ def new_items_anti(t: Tables) -> DataFrame:
     found = t.lineitem.select(F.col("l_partkey").alias("link")).distinct()
     known = t.part.where(F.col("p_size") > 10).select(F.col("p_partkey").alias("link"))
     return links.not_yet_known(found, known)
+
+
+@query(
+    """
+SELECT CAST(min(l_orderkey % 3) AS BIGINT) AS increment, 'https://x.example/products/' || CAST(l_partkey AS VARCHAR) AS link
+FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = l_partkey AND p_size > 10) GROUP BY l_partkey"""
+)
+def links_incremental(t: Tables) -> DataFrame:
+    """Known links, and three crawls put in one after the other, the second one twice."""
+    folder = new_path(t.spark, "known-links")
+    known_links.create(t.spark, folder, 64)
+
+    def link(key: str) -> Column:
+        return F.concat(F.lit("https://x.example/products/"), F.col(key).cast("string")).alias("link")
+
+    known_links.add(t.spark, folder, t.part.where("p_size > 10").select(link("p_partkey")), "known")
+    out = None
+    for number in (0, 1, 1, 2):
+        found = t.lineitem.where(F.col("l_orderkey") % 3 == number).select(link("l_partkey"))
+        new = known_links.add(t.spark, folder, found, f"crawl-{number}").select(F.lit(number).cast("long").alias("increment"), "link")
+        out = new if out is None else out.unionByName(new)
+    return out.distinct()
