@@ -12,6 +12,8 @@ from copyloom.functions import keywords as kw
 from copyloom.functions import text as tx
 from copyloom.operators import generation
 from copyloom.plans.flows import write_new
+from copyloom.plans.skew import concat_in_order
+from copyloom.plans.workdir import new_path
 from copyloom.streaming import reassembly
 
 _COMMAS = sql_parts("text", ",")
@@ -334,6 +336,94 @@ def generations_timed_out(t: Tables) -> DataFrame:
     return closed.select("request_id", "n_chunks", "status")
 
 
+@query(
+    """
+WITH x AS (SELECT conv_id, turn, unnest(string_split(text || chr(10) || 'é', chr(10))) AS line,
+  generate_subscripts(string_split(text || chr(10) || 'é', chr(10)), 1) AS n FROM
+  (SELECT conv_id, turn, replace(any_value(text), ' ', 'ü😀') AS text FROM conversations WHERE text IS NOT NULL GROUP BY ALL))
+SELECT conv_id * 1000 + turn AS request_id, n - 1 AS seq, line FROM x"""
+)
+def stream_bytes(t: Tables) -> DataFrame:
+    """Each turn, with many letters of two and four bytes, cut into fragments of bytes, framed into lines."""
+    once = t.conversations.where("text is not null").groupBy("conv_id", "turn").agg(F.any_value("text").alias("text"))
+    text = F.concat(F.replace("text", F.lit(" "), F.lit("ü😀")), F.lit("\né"))
+    # Every other turn ends its lines with a carriage return and a newline.
+    whole = F.when(F.col("turn") % 2 == 0, F.replace(text, F.lit("\n"), F.lit("\r\n"))).otherwise(text)
+    cut = once.select((F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"), F.encode(whole, "utf-8").alias("whole"))
+    size = F.ceil(F.octet_length("whole") / _CUTS).cast("int")
+    fragments = cut.select(
+        "request_id", size.alias("size"), "whole", F.explode(F.sequence(F.lit(0), F.lit(_CUTS - 1))).alias("seq")
+    ).select(
+        "request_id",
+        F.col("seq").cast("long").alias("seq"),
+        F.substring("whole", (F.col("seq") * F.col("size") + 1).cast("int"), F.col("size")).alias("fragment"),
+        (F.col("seq") == _CUTS - 1).alias("last"),
+    )
+    dealt = fragments.repartition(3, F.xxhash64("request_id", "seq"))
+    stream = (
+        t.spark.readStream.schema(fragments.schema).option("maxFilesPerTrigger", 1).parquet(write_new(dealt, "byte-fragments"))
+    )
+    with reassembly.rocksdb(t.spark):
+        return reassembly.run_to_table(reassembly.frame_bytes(stream, None), "lines")
+
+
+_DAY = 86_400_000
+
+
+@query(
+    f"""
+WITH first AS (SELECT user_id, min(epoch_ms(ts)) AS begun FROM events GROUP BY user_id),
+last AS (SELECT max(epoch_ms(ts)) AS now FROM events)
+SELECT user_id AS request_id, count(DISTINCT event_id) AS n_chunks,
+  string_agg(event_type, '' ORDER BY event_id) AS text, 'timeout' AS status
+FROM events JOIN first USING (user_id), last
+WHERE epoch_ms(ts) < begun + {_DAY} AND begun + {_DAY} <= now GROUP BY user_id"""
+)
+def stream_timeouts(t: Tables) -> DataFrame:
+    """Events of users as chunks that never end, closed by the times in the stream, a quarter of the time a batch.
+
+    The stream is stopped after its first batches and started again from its checkpoint.
+    """
+    events = t.events.select(
+        F.col("user_id").alias("request_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("text"), F.col("ts").cast("timestamp").alias("at")
+    )
+    path = write_new(events.repartitionByRange(4, "at"), "dated-events")
+    in_order = [r["f"] for r in t.spark.read.parquet(path).groupBy(F.input_file_name().alias("f")).agg(F.min("at").alias("a")).orderBy("a").collect()]
+    arriving, done = new_path(t.spark, "arriving"), new_path(t.spark, "timed-out")
+    progress = new_path(t.spark, "timed-out-progress")
+    for number, file in enumerate(in_order):  # four files, of four ranges
+        t.spark.read.schema(events.schema).parquet(file).coalesce(1).write.mode("append").parquet(arriving)
+        if number % 2 == 0 and number + 1 < len(in_order):
+            continue
+        stream = t.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(arriving)
+        with reassembly.rocksdb(t.spark):
+            over = reassembly.timed_out(stream, _DAY)
+            over.writeStream.option("checkpointLocation", progress).trigger(availableNow=True).format("parquet").option(
+                "path", done
+            ).start().awaitTermination()
+    return t.spark.read.schema(over.schema).parquet(done).select("request_id", "n_chunks", "text", "status")
+
+
+@query(
+    """
+WITH once AS (SELECT conv_id, turn, min(coalesce(text, '')) AS text FROM conversations GROUP BY ALL),
+prefix AS (SELECT * FROM once QUALIFY turn = row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)
+SELECT conv_id AS request_id, count(*) AS n_chunks, string_agg(text, '' ORDER BY turn) AS text FROM prefix GROUP BY conv_id"""
+)
+def stream_deltas(t: Tables) -> DataFrame:
+    """What each batch adds to the texts of a stream that arrives out of order, put together again."""
+    chunks = t.conversations.select(F.col("conv_id").alias("request_id"), F.col("turn").alias("seq"), "text")
+    dealt = chunks.repartition(3, F.xxhash64("request_id", "seq"))
+    stream = (
+        t.spark.readStream.schema(chunks.schema).option("maxFilesPerTrigger", 1).parquet(write_new(dealt, "chunks"))
+    )
+    with reassembly.rocksdb(t.spark):
+        added = reassembly.run_to_table(reassembly.text_deltas(stream, None), "deltas")
+    whole = concat_in_order(added.select("request_id", "seq", F.col("added").alias("text")), ["request_id"], "seq", "text")
+    counts = added.groupBy("request_id").agg(F.sum("n_chunks").alias("n_chunks"))
+    return whole.drop("n").join(counts, "request_id").select("request_id", "n_chunks", "text")
+
+
 # -- sections -------------------------------------------------------------------
 
 # The four shapes a text can have: both headings with sources, both with a

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from copyloom import rules, schemas
@@ -22,9 +23,16 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 AT = schemas.struct(seq=schemas.LONG)
 PLACE = schemas.struct(next=schemas.LONG, lines=schemas.LONG, tail=schemas.STRING)
 WAITING = schemas.struct(fragment=schemas.STRING, last=schemas.BOOLEAN)
-CHUNK = schemas.struct(text=schemas.STRING)
-END = schemas.struct(
-    count=schemas.LONG, end=schemas.LONG, status=schemas.STRING, message=schemas.STRING
+_SEQS = T.ArrayType(schemas.LONG)
+HELD = schemas.struct(seqs=_SEQS, texts=schemas.STRINGS)
+OPEN = schemas.struct(
+    seqs=_SEQS, texts=schemas.STRINGS, end=schemas.LONG, status=schemas.STRING, message=schemas.STRING
+)
+PREFIX = schemas.struct(next=schemas.LONG, offset=schemas.LONG, seqs=_SEQS, texts=schemas.STRINGS)
+DATED = schemas.struct(begun=schemas.LONG, seqs=_SEQS, texts=schemas.STRINGS, ats=_SEQS)
+BYTES = schemas.struct(
+    next=schemas.LONG, lines=schemas.LONG, tail=T.BinaryType(),
+    seqs=_SEQS, fragments=T.ArrayType(T.BinaryType()), lasts=T.ArrayType(schemas.BOOLEAN),
 )
 CLOSED = schemas.struct(yes=schemas.BOOLEAN)
 
@@ -97,11 +105,87 @@ def frame_lines(fragments: DataFrame, ttl_ms: int | None = 86_400_000) -> DataFr
     )
 
 
+class _ByteFraming(StatefulProcessor):
+    """Cuts arrivals of bytes into lines, wherever a character or line end was cut.
+
+    The bytes behind the last line end wait undecoded, so a character is decoded
+    when its line is whole. All that is kept of a request is one state value.
+    """
+
+    def __init__(self, ttl_ms: int | None) -> None:
+        self._ttl = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._open = handle.getValueState("open", BYTES, self._ttl)
+        self._closed = handle.getValueState("closed", CLOSED, self._ttl)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        if self._closed.exists():
+            for _ in rows:
+                pass
+            return
+        upcoming, count, tail, seqs, fragments, lasts = self._open.get() or (0, 0, b"", (), (), ())
+        waiting = {s: (bytes(f), end) for s, f, end in zip(seqs, fragments, lasts)}
+        for batch in rows:
+            for seq, fragment, last in zip(batch["seq"], batch["fragment"], batch["last"]):
+                if seq >= upcoming:
+                    waiting.setdefault(int(seq), (bytes(fragment or b""), bool(last)))
+        parts, ended = [bytes(tail or b"")], False
+        while not ended and upcoming in waiting:
+            fragment, ended = waiting.pop(upcoming)
+            parts.append(fragment)
+            upcoming += 1
+        *done, tail = b"".join(parts).split(b"\n")
+        # A carriage return at the end stays in the tail until what follows is there.
+        lines = [line.removesuffix(b"\r") for line in done]
+        if ended and tail:
+            lines.append(tail)
+        if ended:
+            self._open.clear()
+            self._closed.update((True,))
+        else:
+            self._open.update(
+                (upcoming, count + len(lines), tail, list(waiting), [f for f, _ in waiting.values()], [e for _, e in waiting.values()])
+            )
+        yield pd.DataFrame(
+            {
+                "request_id": pd.Series([key[0]] * len(lines), dtype="int64"),
+                "seq": pd.Series(range(count, count + len(lines)), dtype="int64"),
+                "line": pd.Series([line.decode("utf-8", "replace") for line in lines], dtype="object"),
+            }
+        )
+
+    def close(self) -> None:
+        pass
+
+
+def frame_bytes(fragments: DataFrame, ttl_ms: int | None = 86_400_000) -> DataFrame:
+    """Stream of raw arrivals (`request_id, seq, fragment` as BINARY, `last`) → stream of lines.
+
+    Lines end with a newline, or a carriage return and a newline; the unfinished
+    last one is a line as well. Bytes that are no UTF-8 become the replacement
+    character. Of repeats the first counts. `ttl_ms` as in `frame_lines`.
+    """
+    return fragments.groupBy("request_id").transformWithStateInPandas(
+        statefulProcessor=_ByteFraming(ttl_ms),
+        outputStructType=schemas.ANSWER_LINES,
+        outputMode="append",
+        timeMode="None" if ttl_ms is None else "ProcessingTime",
+    )
+
+
+def _take(held: dict[int, str], seq: int, text: str | None) -> None:
+    """A chunk at its position, where of two the smaller text counts, as in batch."""
+    text = text or ""
+    if seq not in held or text < held[seq]:
+        held[seq] = text
+
+
 class _Assembly(StatefulProcessor):
     """Collects the chunks of one generation until it ends.
 
-    Chunks are kept by position; of two at one position the smaller text counts,
-    as in batch. A generation ends when its first end mark or error is there and
+    All chunks of a request are one state value, read and written once a batch.
+    Of two at one position the smaller text counts, as in batch. A generation ends when its first end mark or error is there and
     no position before it is missing, or when the timer fires. Positions behind
     the end don't count. A closed generation leaves a flag behind, so that late
     repeats do not open it again; the flag expires on its own.
@@ -112,16 +196,11 @@ class _Assembly(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._chunks = handle.getMapState("chunks", AT, CHUNK)
-        self._end = handle.getValueState("end", END)
+        self._open = handle.getValueState("open", OPEN)
         self._closed = handle.getValueState("closed", CLOSED, self._ttl)
 
-    def _result(self, key, status: str, message: str | None, before: int | None) -> pd.DataFrame:
-        parts = sorted((k[0], v[0]) for k, v in self._chunks.iterator())
-        if before is not None:
-            parts = [p for p in parts if p[0] < before]
-        self._chunks.clear()
-        self._end.clear()
+    def _result(self, key, held: dict[int, str], status: str, message: str | None) -> pd.DataFrame:
+        self._open.clear()
         self._closed.update((True,))
         if self._timeout is not None:
             for at in list(self._handle.listTimers()):
@@ -129,8 +208,8 @@ class _Assembly(StatefulProcessor):
         return pd.DataFrame(
             {
                 "request_id": [key[0]],
-                "n_chunks": [len(parts)],
-                "text": ["".join(t for _, t in parts)],
+                "n_chunks": [len(held)],
+                "text": ["".join(held[k] for k in sorted(held))],
                 "status": [status],
                 "message": [message],
             }
@@ -141,34 +220,33 @@ class _Assembly(StatefulProcessor):
             for _ in rows:
                 pass
             return
-        known = self._end.exists()
-        count, end, status, message = self._end.get() if known else (0, None, None, None)
+        before = self._open.get()
+        seqs, texts, end, status, message = before or ((), (), None, None, None)
+        held = dict(zip(seqs, texts))
         for batch in rows:
             for seq, kind, text, note in zip(
                 batch["seq"], batch["type"], batch["text"], batch["message"]
             ):
-                at = (int(seq),)
+                seq = int(seq)
                 if kind == "chunk":
-                    new = not self._chunks.containsKey(at)
-                    if new or (text or "") < self._chunks.getValue(at)[0]:
-                        self._chunks.updateValue(at, (text or "",))
-                    count += new and (end is None or at[0] < end)
+                    _take(held, seq, text)
                 elif kind in ("done", "error") and (
-                    end is None or (at[0], kind != "error") < (end, status != "error")
+                    end is None or (seq, kind != "error") < (end, status != "error")
                 ):
-                    if end is None or at[0] < end:
-                        count = sum(k[0] < at[0] for k in self._chunks.keys())
-                    end, status, message = at[0], kind, note
-        if end is not None and count >= end:
-            yield self._result(key, status, message, end)
-            return
-        self._end.update((count, end, status, message))
-        if self._timeout is not None and not known:
+                    end, status, message = seq, kind, note
+        if end is not None:
+            inside = {k: v for k, v in held.items() if k < end}
+            if len(inside) >= end:
+                yield self._result(key, inside, status, message)
+                return
+        self._open.update((list(held), list(held.values()), end, status, message))
+        if self._timeout is not None and before is None:
             now = timerValues.getCurrentProcessingTimeInMs()
             self._handle.registerTimer(now + self._timeout)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._result(key, "timeout", None, None)
+        seqs, texts, *_ = self._open.get()
+        yield self._result(key, dict(zip(seqs, texts)), "timeout", None)
 
     def close(self) -> None:
         pass
@@ -205,23 +283,158 @@ class _Live(StatefulProcessor):
         self._ttl = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._chunks = handle.getMapState("chunks", AT, CHUNK, self._ttl)
+        self._held = handle.getValueState("held", HELD, self._ttl)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held = dict(zip(*(self._held.get() or ((), ()))))
         for batch in rows:
             for seq, text in zip(batch["seq"], batch["text"]):
-                at = (int(seq),)
-                if not self._chunks.containsKey(at) or (text or "") < self._chunks.getValue(at)[0]:
-                    self._chunks.updateValue(at, (text or "",))
-        parts = sorted((k[0], v[0]) for k, v in self._chunks.iterator())
+                _take(held, int(seq), text)
+        self._held.update((list(held), list(held.values())))
+        text = "".join(held[k] for k in sorted(held))
+        yield pd.DataFrame({"request_id": [key[0]], "n_chunks": [len(held)], "text": [text]})
+
+    def close(self) -> None:
+        pass
+
+
+class _Deltas(StatefulProcessor):
+    """Hands the text of a request on as its gap-free beginning grows.
+
+    Of the beginning only its number of chunks and characters is kept; chunks
+    behind a gap wait. One state value is read and written once a batch.
+    """
+
+    def __init__(self, ttl_ms: int | None) -> None:
+        self._ttl = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._prefix = handle.getValueState("prefix", PREFIX, self._ttl)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        upcoming, offset, seqs, texts = self._prefix.get() or (0, 0, (), ())
+        waiting = dict(zip(seqs, texts))
+        for batch in rows:
+            for seq, text in zip(batch["seq"], batch["text"]):
+                if seq >= upcoming:
+                    _take(waiting, int(seq), text)
+        first, added = upcoming, []
+        while upcoming in waiting:
+            added.append(waiting.pop(upcoming))
+            upcoming += 1
+        text = "".join(added)
+        self._prefix.update((upcoming, offset + len(text), list(waiting), list(waiting.values())))
+        if added:
+            yield pd.DataFrame(
+                {"request_id": [key[0]], "seq": [first], "n_chunks": [len(added)], "offset": [offset], "added": [text]}
+            )
+
+    def close(self) -> None:
+        pass
+
+
+DELTAS = schemas.struct(
+    request_id=schemas.LONG, seq=schemas.LONG, n_chunks=schemas.LONG, offset=schemas.LONG, added=schemas.STRING
+)
+
+
+def text_deltas(chunks: DataFrame, ttl_ms: int | None = 3_600_000) -> DataFrame:
+    """Stream of chunks → what each batch adds to the gap-free beginning of each text, append mode.
+
+    `request_id, seq` (of the first chunk added), `n_chunks, offset` (characters
+    before, code points) and `added`. Of repeats in one batch, or while they
+    wait, the smaller text counts; what has been handed on is not taken back.
+    State expires after `ttl_ms`; with None it can be run to the end of what is there.
+    """
+    return chunks.groupBy("request_id").transformWithStateInPandas(
+        statefulProcessor=_Deltas(ttl_ms),
+        outputStructType=DELTAS,
+        outputMode="append",
+        timeMode="None" if ttl_ms is None else "ProcessingTime",
+    )
+
+
+_NOTHING = pd.DataFrame({c: pd.Series(dtype=object) for c in schemas.GENERATIONS.names})
+
+
+class _Timed(StatefulProcessor):
+    """Chunks of a request until a time after its first one, by the times in the data."""
+
+    def __init__(self, timeout_ms: int) -> None:
+        self._timeout = timeout_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._open = handle.getValueState("open", DATED)
+        self._closed = handle.getValueState("closed", CLOSED)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        closed = self._closed.exists()
+        begun, seqs, texts, ats = (None if closed else self._open.get()) or (None, (), (), ())
+        held = {(s, a): t for s, t, a in zip(seqs, texts, ats)}
+        before = begun
+        for batch in rows:
+            if closed:
+                continue
+            times = batch["at"].astype("datetime64[us]").astype("int64") // 1000
+            for seq, text, at in zip(batch["seq"], batch["text"], times):
+                begun = int(at) if begun is None else min(begun, int(at))
+                _take(held, (int(seq), int(at)), text)
+        if closed or begun is None:
+            yield _NOTHING
+            return
+        # What comes later than the time-out can't count, whenever the timer fires.
+        held = {k: v for k, v in held.items() if k[1] < begun + self._timeout}
+        self._open.update((begun, [k[0] for k in held], list(held.values()), [k[1] for k in held]))
+        if begun != before:
+            if before is not None:
+                self._handle.deleteTimer(before + self._timeout)
+            self._handle.registerTimer(begun + self._timeout)
+        yield _NOTHING
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        _, seqs, texts, _ = self._open.get()
+        self._open.clear()
+        self._closed.update((True,))
+        held: dict[int, str] = {}
+        for seq, text in zip(seqs, texts):
+            _take(held, seq, text)
         yield pd.DataFrame(
-            {"request_id": [key[0]], "n_chunks": [len(parts)], "text": ["".join(t for _, t in parts)]}
+            {
+                "request_id": [key[0]],
+                "n_chunks": [len(held)],
+                "text": ["".join(held[k] for k in sorted(held))],
+                "status": ["timeout"],
+                "message": [None],
+            }
         )
 
     def close(self) -> None:
         pass
 
 
+def timed_out(chunks: DataFrame, timeout_ms: int = rules.GENERATION_TIMEOUT_MS, late: str = "0 seconds") -> DataFrame:
+    """Stream of chunks that never end (`request_id, seq, text, at`) → those whose time is over.
+
+    The time runs from a request's first chunk by the times `at`, and is over
+    when the watermark, `late` behind the latest time, has passed; no wall clock
+    is read, so it runs as available-now as well. Chunks at or behind the end of
+    the time don't count, nor do those later than the watermark. A flag stays for
+    each request that is over.
+    """
+    return (
+        chunks.select("request_id", "seq", "text", "at")
+        .withWatermark("at", late)
+        .groupBy("request_id")
+        .transformWithStateInPandas(
+            statefulProcessor=_Timed(timeout_ms),
+            outputStructType=schemas.GENERATIONS,
+            outputMode="append",
+            timeMode="EventTime",
+        )
+    )
+
+
 LIVE = schemas.struct(request_id=schemas.LONG, n_chunks=schemas.LONG, text=schemas.STRING)
 
 

@@ -233,6 +233,108 @@ def test_live_text(spark, tmp_path, rocksdb):
     assert {tuple(r) for r in batch.collect()} == {(1, 2, "AB"), (2, 1, "x")}
 
 
+def test_deltas_put_together(spark, tmp_path, rocksdb):
+    schema = schemas.struct(request_id=schemas.LONG, seq=schemas.LONG, text=schemas.STRING)
+    feed = Feed(spark, tmp_path / "in", schema)
+    run = lambda: [tuple(r) for r in drain(reassembly.text_deltas(feed.stream(), None), tmp_path).orderBy("request_id", "seq").collect()]
+    feed.add((1, 0, "A😀"), (1, 2, "C"), (2, 1, "y"), (1, 0, "B"))
+    assert run() == [(1, 0, 1, 0, "A😀")]
+    feed.add((1, 1, None), (1, 0, "0"), (1, 3, "D"), (2, 1, "x"))
+    assert run() == [(1, 0, 1, 0, "A😀"), (1, 1, 3, 2, "CD")]
+    feed.add((2, 0, "w"), (1, 5, "F"))
+    assert run()[2:] == [(2, 0, 2, 0, "wx")]
+
+
+class Calls:
+    """A state value that counts what is asked of it."""
+
+    def __init__(self):
+        self.value, self.n = None, 0
+
+    def get(self):
+        self.n += 1
+        return self.value
+
+    def update(self, value):
+        self.n += 1
+        self.value = value
+
+    def exists(self):
+        self.n += 1
+        return self.value is not None
+
+
+class Handle:
+    def __init__(self):
+        self.states = {}
+
+    def getValueState(self, name, schema, ttl=None):
+        return self.states.setdefault(name, Calls())
+
+
+@pytest.mark.parametrize("kind", ["_Live", "_Deltas", "_Assembly"])
+def test_state_calls_do_not_grow_with_chunks(kind):
+    import pandas as pd
+
+    used = []
+    for n in (2, 500):
+        processor = getattr(reassembly, kind)(*([None, None] if kind == "_Assembly" else [None]))
+        handle = Handle()
+        processor.init(handle)
+        frame = pd.DataFrame({"seq": range(n), "type": "chunk", "text": "x", "message": None})
+        list(processor.handleInputRows((1,), iter([frame]), None))
+        used.append(sum(s.n for s in handle.states.values()))
+    assert used[0] == used[1] <= 4
+
+
+def test_time_out_by_the_times_in_the_stream(spark, tmp_path, rocksdb):
+    schema = "request_id long, seq long, text string, s long"
+
+    def feed(*rows):
+        spark.createDataFrame(list(rows), schema).withColumn("at", F.timestamp_seconds("s")).drop("s").coalesce(1).write.mode(
+            "append"
+        ).parquet(str(tmp_path / "in"))
+
+    def run():
+        kinds = spark.read.parquet(str(tmp_path / "in")).schema
+        stream = spark.readStream.schema(kinds).parquet(str(tmp_path / "in"))
+        return result(drain(reassembly.timed_out(stream, 100_000, "10 seconds"), tmp_path))
+
+    feed((1, 1, "B", 1050), (1, 0, "A", 1000), (1, 2, "late", 1100), (2, 0, "x", 1060))
+    assert run() == {}
+    feed((3, 0, "y", 1109), (1, 3, "C", 1099))
+    assert run() == {}  # 10 seconds are left
+    feed((3, 1, "z", 1110))
+    assert run() == {1: (3, "ABC", "timeout", None)}
+    # A request that is over stays so, and one that begins earlier than it seemed ends earlier.
+    feed((1, 4, "D", 1110), (4, 1, "q", 1150), (4, 0, "p", 1110))
+    assert run() == {1: (3, "ABC", "timeout", None)}
+    feed((9, 0, "-", 1220))
+    assert run() == {
+        1: (3, "ABC", "timeout", None), 2: (1, "x", "timeout", None), 3: (2, "yz", "timeout", None), 4: (2, "pq", "timeout", None),
+    }
+
+
+def test_bytes_cut_at_every_place(spark, tmp_path, rocksdb):
+    text = "é😀\r\nb\n\n\rü"
+    data = text.encode() + b"\xff"
+    rows, number = [], 0
+    for a in range(len(data) + 1):
+        b = min(len(data), a + 1)
+        rows += [(number, 0, data[:a], False), (number, 1, data[a:b], False), (number, 2, data[b:], True)]
+        number += 1
+    schema = "request_id long, seq long, fragment binary, last boolean"
+    rng = random.Random(2)
+    rng.shuffle(rows)
+    for at in range(0, len(rows), 20):
+        spark.createDataFrame(rows[at : at + 20], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = {}
+    for r in drain(reassembly.frame_bytes(stream, None), tmp_path).orderBy("request_id", "seq").collect():
+        got.setdefault(r.request_id, []).append(r.line)
+    assert got == {i: ["é😀", "b", "", "\rü\ufffd"] for i in range(number)}
+
+
 def test_lines_to_text(spark):
     rows = [(1, 0, line("A")), (1, 1, ": x"), (1, 2, line("B")), (1, 3, "data: " + rules.END_LINE)]
     df = spark.createDataFrame(rows, schemas.ANSWER_LINES)
