@@ -39,6 +39,8 @@ UNKNOWN = "und"
 SHARD = 8_000_000
 #: Bytes of text that a task holds in unfinished shards of its languages.
 HELD = 32_000_000
+#: Places in all texts for which there is a bucket of phrases; one task sums a bucket.
+BUCKET = 2_000_000
 
 _PIECE_END = np.zeros(256, bool)
 _PIECE_END[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = True
@@ -205,7 +207,8 @@ def unpacked(numbers: bytes, words: bytes) -> tuple[np.ndarray, pa.Array]:
 
 
 _WORDS = "shard bigint, lang string, phrase string, n bigint"
-_LONGER = "shard bigint, head bigint, tail bigint, n bigint"
+_PACKED = "bucket bigint, shard bigint, heads binary, tails binary, counts binary"
+_LONGER = "shard bigint, head bigint, tail bigint, f bigint, id bigint"
 _SIDES = "id bigint, before bigint, behind bigint"
 
 
@@ -227,40 +230,79 @@ def _words(held: DataFrame) -> DataFrame:
     return held.mapInArrow(count, _WORDS)
 
 
-def _of_shards(held: DataFrame, known: DataFrame, longest: int, extend: bool) -> DataFrame:
-    """Known phrases of every shard made longer, or with their extensions on either side.
+def _in_buckets(head: np.ndarray, tail: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each phrase, by the known phrases that it begins and ends with."""
+    mixed = head.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ tail.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((mixed >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _of_shards(held: DataFrame, known: DataFrame, longest: int, buckets: int | None) -> DataFrame:
+    """Known phrases of every shard made longer, in buckets; without those, with their extensions on either side.
 
     A longer phrase is named by the known phrases that it begins and ends with.
+    A shard's phrases of a bucket are one row of three compressed columns.
     """
-    schema = _LONGER if extend else _SIDES
-    columns = [c.split()[0] for c in schema.split(", ")]
 
     def work(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({c: pd.Series(dtype="int64") for c in columns})
+            return pd.DataFrame({c.split()[0]: pd.Series(dtype=object) for c in schema.split(", ")})
         numbers, words = unpacked(left["numbers"].iloc[0], left["words"].iloc[0])
         parts = pc.split_pattern(pa.array(right["phrase"], pa.large_string()), " ")
         local = (pc.index_in(parts.flatten(), words).to_numpy().astype(np.int32) + 1).reshape(len(right), -1)
         ids = right["id"].to_numpy()
-        if not extend:
+        if buckets is None:
             before, behind = extensions(numbers, local, longest)
             return pd.DataFrame({"id": ids, "before": before, "behind": behind})
         head, tail, n = counts_of_longer(numbers, local, longest)
-        return pd.DataFrame({"shard": left["shard"].iloc[0], "head": ids[head], "tail": ids[tail], "n": n})[columns]
+        head, tail = ids[head], ids[tail]
+        bucket = _in_buckets(head, tail, buckets)
+        order = np.lexsort((tail, head, bucket))
+        names, starts = np.unique(bucket[order], return_index=True)
+        ends = np.append(starts[1:], len(order))
+        packer = zstandard.ZstdCompressor(3)
+        rows = {"bucket": names, "shard": np.full(len(names), left["shard"].iloc[0])}
+        for name, values in (("heads", head), ("tails", tail), ("counts", n)):
+            values = values[order].astype("<i8")
+            rows[name] = pd.Series([packer.compress(values[a:b].tobytes()) for a, b in zip(starts, ends)], dtype=object)
+        return pd.DataFrame(rows)
 
+    schema = _SIDES if buckets is None else _PACKED
     # Aliased: the phrases come from the same table.
     some = held.select(*[F.col(c).alias(c) for c in ("shard", "numbers", "words")])
     return some.groupBy("shard").cogroup(known.select("shard", "phrase", "id").groupBy("shard")).applyInPandas(work, schema)
 
 
-def _frequent(level: DataFrame, key: list[str], least: int) -> DataFrame:
-    """Rows of phrases that are frequent over all shards, with their sum `f` and a number `id` of the phrase.
+def _summed(packed: DataFrame, least: int) -> DataFrame:
+    """Phrases with `least` occurrences over all shards, a row for each shard, with their sum `f` and a number `id`."""
+
+    def work(rows: pd.DataFrame) -> pd.DataFrame:
+        opener = zstandard.ZstdDecompressor()
+        head, tail, n = (
+            np.frombuffer(b"".join(opener.decompress(v) for v in rows[c]), "<i8") for c in ("heads", "tails", "counts")
+        )
+        sizes = [zstandard.frame_content_size(v) // 8 for v in rows["counts"]]
+        shard = np.repeat(rows["shard"].to_numpy(), sizes)
+        order = np.lexsort((tail, head))
+        head, tail, n, shard = head[order], tail[order], n[order], shard[order]
+        new = np.concatenate([[True], (np.diff(head) != 0) | (np.diff(tail) != 0)])
+        which = np.cumsum(new) - 1
+        f = np.add.reduceat(n, np.flatnonzero(new))
+        kept = f[which] >= least
+        ids = int(rows["bucket"].iloc[0]) * (1 << 31) + which
+        return pd.DataFrame({"shard": shard[kept], "head": head[kept], "tail": tail[kept], "f": f[which][kept], "id": ids[kept]})
+
+    return packed.groupBy("bucket").applyInPandas(work, _LONGER)
+
+
+def _frequent_words(level: DataFrame, least: int) -> DataFrame:
+    """Rows of words that are frequent over all shards, with their sum `f` and a number `id` of the word.
 
-    One shuffle sums a phrase over its shards and keeps the rows that go on.
+    One shuffle sums a word over its shards and keeps the rows that go on.
     """
-    of_phrase = Window.partitionBy(*key)
-    kept = level.withColumn("f", F.sum("n").over(of_phrase)).where(F.col("f") >= least)
-    return kept.withColumn("_row", F.monotonically_increasing_id()).withColumn("id", F.min("_row").over(of_phrase)).drop("_row")
+    of_word = Window.partitionBy("lang", "phrase")
+    kept = level.withColumn("f", F.sum("n").over(of_word)).where(F.col("f") >= least)
+    return kept.withColumn("_row", F.monotonically_increasing_id()).withColumn("id", F.min("_row").over(of_word)).drop("_row")
 
 
 def phrase_counts(
@@ -274,7 +316,8 @@ def phrase_counts(
     held = stored(shards(docs), "shards")
     level = _words(held)
     totals = stored(level.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
-    known = stored(_frequent(level, ["lang", "phrase"], least).drop("n"), "phrases")
+    buckets = max(1, -(-(totals.agg(F.sum("n")).first()[0] or 0) // BUCKET))
+    known = stored(_frequent_words(level, least).drop("n"), "phrases")
     out = None
     for size in range(1, longest + 1):
         names = stored(
@@ -283,12 +326,12 @@ def phrase_counts(
         )
         told = names.select("id", "lang", "phrase", F.lit(size).alias("words"), "f")
         if sides:
-            of_sides = _of_shards(held, known, longest, False).groupBy("id")
+            of_sides = _of_shards(held, known, longest, None).groupBy("id")
             told = told.join(of_sides.agg(F.sum("before").alias("before"), F.sum("behind").alias("behind")), "id")
         out = told.drop("id") if out is None else out.unionByName(told.drop("id"))
         if size == longest:
             break
-        longer = _frequent(_of_shards(held, known, longest, True), ["head", "tail"], least)
+        longer = _summed(_of_shards(held, known, longest, buckets), least)
         heads = names.select(F.col("id").alias("head"), "lang", F.col("phrase").alias("_begin"))
         tails = names.select(F.col("id").alias("tail"), F.substring_index("phrase", " ", -1).alias("_last"))
         longer = longer.join(heads, "head").join(tails, "tail")

@@ -87,6 +87,7 @@ def test_small_shards_give_the_same(spark, monkeypatch):
     assert {k: v for k, v in again.items() if v} == {k: v for k, v in counted(rows, 3).items() if v}
     small = co.shards
     monkeypatch.setattr(co, "shards", lambda d: small(d, 700))
+    monkeypatch.setattr(co, "BUCKET", 1000)
     assert got(co.collocations(docs.repartition(3))) == plain(rows)
 
 
