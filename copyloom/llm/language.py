@@ -24,6 +24,9 @@ UNKNOWN = "und"
 #: Bytes of text that are scored at a time; a longer text is taken in slices.
 SLICE = 500_000
 
+#: Rows of a batch that are scored, and copied, at a time.
+ROWS = 1000
+
 #: Documents per language that the model is fitted to, about; chosen by hash.
 PER_LANGUAGE = 2000
 #: Values of `lang` that may be broadcast with their counts.
@@ -257,20 +260,24 @@ def detected(docs: DataFrame, model: Model) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
-            letters = batch.column("_letters").to_numpy(zero_copy_only=False)
-            best, top = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows)
-            if model.languages:
-                p = model.scores(*summed(batch.column("_lower"), model.table))
-                top = np.where(letters, p.max(axis=1), 0.0)
-                best = [model.languages[i] if ok else UNKNOWN for i, ok in zip(p.argmax(axis=1), letters)]
-                letters = letters & (top >= model.least)
-            else:
-                letters = np.zeros(batch.num_rows, bool)
-            batch = batch.drop_columns(["_lower", "_letters"])
-            batch = batch.append_column("lang_pred", pa.array(best, pa.string()))
-            batch = batch.append_column("lang_score", pa.array(top, pa.float64()))
-            yield batch.append_column("lang_accepted", pa.array(letters, pa.bool_()))
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                letters = batch.column("_letters").to_numpy(zero_copy_only=False)
+                best, top = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows)
+                if model.languages:
+                    p = model.scores(*summed(batch.column("_lower"), model.table))
+                    top = np.where(letters, p.max(axis=1), 0.0)
+                    best = [model.languages[i] if ok else UNKNOWN for i, ok in zip(p.argmax(axis=1), letters)]
+                    letters = letters & (top >= model.least)
+                else:
+                    letters = np.zeros(batch.num_rows, bool)
+                batch = batch.drop_columns(["_lower", "_letters"])
+                batch = batch.append_column("lang_pred", pa.array(best, pa.string()))
+                batch = batch.append_column("lang_score", pa.array(top, pa.float64()))
+                yield batch.append_column("lang_accepted", pa.array(letters, pa.bool_()))
+            del whole, batch  # what comes next is read while nothing of this is held
+            pa.default_memory_pool().release_unused()
 
     return docs.withColumns(
         {"_lower": F.lower("text"), "_letters": F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))}
