@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +47,31 @@ def ship(spark: SparkSession) -> None:
     context.addPyFile(path)
 
 
+def give_back() -> None:
+    """Hand memory that a Python worker has no more use for to the system; called at the end of a task.
+
+    Workers live on, and the next operator's tasks would start on top of it.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Each name, with as many underscores before it as make it none of the columns of `df`."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(text, _UPPER, _UPPER.lower())

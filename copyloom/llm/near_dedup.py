@@ -9,9 +9,10 @@ where they are found; the others are compared on whole sets.
 
 The orders are searched twice. The first search takes the nearest plausible
 neighbours of each class, of which the best few are compared. The second one has
-no distance: all classes that share the first values of a key in any order are
-paired, in blocks, and all plausible pairs that are not connected yet are
-compared. Pairs inside a component can't change it any more.
+no distance: all classes that share the first values of a key in any order meet
+in blocks, where all plausible pairs that are not connected yet are compared on
+whole sets. A block gives out links that join two parts, fewer than its classes;
+pairs inside a component can't change it any more.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from copyloom.llm.common import ship, stored
+from copyloom.llm.common import give_back, ship, stored
 from copyloom.llm.graph import components
 from copyloom.llm.shingles import MinHash, sequence_digest, shingle_hashes
 
@@ -37,9 +38,10 @@ DEPTH = 8  # values in a sort key
 #: (neighbours up to this distance, values that their keys have to share), for the first search.
 NEAR = ((4, 2), (16, 3))
 #: Values of a key that classes have to share in the second search, at any distance,
-#: and the classes in a block, each two of which one task compares.
+#: and the classes in a block, and the bytes of their texts, about. One task compares two blocks.
 SHARED = 2
 BLOCK = 2048
+BLOCK_BYTES = 8_000_000
 #: Plausible neighbours of a class in each order after which the first search moves on.
 ENOUGH = 2
 
@@ -64,14 +66,14 @@ BROADCAST_ROWS = 1_000_000
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """`doc_id, n_shingles, words` (digest of the word sequence), `signature`, `bits`.
+    """`doc_id, n_shingles, n_bytes, words` (digest of the word sequence), `signature`, `bits`.
 
     A text without words, or null, has no shingles, and null in the last three.
     """
     ship(docs.sparkSession)
     schema = pa.schema(
-        [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("words", pa.binary())]
-        + [("signature", pa.binary()), ("bits", pa.binary())]
+        [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("n_bytes", pa.int64())]
+        + [("words", pa.binary()), ("signature", pa.binary()), ("bits", pa.binary())]
     )
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,28 +83,31 @@ def sketches(docs: DataFrame) -> DataFrame:
             for i, hashes in enumerate(shingle_hashes(texts, WIDTH)):
                 distinct = np.unique(hashes)
                 if not len(distinct):
-                    rows.append((0, None, None, None))
+                    rows.append((0, 0, None, None, None))
                     continue
                 least = minima(distinct)
                 shifts = ((7, 13), (8, 17), (5, 11), (9, 15))
                 odd = np.concatenate([_parity(least >> np.uint32(i), *x) for i, x in enumerate(shifts)])
+                text = texts[i].as_py()
                 rows.append(
                     (
                         len(distinct),
-                        sequence_digest(texts[i].as_py()),
+                        len(text.encode()),
+                        sequence_digest(text),
                         least.astype(">u4").tobytes(),
                         np.packbits(odd).tobytes(),
                     )
                 )
-            columns = list(zip(*rows)) or [()] * 4
+            columns = list(zip(*rows)) or [()] * 5
             made = [pa.array(v, f.type) for v, f in zip(columns, list(schema)[1:])]
             ids = pa.concat_arrays([batch.column("doc_id")])
             del batch, texts, rows, columns  # what comes next is read while this is handed over
             yield pa.RecordBatch.from_arrays([ids, *made], schema=schema)
             pa.default_memory_pool().release_unused()
+        give_back()
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(
-        make, "doc_id bigint, n_shingles bigint, words binary, signature binary, bits binary"
+        make, "doc_id bigint, n_shingles bigint, n_bytes bigint, words binary, signature binary, bits binary"
     )
 
 
@@ -203,6 +208,7 @@ def candidates(classes: DataFrame, reach: tuple, bits: int, enough: int | None =
             if len(held):
                 yield out(_Order(held, bits).pairs(len(held), reach, enough))
                 yield edge(held.iloc[-furthest:], True)
+        give_back()
 
     schema = ", ".join(
         ["a bigint, b bigint, similar double, part int, at_end boolean", *(f"{c} {k}" for c, k in kinds.items())]
@@ -230,35 +236,47 @@ def candidates(classes: DataFrame, reach: tuple, bits: int, enough: int | None =
     )
 
 
-def region_pairs(classes: DataFrame, bits: int) -> DataFrame:
-    """`id, part_of, n_shingles, signature, bits` → all plausible pairs `a, b` of unlike `part_of`, once each, with a < b.
+def region_links(classes: DataFrame, texts: DataFrame, bits: int) -> DataFrame:
+    """`id, part_of, n_shingles, n_bytes, signature, bits` → links `a, b` that join unlike `part_of`, with a < b.
 
     Every two classes with `SHARED` equal values at the start of a key meet in the
     first order where they have them. A large region is cut into blocks by hash,
-    each two of which meet in a group of their own.
+    each two of which meet in a group of their own; `texts` (`id, text`) go along.
+    Pairs that aren't linked never leave a group, and of those that are, only as
+    many as join its parts.
     """
     ship(classes.sparkSession)
     start = lambda tree: F.substring(F.col("signature"), tree * (DEPTH * 4) + 1, F.lit(SHARED * 4))
     starts = F.concat(*[start(F.lit(t)) for t in range(TREES)])
     tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
     keyed = classes.select("*", tree).withColumn("start", start(F.col("tree")))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
     regions = stored(
         keyed.groupBy("tree", "start")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("part_of").alias("least"), F.max("part_of").alias("most"))
+        .agg(
+            F.count(F.lit(1)).alias("n"), F.sum("n_bytes").alias("bytes"),
+            F.min("part_of").alias("least"), F.max("part_of").alias("most"),
+        )
         .where("least != most")
-        .select("tree", "start", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")),
+        .select("tree", "start", blocks.alias("blocks")),
         "regions",
     )
     small = F.broadcast(regions) if regions.count() <= BROADCAST_ROWS // 5 else regions
+    places = stored(keyed.select("id", "tree", "start").join(small, ["tree", "start"]), "places")
+    ids = stored(places.select("id").distinct(), "places-ids")
+    texts = texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "id", "left_semi")
+    own = classes.select(
+        "id", "part_of", F.col("n_shingles").alias("size"),
+        F.substring("bits", 1, bits * TREES * DEPTH // 8).alias("bits"), starts.alias("starts"),
+    )
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     rows = (
-        keyed.join(small, ["tree", "start"])
-        .select(
-            "tree", "start", "id", "part_of", F.col("n_shingles").alias("size"), block.alias("block"), "blocks",
-            F.substring("bits", 1, bits * TREES * DEPTH // 8).alias("bits"), starts.alias("starts"),
-        )
+        places.join(own, "id")
+        .join(texts, "id")
+        .withColumn("block", block)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+        .drop("blocks", "other")
     )
     least, distinct = plausible(bits), 1 - 0.5**bits
 
@@ -267,19 +285,36 @@ def region_pairs(classes: DataFrame, bits: int) -> DataFrame:
         met = met.sort_values("block", kind="stable")
         sketch = np.frombuffer(b"".join(met["bits"]), np.uint64).reshape(len(met), bits, TREES * DEPTH // 64)
         begin = np.frombuffer(b"".join(met["starts"]), np.dtype((np.void, SHARED * 4))).reshape(len(met), TREES)
-        ids, part, size = (met[c].to_numpy() for c in ("id", "part_of", "size"))
+        ids, size, text = (met[c].to_numpy() for c in ("id", "size", "text"))
+        root = np.unique(met["part_of"].to_numpy(), return_inverse=True)[1]
         edge = int((met["block"] == low).sum())
+        sets: dict[int, np.ndarray] = {}
         found = []
+
+        def whole_sets(some: list[int]) -> None:
+            new = [i for i in some if i not in sets]
+            for i, hashes in zip(new, shingle_hashes(pa.array(text[new], pa.string()), WIDTH)):
+                sets[i] = np.unique(hashes)
+
         for i in range(edge):
             there = np.arange(i + 1 if low == high else edge, len(met))
-            there = there[(part[there] != part[i]) & (100 * np.minimum(size[there], size[i]) >= SHARE * np.maximum(size[there], size[i]))]
+            there = there[(root[there] != root[i]) & (100 * np.minimum(size[there], size[i]) >= SHARE * np.maximum(size[there], size[i]))]
             unlike = np.bitwise_count(np.bitwise_or.reduce(sketch[there] ^ sketch[i], axis=1)).sum(axis=1, dtype=np.int64)
-            there = there[1 - unlike / (distinct * TREES * DEPTH) >= least]
+            near = 1 - unlike / (distinct * TREES * DEPTH) >= least
+            there, unlike = there[near], unlike[near]
             if tree:
-                there = there[~(begin[there, :tree] == begin[i, :tree]).any(axis=1)]
-            found.append((np.minimum(ids[there], ids[i]), np.maximum(ids[there], ids[i])))
-        a, b = (np.concatenate(x) for x in zip((np.empty(0, np.int64),) * 2, *found))
-        return pd.DataFrame({"a": a, "b": b})
+                apart = ~(begin[there, :tree] == begin[i, :tree]).any(axis=1)
+                there, unlike = there[apart], unlike[apart]
+            for j in there[np.argsort(unlike, kind="stable")].tolist():
+                if root[j] == root[i]:
+                    continue
+                whole_sets([i, j])
+                x, y = sets[i], sets[j]
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                if shared and 100 * shared >= SHARE * (len(x) + len(y) - shared):
+                    root[root == root[j]] = root[i]
+                    found.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+        return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
 
     return rows.groupBy("tree", "start", "low", "high").applyInPandas(compare, "a bigint, b bigint")
 
@@ -298,6 +333,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 linked.append(100 * shared >= SHARE * (len(x) + len(y) - shared) and shared > 0)
             yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
             pa.default_memory_pool().release_unused()
+        give_back()
 
     second = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("second")), "b")
     both = second.join(texts.select(F.col("id").alias("a"), F.col("text").alias("first")), "a")
@@ -321,7 +357,7 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     )
     # Every word sequence once, by its smallest id.
     heads = usable.join(classes.select("words", "id"), "words").where("doc_id = id")
-    heads = stored(heads.select("id", "n_shingles", "signature", "bits").dropDuplicates(["id"]), "heads")
+    heads = stored(heads.select("id", "n_shingles", "n_bytes", "signature", "bits").dropDuplicates(["id"]), "heads")
     pairs = stored(candidates(heads.withColumn("part_of", F.col("id")), NEAR, NEAR_BITS, ENOUGH), "candidates")
     both = pairs.select(F.col("a").alias("id"), F.col("b").alias("other"), "similar").unionByName(
         pairs.select(F.col("b").alias("id"), F.col("a").alias("other"), "similar")
@@ -348,13 +384,7 @@ def near_dedup(docs: DataFrame) -> DataFrame:
         .withColumn("part_of", F.coalesce("component_id", "id"))
         .drop("component_id")
     )
-    met = region_pairs(stored(searched, "searched"), FAR_BITS)
-    open_pairs = stored(met.join(stored(first, "compared"), ["a", "b"], "left_anti"), "open-pairs")
-    ids = stored(open_pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "open-ids")
-    texts = docs.withColumnRenamed("doc_id", "id").join(
-        F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "id", "left_semi"
-    )
-    more = stored(confirmed(open_pairs, texts), "more-links")
+    more = stored(region_links(stored(searched, "searched"), docs.withColumnRenamed("doc_id", "id"), FAR_BITS), "more-links")
     whole = stored(components(links.unionByName(more)), "components")
     by_words = classes.select("words", F.col("id").alias("head"))
     out = rows.select("doc_id", "n_shingles", "words").join(by_words, "words", "left")

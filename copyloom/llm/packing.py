@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from copyloom.llm.common import ship, stored
+from copyloom.llm.common import give_back, ship, stored
 from copyloom.llm.tokens import coder, id_bytes
 from copyloom.plans.skew import numbered
 
@@ -53,6 +53,8 @@ def token_pieces(
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(v, f.type) for v, f in zip(zip(*rows), schema)], schema=schema
                 )
+        make.rest()
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(cut, _PIECES)
 

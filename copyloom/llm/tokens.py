@@ -135,6 +135,10 @@ class Coder:
             out += self._encode(texts.slice(at, upto - at))
         return out
 
+    def rest(self) -> None:
+        """Forget the older pieces; called at the end of a task."""
+        self.older = {}
+
     def _encode(self, texts: pa.Array) -> list[bytes]:
         texts = pa.concat_arrays([texts])  # own buffers, without an offset
         if self.folds_space:

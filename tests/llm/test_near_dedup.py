@@ -130,5 +130,18 @@ def test_pairs_in_a_dense_source_of_unlike_pages(spark, monkeypatch, block):
         assert 100 * len(a & b) >= 75 * len(a | b)
     assert 100 * 90 < 75 * (90 + 17 + 17)
     random.Random(1).shuffle(rows)
+    given = []
+    region_links = near_dedup.region_links
+    monkeypatch.setattr(near_dedup, "region_links", lambda *a: given.append(region_links(*a)) or given[0])
     got = {r.doc_id: r.component_id for r in near_dedup.near_dedup(odd_rows.docs(spark, rows)).collect()}
+    # Some 300,000 pairs that are nearly alike stay where they are compared.
+    assert all(a // 2 == b // 2 for a, b in given[0].collect())
     assert got == {i: i - i % 2 if i < 160 else i for i in range(800)}
+
+
+def test_blocks_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK_BYTES", 5000)
+    monkeypatch.setattr(near_dedup, "NEAR", ((1, 8),))  # leaves nearly all to the second search
+    rows = near_copies(4, 2, 50)
+    got = near_dedup.near_dedup(odd_rows.docs(spark, rows)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == plain(rows)
