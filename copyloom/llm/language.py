@@ -3,6 +3,11 @@
 Subwords are runs of 2 to 4 bytes of the lower-cased text, white space included.
 As the average is linear, embedding and output layer fold into one table of
 logits per subword bucket, with which whole texts are scored.
+
+Beside the languages the softmax has a class for what is none of them. It is
+trained on noise made from the same texts: their letters in any order, any
+letters, letters of other scripts, signs and digits. Texts are rejected by the
+chance of this class, at a threshold set on texts kept apart.
 """
 
 from __future__ import annotations
@@ -15,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from copyloom.llm.common import held_out, share, ship, stored
+from copyloom.llm.common import fresh, give_back, held_out, share, ship, stored
 
 BUCKETS = 1 << 15
 LENGTHS = (2, 3, 4)
@@ -28,25 +33,61 @@ SLICE = 500_000
 PER_LANGUAGE = 2000
 #: Values of `lang` that may be broadcast with their counts.
 BROADCAST_ROWS = 100_000
-#: Of the rightly told calibration texts, the share that rejection may lose.
-LOST = 0.0005
+#: Of the calibration texts in a language, the share that rejection may lose.
+LOST = 0.001
+#: The share of sampled texts of which noise is made as well.
+NOISE = 0.3
+#: First letters of the scripts that noise is written in, and how many of them are taken.
+SCRIPTS = (0x3B1, 0x430, 0x561, 0x5D0, 0x627, 0x905, 0xE01, 0x10D0, 0x3041, 0x30A1, 0x4E00, 0xAC00)
+SCRIPT_LETTERS = 24
 
 
 @dataclass(frozen=True)
 class Model:
-    """Languages, their logits per bucket, bias and temperature, and the lowest score accepted."""
+    """Languages, logits per bucket, bias and temperature, and the highest chance of no language accepted.
+
+    The last class is that of no language.
+    """
 
     languages: list[str]
-    table: np.ndarray  # buckets x languages
+    table: np.ndarray  # buckets x (languages and no language)
     bias: np.ndarray
     temperature: float
-    least: float
-
-    def scores(self, sums: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Probabilities from summed logits and numbers of subwords."""
-        z = (sums / np.maximum(counts, 1)[:, None] + self.bias) / self.temperature
-        z = np.exp(z - z.max(axis=1, keepdims=True))
-        return z / z.sum(axis=1, keepdims=True)
+    most: float
+
+    def scores(self, sums: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Chances of the languages among each other, and of no language, from summed logits and numbers of subwords."""
+        z = sums / np.maximum(counts, 1)[:, None] + self.bias
+        return _chances(z[:, :-1], self.temperature), _chances(z, self.temperature)[:, -1]
+
+
+def _chances(logits: np.ndarray, temperature: float) -> np.ndarray:
+    z = logits / temperature
+    z = np.exp(z - z.max(axis=1, keepdims=True))
+    return z / z.sum(axis=1, keepdims=True)
+
+
+def noise(text: str, seed: int) -> str:
+    """A text in no language, made from a lower-cased one; which kind of noise depends on the seed."""
+    rng = np.random.default_rng(seed)
+    kind = seed % 4
+    # Any part of it, so that short texts are among them.
+    size = int(rng.integers(min(len(text), 8), len(text) + 1))
+    at = int(rng.integers(0, max(1, len(text) - size + 1)))
+    signs = np.array(list(text[at : at + size]) or ["0"])
+    letters = np.char.isalpha(signs)
+    n = int(letters.sum())
+    if kind == 0:
+        signs[letters] = rng.permutation(signs[letters])
+    elif kind == 1:
+        signs[letters] = np.array(list("abcdefghijklmnopqrstuvwxyz"))[rng.integers(0, 26, n)]
+    elif kind == 2:
+        first = SCRIPTS[int(rng.integers(0, len(SCRIPTS)))]
+        signs[letters] = [chr(first + i) for i in rng.integers(0, SCRIPT_LETTERS, n).tolist()]
+    else:
+        letters &= rng.random(len(signs)) < 0.9
+        signs[letters] = np.array(list("0123456789-_=/<>|#"))[rng.integers(0, 18, int(letters.sum()))]
+    return "".join(signs.tolist())
 
 
 def _buckets(data: np.ndarray, length: int) -> np.ndarray:
@@ -150,8 +191,8 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
 
     Uses `text` and non-null `lang` of documents outside the held-out fold. A
     fifth of the sample is kept apart to calibrate: the temperature is the one
-    under which its right answers are likeliest, and the lowest accepted score
-    is at most a half and loses no more than `LOST` of its rightly told texts.
+    under which its right answers are likeliest, and the highest accepted chance
+    of no language is at least a half and loses no more than `LOST` of its texts.
     Without any such document the model knows no language.
     """
     ship(docs.sparkSession)
@@ -167,17 +208,22 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(lang: pa.Array, texts: pa.Array, place: pa.Array) -> pa.RecordBatch:
+            pairs = list(_counted(texts))
+            at = pa.array([p[0].astype(np.int32) for p in pairs], schema.field("at").type)
+            shares = pa.array([p[1].astype(np.float32) for p in pairs], schema.field("share").type)
+            return pa.RecordBatch.from_arrays([lang, at, shares, place], schema=schema)
+
         for batch in batches:
-            pairs = list(_counted(batch.column("text")))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("lang"),
-                    pa.array([p[0].astype(np.int32) for p in pairs], schema.field("at").type),
-                    pa.array([p[1].astype(np.float32) for p in pairs], schema.field("share").type),
-                    batch.column("place"),
-                ],
-                schema=schema,
-            )
+            yield out(batch.column("lang"), batch.column("text"), batch.column("place"))
+            # The digits behind those that choose a text choose its noise.
+            some = batch.filter(pa.array([p < NOISE for p in batch.column("place").to_pylist()], pa.bool_()))
+            made = [
+                noise(t, int(p * (1 << 40)))
+                for t, p in zip(some.column("text").to_pylist(), some.column("place").to_pylist())
+            ]
+            yield out(pa.nulls(len(made), pa.string()), pa.array(made, pa.string()), some.column("place"))
+        give_back()
 
     placed = sample.select("lang", F.lower("text").alias("text"), share(92, F.col("doc_id")).alias("place"))
     features = stored(
@@ -195,50 +241,46 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
                 b.column("place").to_pylist(),
             )
         ]
-        taken.sort(key=lambda t: (t[0], t[1]))
-        languages = sorted({t[1] for t in taken})
+        taken.sort(key=lambda t: (t[0], t[1] is None, t[1] or ""))
+        languages = sorted({t[1] for t in taken if t[1] is not None})
         if not languages:
             return
-        labels = np.array([languages.index(t[1]) for t in taken])
+        none = len(languages)
+        labels = np.array([none if t[1] is None else languages.index(t[1]) for t in taken])
         apart = np.arange(len(taken)) % 5 == 4
         rows = [t[2:] for t in taken]
         learn = np.flatnonzero(~apart)
-        table, bias = fit_softmax([rows[i] for i in learn], labels[learn], len(languages))
-        check = np.flatnonzero(apart) if apart.any() else learn
+        table, bias = fit_softmax([rows[i] for i in learn], labels[learn], none + 1)
+        check = np.flatnonzero(apart & (labels < none))
+        check = check if len(check) else np.flatnonzero(labels < none)
         logits = np.array([part @ table[at] for at, part in (rows[i] for i in check)]) + bias
         target = labels[check]
 
-        def chances(temperature: float) -> np.ndarray:
-            z = logits / temperature
-            z = np.exp(z - z.max(axis=1, keepdims=True))
-            return z / z.sum(axis=1, keepdims=True)
-
         def loss(temperature: float) -> float:
-            return -np.log(chances(temperature)[np.arange(len(target)), target] + 1e-12).mean()
+            return -np.log(_chances(logits[:, :none], temperature)[np.arange(len(target)), target] + 1e-12).mean()
 
         temperature = min(np.geomspace(0.05, 20, 61), key=loss)
-        p = chances(temperature)
-        right = np.sort(p.max(axis=1)[p.argmax(axis=1) == target])
-        least = min(0.5, float(right[int(LOST * len(right))])) if len(right) else 0.0
+        apart_from = np.sort(_chances(logits, temperature)[:, none])
+        most = max(0.5, float(apart_from[len(apart_from) - 1 - int(LOST * len(apart_from))]))
         yield pa.RecordBatch.from_pydict(
             {
                 "languages": [languages],
                 "logits": [table.astype("<f4").tobytes()],
                 "bias": [bias.astype("<f4").tobytes()],
                 "temperature": [float(temperature)],
-                "least": [least],
+                "most": [most],
             }
         )
 
     made = features.coalesce(1).mapInArrow(
-        train, "languages array<string>, logits binary, bias binary, temperature double, least double"
+        train, "languages array<string>, logits binary, bias binary, temperature double, most double"
     )
     found = stored(made, "language-model").first()
     if found is None:
-        return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32), 1.0, 0.0)
+        return Model([], np.zeros((BUCKETS, 1), np.float32), np.zeros(1, np.float32), 1.0, 0.5)
     table = np.frombuffer(found["logits"], "<f4").reshape(BUCKETS, -1)
     return Model(
-        list(found["languages"]), table, np.frombuffer(found["bias"], "<f4"), found["temperature"], found["least"]
+        list(found["languages"]), table, np.frombuffer(found["bias"], "<f4"), found["temperature"], found["most"]
     )
 
 
@@ -246,32 +288,36 @@ def detected(docs: DataFrame, model: Model) -> DataFrame:
     """All columns of `docs` (with `text`) and `lang_pred, lang_score, lang_accepted`.
 
     `und` with score 0 for a null text, one without letters, and under a model
-    without languages. Texts count as accepted if they have a language and a
-    score of at least the model's. Columns of these three names are replaced.
+    without languages. Texts count as accepted if they have a language and the
+    chance that they are in none is at most the model's. Columns of these three
+    names are replaced. Every row is judged by its own text alone, repeated rows
+    too; long texts are scored whole, in slices; an empty table stays empty.
     """
     spark = docs.sparkSession
     ship(spark)
-    docs = docs.drop("lang_pred", "lang_score", "lang_accepted", "_lower", "_letters")
+    docs = docs.drop("lang_pred", "lang_score", "lang_accepted")
+    lower, lettered = fresh(docs, "_lower", "_letters")
     shared = spark.sparkContext.broadcast(model)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            letters = batch.column("_letters").to_numpy(zero_copy_only=False)
+            letters = batch.column(lettered).to_numpy(zero_copy_only=False)
             best, top = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows)
             if model.languages:
-                p = model.scores(*summed(batch.column("_lower"), model.table))
+                p, none = model.scores(*summed(batch.column(lower), model.table))
                 top = np.where(letters, p.max(axis=1), 0.0)
                 best = [model.languages[i] if ok else UNKNOWN for i, ok in zip(p.argmax(axis=1), letters)]
-                letters = letters & (top >= model.least)
+                letters = letters & (none <= model.most)
             else:
                 letters = np.zeros(batch.num_rows, bool)
-            batch = batch.drop_columns(["_lower", "_letters"])
+            batch = batch.drop_columns([lower, lettered])
             batch = batch.append_column("lang_pred", pa.array(best, pa.string()))
             batch = batch.append_column("lang_score", pa.array(top, pa.float64()))
             yield batch.append_column("lang_accepted", pa.array(letters, pa.bool_()))
+        give_back()
 
     return docs.withColumns(
-        {"_lower": F.lower("text"), "_letters": F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))}
+        {lower: F.lower("text"), lettered: F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))}
     ).mapInArrow(score, f"{fields}, lang_pred string, lang_score double, lang_accepted boolean")

@@ -141,6 +141,7 @@ def op9_language(spark: SparkSession, folder: str) -> DataFrame:
         held_out(F.col("doc_id")).alias("held_out"),
         "lang_pred",
         F.col("lang_score").alias("score"),
+        F.col("lang_accepted").alias("accepted"),
     )
 
 

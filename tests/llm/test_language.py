@@ -23,7 +23,7 @@ def test_held_out_accuracy(spark):
     rows = texts(300)
     docs = odd_rows.docs(spark, rows)
     model = language.fit(docs)
-    assert model.languages == ["aa", "bb"] and 0 < model.least <= 0.5
+    assert model.languages == ["aa", "bb"] and 0.5 <= model.most < 1
     got = language.detected(odd_rows.docs(spark, [*rows, *odd_rows.ROWS]), model)
     assert got.columns == [*docs.columns, "lang_pred", "lang_score", "lang_accepted"]
     told = {r.doc_id: r for r in got.collect()}
@@ -57,3 +57,37 @@ def test_without_labels(spark):
     assert model.languages == []
     got = language.detected(odd_rows.docs(spark), model).collect()
     assert len(got) == len(odd_rows.ROWS) and {r.lang_pred for r in got} == {"und"}
+
+
+def test_what_is_no_language_is_rejected_and_the_rest_is_not(spark):
+    rows = texts(600, seed=2)
+    model = language.fit(odd_rows.docs(spark, rows))
+    rng = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    odd = [
+        "これは日本語の文章です。とても短いですが、いくつかの文があります。", "это предложение на русском языке", "1010 a",
+        *["".join(rng.choice(letters + "   ") for _ in range(200)) for _ in range(20)],
+    ]
+    docs = odd_rows.docs(spark, [*rows, *[(9000 + i, t, None) for i, t in enumerate(odd)]])
+    told = {r.doc_id: r.lang_accepted for r in language.detected(docs, model).collect()}
+    assert not any(told[9000 + i] for i in range(len(odd)))
+    assert np.mean([told[i] for i, _, _ in rows]) > 0.98
+
+
+def test_scores_against_plain(spark):
+    rows = texts(120, seed=4)
+    model = language.fit(odd_rows.docs(spark, rows))
+    docs = odd_rows.docs(spark, [*rows[:30], (1, "é", "aa")]).withColumnsRenamed({"row": "_lower", "hash": "_letters"})
+    for r in language.detected(docs, model).collect():
+        assert (r["_lower"], r["_letters"]) == ("r", None)
+        data = r.text.lower().encode()
+        runs = [data[i : i + k] for k in language.LENGTHS for i in range(len(data) - k + 1)]
+        z = model.bias.astype(float)
+        for run in runs:
+            number = int.from_bytes(run, "big") + len(run) * 0x1000193
+            number = number * 2_654_435_761 % 2**32
+            number = (number ^ number >> 15) * 2_246_822_519 % 2**32 >> 17
+            z = z + model.table[number] / len(runs)
+        p = np.exp((z[:-1] - z.max()) / model.temperature)
+        assert abs(r.lang_score - (p / p.sum()).max()) < 1e-4
+        assert r.lang_pred == model.languages[int(p.argmax())]
