@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from copyloom.llm import decontamination, exact_dedup, language, near_dedup, packing
-from copyloom.llm.common import share, stored, table
+from copyloom.llm.common import fresh, share, stored, table
 from copyloom.plans.skew import numbered
 
 #: Rows, by id and digest, that may be broadcast; a larger set is joined by shuffle.
@@ -25,9 +25,10 @@ def _sha256() -> Column:
 
 def _with_rows(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
     """Documents that are (`left_semi`) or aren't (`left_anti`) among some `doc_id, text_sha256`; null equals null."""
-    rows = stored(rows.select(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_sha")).distinct(), "rows")
+    of_id, sha = fresh(docs, "_id", "_sha")
+    rows = stored(rows.select(F.col("doc_id").alias(of_id), F.unhex("text_sha256").alias(sha)).distinct(), "rows")
     small = _small(rows)
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.unhex(_sha256()) == F.col("_sha"))
+    same = F.col("doc_id").eqNullSafe(F.col(of_id)) & (F.unhex(_sha256()) == F.col(sha))
     return docs.join(small, same, how)
 
 
@@ -53,9 +54,10 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     again = stored(again.select("doc_id", "text_sha256"), "repeated-rows")
     if again.isEmpty():
         return left
-    once = _with_rows(left, again, "left_semi").withColumn("_same", F.coalesce("text", F.lit("")))
-    others = [c for c in docs.columns if c != "doc_id"]
-    once = once.groupBy("doc_id", "_same").agg(F.min(F.struct(*others)).alias("_row")).select("doc_id", "_row.*")
+    # Whichever row: the stage's result is stored, so it stays the one.
+    same = fresh(docs, "_same")[0]
+    once = _with_rows(left, again, "left_semi").withColumn(same, F.coalesce("text", F.lit("")))
+    once = once.dropDuplicates(["doc_id", same]).select(*docs.columns)
     return _with_rows(left, again, "left_anti").unionByName(once)
 
 
