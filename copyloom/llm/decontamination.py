@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from copyloom.llm.common import ascii_lower, stored
+from copyloom.llm.common import ascii_lower, fresh, stored
 
 #: What is no word: ASCII but for digits and a-z, after A-Z are lower-cased.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -154,23 +154,24 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, spans: bool = False) -
     hit run of words goes with what stands between them. Each row is judged by
     its own text, also of rows that share a doc_id or have none.
     """
+    bad_id, bad_row, hits = fresh(docs, "_bad_id", "_bad_row", "_spans")
     found = _contamination(docs, benchmark).where("contaminated")
-    bad = found.groupBy(F.col("doc_id").alias("_bad_id"), F.col("row").alias("_bad_row")).agg(F.first("spans").alias("_spans"))
-    bad = stored(bad if spans else bad.select("_bad_id", "_bad_row"), "contaminated")
+    bad = found.groupBy(F.col("doc_id").alias(bad_id), F.col("row").alias(bad_row)).agg(F.first("spans").alias(hits))
+    bad = stored(bad if spans else bad.select(bad_id, bad_row), "contaminated")
     small = F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad
-    same = F.col("doc_id").eqNullSafe(F.col("_bad_id")) & (F.xxhash64("text") == F.col("_bad_row"))
+    same = F.col("doc_id").eqNullSafe(F.col(bad_id)) & (F.xxhash64("text") == F.col(bad_row))
     if not spans:
         return docs.join(small, same, "left_anti")
     pieces = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"{_ANY_WORD}|{_ANY_BETWEEN}"), F.lit(0))
     # Words and what is between them alternate; the first piece decides which are which.
     shift = F.when(F.element_at(pieces, 1).rlike(_ANY_WORD), 0).otherwise(1)
     inside = lambda p, i: F.exists(
-        "_spans", lambda s: ((i - shift) >= s["first"] * 2) & ((i - shift) <= s["last"] * 2)
+        hits, lambda s: ((i - shift) >= s["first"] * 2) & ((i - shift) <= s["last"] * 2)
     )
     cut = F.array_join(F.filter(pieces, lambda p, i: ~inside(p, i)), "")
     return docs.join(small, same, "left").select(
         *[
-            F.when(F.col("_spans").isNull(), F.col(c)).otherwise(cut).alias(c) if c == "text" else F.col(c)
+            F.when(F.col(hits).isNull(), F.col(c)).otherwise(cut).alias(c) if c == "text" else F.col(c)
             for c in docs.columns
         ]
     )

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from copyloom.llm.common import stored
+from copyloom.llm.common import fresh, stored
 
 #: Lines that the rolling hash looks at; a chunk ends where it is 0 modulo `SPAN`.
 ROLL, SPAN = 2, 2
@@ -293,34 +293,35 @@ def passage_dedup(docs: DataFrame) -> DataFrame:
     Columns of these names are replaced.
     """
     docs = docs.drop("n_lines", "n_removed", "removed")
+    gone_id, gone_row, spans, left_units = fresh(docs, "_gone_id", "_gone_row", "_spans", "_kept")
     gone = stored(
-        repeated_runs(docs).select(F.col("doc_id").alias("_gone_id"), F.col("row").alias("_gone_row"), F.col("spans").alias("_spans")),
+        repeated_runs(docs).select(F.col("doc_id").alias(gone_id), F.col("row").alias(gone_row), F.col("spans").alias(spans)),
         "removed-runs",
     )
     small = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS // 5 else gone
-    same = F.col("doc_id").eqNullSafe(F.col("_gone_id")) & (F.xxhash64("text") == F.col("_gone_row"))
+    same = F.col("doc_id").eqNullSafe(F.col(gone_id)) & (F.xxhash64("text") == F.col(gone_row))
     out = docs.join(small, same, "left")
-    removed = F.coalesce("_spans", F.array().cast("array<struct<first:int,last:int>>"))
+    removed = F.coalesce(spans, F.array().cast("array<struct<first:int,last:int>>"))
     kept = F.when(
         F.size(removed) > 0,
         F.filter(
             units(F.col("text")),
-            lambda u: ~F.exists("_spans", lambda s: (u["pos"] >= s["first"]) & (u["pos"] <= s["last"])),
+            lambda u: ~F.exists(spans, lambda s: (u["pos"] >= s["first"]) & (u["pos"] <= s["last"])),
         ),
     )
-    out = out.withColumn("_kept", kept)
-    before = F.concat(F.array(F.lit(None).cast("int")), F.transform("_kept", lambda u: u["line"]))
+    out = out.withColumn(left_units, kept)
+    before = F.concat(F.array(F.lit(None).cast("int")), F.transform(left_units, lambda u: u["line"]))
     joined = F.array_join(
         F.zip_with(
-            "_kept",
-            F.slice(before, F.lit(1), F.size("_kept")),
+            left_units,
+            F.slice(before, F.lit(1), F.size(left_units)),
             lambda u, line: F.concat(F.when(u["line"] > line, "\n").otherwise(""), u["text"]),
         ),
         "",
     )
     n_lines = F.size(lines(F.col("text")))
-    left = F.size(F.array_distinct(F.transform("_kept", lambda u: u["line"])))
-    some = F.col("_kept").isNotNull()
+    left = F.size(F.array_distinct(F.transform(left_units, lambda u: u["line"])))
+    some = F.col(left_units).isNotNull()
     return out.select(
         *[F.when(some, joined).otherwise(F.col(c)).alias(c) if c == "text" else F.col(c) for c in docs.columns],
         n_lines.cast("bigint").alias("n_lines"),

@@ -76,9 +76,8 @@ def placed(rows: DataFrame, key: str, shards: Sequence[str], slots: int = SLOTS)
     """
     rows = rows.drop(*[c for c in ("slot", "shard") if c != key])
     table = slot_table(rows.sparkSession, shards, slots)
-    named = rows.withColumn("_slot", slot_of(F.col(key), slots))
-    joined = named.join(F.broadcast(table), F.col("_slot") == table["slot"])
-    return joined.select(*[named[c] for c in rows.columns], table["slot"], table["shard"])
+    joined = rows.join(F.broadcast(table), slot_of(rows[key], slots) == table["slot"])
+    return joined.select(*[rows[c] for c in rows.columns], table["slot"], table["shard"])
 
 
 def write_shards(rows: DataFrame, key: str, shards: Sequence[str], path: str, files: int = 8) -> None:
