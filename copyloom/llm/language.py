@@ -72,7 +72,7 @@ def noise(text: str, seed: int) -> str:
     rng = np.random.default_rng(seed)
     kind = seed % 4
     # Any part of it, so that short texts are among them.
-    size = int(rng.integers(min(len(text), 8), len(text) + 1))
+    size = int(rng.integers(1, max(2, len(text) + 1)))
     at = int(rng.integers(0, max(1, len(text) - size + 1)))
     signs = np.array(list(text[at : at + size]) or ["0"])
     letters = np.char.isalpha(signs)
@@ -85,8 +85,7 @@ def noise(text: str, seed: int) -> str:
         first = SCRIPTS[int(rng.integers(0, len(SCRIPTS)))]
         signs[letters] = [chr(first + i) for i in rng.integers(0, SCRIPT_LETTERS, n).tolist()]
     else:
-        letters &= rng.random(len(signs)) < 0.9
-        signs[letters] = np.array(list("0123456789-_=/<>|#"))[rng.integers(0, 18, int(letters.sum()))]
+        signs[letters] = np.array(list("0123456789-_=/<>|#"))[rng.integers(0, 18, n)]
     return "".join(signs.tolist())
 
 
