@@ -11,6 +11,7 @@ from copyloom.functions import keywords as kw
 from copyloom.functions import text as tx
 from copyloom.operators import history as hist
 from copyloom.operators import quality
+from copyloom.operators import terms as long_lists
 from copyloom.plans.workdir import new_path
 from copyloom.sources import history_store
 
@@ -54,6 +55,59 @@ def quality_bold(t: Tables) -> DataFrame:
     )
 
 
+# Names of parts, and the first three words of each benchmark item with the signs that stand at them.
+_TERM_WORDS = r"[\p{L}\p{N}\p{M}_]+"
+_MOST_WORDS = 8
+
+
+def _term_grams() -> str:
+    """Runs of 1 to `_MOST_WORDS` words, with the gaps between and round them."""
+    arms, gram = [], "w0"
+    for k in range(1, _MOST_WORDS + 1):
+        arms.append(
+            f"SELECT doc_id, {gram} AS gram, b0 AS before, a{k - 1} AS after, pos = 1 AS opens,"
+            f" pos + {k - 1} = total AS closes FROM x WHERE pos + {k - 1} <= total"
+        )
+        gram += f" || a{k - 1} || w{k}"
+    return " UNION ALL ".join(arms)
+
+
+@query(
+    rf"""
+WITH t AS (
+  SELECT lower(p_name) AS term FROM part
+  UNION SELECT lower(array_to_string(string_split(text, ' ')[1:3], ' ')) FROM benchmark
+),
+cut AS (
+  SELECT term, regexp_extract(term, '^[^\p{{L}}\p{{N}}\p{{M}}_]*') AS lead, regexp_extract(term, '[^\p{{L}}\p{{N}}\p{{M}}_]*$') AS tail
+  FROM t WHERE regexp_matches(term, '{_TERM_WORDS}')
+),
+listed AS (SELECT *, substr(term, length(lead) + 1, length(term) - length(lead) - length(tail)) AS gram FROM cut),
+d AS (
+  SELECT doc_id, regexp_extract_all(lower(text), '{_TERM_WORDS}') AS w, regexp_split_to_array(lower(text), '{_TERM_WORDS}') AS g
+  FROM documents
+),
+p AS (
+  SELECT doc_id, unnest(w) AS w0, unnest(g[1:len(w)]) AS b0, unnest(g[2:]) AS a0, generate_subscripts(w, 1) AS pos, len(w) AS total FROM d
+),
+x AS (
+  SELECT *, {", ".join(f"lead(w0, {k}) OVER o AS w{k}, lead(a0, {k}) OVER o AS a{k}" for k in range(1, _MOST_WORDS))}
+  FROM p WINDOW o AS (PARTITION BY doc_id ORDER BY pos)
+),
+grams AS ({_term_grams()})
+SELECT doc_id, term, count(*) AS n FROM grams JOIN listed USING (gram)
+WHERE ends_with(before, lead) AND (lead = '' OR opens OR length(before) > length(lead))
+  AND starts_with(after, tail) AND (tail = '' OR closes OR length(after) > length(tail))
+GROUP BY ALL"""
+)
+def quality_terms(t: Tables) -> DataFrame:
+    """Uses of a list of terms that grows with the tables, in all documents."""
+    opening = F.array_join(F.slice(F.split("text", " ", -1), 1, 3), " ")
+    listed = t.part.select(F.col("p_name").alias("term")).unionByName(t.benchmark.select(opening.alias("term")))
+    texts = t.documents.select(F.col("doc_id").alias("id"), "text")
+    return long_lists.term_uses(texts, listed).withColumnRenamed("id", "doc_id")
+
+
 # Lines of a document as headings of three levels, by their first letter.
 _MARKS = (("A-M", "##"), ("N-S", "###"), ("T-Z", "#####"))
 

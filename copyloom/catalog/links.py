@@ -57,6 +57,36 @@ def page_facts(t: Tables) -> DataFrame:
     )
 
 
+# Descriptions put at the start of the head or of the body, and what they give; `{u}` is the address in the page.
+_DESCRIBED = (
+    ("head", '<meta name="description" content=" Of {u} "><meta name="description" content="second">', "' Of ' || url || ' '"),
+    ("head", '<META Name="description" Content="Upper &quot;{u}&quot;">', """'Upper "' || url || '"'"""),
+    ("head", '<meta name="Description" content="no"><meta content="of {u}" name=description>', "'of ' || url"),
+    ("head", '<meta name="description"><meta name="description" content="{u}">', "''"),
+    ("body", '<svg><meta name="description" content="drawn"/></svg><p><meta name="description" content="{u}"></p>', "url"),
+    ("body", '<!--<meta name="description" content="{u}">--><meta property="og:description" content="{u}">', "''"),
+)
+
+
+@query(
+    f"""
+SELECT page_id, CASE page_id % {len(_DESCRIBED)} {' '.join(f"WHEN {i} THEN {w}" for i, (_, _, w) in enumerate(_DESCRIBED))} END AS meta_desc
+FROM pages"""
+)
+def page_descriptions(t: Tables) -> DataFrame:
+    """All pages with meta descriptions: the first one counts, whatever the case of its names, not in drawings or comments."""
+    address = F.replace("url", F.lit("&"), F.lit("&amp;"))
+    html = F.col("html")
+    for i, (place, tags, _) in enumerate(_DESCRIBED):
+        before, behind = tags.split("{u}", 1)
+        parts = [F.lit(f"<{place}>{before}")]
+        for more in behind.split("{u}"):
+            parts += [address, F.lit(more)]
+        put = F.replace("html", F.lit(f"<{place}>"), F.concat(*parts))
+        html = F.when(F.col("page_id") % len(_DESCRIBED) == i, put).otherwise(html)
+    return facts_of(t.pages.select("page_id", "url", html.alias("html"))).select("page_id", "meta_desc")
+
+
 _HREFS = r"""hrefs AS (
   SELECT page_id, url, regexp_extract(url, '^https?://[^/?#]+') AS site,
     regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1) AS a
