@@ -19,31 +19,38 @@ WORD = f"{LETTER}+"
 BROADCAST_TERMS = 500_000
 BROADCAST_BYTES = 64 << 20
 
-_GRAMS = "array<struct<gram:string,before:string,after:string,opens:boolean,closes:boolean>>"
-
-
 def _gaps(low: Column) -> Column:
     """What stands before, between and behind the words: one more than there are words."""
     return F.split(low, WORD, -1)
 
 
-def _grams(n: int) -> Column:
-    """All runs of `n` of the `_words`, with the gaps on both sides."""
+def _runs(texts: DataFrame, sizes: list[int]) -> DataFrame:
+    """All runs of as many words as `sizes` say: `id, gram`, the gaps `before` and `after`, and whether they open or close the text.
+
+    The words and gaps that follow a place are columns next to it, so that all
+    else is plain arithmetic on rows.
+    """
+    cut = texts.where("text is not null").select("id", F.lower("text").alias("_low")).select(
+        "id", F.regexp_extract_all("_low", F.lit(WORD), 0).alias("_words"), _gaps(F.col("_low")).alias("_gaps")
+    )
+    most, count = max(sizes), F.size("_words")
+    shifted = [F.slice("_words", k + 1, count).alias(f"w{k}") for k in range(most + 1)]
+    shifted += [F.slice("_gaps", k + 1, count).alias(f"g{k}") for k in range(most + 1)]
+    at = cut.select("id", F.posexplode(F.arrays_zip(*shifted)).alias("pos", "at"))
 
-    def run(i: Column) -> Column:
-        parts = [F.get("_words", i)]
+    def run(n: int) -> Column:
+        parts = [F.col("at.w0")]
         for j in range(1, n):
-            parts += [F.get("_gaps", i + j), F.get("_words", i + j)]
+            parts += [F.col(f"at.g{j}"), F.col(f"at.w{j}")]
         return F.struct(
             F.concat(*parts).alias("gram"),
-            F.get("_gaps", i).alias("before"),
-            F.get("_gaps", i + n).alias("after"),
-            (i == 0).alias("opens"),
-            (i + n == F.size("_words")).alias("closes"),
+            F.col("at.g0").alias("before"),
+            F.col(f"at.g{n}").alias("after"),
+            (F.col("pos") == 0).alias("opens"),
+            F.col(f"at.w{n}").isNull().alias("closes"),
         )
 
-    runs = F.transform(F.sequence(F.lit(0), F.size("_words") - n), run)
-    return F.when(F.size("_words") >= n, runs.cast(_GRAMS)).otherwise(F.array().cast(_GRAMS))
+    return at.select("id", F.inline(F.array(*[run(n) for n in sizes]))).where("gram is not null")
 
 
 def term_index(terms: DataFrame) -> DataFrame:
@@ -77,12 +84,8 @@ def term_uses(texts: DataFrame, terms: DataFrame) -> DataFrame:
         F.sum(F.octet_length("term") + F.octet_length("gram")).alias("bytes"),
         F.sort_array(F.collect_set("n_words")).alias("sizes"),
     ).first()
-    words = texts.where("text is not null").select("id", F.lower("text").alias("_low")).select(
-        "id", F.regexp_extract_all("_low", F.lit(WORD), 0).alias("_words"), _gaps(F.col("_low")).alias("_gaps")
-    )
-    # As many kinds of runs as there are lengths of terms, whatever their number.
-    runs = F.concat(F.array().cast(_GRAMS), *[_grams(n) for n in held["sizes"]])
-    places = words.select("id", F.inline(runs)).withColumn("_n", F.lit(1).cast("long"))
+    # As many kinds of runs as there are lengths of terms, whatever their number; one where there are none.
+    places = _runs(texts, list(held["sizes"]) or [1]).withColumn("_n", F.lit(1).cast("long"))
     small = held["n"] <= BROADCAST_TERMS and (held["bytes"] or 0) <= BROADCAST_BYTES
     if small:
         index = F.broadcast(index)
