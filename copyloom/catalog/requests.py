@@ -13,6 +13,8 @@ from copyloom.operators import context as contexts
 from copyloom.operators import prompt as prompts
 from copyloom.operators import requests as reqs
 from copyloom.operators.pages import page_facts
+from copyloom.plans.workdir import new_path
+from copyloom.sources import fact_store
 from copyloom.sources.snapshots import requests_from_json
 
 # -- forms ------------------------------------------------------------------
@@ -162,8 +164,9 @@ def request_bundle(t: Tables) -> DataFrame:
             ).alias("competitor_urls"),
         )
     )
-    facts = bundles.facts_by_url(page_facts(t.pages), t.pages)
-    return bundles.attach_facts(reqs.request_parts(requests), facts).select(
+    folder = new_path(t.spark, "facts")
+    fact_store.write_facts(bundles.facts_by_url(page_facts(t.pages), t.pages), folder)
+    return fact_store.attached(reqs.request_parts(requests), folder).select(
         "request_id", "role", F.col("ordinal").cast("long").alias("ordinal"), "url", "success", "error", "title"
     )
 
@@ -203,7 +206,8 @@ def collection_products(t: Tables) -> DataFrame:
         *[none.alias(c) for c in ("meta_desc", "h1", "body_text")],
         F.array().cast("array<string>").alias("product_links"),
     )
-    products = bundles.attach_facts(bundles.product_parts(bundle, requests), facts)
+    folder = fact_store.write_facts(facts, new_path(t.spark, "facts"))
+    products = fact_store.attached(bundles.product_parts(bundle, requests), folder)
     return products.select(
         "request_id", F.col("ordinal").cast("long").alias("ordinal"), "url", "success", "title"
     )

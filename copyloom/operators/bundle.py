@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,15 +71,19 @@ def product_parts(bundle: DataFrame, requests: DataFrame, limit: int = rules.MAX
 
 
 def request_bundle(
-    requests: DataFrame, facts: DataFrame, limit: int = rules.MAX_PRODUCTS
+    requests: DataFrame,
+    facts: DataFrame | str,
+    limit: int = rules.MAX_PRODUCTS,
+    attach: Callable[[DataFrame, DataFrame | str], DataFrame] = attach_facts,
 ) -> DataFrame:
     """Everything a request asks for, long: brand, collection, products, competitors.
 
     `facts` should be a stored table: it is read once for the named pages and
-    once for the products.
+    once for the products. With `fact_store.attached` as `attach` it is the
+    folder of a store, whose texts are not shuffled.
     """
-    named = attach_facts(request_parts(requests), facts)
-    products = attach_facts(product_parts(named, requests, limit), facts)
+    named = attach(request_parts(requests), facts)
+    products = attach(product_parts(named, requests, limit), facts)
     return named.unionByName(products)
 
 

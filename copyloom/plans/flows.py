@@ -15,6 +15,7 @@ from copyloom.operators import paging, prompt, quality
 from copyloom.operators.pages import page_facts
 from copyloom.operators.requests import validated
 from copyloom.plans.workdir import new_path
+from copyloom.sources import fact_store
 
 
 @dataclass
@@ -40,8 +41,9 @@ def write_new(df: DataFrame, name: str) -> str:
 
 def gather(requests: DataFrame, pages: DataFrame) -> Gathered:
     """Requests and a page snapshot → bundles, status per role, pages to replace by hand."""
-    facts = stored(bundles.facts_by_url(page_facts(pages), pages), "facts")
-    bundle = stored(bundles.request_bundle(requests, facts), "bundle")
+    folder = new_path(pages.sparkSession, "facts")
+    fact_store.write_facts(bundles.facts_by_url(page_facts(pages), pages), folder)
+    bundle = stored(bundles.request_bundle(requests, folder, attach=fact_store.attached), "bundle")
     return Gathered(bundle, bundles.fetch_status(bundle), bundles.failed_queue(bundle))
 
 
