@@ -59,6 +59,44 @@ def test_without_labels(spark):
     assert len(got) == len(odd_rows.ROWS) and {r.lang_pred for r in got} == {"und"}
 
 
+def test_descent_against_plain(monkeypatch):
+    """Each step by plain sums: the softmax, then the embeddings by the weights before it."""
+    monkeypatch.setattr(language, "BUCKETS", 6)
+    rng = np.random.default_rng(11)
+    rows = [(np.flatnonzero(rng.random(6) < 0.6), None) for _ in range(50)]
+    rows = [(at, rng.dirichlet(np.ones(len(at))).astype(np.float32) if len(at) else np.zeros(0, np.float32)) for at, _ in rows]
+    labels = rng.integers(0, 3, 50)
+    size, rounds, rate = 4, 3, 0.5
+    own = np.random.default_rng(9)
+    embed = own.normal(0, 1, (6, size)).tolist()
+    out, bias = [[0.0] * 3 for _ in range(size)], [0.0] * 3
+    steps, step = rounds * 50 // 32, 0
+    for _ in range(rounds):
+        order = own.permutation(50)
+        for some in (order[:32], order[32:]):
+            speed = rate * max(0.05, 1 - step / steps) / len(some)
+            d_embed, d_out, d_bias = np.zeros((6, size)), np.zeros((size, 3)), np.zeros(3)
+            for i in some:
+                at, part = rows[i]
+                mean = [sum(float(w) * embed[b][d] for b, w in zip(at, part)) for d in range(size)]
+                z = [sum(mean[d] * out[d][c] for d in range(size)) + bias[c] for c in range(3)]
+                e = [np.exp(v - max(z)) for v in z]
+                off = [v / sum(e) - (c == labels[i]) for c, v in enumerate(e)]
+                for c in range(3):
+                    d_bias[c] += off[c]
+                    for d in range(size):
+                        d_out[d][c] += mean[d] * off[c]
+                        for b, w in zip(at, part):
+                            d_embed[b][d] += float(w) * off[c] * out[d][c]
+            embed = (np.array(embed) - speed * 50 * d_embed).tolist()
+            out = (np.array(out) - speed * d_out).tolist()
+            bias = (np.array(bias) - speed * d_bias).tolist()
+            step += 1
+    table, found = language.fit_softmax(rows, labels, 3, size, rounds, rate)
+    want = np.array(embed) @ np.array(out)
+    assert np.allclose(table, want, atol=1e-3 * max(1, abs(want).max())) and np.allclose(found, bias, atol=1e-3)
+
+
 def test_what_is_no_language_is_rejected_and_the_rest_is_not(spark):
     rows = texts(600, seed=2)
     model = language.fit(odd_rows.docs(spark, rows))

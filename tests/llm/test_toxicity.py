@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 
 from copyloom.llm import toxicity, trees
 from tests.llm import odd_rows
@@ -25,6 +26,64 @@ def test_calibration_rises_and_keeps_the_mean():
     assert abs(np.interp(s, at, level).mean() - y.mean()) < 0.02
 
 
+@pytest.mark.parametrize("depth", [1, 2, 3])
+def test_splits_against_plain(depth):
+    """No split of any feature gains more than the chosen ones (ties may go either way), and leaves hold plain steps."""
+    rng = np.random.default_rng(depth)
+    x = np.column_stack([rng.normal(size=120), rng.integers(0, 4, 120), np.ones(120), rng.random(120).round(1)])
+    y = (rng.random(120) < np.where(x[:, 1] > 1, 0.7, 0.2)).astype(float)
+    rate, smooth, bins = 0.3, 2.0, 8
+    model = trees.fit_trees(x, y, count=1, depth=depth, rate=rate, bins=bins, smooth=smooth)
+    share = sum(y) / len(y)
+    slope, curve = [t - share for t in y], share * (1 - share)
+    limits = [sorted(set(np.quantile(x[:, f], [k / bins for k in range(1, bins)]).tolist())) for f in range(4)]
+
+    def gain(rows, f, limit):
+        left, right = [i for i in rows if x[i, f] <= limit], [i for i in rows if x[i, f] > limit]
+        if min(len(left), len(right)) * curve < 1:
+            return 0.0
+        weight = lambda some: sum(slope[i] for i in some) ** 2 / (curve * len(some) + smooth)
+        return weight(left) + weight(right) - weight(rows)
+
+    splits = 0
+    reach = {0: list(range(120))}
+    for node in range((1 << depth) - 1):
+        rows, f, limit = reach[node], model.feature[0][node], model.limit[0][node]
+        best = max((gain(rows, g, v) for g in range(4) for v in limits[g]), default=0.0)
+        if np.isinf(limit):
+            assert best < 1e-5
+        else:
+            assert limit in limits[f] and gain(rows, f, limit) > best - 1e-9
+            splits += 1
+        reach[2 * node + 1] = [i for i in rows if x[i, f] <= limit]
+        reach[2 * node + 2] = [i for i in rows if x[i, f] > limit]
+    assert splits >= depth
+    margins = model.margins(x)
+    for node in range((1 << depth) - 1, (1 << depth + 1) - 1):
+        rows = reach[node]
+        step = rate * sum(slope[i] for i in rows) / (curve * len(rows) + smooth)
+        assert np.allclose(margins[rows], np.log(share / (1 - share)) + step)
+
+
+def test_pools_against_plain():
+    rng = np.random.default_rng(5)
+    for weighted in (False, True):
+        s = rng.integers(0, 30, 80).astype(float)
+        y = (rng.random(80) < s / 30).astype(float)
+        w = rng.integers(1, 5, 80).astype(float) if weighted else np.ones(80)
+        levels = sorted(set(s))
+        sums = [(sum(w[s == v]), sum((w * y)[s == v])) for v in levels]
+
+        def mean(a, b):
+            return sum(t for _, t in sums[a : b + 1]) / sum(n for n, _ in sums[a : b + 1])
+
+        # The rising steps nearest to the means: the highest of the lowest means of all spans round a level.
+        n = len(levels)
+        want = [max(min(mean(a, b) for b in range(i, n)) for a in range(i + 1)) for i in range(n)]
+        at, level = trees.fit_isotonic(s, y, w if weighted else None)
+        assert np.allclose(np.interp(levels, at, level), want)
+
+
 def test_features():
     n = len(toxicity.FEATURES)
     for text in ("", "?!", "a", "You IDIOT! y0u 1d10t st*pid sooo bad", odd_rows.LONG):
