@@ -54,9 +54,9 @@ def product_parts(bundle: DataFrame, requests: DataFrame, limit: int = rules.MAX
     collections without links give nothing.
     """
     asked = requests.where(~F.coalesce("skip_products", F.lit(False))).select("request_id")
-    collections = bundle.where(
-        (F.col("role") == "collection") & F.col("success") & (F.size("product_links") > 0)
-    )
+    # Empty lists give no rows when exploded. Asking for their size would have the optimizer
+    # infer the same of the requests, which fails where links are made by a lambda.
+    collections = bundle.where((F.col("role") == "collection") & F.col("success"))
     return (
         collections.join(asked, "request_id", "left_semi")
         .select("request_id", F.posexplode(F.slice("product_links", 1, limit)).alias("_pos", "url"))
