@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import sys
 from bisect import bisect_right, insort
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import cloudpickle
+import pyarrow as pa
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -97,11 +98,18 @@ def fill_from_history(requests: DataFrame, history: DataFrame) -> DataFrame:
     )
 
 
-#: Edits that one task folds, and scripts that one task joins.
+#: Edits that are folded at a time, and scripts that one task joins.
 EDIT_BLOCK = 1024
 JOINED = 16
 
-_SCRIPT = "domain string, block bigint, gone array<bigint>, places array<bigint>, words array<string>"
+#: Entries of scripts that leave a task together.
+_HELD = 50_000
+
+_SCRIPT = "domain string, block bigint, size bigint, edge boolean, gone array<bigint>, places array<bigint>, words array<string>"
+_ARROW_SCRIPT = pa.schema(
+    [("domain", pa.string()), ("block", pa.int64()), ("size", pa.int64()), ("edge", pa.bool_())]
+    + [("gone", pa.list_(pa.int64())), ("places", pa.list_(pa.int64())), ("words", pa.list_(pa.string()))]
+)
 
 
 def script_of(edits: Iterable[tuple[int, str, str | None]], size: int) -> Script:
@@ -145,30 +153,84 @@ def joined_scripts(first: Script, second: Script, size: int) -> Script:
     return gone, np.array(left, np.int64), [changed[p] for p in left]
 
 
+def folded_runs(batches: Iterable[pa.RecordBatch], part: int) -> Iterator[pa.RecordBatch]:
+    """Sorted edits `domain, size, pos, op, value` of one partition → a script per domain.
+
+    Blocks of `EDIT_BLOCK` edits are folded, and their scripts joined two of a
+    kind at a time, so that no more than a few scripts of one domain are held.
+    `edge` marks the first and last domain, which other partitions may have too.
+    """
+    made: list[tuple] = []
+    held = 0
+    domain, size, first = None, 0, True
+    edits: list[tuple[int, str, str | None]] = []
+    parts: list[tuple[int, Script]] = []
+
+    def block_done() -> None:
+        parts.append((1, script_of(edits, size)))
+        edits.clear()
+        while len(parts) > 1 and parts[-2][0] == parts[-1][0]:
+            (n, script), (more, before) = parts.pop(), parts.pop()
+            parts.append((more + n, joined_scripts(before, script, size)))
+
+    def run_done(edge: bool) -> int:
+        if edits or not parts:
+            block_done()
+        whole = parts.pop()[1]
+        while parts:
+            whole = joined_scripts(parts.pop()[1], whole, size)
+        made.append((domain, part, size, edge, *whole))
+        return len(whole[0]) + len(whole[1]) + 1
+
+    def rows() -> pa.RecordBatch:
+        columns = [pa.array(c, f.type) for c, f in zip(zip(*made), _ARROW_SCRIPT)]
+        made.clear()
+        return pa.RecordBatch.from_arrays(columns, schema=_ARROW_SCRIPT)
+
+    for batch in batches:
+        for at in range(0, batch.num_rows, EDIT_BLOCK):
+            columns = batch.slice(at, EDIT_BLOCK)
+            for name, n, *edit in zip(*(columns.column(c).to_pylist() for c in ("domain", "size", "pos", "op", "value"))):
+                if name != domain:
+                    if domain is not None:
+                        held += run_done(first)
+                        first = False
+                        if held >= _HELD:
+                            yield rows()
+                            held = 0
+                    domain, size = name, n
+                elif len(edits) == EDIT_BLOCK:
+                    block_done()
+                edits.append(edit)
+    if domain is not None:
+        run_done(True)
+        yield rows()
+
+
 def edit_scripts(history: DataFrame, edits: DataFrame) -> DataFrame:
     """`domain, gone, places, words`: all edits of a domain with a record as one script.
 
-    The edits are numbered by domain over range partitions, folded in blocks of
-    `EDIT_BLOCK`, and the blocks' scripts joined `JOINED` at a time until one is
-    left. A script has no more entries than its pool has words, so no task holds
-    the edits of a domain together, however many there are.
+    The edits are sorted over range partitions, which cut a domain of very many
+    into pieces, and each partition is folded as it is read. Only the domains at
+    the ends of a partition can have further pieces; their scripts are joined
+    `JOINED` at a time until one is left. A script has no more entries than its
+    pool has words, so no task holds the edits of a domain together, however
+    many there are.
     """
     known = history.select("domain", F.size(kw.pool(F.col("keywords_pool"))).cast("bigint").alias("size"))
-    wanted = (
+    typed = tx.strip(F.coalesce("value", F.lit("")))
+    order = ["domain", "edit_no", "pos", "op", "value"]
+    sorted_edits = (
         edits.where((F.col("pos") >= 0) & F.col("op").isin("set", "delete"))
-        .join(known.select("domain"), "domain", "left_semi")
         .select("domain", "edit_no", F.col("pos").cast("bigint").alias("pos"), "op", "value")
+        .join(known, "domain")
+        .repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .select("domain", "size", "pos", "op", typed.alias("value"))
     )
-    placed = numbered(wanted, ["domain"], ["edit_no", "pos", "op", "value"], "_at")
-    typed = tx.strip(F.coalesce("value", F.lit("")))
-    blocks = placed.select(
-        "domain", ((F.col("_at") - 1) / EDIT_BLOCK).cast("bigint").alias("block"), "_at", "pos", "op", typed.alias("value")
-    ).join(known, "domain")
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("_at")
-        made = script_of(zip(rows["pos"].tolist(), rows["op"], rows["value"]), int(rows["size"].iloc[0]))
-        return _row(rows, int(rows["block"].iloc[0]), made)
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return folded_runs(batches, TaskContext.get().partitionId())
 
     def join(rows: pd.DataFrame) -> pd.DataFrame:
         rows, size = rows.sort_values("block"), int(rows["size"].iloc[0])
@@ -176,20 +238,18 @@ def edit_scripts(history: DataFrame, edits: DataFrame) -> DataFrame:
         whole = parts[0]
         for part in parts[1:]:
             whole = joined_scripts(whole, part, size)
-        return _row(rows, int(rows["block"].iloc[0]) // JOINED, whole)
-
-    def _row(rows: pd.DataFrame, block: int, script: Script) -> pd.DataFrame:
-        return pd.DataFrame({"domain": [rows["domain"].iloc[0]], "block": [block], **{c: [v] for c, v in zip(("gone", "places", "words"), script)}})
+        made = dict(zip(("gone", "places", "words"), whole))
+        block = int(rows["block"].iloc[0]) // JOINED
+        return pd.DataFrame({"domain": [rows["domain"].iloc[0]], "block": [block], "size": [size], "edge": [True], **{c: [v] for c, v in made.items()}})
 
-    scripts = _kept(blocks.groupBy("domain", "block").applyInPandas(fold, _SCRIPT), "edit-scripts")
-    last = scripts.agg(F.max("block")).first()[0] or 0
+    folded = _kept(sorted_edits.mapInArrow(fold, _SCRIPT), "edit-scripts")
+    pieces = folded.where("edge")
+    last = pieces.agg(F.max("block")).first()[0] or 0
     while last:
         group = F.floor(F.col("block") / JOINED)
-        scripts = _kept(
-            scripts.join(known, "domain").groupBy("domain", group.alias("_group")).applyInPandas(join, _SCRIPT), "edit-scripts"
-        )
+        pieces = _kept(pieces.groupBy("domain", group.alias("_group")).applyInPandas(join, _SCRIPT), "edit-scripts")
         last //= JOINED
-    return scripts.drop("block")
+    return folded.where("not edge").unionByName(pieces).select("domain", "gone", "places", "words")
 
 
 def _kept(df: DataFrame, name: str) -> DataFrame:

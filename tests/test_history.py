@@ -1,7 +1,9 @@
 import datetime
 import random
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from copyloom.functions import text as tx
@@ -92,6 +94,42 @@ def test_a_long_log(spark):
     assert {r.domain: r.keywords_pool for r in none.collect()} == pools
 
 
+def sorted_batches(rows, size, batch):
+    """Edits of one domain after the other as a partition has them, in batches."""
+    columns = list(zip(*[(d, size, pos, op, value) for d, pos, op, value in rows]))
+    whole = pa.table(dict(zip(("domain", "size", "pos", "op", "value"), columns)))
+    return whole.to_batches(max_chunksize=batch)
+
+
+def test_partitions_fold_what_they_read():
+    """A domain of 40,000 edits in three partitions: one script each, of no more entries than the pool has words."""
+    rng = random.Random(5)
+    size, hot = 500, some_edits(rng, 40_000, 500)
+    others = {f"z{i}": some_edits(rng, 3, 500) for i in range(50)}
+    rows = [("hot", *e) for e in hot] + [(d, *e) for d, es in sorted(others.items()) for e in es]
+    cuts = [0, 15_000, 30_000, len(rows)]
+    found = [
+        r
+        for part, (a, b) in enumerate(zip(cuts, cuts[1:]))
+        for batch in hist.folded_runs(iter(sorted_batches(rows[a:b], size, 999)), part)
+        for r in batch.to_pylist()
+    ]
+    pieces = [r for r in found if r["domain"] == "hot"]
+    assert [(r["block"], r["edge"]) for r in pieces] == [(0, True), (1, True), (2, True)]
+    assert [r["domain"] for r in found if r["edge"]] == ["hot"] * 3 + [max(others)]
+    assert all(len(r["gone"]) + len(r["places"]) <= 2 * size for r in found)
+    scripts = {}
+    for r in found:
+        script = (np.array(r["gone"], np.int64), np.array(r["places"], np.int64), r["words"])
+        scripts[r["domain"]] = hist.joined_scripts(scripts[r["domain"]], script, size) if r["domain"] in scripts else script
+    pool = [f"w{i}" for i in range(size)]
+    assert scripts.keys() == {"hot", *others}
+    for domain, (gone, places, words) in scripts.items():
+        out = dict(enumerate(pool)) | dict(zip(places.tolist(), words))
+        assert [w for i, w in sorted(out.items()) if i not in set(gone.tolist())] == folded(pool, hot if domain == "hot" else others[domain])
+    assert not list(hist.folded_runs(iter([]), 0))
+
+
 def test_records_of_forms(spark):
     forms = spark.createDataFrame(
         [("https://W.example/x", "B", ["u1", "u2"], 1), ("", "B", [], 2)],
