@@ -9,6 +9,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext, cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -102,6 +103,8 @@ def fill_from_history(requests: DataFrame, history: DataFrame) -> DataFrame:
 EDIT_BLOCK = 1024
 JOINED = 16
 
+#: Pools that get their scripts at a time.
+POOLS = 256
 #: Entries of scripts that leave a task together.
 _HELD = 50_000
 
@@ -258,6 +261,29 @@ def _kept(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def edited(pools: pa.Array, gone: pa.Array, places: pa.Array, words: pa.Array) -> pa.Array:
+    """Pools under their scripts, a few at a time, without an object for each word; null stays null."""
+    done = [pa.array([], pa.list_(pa.string()))]
+    for at in range(0, len(pools), POOLS):
+        some, less, where, new = (c.slice(at, POOLS) for c in (pools, gone, places, words))
+        sizes = pc.list_value_length(some).fill_null(0).to_numpy(zero_copy_only=False)
+        offsets = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+
+        def of_all(lists: pa.Array, starts: np.ndarray = offsets[:-1]) -> np.ndarray:
+            n = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
+            return np.repeat(starts, n) + lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+
+        old, added = some.flatten(), new.flatten()
+        index = np.arange(len(old))
+        index[of_all(where)] = len(old) + np.arange(len(added))
+        stays = np.ones(len(old), bool)
+        stays[of_all(less)] = False
+        kept = np.concatenate([[0], np.cumsum(stays)])[offsets]
+        values = pa.concat_arrays([old, added]).take(pa.array(index[stays]))
+        done.append(pa.ListArray.from_arrays(pa.array(kept, pa.int32()), values, mask=some.is_null()))
+    return pa.concat_arrays(done)
+
+
 def edit_pools(history: DataFrame, edits: DataFrame) -> DataFrame:
     """Pools after a batch of edits, applied one after the other.
 
@@ -269,25 +295,15 @@ def edit_pools(history: DataFrame, edits: DataFrame) -> DataFrame:
     """
     scripts = edit_scripts(history, edits)
 
-    @F.pandas_udf("array<string>")
-    def applied(pools: pd.Series, gone: pd.Series, places: pd.Series, words: pd.Series) -> pd.Series:
-        out = []
-        for pool, less, at, new in zip(pools, gone, places, words):
-            pool = list(pool)
-            for place, word in zip(at, new):
-                pool[place] = word
-            out.append(np.delete(np.array(pool, object), less).tolist())
-        return pd.Series(out)
-
+    applied = F.arrow_udf(edited, "array<string>")
     joined = history.join(
         scripts.select("domain", F.col("gone").alias("_gone"), F.col("places").alias("_places"), F.col("words").alias("_words")),
         "domain",
         "left",
     )
     pool = kw.pool(F.col("keywords_pool"))
-    changed = joined.where("_gone is not null").withColumn("keywords_pool", applied(pool, "_gone", "_places", "_words"))
-    same = joined.where("_gone is null").withColumn("keywords_pool", pool)
-    return changed.select(*history.columns).unionByName(same.select(*history.columns))
+    changed = applied(F.when(F.col("_gone").isNotNull(), pool), "_gone", "_places", "_words")
+    return joined.withColumn("keywords_pool", F.coalesce(changed, pool)).select(*history.columns)
 
 
 def delete_records(history: DataFrame, domains: DataFrame) -> DataFrame:

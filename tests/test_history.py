@@ -130,6 +130,24 @@ def test_partitions_fold_what_they_read():
     assert not list(hist.folded_runs(iter([]), 0))
 
 
+def test_scripts_on_arrays():
+    """Pools of several slices, some without a script, are edited in Arrow arrays as a fold does."""
+    rng = random.Random(6)
+    pools, scripts, want = [], [], []
+    for n in range(600):
+        size = rng.randint(0, 30)
+        pool, edits = [f"é{n}.{i}" if i % 7 else None for i in range(size)], some_edits(rng, rng.randint(0, 40), size)
+        plain = n % 5 == 0
+        scripts.append((None, None, None) if plain else hist.script_of(edits, size))
+        pools.append(None if plain else pool)
+        want.append(None if plain else folded(pool, edits))
+    types = (pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string()))
+    columns = [pa.array([None if v is None else list(v) for v in c], t) for c, t in zip(zip(*scripts), types)]
+    assert hist.edited(pa.array(pools, pa.list_(pa.string())), *columns).to_pylist() == want
+    none = hist.edited(*[pa.array([], t) for t in (pa.list_(pa.string()), *types)])
+    assert none.type == pa.list_(pa.string()) and len(none) == 0
+
+
 def test_records_of_forms(spark):
     forms = spark.createDataFrame(
         [("https://W.example/x", "B", ["u1", "u2"], 1), ("", "B", [], 2)],
