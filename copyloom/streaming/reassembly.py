@@ -8,7 +8,7 @@ from contextlib import contextmanager
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -20,9 +20,6 @@ STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 # What the processors keep per request.
-AT = schemas.struct(seq=schemas.LONG)
-PLACE = schemas.struct(next=schemas.LONG, lines=schemas.LONG, tail=schemas.STRING)
-WAITING = schemas.struct(fragment=schemas.STRING, last=schemas.BOOLEAN)
 _SEQS = T.ArrayType(schemas.LONG)
 HELD = schemas.struct(seqs=_SEQS, texts=schemas.STRINGS)
 OPEN = schemas.struct(
@@ -30,10 +27,15 @@ OPEN = schemas.struct(
 )
 PREFIX = schemas.struct(next=schemas.LONG, offset=schemas.LONG, seqs=_SEQS, texts=schemas.STRINGS)
 DATED = schemas.struct(begun=schemas.LONG, seqs=_SEQS, texts=schemas.STRINGS, ats=_SEQS)
-BYTES = schemas.struct(
-    next=schemas.LONG, lines=schemas.LONG, tail=T.BinaryType(),
-    seqs=_SEQS, fragments=T.ArrayType(T.BinaryType()), lasts=T.ArrayType(schemas.BOOLEAN),
-)
+def _framed(kind: T.DataType) -> T.StructType:
+    return schemas.struct(
+        next=schemas.LONG, lines=schemas.LONG, tail=kind,
+        seqs=_SEQS, fragments=T.ArrayType(kind), lasts=T.ArrayType(schemas.BOOLEAN), closed=schemas.BOOLEAN,
+    )
+
+
+FRAMED = _framed(schemas.STRING)
+BYTES = _framed(T.BinaryType())
 CLOSED = schemas.struct(yes=schemas.BOOLEAN)
 
 
@@ -41,51 +43,50 @@ class _Framing(StatefulProcessor):
     """Cuts the arrivals of a request into lines; keeps the unfinished tail.
 
     Arrivals may come out of order: those ahead of the next position wait.
-    Behind the last fragment only a flag stays, which expires on its own, as
-    does what waits for a fragment that never comes.
+    All that is kept of a request is one state value, read and written once a
+    batch. Behind the last fragment only its flag stays, which expires on its
+    own, as does what waits for a fragment that never comes.
     """
 
+    state, empty = FRAMED, ""
+
     def __init__(self, ttl_ms: int | None) -> None:
         self._ttl = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._place = handle.getValueState("place", PLACE, self._ttl)
-        self._waiting = handle.getMapState("waiting", AT, WAITING, self._ttl)
-        self._closed = handle.getValueState("closed", CLOSED, self._ttl)
+        self._open = handle.getValueState("open", self.state, self._ttl)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        if self._closed.exists():
+    def _arrive(self, waiting: dict, seq: int, fragment, last: bool) -> None:
+        waiting[seq] = (fragment or "", last)
+
+    def _lines(self, parts: list, ended: bool) -> tuple[list[str], str]:
+        *done, tail = "".join(parts).split("\n")
+        return (done + [tail] if ended and tail else done), tail
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        upcoming, count, tail, seqs, fragments, lasts, closed = self._open.get() or (0, 0, self.empty, (), (), (), False)
+        if closed:
             for _ in rows:
                 pass
             return
-        upcoming, count, tail = self._place.get() if self._place.exists() else (0, 0, "")
-        for batch in rows:
-            for seq, fragment, last in zip(batch["seq"], batch["fragment"], batch["last"]):
-                if seq >= upcoming:
-                    self._waiting.updateValue((int(seq),), (fragment or "", bool(last)))
-        lines: list[str] = []
-        ended = False
-        while not ended and self._waiting.containsKey((upcoming,)):
-            fragment, ended = self._waiting.getValue((upcoming,))
-            self._waiting.removeKey((upcoming,))
-            *done, tail = (tail + fragment).split("\n")
-            lines += done
-            if ended and tail:
-                lines.append(tail)
+        waiting = {s: (f, end) for s, f, end in zip(seqs, fragments, lasts)}
+        for row in rows:
+            if row["seq"] >= upcoming:
+                self._arrive(waiting, row["seq"], row["fragment"], bool(row["last"]))
+        parts, ended = [tail], False
+        while not ended and upcoming in waiting:
+            fragment, ended = waiting.pop(upcoming)
+            parts.append(fragment)
             upcoming += 1
+        lines, tail = self._lines(parts, ended)
         if ended:
-            self._place.clear()
-            self._waiting.clear()
-            self._closed.update((True,))
+            self._open.update((upcoming, count, self.empty, [], [], [], True))
         else:
-            self._place.update((upcoming, count + len(lines), tail))
-        yield pd.DataFrame(
-            {
-                "request_id": pd.Series([key[0]] * len(lines), dtype="int64"),
-                "seq": pd.Series(range(count, count + len(lines)), dtype="int64"),
-                "line": pd.Series(lines, dtype="object"),
-            }
-        )
+            self._open.update(
+                (upcoming, count + len(lines), tail, list(waiting), [f for f, _ in waiting.values()], [e for _, e in waiting.values()], False)
+            )
+        for place, line in enumerate(lines, count):
+            yield Row(request_id=key[0], seq=place, line=line)
 
     def close(self) -> None:
         pass
@@ -97,7 +98,7 @@ def frame_lines(fragments: DataFrame, ttl_ms: int | None = 86_400_000) -> DataFr
     What is kept of a request expires after `ttl_ms`; with None it can be run
     to the end of what is there, as `assemble`.
     """
-    return fragments.groupBy("request_id").transformWithStateInPandas(
+    return fragments.groupBy("request_id").transformWithState(
         statefulProcessor=_Framing(ttl_ms),
         outputStructType=schemas.ANSWER_LINES,
         outputMode="append",
@@ -105,58 +106,25 @@ def frame_lines(fragments: DataFrame, ttl_ms: int | None = 86_400_000) -> DataFr
     )
 
 
-class _ByteFraming(StatefulProcessor):
+class _ByteFraming(_Framing):
     """Cuts arrivals of bytes into lines, wherever a character or line end was cut.
 
     The bytes behind the last line end wait undecoded, so a character is decoded
-    when its line is whole. All that is kept of a request is one state value.
+    when its line is whole.
     """
 
-    def __init__(self, ttl_ms: int | None) -> None:
-        self._ttl = ttl_ms
+    state, empty = BYTES, b""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._open = handle.getValueState("open", BYTES, self._ttl)
-        self._closed = handle.getValueState("closed", CLOSED, self._ttl)
+    def _arrive(self, waiting: dict, seq: int, fragment, last: bool) -> None:
+        waiting.setdefault(seq, (bytes(fragment or b""), last))
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        if self._closed.exists():
-            for _ in rows:
-                pass
-            return
-        upcoming, count, tail, seqs, fragments, lasts = self._open.get() or (0, 0, b"", (), (), ())
-        waiting = {s: (bytes(f), end) for s, f, end in zip(seqs, fragments, lasts)}
-        for batch in rows:
-            for seq, fragment, last in zip(batch["seq"], batch["fragment"], batch["last"]):
-                if seq >= upcoming:
-                    waiting.setdefault(int(seq), (bytes(fragment or b""), bool(last)))
-        parts, ended = [bytes(tail or b"")], False
-        while not ended and upcoming in waiting:
-            fragment, ended = waiting.pop(upcoming)
-            parts.append(fragment)
-            upcoming += 1
-        *done, tail = b"".join(parts).split(b"\n")
+    def _lines(self, parts: list, ended: bool) -> tuple[list[str], bytes]:
+        *done, tail = b"".join(map(bytes, parts)).split(b"\n")
         # A carriage return at the end stays in the tail until what follows is there.
         lines = [line.removesuffix(b"\r") for line in done]
         if ended and tail:
             lines.append(tail)
-        if ended:
-            self._open.clear()
-            self._closed.update((True,))
-        else:
-            self._open.update(
-                (upcoming, count + len(lines), tail, list(waiting), [f for f, _ in waiting.values()], [e for _, e in waiting.values()])
-            )
-        yield pd.DataFrame(
-            {
-                "request_id": pd.Series([key[0]] * len(lines), dtype="int64"),
-                "seq": pd.Series(range(count, count + len(lines)), dtype="int64"),
-                "line": pd.Series([line.decode("utf-8", "replace") for line in lines], dtype="object"),
-            }
-        )
-
-    def close(self) -> None:
-        pass
+        return [line.decode("utf-8", "replace") for line in lines], tail
 
 
 def frame_bytes(fragments: DataFrame, ttl_ms: int | None = 86_400_000) -> DataFrame:
@@ -166,7 +134,7 @@ def frame_bytes(fragments: DataFrame, ttl_ms: int | None = 86_400_000) -> DataFr
     last one is a line as well. Bytes that are no UTF-8 become the replacement
     character. Of repeats the first counts. `ttl_ms` as in `frame_lines`.
     """
-    return fragments.groupBy("request_id").transformWithStateInPandas(
+    return fragments.groupBy("request_id").transformWithState(
         statefulProcessor=_ByteFraming(ttl_ms),
         outputStructType=schemas.ANSWER_LINES,
         outputMode="append",

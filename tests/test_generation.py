@@ -339,3 +339,35 @@ def test_lines_to_text(spark):
     rows = [(1, 0, line("A")), (1, 1, ": x"), (1, 2, line("B")), (1, 3, "data: " + rules.END_LINE)]
     df = spark.createDataFrame(rows, schemas.ANSWER_LINES)
     assert generation.reassemble(generation.decode_lines(df)).first().text == "AB"
+
+
+class _Counted:
+    """A state value that counts how often it is reached."""
+
+    def __init__(self):
+        self.value, self.reached = None, 0
+
+    def getValueState(self, name, schema, ttl=None):
+        return self
+
+    def get(self):
+        self.reached += 1
+        return self.value
+
+    def update(self, value):
+        self.reached += 1
+        self.value = value
+
+
+@pytest.mark.parametrize("kind, coded", [(reassembly._Framing, str), (reassembly._ByteFraming, str.encode)])
+def test_framing_reaches_state_twice_a_batch(kind, coded):
+    from pyspark.sql import Row
+
+    text = "a\nb\n\nlong line\nend"
+    fragments = [Row(seq=i, fragment=coded(text[i]), last=i == len(text) - 1) for i in range(len(text))]
+    state, framing, found = _Counted(), kind(None), []
+    framing.init(state)
+    for n, batch in enumerate([fragments[1::2], fragments[::2], fragments[:3]], 1):
+        found += framing.handleInputRows((7,), iter(batch), None)
+        assert state.reached <= 2 * n
+    assert [(r.request_id, r.seq, r.line) for r in found] == [(7, i, x) for i, x in enumerate(text.split("\n"))]
