@@ -96,9 +96,9 @@ def frame_lines(fragments: DataFrame, ttl_ms: int | None = 86_400_000) -> DataFr
     """Stream of raw arrivals (`request_id, seq, fragment, last`) → stream of lines.
 
     What is kept of a request expires after `ttl_ms`; with None it can be run
-    to the end of what is there, as `assemble`.
+    to the end of what is there, as `assemble`. Arrivals without a request are left out.
     """
-    return fragments.groupBy("request_id").transformWithState(
+    return fragments.where("request_id is not null").groupBy("request_id").transformWithState(
         statefulProcessor=_Framing(ttl_ms),
         outputStructType=schemas.ANSWER_LINES,
         outputMode="append",
@@ -132,9 +132,10 @@ def frame_bytes(fragments: DataFrame, ttl_ms: int | None = 86_400_000) -> DataFr
 
     Lines end with a newline, or a carriage return and a newline; the unfinished
     last one is a line as well. Bytes that are no UTF-8 become the replacement
-    character. Of repeats the first counts. `ttl_ms` as in `frame_lines`.
+    character. Of repeats the first counts. `ttl_ms` and arrivals without a
+    request as in `frame_lines`.
     """
-    return fragments.groupBy("request_id").transformWithState(
+    return fragments.where("request_id is not null").groupBy("request_id").transformWithState(
         statefulProcessor=_ByteFraming(ttl_ms),
         outputStructType=schemas.ANSWER_LINES,
         outputMode="append",
