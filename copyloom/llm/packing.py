@@ -44,15 +44,17 @@ def token_pieces(
         make, end, most = coder(vocabulary, True), id_bytes([end_id]), capacity * 4
         for batch in batches:
             rows = []
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), make.encode(batch.column("text"))):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), make.each(batch.column("text"))):
                 ids += end
                 for piece, at in enumerate(range(0, len(ids), most)):
                     part = ids[at : at + most]
                     rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
+            del batch  # the next one is read while this one's pieces are handed over
             if rows:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(v, f.type) for v, f in zip(zip(*rows), schema)], schema=schema
                 )
+            pa.default_memory_pool().release_unused()
         make.rest()
         give_back()
 

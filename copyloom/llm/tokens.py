@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import sys
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,10 @@ import pyarrow.compute as pc
 REMEMBERED = 300_000
 
 #: Characters of text that are cut up at a time; a longer text is a batch of its own.
-BATCH = 4_000_000
+BATCH = 2_000_000
+
+#: New pieces that go through a tokenizer at a time; what it gives takes far more memory than ids.
+LEARNT = 10_000
 
 _CUT = "\x00"
 _LATIN_END = "ɐ"  # below it, every letter is one code point that stays as it is
@@ -76,64 +80,75 @@ class Coder:
 
     def _learn(self, pieces: list[str]) -> None:
         """Ids of new pieces; None for those that can't be encoded alone."""
-        known, older, fixed = self.known, self.older, self.fixed
+        known, older, fixed, folds = self.known, self.older, self.fixed, self.folds_space
         words: list[str] = []
-        spelled: list[str] = []
         rest: list[str] = []
         joined: list[tuple[str, str, bytes, bytes]] = []
-        wanted = set(pieces)
-
-        def encode(piece: str, body: str) -> None:
-            if body.isalpha() and (body.isascii() or self._is_word(body)):
-                words.append(piece)
-                spelled.append(self._spelled(piece))
-            else:
-                rest.append(piece)
+        wanted: set[str] = set()
 
         for piece in pieces:
-            if piece in older:
-                known[piece] = older[piece]
+            if piece in wanted:  # as the stem of another piece
                 continue
-            body = piece if self.folds_space or piece[0] not in " \n" else piece[1:]
+            ids = older.get(piece, older)
+            if ids is not older:
+                known[piece] = ids
+                continue
+            body = piece if folds or piece[0] not in " \n" else piece[1:]
             before = after = b""
             stem = piece
-            if not body.isalpha():
+            plain = body.isalpha()
+            if not plain:
                 if body.split() != [body]:
                     known[piece] = None
                     continue
                 if body[-1] in ",." and self._is_word(body[-2:-1]):
                     stem, body, after = stem[:-1], body[:-1], fixed[body[-1]]
+                    plain = body.isalpha()
             if stem[0] == "\n" and self._is_word(body[0]):
                 stem, before = stem[1:], fixed["\n"]
             if stem is not piece:
                 joined.append((piece, stem, before, after))
                 if stem in known or stem in wanted:
                     continue
-                wanted.add(stem)
-                if stem in older:
-                    known[stem] = older[stem]
+                ids = older.get(stem, older)
+                if ids is not older:
+                    known[stem] = ids
                     continue
-            encode(stem, body)
-        for tokenizer, some, spelled in (
-            (self.bare, words, spelled),
-            (self.tokenizer, rest, rest),
-        ):
-            for piece, e in zip(some, tokenizer.encode_batch_fast(spelled, add_special_tokens=False)):
-                known[piece] = id_bytes(e.ids)
+            wanted.add(stem)
+            if plain and (body.isascii() or self._is_word(body)):
+                words.append(stem)
+            else:
+                rest.append(stem)
+        for at in range(0, len(words), LEARNT):
+            known.update(self._of_words(words[at : at + LEARNT]))
+        for at in range(0, len(rest), LEARNT):
+            some = rest[at : at + LEARNT]
+            made = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
+            known.update(zip(some, [id_bytes(e.ids) for e in made]))
         for piece, stem, before, after in joined:
             known[piece] = before + known[stem] + after
 
+    def _of_words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words, each of letters behind a blank or none."""
+        out: dict[str, bytes] = {}
+        made = self.bare.encode_batch_fast([self._spelled(w) for w in words], add_special_tokens=False)
+        out.update(zip(words, [id_bytes(e.ids) for e in made]))
+        return out
+
     def encode(self, texts: pa.Array) -> list[bytes]:
         """Ids of every text of a string array; null counts as empty."""
+        return list(self.each(texts))
+
+    def each(self, texts: pa.Array) -> Iterator[bytes]:
+        """Ids of one text after the other, `BATCH` characters of text encoded at a time."""
         texts = texts.fill_null("")
         ends = np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False))
-        out: list[bytes] = []
-        while len(out) < len(texts):
-            at = len(out)
+        at = 0
+        while at < len(texts):
             base = ends[at - 1] if at else 0
             upto = max(at + 1, int(np.searchsorted(ends, base + BATCH, side="right")))
-            out += self._encode(texts.slice(at, upto - at))
-        return out
+            yield from self._encode(texts.slice(at, upto - at))
+            at = upto
 
     def rest(self) -> None:
         """Forget the older pieces; called at the end of a task."""

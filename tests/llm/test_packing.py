@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from copyloom.llm import packing
+from copyloom.llm import packing, tokens
 from copyloom.llm.tokens import coder, id_bytes
 from tests.llm import odd_rows
 
@@ -25,6 +25,38 @@ def test_ids_are_those_of_the_whole_text(name, folds):
     assert c.encode(pa.array([], pa.string())) == []
 
 
+def test_texts_are_encoded_a_few_at_a_time(monkeypatch):
+    monkeypatch.setattr(tokens, "BATCH", 40)
+    c = tokens.Coder("word_bpe_49k.json", True)
+    sizes, whole = [], c._encode
+    monkeypatch.setattr(c, "_encode", lambda texts: sizes.append(len(texts)) or whole(texts))
+    texts = ["one two three four"] * 9 + ["five " * 30, None, ""]
+    ids = c.each(pa.array(texts, pa.string()))
+    assert next(ids) == c.whole(texts[0]) and sizes == [2]
+    assert [*ids] == [c.whole(t or "") for t in texts[1:]] and sum(sizes) == len(texts)
+
+
+@pytest.mark.parametrize(("name", "folds"), [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
+def test_new_words_go_through_the_tokenizer_a_few_at_a_time(name, folds, monkeypatch):
+    class Watched:
+        def __init__(self, tokenizer):
+            self.tokenizer = tokenizer
+
+        def encode_batch_fast(self, some, **how):
+            sizes.append(len(some))
+            return self.tokenizer.encode_batch_fast(some, **how)
+
+    sizes = []
+    monkeypatch.setattr(tokens, "LEARNT", 7)
+    c = tokens.Coder(name, folds)
+    c.bare, full = Watched(c.bare), Watched(c.tokenizer)
+    text = " ".join(f"{chr(97 + i)}bc{chr(233 + i)}de\n{chr(97 + i)}xy, q{i}r" for i in range(20))
+    whole = c.whole(text)
+    c.tokenizer = full
+    assert c.encode(pa.array([text])) == [whole]
+    assert sum(sizes) > 7 and max(sizes) <= 7
+
+
 def spread(runs):
     """All places of a plan: length → list of (bin, offset)."""
     return runs
