@@ -62,6 +62,11 @@ class Coder:
         self.folds_space = folds_space
         self.known: dict[str, bytes | None] = {"": b""}
         self.older: dict[str, bytes | None] = {}
+        self.begins: np.ndarray | None = None  # which ids stand for a blank and what follows it
+        if not folds_space:
+            names = self.tokenizer.get_vocab(with_added_tokens=False)
+            self.begins = np.zeros(max(names.values()) + 1, bool)
+            self.begins[[i for name, i in names.items() if name[0] == _LETTERS[32]]] = True
         self.fixed = {m: self.whole(m) for m in (",", ".", "\n")}
 
     def whole(self, text: str) -> bytes:
@@ -129,8 +134,25 @@ class Coder:
             known[piece] = before + known[stem] + after
 
     def _of_words(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of words, each of letters behind a blank or none."""
+        """Ids of words, each of letters behind a blank or none.
+
+        Many words behind blanks go as one text, where the vocabulary's blank says
+        at which tokens they begin.
+        """
         out: dict[str, bytes] = {}
+        if self.begins is not None:
+            behind = [w for w in words if w[0] == " "]
+            words = [w for w in words if w[0] != " "]
+            groups = [behind[at : at + 500] for at in range(0, len(behind), 500)]
+            made = self.tokenizer.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False)
+            for group, e in zip(groups, made):
+                ids = np.array(e.ids, "<u4")
+                at = np.flatnonzero(self.begins[ids])
+                if len(at) != len(group) or at[0]:
+                    words += group
+                    continue
+                data, at = ids.tobytes(), (at * 4).tolist()
+                out.update(zip(group, [data[a:b] for a, b in zip(at, [*at[1:], len(data)])]))
         made = self.bare.encode_batch_fast([self._spelled(w) for w in words], add_special_tokens=False)
         out.update(zip(words, [id_bytes(e.ids) for e in made]))
         return out
@@ -165,14 +187,15 @@ class Coder:
             cut = pc.split_pattern(marked, _CUT)
         places = cut.offsets.to_numpy()
         coded = cut.values.dictionary_encode()
-        names = coded.dictionary.to_pylist()
+        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # many times faster than to_pylist
         if len(self.known) > REMEMBERED:
             self.older, self.known = self.known, {"": b""}
-        known = self.known
-        new = [p for p in names if p not in known]
+        known, missing = self.known, object()
+        ids = [known.get(p, missing) for p in names]
+        new = [p for p, i in zip(names, ids) if i is missing]
         if new:
             self._learn(new)
-        ids = [known[p] for p in names]
+            ids = [known[p] if i is missing else i for p, i in zip(names, ids)]
         index = coded.indices
         if None in ids:
             odd = np.fromiter((i is None for i in ids), bool, len(ids))

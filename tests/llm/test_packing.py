@@ -57,6 +57,15 @@ def test_new_words_go_through_the_tokenizer_a_few_at_a_time(name, folds, monkeyp
     assert sum(sizes) > 7 and max(sizes) <= 7
 
 
+def test_words_behind_blanks_go_as_one_text():
+    c = tokens.Coder("byte_bpe_50k.json", False)
+    words = [" house", " Éément", " ñquebo", " x", " \u0149x", " ſtraße", "\u01c5", "house", " ofthinglyon"]
+    assert c._of_words(words) == {w: c.whole(w) for w in words}
+    # Where the tokens don't say where words begin, each goes alone.
+    c.begins = np.zeros(len(c.begins), bool)
+    assert c._of_words(words) == {w: c.whole(w) for w in words}
+
+
 def spread(runs):
     """All places of a plan: length → list of (bin, offset)."""
     return runs
