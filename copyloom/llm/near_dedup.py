@@ -280,25 +280,33 @@ def region_links(classes: DataFrame, texts: DataFrame, bits: int) -> DataFrame:
     )
     least, distinct = plausible(bits), 1 - 0.5**bits
 
-    def compare(met: pd.DataFrame) -> pd.DataFrame:
-        low, high, tree = (int(met[c].iloc[0]) for c in ("low", "high", "tree"))
-        met = met.sort_values("block", kind="stable")
-        sketch = np.frombuffer(b"".join(met["bits"]), np.uint64).reshape(len(met), bits, TREES * DEPTH // 64)
-        begin = np.frombuffer(b"".join(met["starts"]), np.dtype((np.void, SHARED * 4))).reshape(len(met), TREES)
-        ids, size, text = (met[c].to_numpy() for c in ("id", "size", "text"))
-        root = np.unique(met["part_of"].to_numpy(), return_inverse=True)[1]
-        edge = int((met["block"] == low).sum())
+    def compare(met: pa.Table) -> pa.Table:
+        # Arrow: most groups are small, and a frame of pandas takes longer to make than their pairs to compare.
+        low, high, tree = (met.column(c)[0].as_py() for c in ("low", "high", "tree"))
+        block, ids, size, part_of = (met.column(c).to_numpy() for c in ("block", "id", "size", "part_of"))
+        if low != high:
+            order = np.argsort(block, kind="stable")
+            met, block, ids, size, part_of = met.take(order), block[order], ids[order], size[order], part_of[order]
+        sketch = np.frombuffer(b"".join(met.column("bits").to_pylist()), np.uint64).reshape(len(ids), bits, TREES * DEPTH // 64)
+        begin = np.frombuffer(b"".join(met.column("starts").to_pylist()), np.dtype((np.void, SHARED * 4))).reshape(len(ids), TREES)
+        text = met.column("text")
+        root = np.unique(part_of, return_inverse=True)[1]
+        edge = int((block == low).sum())
         sets: dict[int, np.ndarray] = {}
         found = []
 
         def whole_sets(some: list[int]) -> None:
             new = [i for i in some if i not in sets]
-            for i, hashes in zip(new, shingle_hashes(pa.array(text[new], pa.string()), WIDTH)):
+            if not new:
+                return
+            for i, hashes in zip(new, shingle_hashes(text.take(new).combine_chunks(), WIDTH)):
                 sets[i] = np.unique(hashes)
 
         for i in range(edge):
-            there = np.arange(i + 1 if low == high else edge, len(met))
+            there = np.arange(i + 1 if low == high else edge, len(ids))
             there = there[(root[there] != root[i]) & (100 * np.minimum(size[there], size[i]) >= SHARE * np.maximum(size[there], size[i]))]
+            if not len(there):
+                continue
             unlike = np.bitwise_count(np.bitwise_or.reduce(sketch[there] ^ sketch[i], axis=1)).sum(axis=1, dtype=np.int64)
             near = 1 - unlike / (distinct * TREES * DEPTH) >= least
             there, unlike = there[near], unlike[near]
@@ -314,9 +322,10 @@ def region_links(classes: DataFrame, texts: DataFrame, bits: int) -> DataFrame:
                 if shared and 100 * shared >= SHARE * (len(x) + len(y) - shared):
                     root[root == root[j]] = root[i]
                     found.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
-        return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+        made = np.array(found, np.int64).reshape(-1, 2)
+        return pa.table({"a": made[:, 0], "b": made[:, 1]})
 
-    return rows.groupBy("tree", "start", "low", "high").applyInPandas(compare, "a bigint, b bigint")
+    return rows.groupBy("tree", "start", "low", "high").applyInArrow(compare, "a bigint, b bigint")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:

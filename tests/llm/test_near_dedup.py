@@ -145,3 +145,16 @@ def test_blocks_by_bytes(spark, monkeypatch):
     rows = near_copies(4, 2, 50)
     got = near_dedup.near_dedup(odd_rows.docs(spark, rows)).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == plain(rows)
+
+
+def test_small_groups_are_compared_without_frames(spark, monkeypatch, capfd):
+    monkeypatch.setattr(near_dedup, "NEAR", ((1, 8),))
+    plans = []
+    region_links = near_dedup.region_links
+    monkeypatch.setattr(near_dedup, "region_links", lambda *a: plans.append(region_links(*a)) or plans[0])
+    rows = near_copies(5, 20, 2)
+    got = near_dedup.near_dedup(odd_rows.docs(spark, rows)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == plain(rows)
+    plans[0].explain()
+    plan = capfd.readouterr().out or plans[0]._jdf.queryExecution().toString()
+    assert "FlatMapGroupsInArrow" in plan and "FlatMapGroupsInPandas" not in plan
