@@ -15,12 +15,11 @@ most as frequent as its parts, so none is lost.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -206,14 +205,37 @@ def unpacked(numbers: bytes, words: bytes) -> tuple[np.ndarray, pa.Array]:
     return np.frombuffer(opener.decompress(numbers), "<i4"), pa.array(text.split("\n") if text else [], pa.large_string())
 
 
-_WORDS = "shard bigint, lang string, phrase string, n bigint"
+_WORDS = "shard bigint, lang string, phrase string, n bigint, number bigint"
 _PACKED = "bucket bigint, shard bigint, heads binary, tails binary, counts binary"
-_LONGER = "shard bigint, head bigint, tail bigint, f bigint, id bigint"
+#: Known phrases of a shard, or without a shard those of a bucket with their sums in `counts`.
+_KNOWN = "shard bigint, size int, heads binary, tails binary, ids binary, counts binary"
+_NAMES = "id bigint, head bigint, tail bigint, f bigint"
 _SIDES = "id bigint, before bigint, behind bigint"
 
+#: Known words that a task holds before it packs them, shard by shard.
+PACKED_WORDS = 500_000
+
+
+def _pack(values: np.ndarray, ascending: bool = False) -> bytes:
+    """Numbers, compressed; of ascending ones the differences between neighbours."""
+    if ascending:
+        values = np.diff(values, prepend=np.int64(0))
+    return zstandard.ZstdCompressor(3).compress(values.astype("<i8").tobytes())
+
+
+def _unpack(packed: Iterable[bytes], ascending: bool = False) -> np.ndarray:
+    """The numbers of several `_pack`, one behind the other."""
+    opener = zstandard.ZstdDecompressor()
+    values = [np.frombuffer(opener.decompress(v), "<i8") for v in packed]
+    return np.concatenate([np.zeros(0, np.int64), *(np.cumsum(v) if ascending else v for v in values)])
+
+
+#: Columns of packed phrases in ascending order.
+_ASCENDING = {"heads", "ids"}
+
 
 def _words(held: DataFrame) -> DataFrame:
-    """Every word of every shard with its count."""
+    """Every word of every shard with its count and its number in the shard."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -224,8 +246,9 @@ def _words(held: DataFrame) -> DataFrame:
                     some = words[at : at + 50_000].cast(pa.string())
                     shard = pa.array(np.full(len(some), row["shard"]), pa.int64())
                     lang = pa.array([row["lang"]] * len(some), pa.string())
-                    columns = [shard, lang, some, pa.array(counts[at : at + len(some)], pa.int64())]
-                    yield pa.RecordBatch.from_arrays(columns, ["shard", "lang", "phrase", "n"])
+                    number = pa.array(np.arange(at + 1, at + 1 + len(some)), pa.int64())
+                    columns = [shard, lang, some, pa.array(counts[at : at + len(some)], pa.int64()), number]
+                    yield pa.RecordBatch.from_arrays(columns, ["shard", "lang", "phrase", "n", "number"])
 
     return held.mapInArrow(count, _WORDS)
 
@@ -237,7 +260,26 @@ def _in_buckets(head: np.ndarray, tail: np.ndarray, buckets: int) -> np.ndarray:
     return ((mixed >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
 
 
-def _of_shards(held: DataFrame, known: DataFrame, longest: int, buckets: int | None) -> DataFrame:
+def _local(known: pd.DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """A shard's known phrases of `size` words: rows of its word numbers, and ids.
+
+    Words have their number in the shard as tail, longer phrases the ids of those of
+    one word less that they begin and end with.
+    """
+    for k in range(1, size + 1):
+        rows = known[known["size"] == k]
+        tail, own = _unpack(rows["tails"]), _unpack(rows["ids"], True)
+        if k == 1:
+            local = tail.astype(np.int32)[:, None]
+        else:
+            order = np.argsort(ids)
+            begin, end = (order[np.searchsorted(ids, x, sorter=order)] for x in (_unpack(rows["heads"], True), tail))
+            local = np.column_stack([local[begin], local[end, -1]])
+        ids = own
+    return local, ids
+
+
+def _of_shards(held: DataFrame, known: DataFrame, size: int, longest: int, buckets: int | None) -> DataFrame:
     """Known phrases of every shard made longer, in buckets; without those, with their extensions on either side.
 
     A longer phrase is named by the known phrases that it begins and ends with.
@@ -245,12 +287,11 @@ def _of_shards(held: DataFrame, known: DataFrame, longest: int, buckets: int | N
     """
 
     def work(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({c.split()[0]: pd.Series(dtype=object) for c in schema.split(", ")})
-        numbers, words = unpacked(left["numbers"].iloc[0], left["words"].iloc[0])
-        parts = pc.split_pattern(pa.array(right["phrase"], pa.large_string()), " ")
-        local = (pc.index_in(parts.flatten(), words).to_numpy().astype(np.int32) + 1).reshape(len(right), -1)
-        ids = right["id"].to_numpy()
+        nothing = pd.DataFrame({c.split()[0]: pd.Series(dtype=object) for c in schema.split(", ")})
+        if not len(left) or not (right["size"] == size).any():
+            return nothing
+        numbers, _ = unpacked(left["numbers"].iloc[0], left["words"].iloc[0])
+        local, ids = _local(right, size)
         if buckets is None:
             before, behind = extensions(numbers, local, longest)
             return pd.DataFrame({"id": ids, "before": before, "behind": behind})
@@ -260,49 +301,108 @@ def _of_shards(held: DataFrame, known: DataFrame, longest: int, buckets: int | N
         order = np.lexsort((tail, head, bucket))
         names, starts = np.unique(bucket[order], return_index=True)
         ends = np.append(starts[1:], len(order))
-        packer = zstandard.ZstdCompressor(3)
         rows = {"bucket": names, "shard": np.full(len(names), left["shard"].iloc[0])}
         for name, values in (("heads", head), ("tails", tail), ("counts", n)):
-            values = values[order].astype("<i8")
-            rows[name] = pd.Series([packer.compress(values[a:b].tobytes()) for a, b in zip(starts, ends)], dtype=object)
+            values = values[order]
+            rows[name] = pd.Series([_pack(values[a:b], name in _ASCENDING) for a, b in zip(starts, ends)], dtype=object)
         return pd.DataFrame(rows)
 
     schema = _SIDES if buckets is None else _PACKED
     # Aliased: the phrases come from the same table.
     some = held.select(*[F.col(c).alias(c) for c in ("shard", "numbers", "words")])
-    return some.groupBy("shard").cogroup(known.select("shard", "phrase", "id").groupBy("shard")).applyInPandas(work, schema)
+    packed = known.select("shard", "size", "heads", "tails", "ids")
+    return some.groupBy("shard").cogroup(packed.groupBy("shard")).applyInPandas(work, schema)
 
 
-def _summed(packed: DataFrame, least: int) -> DataFrame:
-    """Phrases with `least` occurrences over all shards, a row for each shard, with their sum `f` and a number `id`."""
+def _summed(packed: DataFrame, least: int, size: int, to_shards: bool) -> DataFrame:
+    """Phrases with `least` occurrences over all shards, packed: a row for each bucket, and one for each of its shards.
+
+    A bucket's row has their sums; those of shards, left out without `to_shards`,
+    have what occurs there.
+    """
 
     def work(rows: pd.DataFrame) -> pd.DataFrame:
-        opener = zstandard.ZstdDecompressor()
-        head, tail, n = (
-            np.frombuffer(b"".join(opener.decompress(v) for v in rows[c]), "<i8") for c in ("heads", "tails", "counts")
-        )
+        head, tail, n = (_unpack(rows[c], c in _ASCENDING) for c in ("heads", "tails", "counts"))
         sizes = [zstandard.frame_content_size(v) // 8 for v in rows["counts"]]
         shard = np.repeat(rows["shard"].to_numpy(), sizes)
         order = np.lexsort((tail, head))
         head, tail, n, shard = head[order], tail[order], n[order], shard[order]
         new = np.concatenate([[True], (np.diff(head) != 0) | (np.diff(tail) != 0)])
+        first = np.flatnonzero(new)
         which = np.cumsum(new) - 1
-        f = np.add.reduceat(n, np.flatnonzero(new))
-        kept = f[which] >= least
-        ids = int(rows["bucket"].iloc[0]) * (1 << 31) + which
-        return pd.DataFrame({"shard": shard[kept], "head": head[kept], "tail": tail[kept], "f": f[which][kept], "id": ids[kept]})
+        f = np.add.reduceat(n, first)
+        base = int(rows["bucket"].iloc[0]) * (1 << 31)
+        frequent = np.flatnonzero(f >= least)
+        at = first[frequent]
+        out = [(None, size, _pack(head[at], True), _pack(tail[at]), _pack(base + frequent, True), _pack(f[frequent]))] if len(at) else []
+        if to_shards:
+            kept = np.flatnonzero(f[which] >= least)
+            kept = kept[np.argsort(shard[kept], kind="stable")]
+            names, starts = np.unique(shard[kept], return_index=True)
+            for name, a, b in zip(names.tolist(), starts, np.append(starts[1:], len(kept))):
+                some = kept[a:b]
+                out.append((name, size, _pack(head[some], True), _pack(tail[some]), _pack(base + which[some], True), None))
+        columns = [c.split()[0] for c in _KNOWN.split(", ")]
+        return pd.DataFrame(out, columns=columns, dtype=object).astype({"shard": "Int64"})
+
+    return packed.groupBy("bucket").applyInPandas(work, _KNOWN)
+
+
+def _names(known: DataFrame) -> DataFrame:
+    """`id, head, tail, f` of the phrases that `_summed` has packed, one row each."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                columns = [pa.array(_unpack([row[c]], c in _ASCENDING), pa.int64()) for c in ("ids", "heads", "tails", "counts")]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "head", "tail", "f"])
 
-    return packed.groupBy("bucket").applyInPandas(work, _LONGER)
+    return known.where("shard is null").select("heads", "tails", "ids", "counts").mapInArrow(work, _NAMES)
 
 
 def _frequent_words(level: DataFrame, least: int) -> DataFrame:
     """Rows of words that are frequent over all shards, with their sum `f` and a number `id` of the word.
 
-    One shuffle sums a word over its shards and keeps the rows that go on.
+    One shuffle sums a word over its shards and keeps the rows that go on. The word
+    itself is in the first of its rows only, and null in the others.
     """
     of_word = Window.partitionBy("lang", "phrase")
     kept = level.withColumn("f", F.sum("n").over(of_word)).where(F.col("f") >= least)
-    return kept.withColumn("_row", F.monotonically_increasing_id()).withColumn("id", F.min("_row").over(of_word)).drop("_row")
+    kept = kept.withColumn("_row", F.monotonically_increasing_id()).withColumn("id", F.min("_row").over(of_word))
+    word = F.when(F.col("_row") == F.col("id"), F.col("phrase"))
+    return kept.select("shard", "number", "id", "lang", word.alias("phrase"), "f")
+
+
+def _packed_words(words: DataFrame) -> DataFrame:
+    """Known words, packed by shard; a shard has a row from each task."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def packed() -> pa.RecordBatch:
+            shard, number, own = (
+                np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in held]) for c in ("shard", "number", "id")
+            )
+            order = np.argsort(shard, kind="stable")
+            names, starts = np.unique(shard[order], return_index=True)
+            parts = [order[a:b] for a, b in zip(starts, np.append(starts[1:], len(order)))]
+            columns = (
+                names, [1] * len(names), [None] * len(names), [_pack(number[p]) for p in parts],
+                [_pack(own[p], True) for p in parts], [None] * len(names),
+            )
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, schema.types)], schema=schema)
+
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= PACKED_WORDS:
+                yield packed()
+                held = []
+        if any(b.num_rows for b in held):
+            yield packed()
+
+    types = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    schema = pa.schema([(c.split()[0], types[c.split()[1]]) for c in _KNOWN.split(", ")])
+    return words.select("shard", "number", "id").mapInArrow(work, _KNOWN)
 
 
 def phrase_counts(
@@ -317,25 +417,25 @@ def phrase_counts(
     level = _words(held)
     totals = stored(level.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
     buckets = max(1, -(-(totals.agg(F.sum("n")).first()[0] or 0) // BUCKET))
-    known = stored(_frequent_words(level, least).drop("n"), "phrases")
+    words = stored(_frequent_words(level, least), "words")
+    names = words.where("phrase is not null").select("id", "lang", "phrase", "f")
+    known = stored(_packed_words(words), "known-words")
     out = None
     for size in range(1, longest + 1):
-        names = stored(
-            known.groupBy("id").agg(F.first("lang").alias("lang"), F.first("phrase").alias("phrase"), F.first("f").alias("f")),
-            "phrase-names",
-        )
         told = names.select("id", "lang", "phrase", F.lit(size).alias("words"), "f")
         if sides:
-            of_sides = _of_shards(held, known, longest, None).groupBy("id")
+            of_sides = _of_shards(held, known, size, longest, None).groupBy("id")
             told = told.join(of_sides.agg(F.sum("before").alias("before"), F.sum("behind").alias("behind")), "id")
         out = told.drop("id") if out is None else out.unionByName(told.drop("id"))
         if size == longest:
             break
-        longer = _summed(_of_shards(held, known, longest, buckets), least)
+        to_shards = sides or size + 1 < longest
+        longer = stored(_summed(_of_shards(held, known, size, longest, buckets), least, size + 1, to_shards), "phrases")
+        known = known.unionByName(longer.where("shard is not null"))
         heads = names.select(F.col("id").alias("head"), "lang", F.col("phrase").alias("_begin"))
         tails = names.select(F.col("id").alias("tail"), F.substring_index("phrase", " ", -1).alias("_last"))
-        longer = longer.join(heads, "head").join(tails, "tail")
-        known = stored(longer.select("shard", "lang", F.concat_ws(" ", "_begin", "_last").alias("phrase"), "f", "id"), "phrases")
+        named = _names(longer).join(heads, "head").join(tails, "tail")
+        names = stored(named.select("id", "lang", F.concat_ws(" ", "_begin", "_last").alias("phrase"), "f"), "phrase-names")
     return stored(out, "phrase-counts"), totals
 
 

@@ -91,6 +91,27 @@ def test_small_shards_give_the_same(spark, monkeypatch):
     assert got(co.collocations(docs.repartition(3))) == plain(rows)
 
 
+def test_phrases_go_back_to_shards_packed(spark, monkeypatch):
+    rows = texts(200, 3)
+    docs = odd_rows.docs(spark, rows).repartition(3)
+    small, store = co.shards, co.stored
+    sizes = {}
+
+    def kept(df, name):
+        out = store(df, name)
+        sizes.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(co, "shards", lambda d: small(d, 700))
+    monkeypatch.setattr(co, "stored", kept)
+    assert got(co.collocations(docs)) == plain(rows)
+    (n_shards,) = sizes.pop("shards")
+    frequent = sum(c >= 10 for f in counted(rows, 3).values() for c in f.values())
+    # A row for each word and shard once; of longer phrases none for each phrase and shard.
+    sizes.pop("words", None)
+    assert n_shards > 20 and all(n <= max(frequent, n_shards * 3) for x in sizes.values() for n in x)
+
+
 def test_intervals_are_counts():
     rng = random.Random(1)
     data = " ".join(rng.choice("abcdefg,") for _ in range(3000)).encode()
