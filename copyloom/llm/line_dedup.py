@@ -186,7 +186,14 @@ def units(text: Column) -> Column:
 
 
 def _n_words(text: Column) -> Column:
-    return F.size(F.filter(F.split(text, r"\s+", -1), lambda w: F.length(w) > 0))
+    # A pattern of one character needs no regular expression, which would be compiled for each text.
+    for space in "\t\n\x0b\f\r":
+        text = F.replace(text, F.lit(space), F.lit(" "))
+    return F.size(F.array_remove(F.split(text, " ", -1), ""))
+
+
+def _window_hash(*values: Column) -> Column:
+    return F.xxhash64(*values)
 
 
 def windows(docs: DataFrame) -> DataFrame:
@@ -197,13 +204,13 @@ def windows(docs: DataFrame) -> DataFrame:
     cut = docs.select(F.xxhash64("text").alias("row"), "doc_id", units(F.col("text")).alias("units"))
 
     def pair(a: Column, b: Column) -> Column:
-        hashed = F.xxhash64(F.rtrim(a["text"]), F.rtrim(b["text"]), a["last"])
+        hashed = _window_hash(F.rtrim(a["text"]), F.rtrim(b["text"]), a["last"])
         return F.struct(a["pos"].alias("pos"), hashed.alias("hash"), a.alias("a"), b.alias("b"))
 
     none = F.lit(None).cast("struct<pos:int,line:int,first:boolean,last:boolean,text:string>")
     long = F.filter("units", lambda u: F.when(F.length(u["text"]) > 2 * MOST_WORDS, _n_words(u["text"]) > MOST_WORDS).otherwise(False))
     single = F.transform(
-        long, lambda u: F.struct(u["pos"].alias("pos"), F.xxhash64(F.rtrim(u["text"])).alias("hash"), u.alias("a"), none.alias("b"))
+        long, lambda u: F.struct(u["pos"].alias("pos"), _window_hash(F.rtrim(u["text"])).alias("hash"), u.alias("a"), none.alias("b"))
     )
     rest = F.greatest(F.size("units") - 1, F.lit(0))
     pairs = F.zip_with(F.slice("units", F.lit(1), rest), F.slice("units", F.lit(2), rest), pair)
@@ -214,7 +221,8 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     """`doc_id, row, spans` (`first, last` unit): what goes of each document that loses something.
 
     Windows are counted by hash, reduced where texts are read; those whose hash
-    occurs more than once are compared by grouping them by their bytes.
+    occurs more than once are compared by grouping them by their bytes. Places are
+    then found by the hash, but for hashes that different windows share.
     """
     every = windows(docs)
     twice = stored(
@@ -250,12 +258,23 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
         "repeated-windows",
     )
     place = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row", "pos")
-    kept = stored(
+    # Where all windows with a hash were found to be equal, the hash stands for the bytes.
+    first = (
         met.groupBy("hash", "single", "body").agg(F.min(place).alias("kept"), F.max(place).alias("end"))
-        .where("kept != end").select("hash", "single", "body", "kept"),
-        "first-windows",
+        .groupBy("hash", "single")
+        .agg(F.count(F.lit(1)).alias("bodies"), F.min("kept").alias("kept"), F.max("end").alias("end"))
+        .where("kept != end")
     )
-    again = met.join(kept, ["hash", "single", "body"]).where(place != F.col("kept"))
+    first = stored(first, "first-windows")
+    found = met.select("doc_id", "row", "pos", "hash", "single", "marks")
+    again = found.join(first.where("bodies = 1").select("hash", "single", "kept"), ["hash", "single"])
+    again = again.where(place != F.col("kept")).select("doc_id", "row", "marks")
+    if shared := first.where("bodies > 1").count():
+        several = first.where("bodies > 1").select("hash", "single")
+        some = met.join(F.broadcast(several) if shared <= BROADCAST_ROWS else several, ["hash", "single"], "left_semi")
+        kept = some.groupBy("hash", "single", "body").agg(F.min(place).alias("kept"))
+        more = some.join(kept, ["hash", "single", "body"]).where(place != F.col("kept"))
+        again = again.unionByName(more.select("doc_id", "row", "marks"))
     # A set of exploded marks is hashed; array_distinct would compare all marks of a document in pairs.
     placed = (
         again.select("doc_id", "row", F.explode("marks").alias("m"))
