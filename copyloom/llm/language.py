@@ -21,8 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from copyloom.llm.common import fresh, give_back, held_out, share, ship, stored
+from copyloom.llm.tokens import forget
 
-BUCKETS = 1 << 15
+BUCKETS = 1 << 15  # a bucket's number takes two bytes
 LENGTHS = (2, 3, 4)
 UNKNOWN = "und"
 
@@ -185,6 +186,59 @@ def fit_softmax(
     return embed @ out, bias
 
 
+def _fitted(batches: Iterator[pa.RecordBatch]) -> pa.RecordBatch | None:
+    """The model of some `lang, at, share, place`, as one row; none without a language."""
+    taken = [
+        (place, lang, np.array(at, np.uint16), np.array(part, np.float32))
+        for b in batches
+        for lang, at, part, place in zip(
+            b.column("lang").to_pylist(),
+            (x.values.to_numpy(zero_copy_only=False) for x in b.column("at")),
+            (x.values.to_numpy(zero_copy_only=False) for x in b.column("share")),
+            b.column("place").to_pylist(),
+        )
+    ]
+    taken.sort(key=lambda t: (t[0], t[1] is None, t[1] or ""))
+    languages = sorted({t[1] for t in taken if t[1] is not None})
+    if not languages:
+        return None
+    none = len(languages)
+    labels = np.array([none if t[1] is None else languages.index(t[1]) for t in taken])
+    apart = np.arange(len(taken)) % 5 == 4
+    rows = [t[2:] for t in taken]
+    learn = np.flatnonzero(~apart)
+    table, bias = fit_softmax([rows[i] for i in learn], labels[learn], none + 1)
+    check = np.flatnonzero(apart & (labels < none))
+    check = check if len(check) else np.flatnonzero(labels < none)
+    logits = np.array([part @ table[at] for at, part in (rows[i] for i in check)]) + bias
+    target = labels[check]
+
+    def loss(temperature: float) -> float:
+        return -np.log(_chances(logits[:, :none], temperature)[np.arange(len(target)), target] + 1e-12).mean()
+
+    temperature = min(np.geomspace(0.05, 20, 61), key=loss)
+    apart_from = np.sort(_chances(logits, temperature)[:, none])
+    most = max(0.5, float(apart_from[len(apart_from) - 1 - int(LOST * len(apart_from))]))
+    return pa.RecordBatch.from_pydict(
+        {
+            "languages": [languages],
+            "logits": [table.astype("<f4").tobytes()],
+            "bias": [bias.astype("<f4").tobytes()],
+            "temperature": [float(temperature)],
+            "most": [most],
+        }
+    )
+
+
+def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget()
+    made = _fitted(batches)
+    if made is not None:
+        yield made
+    # Whole samples were held: the scoring tasks would start on top of them.
+    give_back()
+
+
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """A model of `lang`, from at most about `per_language` documents of each language.
 
@@ -213,6 +267,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
             shares = pa.array([p[1].astype(np.float32) for p in pairs], schema.field("share").type)
             return pa.RecordBatch.from_arrays([lang, at, shares, place], schema=schema)
 
+        forget()
         for batch in batches:
             yield out(batch.column("lang"), batch.column("text"), batch.column("place"))
             # The digits behind those that choose a text choose its noise.
@@ -229,50 +284,8 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
         placed.mapInArrow(count, "lang string, at array<int>, share array<float>, place double"), "language-sample"
     )
 
-    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        taken = [
-            (place, lang, np.array(at, np.int64), np.array(part, np.float32))
-            for b in batches
-            for lang, at, part, place in zip(
-                b.column("lang").to_pylist(),
-                (x.values.to_numpy(zero_copy_only=False) for x in b.column("at")),
-                (x.values.to_numpy(zero_copy_only=False) for x in b.column("share")),
-                b.column("place").to_pylist(),
-            )
-        ]
-        taken.sort(key=lambda t: (t[0], t[1] is None, t[1] or ""))
-        languages = sorted({t[1] for t in taken if t[1] is not None})
-        if not languages:
-            return
-        none = len(languages)
-        labels = np.array([none if t[1] is None else languages.index(t[1]) for t in taken])
-        apart = np.arange(len(taken)) % 5 == 4
-        rows = [t[2:] for t in taken]
-        learn = np.flatnonzero(~apart)
-        table, bias = fit_softmax([rows[i] for i in learn], labels[learn], none + 1)
-        check = np.flatnonzero(apart & (labels < none))
-        check = check if len(check) else np.flatnonzero(labels < none)
-        logits = np.array([part @ table[at] for at, part in (rows[i] for i in check)]) + bias
-        target = labels[check]
-
-        def loss(temperature: float) -> float:
-            return -np.log(_chances(logits[:, :none], temperature)[np.arange(len(target)), target] + 1e-12).mean()
-
-        temperature = min(np.geomspace(0.05, 20, 61), key=loss)
-        apart_from = np.sort(_chances(logits, temperature)[:, none])
-        most = max(0.5, float(apart_from[len(apart_from) - 1 - int(LOST * len(apart_from))]))
-        yield pa.RecordBatch.from_pydict(
-            {
-                "languages": [languages],
-                "logits": [table.astype("<f4").tobytes()],
-                "bias": [bias.astype("<f4").tobytes()],
-                "temperature": [float(temperature)],
-                "most": [most],
-            }
-        )
-
     made = features.coalesce(1).mapInArrow(
-        train, "languages array<string>, logits binary, bias binary, temperature double, most double"
+        _train, "languages array<string>, logits binary, bias binary, temperature double, most double"
     )
     found = stored(made, "language-model").first()
     if found is None:
@@ -300,6 +313,7 @@ def detected(docs: DataFrame, model: Model) -> DataFrame:
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         model = shared.value
         for batch in batches:
             letters = batch.column(lettered).to_numpy(zero_copy_only=False)

@@ -218,3 +218,8 @@ def coder(name: str, folds_space: bool) -> Coder:
     if key not in _coders:
         _coders[key] = Coder(name, folds_space)
     return _coders[key]
+
+
+def forget() -> None:
+    """Drop the coders that an operator before left in this worker; called by those that need the memory."""
+    _coders.clear()

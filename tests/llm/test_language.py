@@ -129,3 +129,46 @@ def test_scores_against_plain(spark):
         p = np.exp((z[:-1] - z.max()) / model.temperature)
         assert abs(r.lang_score - (p / p.sum()).max()) < 1e-4
         assert r.lang_pred == model.languages[int(p.argmax())]
+
+
+def test_training_drops_what_an_operator_before_kept():
+    from copyloom.llm import tokens
+
+    tokens._coders["vocabulary", True] = object()
+    assert list(language._train(iter(()))) == []
+    assert not tokens._coders
+
+
+def test_memory_of_training():
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    n, each = 400, 3000
+    schema = pa.schema([("lang", pa.string()), ("at", pa.list_(pa.int32())), ("share", pa.list_(pa.float32())), ("place", pa.float64())])
+
+    def batches():
+        for at in range(0, n, 50):
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "lang": [("aa", "bb", None)[i % 3] for i in range(50)],
+                    "at": [rng.permutation(language.BUCKETS)[:each] for _ in range(50)],
+                    "share": [np.full(each, 1 / each, np.float32) for _ in range(50)],
+                    "place": [float(at + i) for i in range(50)],
+                },
+                schema=schema,
+            )
+
+    held = []
+
+    def softmax(rows, labels, classes):
+        held.append(tracemalloc.get_traced_memory()[0])
+        return np.zeros((language.BUCKETS, classes), np.float32), np.zeros(classes, np.float32)
+
+    plain, language.fit_softmax = language.fit_softmax, softmax
+    tracemalloc.start()
+    try:
+        assert [b.num_rows for b in language._train(batches())] == [1]
+    finally:
+        tracemalloc.stop()
+        language.fit_softmax = plain
+    assert held[0] < n * each * 8
