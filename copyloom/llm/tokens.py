@@ -19,6 +19,7 @@ import pyarrow.compute as pc
 
 #: A worker remembers up to twice as many pieces: those met since it last had so
 #: many, and the ones before them. It bounds memory only; ids don't depend on it.
+#: Where case and blanks count, as many pieces cover fewer words: twice as many are kept.
 REMEMBERED = 300_000
 
 #: Characters of text that are cut up at a time; a longer text is a batch of its own.
@@ -84,7 +85,7 @@ class Coder:
         return piece.encode().decode("latin-1").translate(_LETTERS)
 
     def _learn(self, pieces: list[str]) -> None:
-        """Ids of new pieces; None for those that can't be encoded alone."""
+        """Ids of pieces that aren't remembered; None for those that can't be encoded alone."""
         known, older, fixed, folds = self.known, self.older, self.fixed, self.folds_space
         words: list[str] = []
         rest: list[str] = []
@@ -94,10 +95,6 @@ class Coder:
         for piece in pieces:
             if piece in wanted:  # as the stem of another piece
                 continue
-            ids = older.get(piece, older)
-            if ids is not older:
-                known[piece] = ids
-                continue
             body = piece if folds or piece[0] not in " \n" else piece[1:]
             before = after = b""
             stem = piece
@@ -188,12 +185,16 @@ class Coder:
         places = cut.offsets.to_numpy()
         coded = cut.values.dictionary_encode()
         names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # many times faster than to_pylist
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > (REMEMBERED if self.folds_space else 2 * REMEMBERED):
             self.older, self.known = self.known, {"": b""}
         known, missing = self.known, object()
         ids = [known.get(p, missing) for p in names]
         new = [p for p, i in zip(names, ids) if i is missing]
         if new:
+            if self.older:
+                met = [(p, self.older[p]) for p in new if p in self.older]
+                known.update(met)
+                new = [p for p in new if p not in known] if met else new
             self._learn(new)
             ids = [known[p] if i is missing else i for p, i in zip(names, ids)]
         index = coded.indices

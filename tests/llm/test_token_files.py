@@ -1,6 +1,7 @@
 import numpy as np
+import pyarrow as pa
 
-from copyloom.llm import token_files
+from copyloom.llm import token_files, tokens
 from copyloom.llm.tokens import coder
 from copyloom.plans.workdir import new_path
 from tests.llm import odd_rows
@@ -41,3 +42,14 @@ def test_empty_and_no_dictionary(spark):
     token_files.write_tokens(odd_rows.empty(spark), path)
     assert token_files.read_tokens(spark, path).collect() == []
     assert bytes(spark.read.parquet(f"{path}/dictionary").first()["content"]) == b""
+
+
+def test_pieces_met_before_are_not_learnt_again(monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBERED", 30)
+    make = tokens.Coder("byte_bpe_50k.json", False)
+    learnt, learn = [], make._learn
+    monkeypatch.setattr(make, "_learn", lambda pieces: (learnt.extend(pieces), learn(pieces)))
+    texts = [" ".join(f"{chr(97 + i % 26)}word{chr(97 + i // 26)}" for i in range(80)) + ", a\nB.", "", None]
+    for _ in range(3):
+        assert make.encode(pa.array(texts, pa.string())) == [make.whole(t or "") for t in texts]
+    assert len(learnt) == len(set(learnt)) == 82
