@@ -12,6 +12,8 @@ removes whole runs of repeated pairs.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -152,23 +154,35 @@ def line_dedup(docs: DataFrame, least_lines: int = LEAST_LINES) -> DataFrame:
     )
 
 
-def units(text: Column) -> Column:
-    """What passages are made of: `pos` (from 0), `line`, `first`, `last` (of its line), `text`.
+def _parts(line: Column) -> Column:
+    """A short line, or the sentences of a long one; nothing empty, but for an empty line."""
 
-    Short lines, and the sentences of long ones; the cut depends on the line alone.
-    """
-
-
-    def parts(line: Column) -> Column:
+    def cut(ends: tuple[str, ...]) -> Column:
         # A line holds no line break, so one can mark the ends.
         marked = line
-        for end in SENTENCE_ENDS:
+        for end in ends:
             marked = F.replace(marked, F.lit(end), F.lit(end + "\n"))
-        return F.when(F.length(line) > LONG_LINE, F.split(marked, "\n", -1)).otherwise(F.array(line))
+        return F.split(marked, "\n", -1)
+
+    # To look for a sign costs far less than to replace it; few texts have the wide ones.
+    wide = tuple(e for e in SENTENCE_ENDS if not e.isascii())
+    any_wide = reduce(lambda x, y: x | y, [F.contains(line, F.lit(e)) for e in wide])
+    parts = (
+        F.when(F.length(line) <= LONG_LINE, F.array(line))
+        .when(any_wide, cut(SENTENCE_ENDS))
+        .otherwise(cut(tuple(e for e in SENTENCE_ENDS if e.isascii())))
+    )
+    return F.filter(parts, lambda p: (F.length(p) > 0) | (F.length(line) == 0))
+
 
+def units(text: Column) -> Column:
+    """What passages are made of: `pos` (from 0), `line`, `first`, `last` (of its line), `text`.
+
+    Short lines, and the sentences of long ones; the cut depends on the line alone.
+    """
     # An array of one element binds the parts, which would be cut again for each of them.
     of_line = lambda x, n: F.transform(
-        F.array(F.filter(parts(x), lambda p: (F.length(p) > 0) | (F.length(x) == 0))),
+        F.array(_parts(x)),
         lambda found: F.transform(
             found,
             lambda p, i: F.struct(
@@ -185,36 +199,90 @@ def units(text: Column) -> Column:
     )
 
 
-def _n_words(text: Column) -> Column:
+def _n_words(text: Column, other: Column | None = None) -> Column:
+    """Words between blanks; `other` says whether the text may have blanks other than spaces."""
+    spaced = text
     # A pattern of one character needs no regular expression, which would be compiled for each text.
     for space in "\t\n\x0b\f\r":
-        text = F.replace(text, F.lit(space), F.lit(" "))
-    return F.size(F.array_remove(F.split(text, " ", -1), ""))
+        spaced = F.replace(spaced, F.lit(space), F.lit(" "))
+
+    def split(t: Column) -> Column:
+        return F.size(F.array_remove(F.split(t, " ", -1), ""))
+
+    if other is None:
+        return split(spaced)
+    # Between single spaces, words are one more than the spaces.
+    bare = F.trim(text)
+    spaces = F.octet_length(bare) - F.octet_length(F.replace(bare, F.lit(" "), F.lit("")))
+    single = F.when(F.octet_length(bare) > 0, spaces + 1).otherwise(0)
+    return F.when(other, split(spaced)).when(F.contains(bare, F.lit("  ")), split(text)).otherwise(single)
+
+
+def _other_blanks(text: Column) -> Column:
+    """Whether the lines of a text have blanks other than spaces."""
+    return reduce(lambda x, y: x | y, [F.contains(text, F.lit(c)) for c in "\t\x0b\f\r"])
 
 
 def _window_hash(*values: Column) -> Column:
     return F.xxhash64(*values)
 
 
+def window_hashes(docs: DataFrame) -> DataFrame:
+    """`hash` of each row of `windows`, without what else a row holds."""
+    # Trimmed once for both windows that a unit is in; a unit's words are the same without its last spaces.
+    of_line = lambda x: F.transform(
+        F.array(_parts(x)),
+        lambda found: F.transform(
+            found, lambda p, i: F.struct(F.rtrim(p).alias("text"), (i == F.size(found) - 1).alias("last"))
+        ),
+    )
+    cut = docs.select(
+        F.flatten(F.flatten(F.transform(lines(F.col("text")), of_line))).alias("units"),
+        _other_blanks(F.col("text")).alias("other"),
+    )
+    single = F.transform(
+        F.filter("units", lambda u: _is_long(u["text"], F.col("other"))), lambda u: _window_hash(u["text"])
+    )
+    rest = F.greatest(F.size("units") - 1, F.lit(0))
+    pairs = F.zip_with(
+        F.slice("units", F.lit(1), rest),
+        F.slice("units", F.lit(2), rest),
+        lambda a, b: _window_hash(a["text"], b["text"], a["last"]),
+    )
+    return cut.select(F.explode(F.concat(pairs, single)).alias("hash"))
+
+
+def _is_long(text: Column, other: Column) -> Column:
+    """Whether a unit has words enough to go alone."""
+    return F.when(F.length(text) > 2 * MOST_WORDS, _n_words(text, other) > MOST_WORDS).otherwise(False)
+
+
 def windows(docs: DataFrame) -> DataFrame:
-    """`doc_id, row, pos, hash, a, b`: each pair of neighbouring units, and each unit of over `MOST_WORDS` words.
+    """`doc_id, row, other, pos, hash, a, b`: each pair of neighbouring units, and each unit of over `MOST_WORDS` words.
 
-    `b` is null for a single unit. Spaces behind a sentence don't count.
+    `b` is null for a single unit; `other` says whether the text has blanks other
+    than spaces. Spaces behind a sentence don't count.
     """
-    cut = docs.select(F.xxhash64("text").alias("row"), "doc_id", units(F.col("text")).alias("units"))
+    cut = docs.select(
+        F.xxhash64("text").alias("row"),
+        "doc_id",
+        _other_blanks(F.col("text")).alias("other"),
+        units(F.col("text")).alias("units"),
+    )
 
     def pair(a: Column, b: Column) -> Column:
         hashed = _window_hash(F.rtrim(a["text"]), F.rtrim(b["text"]), a["last"])
         return F.struct(a["pos"].alias("pos"), hashed.alias("hash"), a.alias("a"), b.alias("b"))
 
     none = F.lit(None).cast("struct<pos:int,line:int,first:boolean,last:boolean,text:string>")
-    long = F.filter("units", lambda u: F.when(F.length(u["text"]) > 2 * MOST_WORDS, _n_words(u["text"]) > MOST_WORDS).otherwise(False))
+    long = F.filter("units", lambda u: _is_long(u["text"], F.col("other")))
     single = F.transform(
         long, lambda u: F.struct(u["pos"].alias("pos"), _window_hash(F.rtrim(u["text"])).alias("hash"), u.alias("a"), none.alias("b"))
     )
     rest = F.greatest(F.size("units") - 1, F.lit(0))
     pairs = F.zip_with(F.slice("units", F.lit(1), rest), F.slice("units", F.lit(2), rest), pair)
-    return cut.select("row", "doc_id", F.explode(F.concat(pairs, single)).alias("w")).select("row", "doc_id", "w.*")
+    each = cut.select("row", "doc_id", "other", F.explode(F.concat(pairs, single)).alias("w"))
+    return each.select("row", "doc_id", "other", "w.*")
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
@@ -226,7 +294,7 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     """
     every = windows(docs)
     twice = stored(
-        every.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"), "window-hashes"
+        window_hashes(docs).groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"), "window-hashes"
     )
     small = F.broadcast(twice) if twice.count() <= BROADCAST_ROWS else twice
     # Between lines there is a line break, between sentences a space; a single unit has neither.
@@ -242,7 +310,7 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
         u = F.col(unit)
         return F.struct(
             (u["pos"] * 2).alias("at"),
-            _n_words(u["text"]).alias("words"),
+            _n_words(u["text"], F.col("other")).alias("words"),
             u["first"].alias("first"),
             (u["last"] & (F.length(F.trim(u["text"])) > 0)).alias("last"),
         )
